@@ -25,8 +25,8 @@ from .common import no_null, table, words_of
 K = 5
 HASHES = 48
 CONTAINED = 0.8
-#: most signature shingles that go into the plan as a set of numbers; beyond that they are joined
-SET_LIMIT = 40_000
+#: the bitmap of signature shingles has 2 ** BITS bits, however many shingles there are
+BITS = 20
 #: most rows of a side that is broadcast, of three numbers each
 SIDE_LIMIT = 400_000
 
@@ -48,11 +48,33 @@ def windows_of(places: str, w: int) -> Column:
     return F.transform(F.filter(both, lambda k: k >= 0), lambda k: F.struct(F.lit(w).alias("w"), k.alias("k")))
 
 
+def probes(shingle: Column) -> list[Column]:
+    """Three bit numbers of a shingle hash."""
+    return [F.shiftrightunsigned(shingle, k * BITS).bitwiseAND(F.lit((1 << BITS) - 1)) for k in range(3)]
+
+
+def bitmap_of(shingles: DataFrame) -> Column:
+    """The bits of all shingles as one constant of 64-bit numbers; a full bitmap would only cost time."""
+    bit = shingles.select(F.explode(F.array(*probes(F.col("shingle")))).alias("b"))
+    rows = bit.groupBy(F.bitmap_bucket_number(F.col("b") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("bits")).collect()
+    whole = bytearray((1 << BITS) // 8)
+    for r in rows:
+        at = (r["k"] - 1) * 4096
+        whole[at : at + 4096] = bytes(r["bits"])
+    words = [int.from_bytes(whole[i : i + 8], "little", signed=True) for i in range(0, len(whole), 8)]
+    return F.from_json(F.lit(str(words)), "array<bigint>")
+
+
+def in_bitmap(shingle: Column, bitmap: Column) -> Column:
+    tests = [F.getbit(F.element_at(bitmap, (F.shiftrightunsigned(b, 6) + 1).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in probes(shingle)]
+    return tests[0] & tests[1] & tests[2]
+
+
 def bounded(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= SIDE_LIMIT else side
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """``doc_id, item_id, containment`` for each item that a document holds."""
     words = words_of(no_null(text))
     own = items.select(F.col(item_key).alias("item_id"), words.alias("words")).where(F.size("words") > 0)
@@ -61,20 +83,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     signed = signed.select("item_id", "w", F.col("s.i").alias("i"), F.col("s.m.value").alias("value"), F.col("s.m.shingle").alias("shingle")).persist()
     n_signed = signed.count()
     sizes = sorted(r["w"] for r in signed.select("w").distinct().collect())  # at most 31 powers of two
-    behind = signed.select("shingle").distinct()
-    n_behind = behind.count() if n_signed else 0
-    d = docs.select(F.col(key).alias("doc_id"), words.alias("words"))
+    # the row number keeps the filter above the words, which would else be split again for every shingle
+    d = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(key).alias("doc_id")).alias("row"), words.alias("words"))
     if not n_signed:
-        return d.select("doc_id", F.lit(None).cast(own.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("containment")).where(F.lit(False))
-    if n_behind <= set_limit:
-        wanted = [r["shingle"] for r in behind.collect()]
-        d = d.withColumn("sh", shingle_hashes(F.col("words"))).where(F.exists("sh", lambda s: s.isin(wanted)))
-        d = d.select("doc_id", "sh", F.filter(F.transform("sh", lambda s, p: F.when(s.isin(wanted), p)), lambda p: p.isNotNull()).alias("hits"))
-        d = d.withColumn("row", F.struct(F.monotonically_increasing_id().alias("n"), F.col("doc_id")))
-    else:
-        d = d.withColumn("sh", shingle_hashes(F.col("words"))).withColumn("row", F.struct(F.monotonically_increasing_id().alias("n"), F.col("doc_id")))
-        hits = d.select("row", F.posexplode("sh").alias("p", "shingle")).join(behind, "shingle").groupBy("row").agg(F.collect_set("p").alias("hits"))
-        d = d.select("row", "doc_id", "sh").join(hits, "row")
+        return d.select("row.doc_id", F.lit(None).cast(own.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("containment")).where(F.lit(False))
+    bitmap = bitmap_of(signed.select("shingle").distinct())
+    d = d.select("row", shingle_hashes(F.col("words")).alias("sh"))
+    d = d.withColumn("hits", F.filter(F.transform("sh", lambda s, p: F.when(in_bitmap(s, bitmap), p)), lambda p: p.isNotNull())).where(F.size("hits") > 0)
     windows = F.array_distinct(F.flatten(F.array(*[windows_of("hits", w) for w in sizes])))
     c = d.select("row", "sh", F.explode(windows).alias("x")).select("row", "sh", F.col("x.w").alias("w"), F.slice("sh", (F.col("x.k") * F.col("x.w") + 1).cast("int"), 2 * F.col("x.w")).alias("part"))
     minima = F.array(*[F.struct(F.lit(i).alias("i"), minimum(F.col("part"), i)["value"].alias("value")) for i in range(HASHES)])
