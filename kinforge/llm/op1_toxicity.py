@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_null, table
+from .common import no_null, small_batches, table
 
 MAX_TOXIC = 4_000
 MAX_CLEAN = 8_000
@@ -101,7 +101,7 @@ class Model:
 
         def score(text: str) -> float:
             lower = text.lower()
-            if len(known) > 500_000:
+            if len(known) > 250_000:
                 known.clear()
             hit: set[int] = set()
             for found in map(known.__getitem__, set(TOKEN.findall(lower))):
@@ -175,6 +175,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Da
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, key, text)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_null, table
+from .common import no_null, small_batches, table
 
 CHUNK = 1 << 16
 LIMIT = 2048
-KEEP_UNITS = 800_000
-KEEP_STEPS = 900_000
+KEEP_UNITS = 300_000
+KEEP_STEPS = 500_000
 NEVER = 1 << 60
 END = 0xE000  # symbols of bytes that end a word: private code points from here on
 
@@ -334,6 +334,7 @@ def token_counter(path: str | None = None, vocabulary: str = "word_bpe_49k.json"
 
 def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit; names that ``docs`` has already are replaced."""
+    small_batches(docs.sparkSession)
     whole = no_null(text)
     d = docs.withColumn("n_bytes", F.octet_length(whole).cast("long")).withColumn("n_tokens", token_counter(path)(whole))
     return d.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -26,14 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 WIDTH = 2048
 PAD = 50256
 WINDOW_TOKENS = 1 << 22
 WINDOW_DOCS = 4096
-KEEP = 700_000
+KEEP = 400_000
 SCHEMA = "bin_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, occurrences array<int>"
 ARROW = pa.schema([("bin_id", pa.int64()), ("n_tokens", pa.int32()), ("input_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("occurrences", pa.list_(pa.int32()))])
 
@@ -174,8 +175,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         if window:
             yield from flush()
 
-    from pyspark.sql import functions as F
-
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, no_null, stored, table
+from .common import cut, no_null, small_batches, stored, table
 from .graphs import components
 
 K = 5
@@ -41,7 +41,7 @@ SIMILAR = 0.8
 MIN_BANDS = 2
 SEED = 31
 BLOCK = 1 << 14
-KEEP = 600_000
+KEEP = 250_000
 BITMAP_BITS = 1 << 23
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -211,6 +211,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id, h1, h2`` for every row with an id; class_id is the least doc_id of the class."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), no_null(text).alias("text"))
     rows = stored(sketches(d), "omh")
     reps = cut(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
