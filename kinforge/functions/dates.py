@@ -78,6 +78,7 @@ def month_of(word: str) -> int | None:
 
 def parse_single(v: str) -> str | None:
     """One date without a qualifier in canonical form."""
+    v = re.sub(r"(?i)\b(7|8|9|10)(?:bris|ber)\b\.?", lambda m: MONTHS[int(m[1]) + 1], v)
     for form, kind in _FORMS:
         m = form.match(v)
         if not m:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinforge.functions import dates, text
 
 NAME_TAGS = ("NAME", "SURN", "GIVN", "NICK", "MARNM", "_MARNM")
-TINY = F.lit(0.000001).cast("decimal(20,6)")
+TINY = "0.000001"
 
 
 # -- cleaners: each value is rewritten where the tag matches
@@ -124,7 +124,7 @@ def rename(nodes: DataFrame, old: str, new: str, kind: str | None = None) -> Dat
     out = nodes.withColumn("tag", F.when(F.col("tag") == old, new).otherwise(F.col("tag")))
     if kind is None:
         return out
-    at = (F.col("ord") + TINY).cast("decimal(20,6)")
+    at = (F.col("ord") + F.lit(TINY).cast("decimal(20,6)")).cast("decimal(20,6)")
     made = nodes.where(F.col("tag") == old).select("file", "rec", at.alias("ord"), F.col("ord").alias("parent"), (F.col("level") + 1).alias("level"), F.lit(None).cast("string").alias("pointer"), F.lit("TYPE").alias("tag"), F.lit(kind).alias("value"), "rec_tag", F.concat("path", F.array(at)).alias("path"))
     return out.unionByName(made)
 
@@ -138,7 +138,7 @@ def address_to_place(nodes: DataFrame) -> DataFrame:
     d = nodes.join(addr, ["file", "parent"], "left")
     d = d.withColumn("value", F.when((F.col("tag") == "PLAC") & F.col("_addr").isNotNull(), joined).otherwise(F.col("value"))).select(*nodes.columns)
     has = nodes.where(F.col("tag") == "PLAC").select("file", "parent").distinct()
-    at = (F.col("_at") - TINY).cast("decimal(20,6)")
+    at = (F.col("_at") - F.lit(TINY).cast("decimal(20,6)")).cast("decimal(20,6)")
     made = addr.join(has, ["file", "parent"], "left_anti").where(F.col("_addr") != "").select("file", F.col("_like.rec").alias("rec"), at.alias("ord"), "parent", F.col("_like.level").alias("level"), F.lit(None).cast("string").alias("pointer"), F.lit("PLAC").alias("tag"), F.col("_addr").alias("value"), F.col("_like.rec_tag").alias("rec_tag"), F.concat(F.slice("_like.path", F.lit(1), F.size("_like.path") - 1), F.array(at)).alias("path"))
     return delete_subtrees(d, nodes.where(F.col("tag") == "ADDR").where(F.col("parent").isNotNull()).select("file", "ord")).unionByName(made.select(*nodes.columns))
 

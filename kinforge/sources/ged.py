@@ -28,7 +28,7 @@ MAX_LEVEL = 9
 
 def looks_like_1250(raw: bytes) -> bool:
     """Bytes of š, ž, č where letters stand beside them."""
-    return bool(re.search(rb"[A-Za-z][\x9a\x9e\x8a\x8e]|[\xe8\xc8][A-Za-z]", raw))
+    return bool(re.search(rb"[\x00-\x7f][\x9a\x9e\x8a\x8e]|[\xe8\xc8][\x00-\x7f]", raw))
 
 
 def decode(raw: bytes) -> str:
