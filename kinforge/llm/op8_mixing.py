@@ -106,6 +106,8 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", key: s
     d = d.join(goal.drop("source"), "_s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("n_shards")))
     per_shard = d.groupBy("_s", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"))
     quota = sainte_lague(per_shard, ["_s"], "shard_size", "source_quota", [F.col("shard")]).select("_s", "shard", "shard_size", "quota")
+    # dealt out by shard: the join's partitioning by source would keep a large source in one task
+    d = d.repartition("_s", "shard")
     run = W.partitionBy("_s", "shard").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("_end", F.sum("size").over(run)).withColumn("_begin", F.col("_end") - F.col("size"))
     d = d.join(quota, ["_s", "shard"])
