@@ -10,7 +10,8 @@ word; a line that is another's variant lacks one. So the earliest line of each v
 and of each variant, is a partner for all later ones, and a group is reduced to minima rather than
 joined pair by pair. Partners are verified by word edit distance. Only lines that share half of
 their words with another line can have a partner: one change leaves the first or the second half
-untouched, so lines whose hashed halves occur once emit no variants.
+untouched, so lines whose hashed halves occur once emit no variants. Texts are read and split once,
+in Arrow batches; a line's variants take time in proportion to its length, by sums of powers.
 
 Defined cases: null texts and empty lines are left as they are; rows that share a doc_id are one
 document; repeated lines keep their first; an empty table gives no rows.
@@ -20,24 +21,112 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, no_null, stored, table
+from .common import no_null, small_batches, stored, table
 
 MIN_WORDS = 8
+#: lines, or variants, in an Arrow batch that goes out
+ROWS_OUT = 20_000
+KEEP = 250_000
+BASE = 0x9E3779B97F4A7C15
 
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def half_keys(words: list[str]) -> list[int]:
+    """Hashes of the halves that a line shares with one that has a word changed, added or missing."""
+    n, out = len(words), []
+    for m in (n, n - 1):
+        front, back = words[: m // 2], words[n - (m - m // 2) :]
+        out += [signed(xxhash.xxh64_intdigest(f"{m} {side} " + " ".join(part))) for side, part in enumerate((front, back))]
+    return out
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, line_no, words, h1, h2`` of every line that has words."""
-    d = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(no_null(text), "\n")).alias("line_no", "line"))
-    d = d.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") > 0)
-    return d.select("doc_id", "line_no", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"))
+    """``doc_id, line_no, h1, h2`` of every line that has words; long ones also have ``halves`` and ``line``."""
+    names = ["doc_id", "line_no", "h1", "h2", "halves", "line"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+
+            def packed() -> pa.RecordBatch:
+                columns = zip(*rows) if rows else [[]] * len(types)
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
+
+            for i, body in enumerate(b.column(1)):
+                for no, line in enumerate(body.as_py().split("\n")):
+                    words = line.lower().split()
+                    if words:
+                        whole = " ".join(words)
+                        x = xxhash.xxh3_128_intdigest(whole)
+                        long = len(words) >= MIN_WORDS
+                        at.append(i)
+                        rows.append((no, signed(x >> 64), signed(x & (1 << 64) - 1), half_keys(words) if long else None, whole if long else None))
+                if len(rows) >= ROWS_OUT:
+                    yield packed()
+                    at, rows = [], []
+            yield packed()
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("doc_id"), no_null(text).alias("text")).mapInArrow(run, f"doc_id {kind}, line_no int, h1 long, h2 long, halves array<long>, line string")
+
+
+def variant_hashes(w: np.ndarray) -> np.ndarray:
+    """Hashes of the word hashes without each of them in turn, behind that of all of them."""
+    n = len(w)
+    power = np.full(n + 1, np.uint64(BASE))
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    whole = w * power[n - 1 :: -1][:n]
+    shorter = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w[:-1] * power[: n - 1][::-1], dtype=np.uint64)])
+    behind = np.concatenate([np.cumsum(whole[::-1], dtype=np.uint64)[::-1][1:], np.zeros(1, np.uint64)])
+    x = np.concatenate([whole.sum(dtype=np.uint64, keepdims=True), shorter + behind])
+    x[0] += np.uint64(n) * power[1]
+    x[1:] += np.uint64(n - 1) * power[1]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """``id, p, v``: place 0 is the line itself, place p the line without its word p."""
+    known: dict[str, int] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, places, hashes, n = [], [], [], 0
+
+            def packed() -> pa.RecordBatch:
+                columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((ids, np.int64), (places, np.int32), (hashes, np.int64))]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "p", "v"])
+
+            for i, line in zip(b.column(0).to_pylist(), b.column(1)):
+                if len(known) > KEEP:
+                    known.clear()
+                words = line.as_py().split(" ")
+                for x in words:
+                    if x not in known:
+                        known[x] = xxhash.xxh64_intdigest(x)
+                v = variant_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                ids.append(np.full(len(v), i, np.int64))
+                places.append(np.arange(len(v), dtype=np.int32))
+                hashes.append(v.view(np.int64))
+                n += len(v)
+                if n >= ROWS_OUT:
+                    yield packed()
+                    ids, places, hashes, n = [], [], [], 0
+            yield packed()
+
+    return lines.select("id", "line").mapInArrow(run, "id long, p int, v long")
 
 
 def within_one(a: list, b: list) -> bool:
@@ -52,47 +141,38 @@ def within_one(a: list, b: list) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def near_removed(distinct: DataFrame) -> DataFrame:
-    """``id`` of the distinct lines (id, rank, words) that have a verified near line of lower rank."""
-    n = F.size("words")
-
-    def half(m: Column, name: str) -> list[Column]:
-        front = F.xxhash64(F.lit(name), m, F.lit(0), F.slice("words", F.lit(1), F.floor(m / 2).cast("int")))
-        rest = (m - F.floor(m / 2)).cast("int")
-        back = F.xxhash64(F.lit(name), m, F.lit(1), F.slice("words", (n - rest + 1).cast("int"), rest))
-        return [front, back]
-
-    long = distinct.where(n >= MIN_WORDS)
-    halves = long.select("id", F.explode(F.array(*half(n, "half"), *half(n - 1, "half"))).alias("k"))
+def near_removed(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """``id`` of the distinct lines (h1, h2, id, rank, halves) that have a verified near line of lower rank."""
+    halves = distinct.where("halves is not null").select("id", "h1", "h2", "rank", F.explode("halves").alias("k"))
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    some = halves.join(shared, "k", "left_semi").select("id").distinct()
-    lines = stored(long.join(some, "id", "left_semi"), "lines")
-    gone = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct(p.alias("p"), F.xxhash64(F.concat(F.slice("words", F.lit(1), p - 1), F.slice("words", p + 1, n))).alias("v")))
-    whole = F.array(F.struct(F.lit(0).alias("p"), F.xxhash64("words").alias("v")))
-    v = lines.select("id", "rank", F.explode(F.concat(whole, gone)).alias("x")).select("id", "rank", F.col("x.p").alias("p"), F.col("x.v").alias("v"))
-    # repeated words make equal variants at neighbouring places; one of them is enough for the whole line's sake
+    some = halves.join(shared, "k", "left_semi").select("id", "h1", "h2", F.col("rank.doc_id").alias("doc_id"), F.col("rank.line_no").alias("line_no")).distinct()
+    texts = lines.where("line is not null").select("doc_id", "line_no", "h1", "h2", "line")
+    same_row = (texts["h1"] == some["h1"]) & (texts["h2"] == some["h2"]) & (texts["line_no"] == some["line_no"]) & texts["doc_id"].eqNullSafe(some["doc_id"])
+    near_lines = stored(some.join(texts, same_row).select("id", F.struct(some["doc_id"], some["line_no"]).alias("rank"), "line").dropDuplicates(["id"]), "lines")
+    v = stored(variants(near_lines).join(near_lines.select("id", "rank"), "id"), "variants")
     best = v.groupBy("v", "p").agg(F.min(F.struct("rank", "id")).alias("m"), F.count(F.lit(1)).alias("c"))
-    group = best.groupBy("v").agg(F.min(F.when(F.col("p") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("p") > 0, F.col("m"))).alias("part"), F.sum("c").alias("c")).where("c > 1")
+    group = best.groupBy("v").agg(F.min(F.when(F.col("p") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("p") > 0, F.col("m"))).alias("part"), F.sum("c").alias("c")).where("c > 1 and whole is not null and part is not null")
     near = v.join(group, "v").where((F.col("p") == 0) & (F.col("part.rank") < F.col("rank")) | (F.col("p") > 0) & (F.col("whole.rank") < F.col("rank")))
     near = near.select("id", F.when(F.col("p") == 0, F.col("part.id")).otherwise(F.col("whole.id")).alias("other"))
-    same = v.where("p > 0").join(best.where("c > 1").select("v", "p", "m"), ["v", "p"]).where(F.col("m.rank") < F.col("rank")).select("id", F.col("m.id").alias("other"))
+    same = v.where("p > 0").join(best.where("c > 1 and p > 0").select("v", "p", "m"), ["v", "p"]).where(F.col("m.rank") < F.col("rank")).select("id", F.col("m.id").alias("other"))
     pairs = near.unionByName(same).where("id <> other").distinct()
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            yield pd.DataFrame({"id": [i for i, a, b in zip(d["id"], d["words"], d["others"]) if within_one(list(a), list(b))]}, dtype="int64")
+            yield pd.DataFrame({"id": [i for i, a, b in zip(d["id"], d["line"], d["others"]) if within_one(a.split(" "), b.split(" "))]}, dtype="int64")
 
-    words = lines.select("id", "words")
-    both = pairs.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("words").alias("others")), "other")
-    return both.select("id", "words", "others").mapInPandas(check, "id long").distinct()
+    words = near_lines.select("id", "line")
+    both = pairs.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("line").alias("others")), "other")
+    return both.select("id", "line", "others").mapInPandas(check, "id long").distinct()
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, line_no`` of the lines that go."""
-    lines = lines_of(docs, key, text)
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("rank"), F.first("words").alias("words"))
-    distinct = stored(firsts.select("h1", "h2", F.xxhash64("h1", "h2").alias("id"), "rank", "words"), "distinct")
-    near = near_removed(distinct.select("id", "rank", "words")).withColumn("near", F.lit(True))
+    small_batches(docs.sparkSession)
+    lines = stored(lines_of(docs, key, text), "all-lines")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("rank"), F.first("halves").alias("halves"))
+    distinct = stored(firsts.select("h1", "h2", F.xxhash64("h1", "h2").alias("id"), "rank", "halves"), "distinct")
+    near = near_removed(distinct, lines).withColumn("near", F.lit(True))
     fate = distinct.select("h1", "h2", "id", "rank").join(near, "id", "left").select("h1", "h2", "rank", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("doc_id", "line_no", "h1", "h2").join(fate, ["h1", "h2"]).where(F.col("near") | ~F.col("rank").eqNullSafe(F.struct("doc_id", "line_no"))).select("doc_id", "line_no")
 
