@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_null, small_batches, stored, table
+from .common import cut, no_null, small_batches, stored, table
 
 MIN_WORDS = 8
 #: lines, or variants, in an Arrow batch that goes out
 ROWS_OUT = 20_000
 KEEP = 250_000
+BITMAP_BITS = 1 << 23
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -141,14 +142,31 @@ def within_one(a: list, b: list) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
+def lines_among(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines (h1, ...) that may be among the ids, by a bitmap of fixed size: few texts are shuffled then."""
+    bit = F.pmod("id", F.lit(BITMAP_BITS)) + 1
+    found = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in found:
+        at = (r["bucket"] - 1) * 4096
+        bitmap[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = b.column(0).to_numpy() & (BITMAP_BITS - 1)
+            yield b.filter(pa.array(((bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(bool)))
+
+    d = lines.where("line is not null").select(F.col("h1").alias("id"), F.struct("doc_id", "line_no").alias("rank"), "line")
+    return d.mapInArrow(run, d.schema)
+
+
 def near_removed(distinct: DataFrame, lines: DataFrame) -> DataFrame:
-    """``id`` of the distinct lines (h1, h2, id, rank, halves) that have a verified near line of lower rank."""
-    halves = distinct.where("halves is not null").select("id", "h1", "h2", "rank", F.explode("halves").alias("k"))
+    """``id`` of the distinct lines (id, halves) that have a verified near line of lower rank."""
+    halves = distinct.where("halves is not null").select("id", F.explode("halves").alias("k"))
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    some = halves.join(shared, "k", "left_semi").select("id", "h1", "h2", F.col("rank.doc_id").alias("doc_id"), F.col("rank.line_no").alias("line_no")).distinct()
-    texts = lines.where("line is not null").select("doc_id", "line_no", "h1", "h2", "line")
-    same_row = (texts["h1"] == some["h1"]) & (texts["h2"] == some["h2"]) & (texts["line_no"] == some["line_no"]) & texts["doc_id"].eqNullSafe(some["doc_id"])
-    near_lines = stored(some.join(texts, same_row).select("id", F.struct(some["doc_id"], some["line_no"]).alias("rank"), "line").dropDuplicates(["id"]), "lines")
+    some = cut(halves.join(shared, "k", "left_semi").select("id").distinct())
+    firsts = lines_among(lines, some).groupBy("id").agg(F.min("rank").alias("rank"), F.first("line").alias("line"))
+    near_lines = stored(firsts.join(some, "id", "left_semi"), "lines")
     v = stored(variants(near_lines).join(near_lines.select("id", "rank"), "id"), "variants")
     best = v.groupBy("v", "p").agg(F.min(F.struct("rank", "id")).alias("m"), F.count(F.lit(1)).alias("c"))
     group = best.groupBy("v").agg(F.min(F.when(F.col("p") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("p") > 0, F.col("m"))).alias("part"), F.sum("c").alias("c")).where("c > 1 and whole is not null and part is not null")
@@ -171,7 +189,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     small_batches(docs.sparkSession)
     lines = stored(lines_of(docs, key, text), "all-lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("rank"), F.first("halves").alias("halves"))
-    distinct = stored(firsts.select("h1", "h2", F.xxhash64("h1", "h2").alias("id"), "rank", "halves"), "distinct")
+    distinct = stored(firsts.select("h1", "h2", F.col("h1").alias("id"), "rank", "halves"), "distinct")
     near = near_removed(distinct, lines).withColumn("near", F.lit(True))
     fate = distinct.select("h1", "h2", "id", "rank").join(near, "id", "left").select("h1", "h2", "rank", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("doc_id", "line_no", "h1", "h2").join(fate, ["h1", "h2"]).where(F.col("near") | ~F.col("rank").eqNullSafe(F.struct("doc_id", "line_no"))).select("doc_id", "line_no")
