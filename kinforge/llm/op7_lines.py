@@ -167,7 +167,10 @@ def near_removed(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     some = cut(halves.join(shared, "k", "left_semi").select("id").distinct())
     firsts = lines_among(lines, some).groupBy("id").agg(F.min("rank").alias("rank"), F.first("line").alias("line"))
     near_lines = stored(firsts.join(some, "id", "left_semi"), "lines")
-    v = stored(variants(near_lines).join(near_lines.select("id", "rank"), "id"), "variants")
+    # nearly all variants occur once; only shared ones take their line's rank along
+    every = stored(variants(near_lines), "variants")
+    twice = every.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
+    v = stored(every.join(twice, "v", "left_semi").join(near_lines.select("id", "rank"), "id"), "shared")
     best = v.groupBy("v", "p").agg(F.min(F.struct("rank", "id")).alias("m"), F.count(F.lit(1)).alias("c"))
     group = best.groupBy("v").agg(F.min(F.when(F.col("p") == 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("p") > 0, F.col("m"))).alias("part"), F.sum("c").alias("c")).where("c > 1 and whole is not null and part is not null")
     near = v.join(group, "v").where((F.col("p") == 0) & (F.col("part.rank") < F.col("rank")) | (F.col("p") > 0) & (F.col("whole.rank") < F.col("rank")))
