@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
 from kinforge.operators import graph, merge, privacy, relational, tree
+from kinforge.plans import imports
 from kinforge.plans.derived import AS_OF, kinship, order_dates, order_lines, people, spouses, table
 from kinforge.sources import ged
 
@@ -362,3 +363,6 @@ def grave_stats(spark, sf_dir):
 def rollup_total(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select(_c("o_orderpriority").alias("file"), _c("o_orderstatus").alias("processor"), F.lit(1).cast("long").alias("n"))
     return relational.totals(d)
+
+
+QUERIES.update(imports.QUERIES)
