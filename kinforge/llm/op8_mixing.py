@@ -3,10 +3,11 @@
 Each source has a weight; the mix is ``share`` times all words. A source's target stops at
 ``cap`` times its size and what it leaves is shared again by weight. Targets become numbers of
 equal-token blocks by highest quotients weight / (2k + 1), first over sources and then over each
-source's shards, so that every (source, shard) has an integer quota. Inside a shard the documents
-stand in the order of a seeded hash and their words form one run that is cut into blocks; the
-blocks from a seeded start on, round the run, are taken until the quota is used. Only the cut
-documents at the ends of that range are taken in part.
+source's shards, so that every (source, shard) has an integer quota. A block has ``block`` words,
+or so many fewer that the least target still has ``LEAST_BLOCKS`` of them (one word at least).
+Inside a shard the documents stand in the order of a seeded hash and their words form one run;
+the quota's words, from a seeded block's start on, round the run, are taken, ``cap`` times the
+run at most. Only the cut documents at the ends of that range are taken in part.
 
 Defined cases: null or blank texts have size 0 and nothing is taken; null sources form one source
 that comes last; repeated rows are documents of their own; an empty table gives an empty result.
@@ -22,6 +23,7 @@ from .common import cut, no_null, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 128
+LEAST_BLOCKS = 64
 SHARD_WORDS = 100_000
 MAX_SHARDS = 4096
 CAP = 2
@@ -98,25 +100,28 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", key: s
     shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words)))).cast("int")
     per_source = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     listed = per_source.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int")))
-    goal = targets(listed, share, cap).withColumn("n_shards", shards).withColumn("blocks", F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")).withColumn("_g", F.lit(0))
+    every = W.partitionBy()
+    goal = targets(listed, share, cap).withColumn("n_shards", shards).withColumn("_g", F.lit(0))
+    goal = goal.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / LEAST_BLOCKS))).cast("long"))
+    goal = goal.withColumn("blocks", F.round(F.sum("target").over(every) / F.col("block")).cast("long"))
     goal = sainte_lague(goal, ["_g"], "target", "blocks", [F.col("source").asc_nulls_last()])
-    goal = cut(goal.select("source", "source_size", "target", "n_shards", F.col("quota").alias("source_quota"), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("_s")))
+    goal = cut(goal.select("source", "source_size", "target", "n_shards", "block", F.col("quota").alias("source_quota"), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("_s")))
     # one row a source; the join has a skewed side only if one source is large, which Spark splits
     d = d.withColumn("_s", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     d = d.join(goal.drop("source"), "_s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("n_shards")))
-    per_shard = d.groupBy("_s", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"))
-    quota = sainte_lague(per_shard, ["_s"], "shard_size", "source_quota", [F.col("shard")]).select("_s", "shard", "shard_size", "quota")
+    per_shard = d.groupBy("_s", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"), F.max("block").alias("_block"))
+    quota = sainte_lague(per_shard, ["_s"], "shard_size", "source_quota", [F.col("shard")]).select("_s", "shard", "shard_size", "_block", "quota")
     # dealt out by shard: the join's partitioning by source would keep a large source in one task
     d = d.repartition("_s", "shard")
     run = W.partitionBy("_s", "shard").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("_end", F.sum("size").over(run)).withColumn("_begin", F.col("_end") - F.col("size"))
     d = d.join(quota, ["_s", "shard"])
-    n = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))
-    full = F.floor(F.col("quota") / n)
-    once = F.least(F.col("shard_size"), (F.col("quota") % n) * block)
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), "_s", "shard"), n) * block
+    n = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("_block")))
+    words, run_words = F.least(F.col("quota") * F.col("_block"), F.col("shard_size") * cap), F.greatest(F.lit(1), F.col("shard_size"))
+    full = F.floor(words / run_words)
+    once = words % run_words
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), "_s", "shard"), n) * F.col("_block")
     d = d.select("doc_id", "_h", "size", "source_size", "target", "_begin", "_end", "shard_size", full.cast("long").alias("whole"), start.alias("_a"), (start + once).alias("_b"))
-    d = d.withColumn("whole", F.least("whole", F.lit(cap)))
     # the range [a, b) goes round the shard's run of words: its second part starts at 0 again
 
     def part(a: Column, b: Column) -> Column:
