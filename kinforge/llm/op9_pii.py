@@ -5,10 +5,12 @@ numbers, long hexadecimal secrets, and names behind a form of address or a known
 distinct value gets a surrogate of its type from a keyed hash: letters stay letters of the same
 script and case, digits digits, separators where they are; octets stay octets; a card number that
 passes its check digit gets one that passes too and keeps its first digit; given names become
-given names of the same gender and script, surnames made-up surnames. Every token of a name is
+given names of the same gender and script by a keyed permutation of their list that moves every
+name, surnames made-up surnames. Every token of a name is
 replaced by itself, so that a surname alone keeps its bearer's surrogate. Equal values get equal
 surrogates in all documents (coreference). A surrogate that two values share, or that is itself a
-value found, is drawn again for all but the least value, until all are distinct.
+value found, is drawn again for all but the least value, until all are distinct; a given name's is
+distinct by its permutation, though it can be another given name found.
 
 Defined cases: null and empty texts hold nothing and are returned as they are; repeated rows are
 treated alike; an empty table gives no rows.
@@ -16,6 +18,8 @@ treated alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,11 +115,17 @@ def secret(value: Column, seed: Column) -> Column:
     return F.when(value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(F.upper(hexed), 5, 16))).otherwise(hexed)
 
 
-def name_token(value: Column, seed: Column) -> Column:
+def permuted(names: list[str], key: str) -> dict[str, str]:
+    """Each name's successor in a circle dealt by the key: no name keeps its place, no two share one."""
+    ring = sorted(names, key=lambda n: hashlib.sha256(f"{key}\x1f{n}".encode()).digest())
+    return dict(zip(ring, ring[1:] + ring[:1]))
+
+
+def name_token(value: Column, seed: Column, key: str = KEY) -> Column:
     """A given name of the same gender and script, or a made-up surname of the same script."""
     out = None
     for names in GIVEN.values():
-        own = F.element_at(F.array(*[F.lit(n) for n in names]), draw(seed, 0, len(names)) + 1)
+        own = F.create_map(*[F.lit(n) for pair in permuted(names, key).items() for n in pair])[value]
         out = (F if out is None else out).when(value.isin(names), own)
     made = {}
     for script, parts in SYLLABLES.items():
@@ -127,7 +137,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 256)
     octets = F.array_join(F.transform(F.split(value, r"\."), lambda _, i: (1 + draw(seed, i, 254)).cast("string")), ".")
     return (
-        F.when(kind == "ip", octets).when(kind == "card", card(value, seed)).when(kind == "secret", secret(value, seed)).when(kind == "token", name_token(value, seed)).otherwise(same_shape(value, seed))
+        F.when(kind == "ip", octets).when(kind == "card", card(value, seed)).when(kind == "secret", secret(value, seed)).when(kind == "token", name_token(value, seed, key)).otherwise(same_shape(value, seed))
     )
 
 
@@ -138,7 +148,7 @@ def parts_of(value: Column, kind: Column) -> Column:
 
 
 def distinct_surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
-    """``kind, value, surrogate`` for distinct (kind, value); given names may share surrogates, all else is distinct."""
+    """``kind, value, surrogate`` for distinct (kind, value); surrogates of a kind are distinct."""
     given = F.col("value").isin([n for names in GIVEN.values() for n in names])
     done = values.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
     done = cut(done)
