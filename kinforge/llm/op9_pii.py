@@ -1,13 +1,15 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Entities are found by pattern: e-mail addresses, IPv4 addresses, payment-card numbers, phone
-numbers, long hexadecimal secrets, and names behind a form of address or a known given name. Each
+numbers, long hexadecimal secrets, and names behind a form of address or a known given name; a
+token of a name found is also found wherever else it stands capitalised in the same document. Each
 distinct value gets a surrogate of its type from a keyed hash: letters stay letters of the same
 script and case, digits digits, separators where they are; octets stay octets; a card number that
 passes its check digit gets one that passes too and keeps its first digit; given names become
 given names of the same gender and script by a keyed permutation of their list that moves every
 name, surnames made-up surnames. Every token of a name is
-replaced by itself, so that a surname alone keeps its bearer's surrogate. Equal values get equal
+replaced by itself, so that a surname alone keeps its bearer's surrogate. Bare mentions count as
+entities. Equal values get equal
 surrogates in all documents (coreference). A surrogate that two values share, or that is itself a
 value found, is drawn again for all but the least value, until all are distinct; a given name's is
 distinct by its permutation, though it can be another given name found.
@@ -45,9 +47,11 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){3}(?!\w)",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16})(?!\w)",
-    "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)",
+    # area code and number; international without separators, or in groups; national in pairs of digits
+    "phone": r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}|\+\d{8,15}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]\d{2,4}){2,5}|0\d(?:[ .-]\d{2}){4})(?!\w)",
     "name": rf"(?<!\p{{L}})(?:{TITLE}[ ]\p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?|(?:{GIVEN_ANY})[ ]\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})",
 }
+CAPITALISED = r"(?<!\p{L})\p{Lu}\p{Ll}+(?!\p{L})"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -175,9 +179,22 @@ def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret_key
     found = cut(found)
     each = found.select("_row", F.posexplode("_parts").alias("_i", "_p")).select("_row", "_i", F.posexplode("_p").alias("_j", "p")).select("_row", "_i", "_j", "p.kind", "p.value")
     names = distinct_surrogates(each.select("kind", "value").distinct(), secret_key)
-    new = each.join(names, ["kind", "value"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", "_j", "surrogate"))).alias("_new"))
-    d = found.join(new, "_row")
-    gaps = F.split(F.col("_d")[text], ANY, -1)
+    new = each.join(names, ["kind", "value"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", "_j", "surrogate", "kind", "value"))).alias("_new"))
+    tokens = F.array_distinct(F.transform(F.filter("_new", lambda x: x["kind"] == "token"), lambda x: F.struct(x["value"].alias("value"), x["surrogate"].alias("surrogate"))))
+    d = found.join(new, "_row").withColumn("_tokens", F.map_from_entries(tokens))
+    d = d.withColumn("_gaps", F.split(F.col("_d")[text], ANY, -1))
+    words = F.transform("_gaps", lambda g: F.regexp_extract_all(g, F.lit(CAPITALISED), F.lit(0)))
+    d = d.withColumn("_words", F.when(F.size("_tokens") > 0, words))
+    bare = F.aggregate("_words", F.lit(0), lambda n, w: n + F.size(F.filter(w, lambda x: F.col("_tokens")[x].isNotNull())))
+
+    def mentions(gap: Column, found: Column) -> Column:
+        rest = F.split(gap, CAPITALISED, -1)
+        new = F.transform(found, lambda x: F.coalesce(F.col("_tokens")[x], x))
+        return F.concat(F.element_at(rest, 1), F.array_join(F.zip_with(new, F.slice(rest, F.lit(2), F.size(new)), lambda a, b: F.concat(a, b)), ""))
+
+    d = d.withColumn("_bare", F.coalesce(bare, F.lit(0)))
+    d = d.withColumn("_gaps", F.when(F.col("_bare") > 0, F.zip_with("_gaps", "_words", mentions)).otherwise(F.col("_gaps")))
+    gaps = F.col("_gaps")
 
     def one(v: Column, i: Column) -> Column:
         mine = F.transform(F.filter("_new", lambda x: x["_i"] == i), lambda x: x["surrogate"])
@@ -186,7 +203,7 @@ def replace(docs: DataFrame, key: str = "doc_id", text: str = "text", secret_key
 
     put = F.transform("_found", one)
     joined = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(put, F.slice(gaps, F.lit(2), F.size(put)), lambda a, b: F.concat(a, b)), ""))
-    changed = d.select(*[(joined if c == text else F.col("_d")[c]).alias(c) for c in docs.columns], F.size("_found").cast("long").alias("n_entities"))
+    changed = d.select(*[(joined if c == text else F.col("_d")[c]).alias(c) for c in docs.columns], (F.size("_found") + F.col("_bare")).cast("long").alias("n_entities"))
     return plain.unionByName(changed)
 
 
