@@ -2,11 +2,13 @@
 
 A message's lines begin with any number of quote marks (``>``); their number is the line's level.
 Lines of level 0 are the message's own text. Runs of lines of one level above 0 are quoted
-passages. Passages, own paragraphs (runs of own lines between blank or quoted lines) and whole own
-texts are normalised (lower case, white space and marks collapsed) and hashed; a level-1 passage
-is joined to the message of the same conversation that has the same own paragraph or text and the
-latest turn before it. That message is the reply's parent. Passages of deeper levels link to older
-messages and count in ``n_links`` only. Conversations are rebuilt as threads: ``path`` lists the
+passages. Passages, own lines, own paragraphs (runs of own lines between blank or quoted lines) and
+whole own texts are normalised (lower case, white space and marks collapsed) and hashed; a level-1
+passage is joined to the message of the same conversation that has the same own text, paragraph or
+line and the latest turn before it. A passage that is found nowhere as a whole is joined by its
+paragraphs (between blank quoted lines), or else by its single lines. The latest message found is
+the reply's parent. Passages of deeper levels link to older messages and count in ``n_links``
+only, once a passage. Conversations are rebuilt as threads: ``path`` lists the
 turns from the root to the message, and sorting by (conv_id, path) gives reply order.
 
 Each message is a row of its own throughout, so a long conversation is never gathered in one task;
@@ -52,25 +54,44 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     own = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     m = messages.withColumn("_lines", lines).withColumn("_runs", F.when(F.exists("_lines", lambda x: x["level"] > 0), runs))
     m = m.withColumn("own", F.regexp_replace(own, r"\A\s+|\s+\z", ""))
+    m = m.withColumn("paragraphs", F.coalesce(F.transform(F.filter("_runs", lambda r: r["level"] == 0), lambda r: r["body"]), F.array().cast("array<string>")))
     m = m.withColumn("passages", F.coalesce(F.filter("_runs", lambda r: (r["level"] > 0) & (normal(r["body"]) != "")), F.array().cast("array<struct<level:int,body:string,closed:boolean>>")))
     return m.drop("_lines", "_runs")
 
 
-def own_hashes(own: Column) -> Column:
-    """Hashes of the whole own text and of each of its paragraphs."""
-    parts = F.concat(F.array(own), F.split(own, r"\n[ \t]*\n"), F.split(own, "\n"))
+def hashes(parts: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.transform(parts, normal), lambda t: t != ""), lambda t: F.xxhash64(t)))
 
 
+def paragraphs_of(text: Column) -> Column:
+    return F.split(text, r"\n[ \t]*\n")
+
+
+def own_hashes(own: Column, paragraphs: Column) -> Column:
+    """Hashes of the whole own text, of each of its paragraphs (those between quotations too) and of its lines."""
+    return hashes(F.concat(F.array(own), paragraphs_of(own), paragraphs, F.split(own, "\n")))
+
+
+def latest(pieces: DataFrame, originals: DataFrame) -> DataFrame:
+    """The latest earlier original ``o`` of each passage (c, t, level, p), by the largest of its pieces (size, h) that has one."""
+    # a quotation needs the latest earlier original only: pairs are reduced as they are met
+    met = pieces.join(originals.join(pieces.select("c", "h").distinct(), ["c", "h"], "left_semi"), ["c", "h"]).where("o < t")
+    return met.groupBy("c", "t", "level", "p").agg(F.max(F.struct("size", "o"))["o"].alias("o"))
+
+
 def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """One row a message: its columns but with the text unquoted, and parent_turn, depth, path, n_passages, n_links."""
     m = parsed(messages, conv, turn, text)
-    quoted = m.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode("passages").alias("p")).select("c", "t", F.col("p.level").alias("level"), F.xxhash64(normal(F.col("p.body"))).alias("h")).distinct()
-    wanted = quoted.select("c", "h").distinct()
-    originals = m.select(F.col(conv).alias("c"), F.col(turn).alias("o"), F.explode(own_hashes(F.col("own"))).alias("h")).join(wanted, ["c", "h"], "left_semi").distinct()
-    # a quotation needs the latest earlier original only: pairs are reduced as they are met
-    linked = quoted.join(originals, ["c", "h"]).where("o < t").groupBy("c", "t", "level", "h").agg(F.max("o").alias("o"))
-    parents = cut(linked.groupBy("c", "t").agg(F.max(F.when(F.col("level") == 1, F.col("o"))).alias("parent_turn"), F.countDistinct("level", "h").cast("long").alias("n_links")))
+    body = F.col("p.body")
+    quoted = m.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode("passages").alias("p")).select("c", "t", F.col("p.level").alias("level"), F.xxhash64(normal(body)).alias("p"), hashes(paragraphs_of(body)).alias("paragraphs"), hashes(F.split(body, "\n")).alias("lines"))
+    quoted = quoted.dropDuplicates(["c", "t", "level", "p"])
+    originals = m.select(F.col(conv).alias("c"), F.col(turn).alias("o"), F.explode(own_hashes(F.col("own"), F.col("paragraphs"))).alias("h")).distinct()
+    whole = cut(latest(quoted.select("c", "t", "level", "p", F.lit(2).alias("size"), F.col("p").alias("h")), originals))
+    left = quoted.join(whole.select("c", "t", "level", "p"), ["c", "t", "level", "p"], "left_anti")
+    sized = F.concat(F.transform("paragraphs", lambda h: F.struct(F.lit(1).alias("size"), h.alias("h"))), F.transform(F.array_except("lines", "paragraphs"), lambda h: F.struct(F.lit(0).alias("size"), h.alias("h"))))
+    part = latest(left.select("c", "t", "level", "p", F.explode(sized).alias("s")).select("c", "t", "level", "p", "s.size", "s.h").where("h <> p"), originals)
+    linked = whole.unionByName(part)
+    parents = cut(linked.groupBy("c", "t").agg(F.max(F.when(F.col("level") == 1, F.col("o"))).alias("parent_turn"), F.countDistinct("level", "p").cast("long").alias("n_links")))
     paths = cut(parents.where("parent_turn is not null").select("c", "t", F.array("t").alias("path"), F.col("parent_turn").alias("up")))
     while not paths.where("up is not null").isEmpty():
         above = paths.select("c", F.col("t").alias("up"), F.col("path").alias("more"), F.col("up").alias("next"))
