@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset: the warehouse, which executors share as well."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return configured or current.get()
-    path = configured or tempfile.mkdtemp(prefix="kinforge-")
-    sc.setCheckpointDir(path)
+    path = sc.getConf().get("spark.checkpoint.dir") or (current.get() if current.isDefined() else None)
+    if path is None:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if current.isEmpty():
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -44,6 +45,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """As ``small_batches`` for what runs inside the block; the caller's setting comes back behind it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def no_null(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
