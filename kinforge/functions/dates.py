@@ -18,30 +18,54 @@ from .text import strip
 
 #: fixed values: month abbreviations of the interchange format
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
-#: fixed values: month stems of English, German, Slovenian, Latin and Italian, in calendar order
-STEMS = (
-    ("jan", "jän", "gen", "prosin"), ("feb", "svečan", "febbr"), ("mar", "mär", "mrz", "sušec"), ("apr", "april", "mali trav"), ("may", "mai", "maj", "maggio", "velik"), ("jun", "giu", "rožnik"),
-    ("jul", "lug", "malisrpan"), ("aug", "avg", "ago", "velikisrpan"), ("sep", "set", "kimav", "7bris", "7ber"), ("oct", "okt", "ott", "vinoto", "8bris", "8ber"), ("nov", "listopad", "9bris", "9ber"), ("dec", "dez", "dic", "grud", "10bris", "10ber", "xbris"),
-)
-#: fixed values: qualifiers and what they become, longest first
-QUALIFIERS = (
-    ("ABT", ("about", "abt", "circa", "approximately", "okoli", "okrog", "okr", "ca", "um", "cca", "c", "~", "≈")),
-    ("BEF", ("before", "bef", "pred", "vor", "prior to", "<")),
-    ("AFT", ("after", "aft", "nach", "po", "past", ">")),
-    ("EST", ("estimated", "est", "ocena")),
-    ("CAL", ("calculated", "cal", "calc")),
-    ("FROM", ("since", "od", "seit")),
+#: fixed values: month words of English, German, Slovenian, Latin and Italian with the misspellings met in old books, in calendar order
+MONTH_WORDS = (
+    "jan january ian gen genn gennaio pros prosinec",
+    "feb february febr febb febbraio frb fen vel sveč svečan",
+    "mar march mär mrz märz maerz marec mart marzo suš sušec",
+    "apr april aprile apil",
+    "may mai maj maij maaj manj ma mag maggio",
+    "jun june juni junij iun giu giugno rožn rožnik jjun jum iûno iugno",
+    "jul july juli julij iul lug luglio srp srpan",
+    "aug august avg avgust ago agosto svg abg eog",
+    "sep sept september septembr set settembre kos kosec",
+    "oct october okt oktober ott ottobre vin vinotok kim kimovec ašr pkt",
+    "nov november novemb novembre list listopad naov niv nob",
+    "dec december dez dezember dic dicembre grud gruden dac dsc xber xbr xbris",
 )
+#: fixed values: Slovenian and Latin stems of each month and the endings that they take
+STEMS = ("januar ianuar", "februar", "marc mart", "april", "maj mai", "junij iun jun", "julij iul jul", "avgust august", "septembr", "oktobr octobr", "novembr", "decembr")
+ENDINGS = {"januar": "- ja ju ius ii io", "ianuar": "ius ii io", "februar": "- ja ju ius ii io", "marc": "a u", "mart": "ius ii io", "april": "a u is i", "maj": "a u", "mai": "us i o", "avgust": "a u", "august": "us i o"}
+FOR_J, FOR_I, FOR_BR = "a u", "ius ii io", "a u is io"
+#: fixed values: qualifiers and what they become; longer words are tried first
+QUALIFIERS = {
+    "ABT": "about abt abtt abtg 1bt ~ ' circa cir cca ccca ccac cvca çca žcca ccc cc ca c okoli okli oli okrog okrig olkrog okorg orog krog og org okr ok približno priblizno priblixno pribl "
+    "videno predvideno prevideno jeseni pogrešan pogresan izračunano izracunano recimo around say at urbar etu estimated abg ˇ",
+    "BEF": "before bef pred prred prd vor <",
+    "AFT": "after aft po nach >",
+    "CAL": "calculated calc cal",
+    "EST": "est ges act",
+    "FROM": "since from od seit",
+    "": "l letu letom",
+}
+
+
+def _month_table() -> dict[str, int]:
+    table = {w: i for i, words in enumerate(MONTH_WORDS, 1) for w in words.split()}
+    for i, stems in enumerate(STEMS, 1):
+        for stem in stems.split():
+            endings = ENDINGS.get(stem) or (FOR_J if stem.endswith("ij") else FOR_BR if stem.endswith("br") else FOR_I)
+            table |= {stem + ("" if e == "-" else e): i for e in endings.split()}
+    return table
+
+
+_MONTH = _month_table()
 
 
 def month_number(word: Column) -> Column:
-    """1..12, or null for a word of no known stem."""
-    w = F.lower(F.regexp_replace(strip(word), r"\.+\z", ""))
-    out = None
-    for i, stems in enumerate(STEMS, 1):
-        hit = w.rlike("^(?:" + "|".join(stems) + ")")
-        out = (F if out is None else out).when(hit, i)
-    return out
+    """1..12, or null for a word that is no month."""
+    known = F.create_map(*[F.lit(x) for pair in _MONTH.items() for x in pair])
+    return F.element_at(known, F.lower(F.regexp_replace(strip(word), r"\.+\z", "")))
 
 
 def month_name(number: Column) -> Column:
@@ -53,101 +77,188 @@ def _int(c: Column) -> Column:
     return F.nullif(c, F.lit("")).try_cast("int")
 
 
-# -- normalisation: a small parser in Python, applied to distinct values in Arrow batches
-YEAR = r"(?:1\d{3}|20[0-2]\d)"
+# -- normalisation: a small parser in Python, applied to distinct values in Arrow batches.
+# A value is tidied by rewrites, tried as a range, freed of qualifiers and cut into number and word
+# tokens; the sequence of token kinds decides how it is read.
+
 #: fixed values: texts that stand for no date
-NO_DATE = frozenset(("", ".", "/", "-", "--", "?", "UNKNOWN", "NN", "N.N.", "N", "NO", "NE", "DA", "Y", "NOT MARRIED", "HITRO", "UMRL", "CIVILNA"))
-_STEM = {stem: i for i, stems in enumerate(STEMS, 1) for stem in stems}
-_STEMS = sorted(_STEM, key=len, reverse=True)
-_QUALIFIER = [(re.compile(rf"^{re.escape(w)}(?=[\s\d.~]|$)[.:]?\s*" if w.isalpha() and w.isascii() else rf"^{re.escape(w)}[.:]?\s*", re.I), q) for q, words in QUALIFIERS for w in sorted(words, key=len, reverse=True)]
-_FORMS = [
-    (re.compile(rf"^(?P<y>\d{{4}})/\d{{2,4}}$"), "dual"), (re.compile(r"^(?P<y>\d{3,4})$"), "date"),
-    (re.compile(r"^(?P<d>\d{1,2})\s*[./\- ,]\s*(?P<m>\d{1,2})\s*[./\- ,]\s*(?P<y>\d{3,4})$"), "date"),
-    (re.compile(r"^(?P<y>\d{4})\s*[./\- ]\s*(?P<m>\d{1,2})\s*[./\- ]\s*(?P<d>\d{1,2})$"), "date"),
-    (re.compile(r"^(?P<m>\d{1,2})\s*[./\-]\s*(?P<y>\d{4})$"), "date"), (re.compile(r"^(?P<y>\d{4})\s*[./\-]\s*(?P<m>\d{1,2})$"), "date"),
-    (re.compile(r"^(?P<d>\d{1,2})(?:st|nd|rd|th)?[.,\- ]*(?P<w>(?:\d{1,2})?[^\W\d_]+)[.,\- ]*(?P<y>\d{3,4})$"), "date"),
-    (re.compile(r"^(?P<w>[^\W\d_]+)[. ]*(?P<d>\d{1,2})(?:st|nd|rd|th)?,?\s+(?P<y>\d{4})$"), "date"),
-    (re.compile(r"^(?P<w>(?:\d{1,2})?[^\W\d_]+)[.,\- ]*(?P<y>\d{3,4})$"), "date"), (re.compile(r"^(?P<y>\d{4})[.,\- ]+(?P<w>[^\W\d_]+)[.,\- ]*(?P<d>\d{1,2})?$"), "date"),
+NO_DATE = frozenset(("NO", "NE", "DA", "Y", "NOT MARRIED", "HITRO", "UMRL", "CIVILNA", "UNKNOWN", "XXX-TEMPLATE"))
+_NOTHING = re.compile(r"(?i)\?+|[n+]+|\d\d|[/.]|-+")
+_PLAUSIBLE = re.compile(r"(?=(1\d{3}|20[0-2]\d))")
+_SEPARATORS = " .,/-:~\t"
+_TOKENS = re.compile(r"\d+|[^\W\d_]+\.?|[\s.,/\-:~]+|.")
+_HOUR = re.compile(r"\s+\d{1,2}H?$")
+#: a number with signs for unknown digits, with no letter beside it
+_BLURRED = re.compile(r"(?<![^\W\d_])(?=[xXyY?]*\d)(?=\d*[xXyY?])[\dxXyY?]+(?![^\W\d_])")
+_ROMAN = {"7": "SEP", "8": "OCT", "9": "NOV", "10": "DEC"}
+_QUALIFIER = sorted(((w, q) for q, words in QUALIFIERS.items() for w in words.split()), key=lambda x: -len(x[0]))
+#: spelling that is put right before a date is read, in order; none of it says that the date is doubtful
+_TIDY = [
+    (re.compile(r"(?<![A-Za-z])X+(?![A-Za-z])"), "00"),  # X stands for a day or month
+    (re.compile(r"[()]"), ""),
+    (re.compile(r"^[=≈≡＝]+\s*"), ""),
+    (re.compile(r"^(?!ˇ)[^\x00-\x7f]\s*(?=\d)"), ""),
+    (re.compile(r"^[\s.-]*[\s.-](?=[\s.-])"), ""),
+    (re.compile(r"\bO(?=\d)|(?<=\d)O(?=\d|\b)"), "0"),
+    (re.compile(r"~{2,}"), "~"),
+    (re.compile(r"(?i)(?<=\d)(?:st|nd|rd|th)\b"), ""),
+    (re.compile(r"[,\s]+$"), ""),
+    (re.compile(r"(?i)^[tm]\s+(?=\d)"), ""),
+    (re.compile(r"(?i)\b(abt|aft|bef|cal|est)(?=(?:" + "|".join(MONTHS) + r")\b)"), r"\1 "),
+    (re.compile(r"^!(?=\d+$)"), "1"),
+    (re.compile(r"^[A-Za-z]\.\s*(?=\d)"), ""),
+    (re.compile(r"(?<=\d)\s+[A-Za-z]$"), ""),
+    (re.compile(r"(?i)MA0(?=\d)"), "MAY"),
+    (re.compile(r"^(\d{1,2})[.,\s](\d{1,2})[.,\s](\d\d)$"), r"\1.\2.20\3"),
 ]
+_SPANS = {"from": (("to", "do"), "FROM {} TO {}"), "od": (("to", "do"), "FROM {} TO {}"), "": (("to", "do"), "FROM {} TO {}"), "between": (("and", "-"), "BET {} AND {}"), "bet": (("and", "-"), "BET {} AND {}"), "med": (("-", "–"), "FROM {} TO {}")}
 
 
 def month_of(word: str) -> int | None:
-    w = re.sub(r"\s+", "", word.lower()).rstrip(".")
-    return next((_STEM[x] for x in _STEMS if w.startswith(x.replace(" ", ""))), None)
+    return _MONTH.get(word.lower().rstrip("."))
 
 
-def parse_single(v: str) -> str | None:
-    """One date without a qualifier in canonical form."""
-    v = re.sub(r"(?i)\b(7|8|9|10)(?:bris|ber)\b\.?", lambda m: MONTHS[int(m[1]) + 1], v)
-    for form, kind in _FORMS:
-        m = form.match(v)
-        if not m:
-            continue
-        if kind == "dual":
-            return v
-        g = m.groupdict()
-        year = g["y"] if len(g["y"]) == 4 else "1" + g["y"]
-        day = int(g.get("d") or 0)
-        month = month_of(g["w"]) if g.get("w") else int(g["m"]) if g.get("m") else 0
-        if month is not None and month > 12 >= day > 0:
-            day, month = month, day
-        if month is None or month > 12 or day > 31:
-            return f"ABT {year}"
-        return " ".join([*([str(day)] if day and month else []), *([MONTHS[month - 1]] if month else []), year])
-    found = re.findall(rf"(?<!\d){YEAR}(?!\d)", v)
-    return f"ABT {found[-1]}" if found else None
+def _two_word_months(v: str) -> str:
+    """The little and the great traven and srpan, Latin months with a number, as abbreviations."""
+    pairs = {("m", "traven"): 4, ("v", "traven"): 5, ("m", "srpan"): 7, ("v", "srpan"): 8}
+    v = re.sub(r"(?i)\b(m|mali|v|vel|veliki)[. ] ?(traven|srpan)", lambda m: MONTHS[pairs[m[1][0].lower(), m[2].lower()] - 1], v)
+    return re.sub(r"(?i)\b(7|8|9|10)b(?:ris|r|er)\b", lambda m: _ROMAN[m[1]], v)
+
+
+def _spelled(day: int, month: int | None, year: str) -> str:
+    year = "1" + year if len(year) == 3 else year
+    return " ".join([*([str(day)] if day else []), *([MONTHS[month - 1]] if month else []), year])
 
 
-def split_qualifier(v: str) -> tuple[str, str]:
-    """Up to five qualifiers off the front; the last one counts."""
-    last = ""
+def _numeric(day: int, month: int, year: str) -> str:
+    """Day and month by number: exchanged where only that makes a month; both unknown where nothing does."""
+    if month > 12 and 1 <= day <= 12 and month <= 31:
+        day, month = month, day
+    return _spelled(day, month, year) if 1 <= month <= 12 else _spelled(0, None, year)
+
+
+def parse_single(v: str) -> str | None:
+    """One date without a qualifier in canonical form; else the last plausible year in it."""
+    v = _two_word_months(v.strip())
+    year, dual = None, re.search(r"(?<!\d)\d{3,4}/\d{1,4}$", v)
+    tokens = _TOKENS.findall(v[: dual.start()] if dual else v)
+    if dual:
+        tokens.append(dual[0])
+    gaps = [t for t in tokens if not t.strip(_SEPARATORS)]
+    parts = [t for t in tokens if t.strip(_SEPARATORS)]
+    lead = bool(tokens) and tokens[0] in gaps and tokens[0][0] in ".,"
+    if tokens and tokens[0] in gaps and not lead:
+        parts = []
+    kinds = "".join("w" if re.match(r"[^\W\d_]", t) else "Y" if "/" in t else str(len(t)) if t.isdigit() else "?" for t in parts)
+    kinds = re.sub("[12]", "n", kinds).replace("3", "y").replace("4", "y")
+    if kinds in ("nwy", "nwY", "wny", "wnY", "wy", "wY"):
+        word = month_of(parts[kinds.index("w")])
+        year = parts[-1]
+        if word is None:
+            return f"ABT {year}"
+        return _spelled(int(parts[kinds.index("n")]) if "n" in kinds else 0, word, year)
+    if kinds == "nny":
+        return _numeric(int(parts[0]), int(parts[1]), parts[2])
+    if kinds == "ynn" and gaps == ["-", "-"] and len(parts[0]) == 4:
+        return _numeric(int(parts[2]), int(parts[1]), parts[0])
+    if kinds == "ny":
+        return _numeric(0, int(parts[0]), parts[1])
+    if kinds == "y":
+        return _spelled(0, None, parts[0])
+    if kinds == "n6" and len(gaps) == 1:
+        return _numeric(int(parts[0]), int(parts[1][:2]), parts[1][2:])
+    if kinds == "yy" and len(parts[0]) == len(parts[1]) == 4 and len(gaps) == 1:
+        return _numeric(int(parts[0][:2]), int(parts[0][2:]), parts[1])
+    if lead and kinds == "6":
+        return _numeric(0, int(parts[0][:2]), parts[0][2:])
+    found = _PLAUSIBLE.findall(v)
+    return found[-1] if found else None
+
+
+def split_qualifier(v: str) -> tuple[str | None, str]:
+    """Up to five qualifiers off the front; the last one that says something counts; None if there is none."""
+    last = None
     for _ in range(5):
-        hit = next(((rx, q) for rx, q in _QUALIFIER if rx.match(v)), None)
-        if not hit:
+        low = v.lower()
+        for word, q in _QUALIFIER:
+            if low.startswith(word):
+                rest = v[len(word) :]
+                if word[-1].isalpha():
+                    if rest and not re.match(r"[\s\d.:~]", rest):
+                        continue
+                    rest = re.sub(r"^[.:]", "", rest)
+                v, last = rest.strip(), q if last is None or q else last
+                break
+        else:
             break
-        v, last = hit[0].sub("", v, count=1), hit[1]
     return last, v
 
 
+def _span(v: str) -> tuple[str | None, str | None] | None:
+    """A range of two dates or one open to a side; None if the value is neither."""
+    opener = re.match(r"(?i)(from|od|between|bet|med)\s+", v)
+    words, form = _SPANS[opener[1].lower() if opener else ""]
+    body = v[opener.end() :] if opener else v
+    for w in words:
+        cut = re.search(rf"(?i)(?<=\S)\s+{w}\s+(?=\S)" if w.isalpha() else rf"(?<=\S)\s*{w}\s*(?=\S)", body)
+        if cut:
+            ends = [parse_date(body[: cut.start()]), parse_date(body[cut.end() :])]
+            bad = next((warning for _, warning in ends if warning), None)
+            return (None, bad) if bad else (form.format(ends[0][0], ends[1][0]), None)
+    half = re.match(r"(?i)(from|to|do|between|bet)\s+(\S.*)$", v)
+    if not half:
+        return None
+    value, warning = parse_date(half[2])
+    kind = half[1].lower()
+    if warning:
+        return None, warning
+    if kind in ("between", "bet"):
+        return value if re.match(r"(?:ABT|EST|CAL|BEF|AFT)\b", value) or not value else f"ABT {value}", None
+    return f"{'FROM' if kind == 'from' else 'TO'} {value}", None
+
+
 def parse_date(raw: str | None) -> tuple[str | None, str | None]:
     """(value, warning): an empty value removes the date, a warning leaves it as it is."""
-    v = re.sub(r"\s+", " ", (raw or "").strip())
-    upper = v.upper()
-    if upper == "PRIVATE":
-        return v, None
-    if upper in NO_DATE or re.fullmatch(r"[?\[\]N ]+|\d{2}|\W*", v):
+    raw = raw or ""
+    v = raw.strip()
+    if v.upper() == "PRIVATE":
+        return raw, None
+    if not v or _NOTHING.fullmatch(v) or v.strip("()").upper() in NO_DATE:
+        return "", None
+    v = v.rstrip(".'`*/")
+    sure = v.rstrip("?").rstrip() or v
+    plain = _HOUR.sub("", sure) if sure[:1].isdigit() else sure
+    filled = _BLURRED.sub(lambda m: re.sub(r"\D", "0", m[0]), plain)
+    doubt = sure != v or filled != plain
+    v = filled
+    for pattern, put in _TIDY:
+        v = pattern.sub(put, v)
+    v = v.strip()
+    if re.fullmatch(r"\d{1,2}\s+[A-Za-z]+\.?", v) and not re.match(r"\d+b(?:ris|r|er)\b", v):
+        return raw, None
+    if not v or _NOTHING.fullmatch(v):
         return "", None
-    if re.search(r"_{2}|--|<|00\.00|(?<![^\W\d_])[xX]\.", v) and not re.match(r"[<>]\s*\d", v):
-        whole = re.search(rf"(?<!\d){YEAR}(?!\d)", v)
-        partial = re.search(r"(?<!\d)(?:1\d|20)\d?_{1,2}", v)
-        return (whole[0] if whole else f"ABT {partial[0]}" if partial else ""), None
-    doubt = bool(re.search(r"\?", v))
-    v = re.sub(r"[()?]", "", v)
-    v = re.sub(r"^[\s.,=≡＝:]+|[\s.,'`*/]+$", "", v)
-    v = re.sub(r"(?<=\d)[oO](?=\d|\b)", "0", v)
     if re.fullmatch(r"\d{3}-", v):
         return f"ABT {v[:3]}0", None
-    if re.fullmatch(rf"{YEAR}\s*-\s*{YEAR}", v):
-        return re.sub(r"\s", "", v), None
-    span = re.match(r"(?i)^(?:from|od)\s+(.+?)\s+(?:to|do)\s+(.+)$", v)
-    between = re.match(r"(?i)^(?:between|bet|med)\.?\s+(.+?)\s*(?:\band\b|\bin\b|-)\s*(.+)$", v)
-    for m, words in ((span, ("FROM", "TO")), (between, ("FROM", "TO") if upper.startswith("MED") else ("BET", "AND"))):
-        if m:
-            one, two = parse_date(m[1])[0], parse_date(m[2])[0]
-            return (f"{words[0]} {one} {words[1]} {two}", None) if one and two else (None, f"cannot read range: {raw}")
-    lone = re.match(r"(?i)^(to|do|bet)\.?\s+(.+)$", v)
-    if lone:
-        one = parse_single(lone[2])
-        return (f"{'ABT' if lone[1].lower() == 'bet' else 'TO'} {one}", None) if one else (None, f"cannot read date: {raw}")
-    q, rest = split_qualifier(v)
+    if re.search(r"_|--|<>|(?<!\d)<(?!\d{3})", v):  # marks for unknown parts
+        year, part = re.search(r"\b\d{3,4}\b", v), re.search(r"\b(\d{1,3})_+", v)
+        return year[0] if year else f"ABT {part[1]:_<4}" if part else "", None
+    two = re.fullmatch(r"(\d{3,4})\s*-\s*(\d{1,4})", v)
+    if two and (len(two[2]) > 2 or re.fullmatch(r"\d+-\d+", v)):
+        return f"{two[1]}-{two[2]}" if len(two[2]) > 2 else two[1], None
+    if re.fullmatch(r"\d{3,4}/\d{1,4}", v):
+        return v, None
+    span = _span(v)
+    if span:
+        return span
+    q, rest = split_qualifier(re.sub(r"(?i)^wft\s+est\.?(?=\s|\d|$)", "abt", v))
     if not rest:
         return "", None
-    one = parse_single(rest.lstrip("!~ "))
+    one = parse_single(re.sub(r"^!(?=\d+$)", "1", rest))
     if one is None:
         return None, f"cannot read date: {raw}"
-    if one.startswith("ABT "):
-        return one, None
-    return (f"{q} {one}" if q else f"ABT {one}" if doubt else one), None
+    q = "ABT" if doubt and not q else q
+    return (one if not q or one.startswith("ABT ") else f"{q} {one}"), None
 
 
 @F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("warning", T.StringType())]))

@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: fixed values: words that stand for an unknown name
-STUBS = ("UNKNOWN", "UNNAMED", "NEZNAN", "XXY", "XXX", "XX", "XY", "N.N.")
+STUBS = ("UNKNOWN", "UNNAMED", "NEZNAN", "XXY", "XXX", "XX", "XY")
+#: fixed values: words that join names and stay in lower case inside them
+PARTICLES = "de da di du des del della dei dos das do von van vom vor der den ten ter te la le les v. vd. of the y e".split()
+#: fixed values: beginnings of names that keep a capital letter behind them
+PREFIXES = "Mac Mc M' De Di Da Du Van Von Der Den Ten La Le L' St St. O' D'".split()
 #: fixed values: collation offsets of Slavic letters behind their base letter
 SLAVIC = {"č": ("c", 0x7D), "ć": ("c", 0x7E), "đ": ("d", 0x7F), "š": ("s", 0x7F), "ž": ("z", 0x7F)}
 ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūýÿñ"
@@ -19,8 +23,23 @@ def strip(c: Column) -> Column:
 
 
 def name_is_placeholder(c: Column) -> Column:
-    v = F.upper(strip(c))
-    return v.rlike(r"^[^\p{L}\p{N}]+\z") | v.isin(*STUBS) | v.rlike(r"^([A-Z])\1{2,}\z")
+    """Signs only, a word for unknown, two N or one letter three times and more; signs around do not count."""
+    core = F.upper(F.regexp_replace(c, r"(?U)^[_.?,\s\-()\[\]<>]+|[_.?,\s\-()\[\]<>]+\z", ""))
+    signs = (strip(c) != "") & c.rlike(r"(?U)^[_.?,\s/\-()\[\]<>]+\z")
+    return signs | core.isin(*STUBS) | core.rlike(r"(?U)^N[\s.]*N\z") | core.rlike(r"^([A-Z])\1{2,}\z")
+
+
+def name_pieces(c: Column) -> Column:
+    """The surnames with their slashes and the texts between them, in order; a last slash without a partner is text."""
+    return F.regexp_extract_all(c, F.lit(r"/[^/]*/|[^/]+(?:/[^/]*\z)?|/[^/]*\z"), F.lit(0))
+
+
+def _is_surname(piece: Column) -> Column:
+    return piece.rlike(r"^/[^/]*/\z")
+
+
+def _inner(piece: Column) -> Column:
+    return strip(F.replace(piece, F.lit("/"), F.lit("")))
 
 
 def normalize_name(c: Column) -> Column:
@@ -38,16 +57,22 @@ def name_parts(c: Column) -> Column:
 
 def clean_name_placeholder(c: Column) -> Column:
     """Unknown or empty given names and surnames become NN; a name with nothing real becomes NN alone."""
-    n = normalize_name(c)
-    given, surname = strip(F.regexp_extract(n, r"^([^/]*)", 1)), strip(F.regexp_extract(n, r"/([^/]*)/", 1))
-    suffix = strip(F.regexp_extract(n, r"^[^/]*/[^/]*/(.*)$", 1))
+    pieces = name_pieces(c)
+    given = strip(F.array_join(F.filter(pieces, lambda p: ~_is_surname(p)), ""))
+    has_given = (given != "") & ~name_is_placeholder(given)
 
-    def real(p: Column) -> Column:
-        return (p != "") & ~name_is_placeholder(p) & (F.upper(p) != "NN")
+    def known(p: Column) -> Column:
+        inner = F.regexp_replace(p, "^/|/\\z", "")
+        surname = F.when(name_is_placeholder(inner) | (strip(inner) == "") & has_given, "/NN/").otherwise(p)
+        return F.when(_is_surname(p), surname).when(name_is_placeholder(p), F.regexp_replace(p, r"(?U)\S(?:.*\S)?", "NN")).otherwise(p)
 
-    has_slash = n.contains("/")
-    both = F.concat_ws(" ", F.when(real(given), given).otherwise("NN"), F.concat(F.lit("/"), F.when(real(surname), surname).otherwise("NN"), F.lit("/")), F.when(suffix != "", suffix))
-    return F.when(strip(c) == "", c).when(has_slash, F.when(real(given) | real(surname), both).otherwise("NN")).when(real(n), n).otherwise("NN")
+    new = F.transform(pieces, known)
+    real = F.exists(new, lambda p: ~_inner(p).isin("", "NN"))
+    none_given = F.forall(new, lambda p: _is_surname(p) | (strip(p) == ""))
+    whole = normalize_name(F.array_join(new, ""))
+    paired = F.exists(pieces, _is_surname)
+    in_parts = F.when(~real, "NN").when(none_given, F.concat(F.lit("NN "), whole)).otherwise(whole)
+    return F.when(c == "", c).when(paired, in_parts).when(name_is_placeholder(c), "NN").otherwise(normalize_name(c))
 
 
 def title_words(c: Column) -> Column:
@@ -60,9 +85,32 @@ def title_surname(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
 
 
+def _name_case(segment: Column) -> Column:
+    """The words of a segment in title case; particles behind the first word are lower case, texts in parentheses stay."""
+    tokens = F.regexp_extract_all(segment, F.lit(r"(?U)\([^)]*\)|[^\s(]+|\s+|\("), F.lit(0))
+    first = F.array_position(F.transform(tokens, lambda t: t.rlike(r"(?U)^[^\s(]")), True) - 1
+    kept = r"^(?:" + "|".join(p.replace(".", r"\.") for p in PREFIXES) + r")\p{Lu}\P{Lu}*\z"
+
+    def cased(t: Column, i: Column) -> Column:
+        particle = F.when(i == first, title_words(t)).otherwise(F.lower(t))
+        return (
+            F.when(t.rlike(r"(?U)^[\s(]"), t).when(F.upper(t) == "NN", "NN").when(t.rlike(kept) & (t != F.upper(t)), t)
+            .when(F.lower(t).isin(*PARTICLES), particle).otherwise(title_words(t))
+        )
+
+    return F.array_join(F.transform(tokens, cased), "")
+
+
+def capitalize_name(c: Column) -> Column:
+    """Each surname and each text between surnames in name case, with normal white space."""
+    cased = F.transform(name_pieces(c), lambda p: F.when(_is_surname(p), F.concat(F.lit("/"), _name_case(F.regexp_replace(p, "^/|/\\z", "")), F.lit("/"))).otherwise(_name_case(p)))
+    return F.when(strip(c) == "", c).otherwise(normalize_name(F.array_join(cased, "")))
+
+
 def lower_if_shouted(c: Column) -> Column:
-    """Title case for names without lower-case letters; others only with normal white space."""
-    return F.when(c.rlike(r"\p{L}") & ~c.rlike(r"\p{Ll}"), title_words(normalize_name(c))).otherwise(normalize_name(c))
+    """Name case for names without lower-case letters; others only with normal white space."""
+    shouted = c.rlike(r"\p{L}") & ~c.rlike(r"\p{Ll}")
+    return F.when(strip(c) == "", c).when(shouted, capitalize_name(c)).otherwise(normalize_name(c))
 
 
 def initials(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
@@ -32,11 +33,22 @@ def clean_dates(nodes: DataFrame) -> DataFrame:
     return delete_subtrees(kept, found.where("_new = ''").select("file", "ord"))
 
 
+def clean_name_placeholders(nodes: DataFrame) -> DataFrame:
+    """Unknown names become NN; then each SURN below a NAME says what stands between its first and last slash."""
+    d = _on(NAME_TAGS, text.clean_name_placeholder)(nodes)
+    above = F.last(F.when(F.col("tag") == "NAME", F.struct("ord", "value")), True).over(W.partitionBy("file", "rec").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
+    d = d.withColumn("_n", above)
+    below = (F.col("tag") == "SURN") & (F.col("parent") == F.col("_n.ord"))
+    surname = text.strip(F.regexp_extract(F.coalesce("_n.value", F.lit("")), "/(.*)/", 1))
+    differs = text.strip(F.coalesce("value", F.lit(""))) != surname
+    return d.withColumn("value", F.when(below & differs, surname).otherwise(F.col("value"))).select(*nodes.columns)
+
+
 #: name -> rewrite; they always run in this order
 CLEANERS = {
     "dd_mmm_yyyy": clean_dates,
-    "name_placeholder": _on(NAME_TAGS, text.clean_name_placeholder),
-    "name_capitalization": _on(NAME_TAGS, lambda c: text.title_words(text.normalize_name(c)), "INDI"),
+    "name_placeholder": clean_name_placeholders,
+    "name_capitalization": _on(NAME_TAGS, text.capitalize_name, "INDI"),
     "name_lower": _on(NAME_TAGS, text.lower_if_shouted, "INDI"),
     "place_placeholder": _on(("PLAC",), text.place_placeholder),
     "place_slovenia_rm": _on(("PLAC",), text.place_without_country),
