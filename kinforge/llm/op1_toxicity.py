@@ -3,18 +3,22 @@
 Voters are words and word beginnings (patterns ``stem*``) that either stand in a fixed lexicon or
 stand out in the labelled training rows, disguised spellings of them, and patterns of shouting.
 Each votes toxic where it fires; the absence of every lexical voter votes clean. A generative
-label model estimates by expectation maximisation how often each voter fires in either class, and
-from the posteriors how far voters fire together beyond that; correlated voters share their
-evidence. The model's posterior labels, held to the gold labels of the training rows by one more
-voter of fixed accuracy, train a linear (logistic) classifier on word and beginning features,
-which scores every whole text.
+label model sees labelled and unlabelled rows alike: expectation maximisation estimates how often
+each voter fires in either class, and from the posteriors how far voters fire together beyond
+that; correlated voters share their evidence. A gold label is one more voter, which abstains on
+unlabelled rows and whose rates are estimated like the others'. The unlabelled rows together weigh
+a twentieth of the labelled ones, so that they refine the classes but cannot shift them. The posteriors of all these rows train a linear (logistic)
+classifier on word and beginning features, which scores every whole text.
 
 The fit sees at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows, those with the smallest seeded
-hashes. Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Labels, lang, source and doc_id
-are never features.
+hashes, and about ``UNLABELLED`` other rows, those whose seeded hash lies below the share that
+gives so many. Rows whose crc32(doc_id as text) mod 5 is 0 are held out of both. Labels, lang,
+source and doc_id are never features.
 
 Defined cases: null and empty texts have no feature and get the score of the intercept; a table
-without usable labels is scored by the fixed lexicon alone; repeated rows are scored one by one.
+without usable labels is scored by the fixed lexicon alone; repeated rows are scored one by one
+and one row of an id is learned from; an empty table gives no rows; ``score`` replaces input
+columns named score or predicted, other columns stay.
 """
 
 from __future__ import annotations
@@ -35,7 +39,11 @@ MAX_CLEAN = 8_000
 MAX_FEATURES = 6_000
 MAX_VOTERS = 160
 SEED = 1789
-GOLD_ACCURACY = 0.97
+UNLABELLED = 12_000
+#: what all unlabelled rows weigh together, against the labelled ones
+UNLABELLED_SHARE = 0.05
+#: how often gold labels are right, to begin with
+GOLD_START = 0.95
 
 #: fixed values: common English insults
 LEXICON = (
@@ -114,41 +122,48 @@ class Model:
         return score
 
 
-def label_model(fires: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors P(toxic) and each voter's share of its evidence.
+def label_model(fires: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
+    """Posteriors P(toxic), each voter's share of its evidence, and the gold voter's rates P(1 | toxic) and P(1 | clean).
 
-    ``fires`` is rows x voters. The two-class model has a rate of firing for each voter and class;
-    expectation maximisation starts from the gold labels. Correlations of voters within the
-    classes are estimated from the residuals, and a voter's log ratio is divided by one plus the
-    sum of its positive correlations over 0.2.
+    ``fires`` is rows x voters, ``gold`` 1, 0 or -1 where there is no label. Each voter fires at a
+    rate of its own in either class; expectation maximisation begins at the labelled rows alone.
+    The prior is that of the labelled rows.
+    Correlations within the classes are estimated from the residuals, and a voter's log ratio is
+    divided by one plus the sum of its positive correlations over 0.2.
     """
     n, k = fires.shape
-    trust = np.log(GOLD_ACCURACY / (1 - GOLD_ACCURACY)) * (2 * gold - 1)
-    post = np.where(gold > 0, GOLD_ACCURACY, 1 - GOLD_ACCURACY)
+    known = gold >= 0
+    weight = np.where(known, 1.0, min(1.0, UNLABELLED_SHARE * known.sum() / max(1, (~known).sum())))
+    post = np.where(gold == 1, GOLD_START, 1 - GOLD_START)
     share = np.ones(k)
     x = fires.astype(np.float64)
+    hit, miss = GOLD_START, 1 - GOLD_START
     for step in range(rounds):
-        a = (x.T @ post + 0.5) / (post.sum() + 1)
-        b = (x.T @ (1 - post) + 0.5) / ((1 - post).sum() + 1)
-        prior = np.log((post.sum() + 1) / ((1 - post).sum() + 1))
-        on, off = np.log(a / b), np.log((1 - a) / (1 - b))
-        z = prior + x @ (share * (on - off)) + (share * off).sum() + trust
+        w = weight * (known if step == 0 else 1)
+        one, zero = w * post, w * (1 - post)
+        a, b = (x.T @ one + 0.5) / (one.sum() + 1), (x.T @ zero + 0.5) / (zero.sum() + 1)
+        if step:
+            hit = float(np.clip((post[gold == 1].sum() + 1) / (post[known].sum() + 2), 0.6, 0.999))
+            miss = float(np.clip(((1 - post)[gold == 1].sum() + 1) / ((1 - post)[known].sum() + 2), 0.001, 0.4))
+        prior = np.log((post[known].sum() + 1) / ((1 - post)[known].sum() + 1))
+        z = prior + x @ (share * np.log(a / b)) + (~fires) @ (share * np.log((1 - a) / (1 - b)))
+        z = z + np.where(gold == 1, np.log(hit / miss), 0) + np.where(gold == 0, np.log((1 - hit) / (1 - miss)), 0)
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if step == rounds // 2:
-            residual = x - post[:, None] * a - (1 - post)[:, None] * b
+            residual = (x - post[:, None] * a - (1 - post)[:, None] * b) * np.sqrt(weight)[:, None]
             sd = residual.std(axis=0) + 1e-6
             corr = (residual.T @ residual) / n / sd[:, None] / sd[None, :]
             np.fill_diagonal(corr, 0)
             share = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(axis=1))
-    return post, share
+    return post, share, (hit, miss)
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, penalty: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, target: np.ndarray, row_weight: np.ndarray | None = None, penalty: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept for binary features given as (row, column) pairs and soft targets; classes weigh the same."""
     w, b = np.zeros(k), 0.0
-    positive = max(target.sum(), 1e-9)
-    weight = np.where(target > 0.5, 0.5 * n / positive, 0.5 * n / max(n - positive, 1e-9))
-    weight = np.clip(weight, 0, 20)
+    own = np.ones(n) if row_weight is None else row_weight * n / row_weight.sum()
+    positive = max((own * target).sum(), 1e-9)
+    weight = own * np.clip(np.where(target > 0.5, 0.5 * n / positive, 0.5 * n / max(n - positive, 1e-9)), 0, 20)
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(rows, w[cols], n)
@@ -165,13 +180,24 @@ def default_model() -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """At most MAX_TOXIC + MAX_CLEAN rows (text, toxic) outside the held-out fold."""
-    l = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col(key)) & F.col(key).isNotNull())
-    l = l.groupBy(F.col(key).alias("_key")).agg(F.max("toxic").alias("_toxic")).withColumn("_order", F.xxhash64(F.lit(SEED), "_key"))
+    """At most MAX_TOXIC + MAX_CLEAN labelled and about UNLABELLED other rows (text, toxic or -1) outside the held-out fold."""
+    own = F.col(key)
+    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(own) & own.isNotNull())
+    l = usable.groupBy(own.alias("_key")).agg(F.max("toxic").alias("_toxic")).withColumn("_order", F.xxhash64(F.lit(SEED), "_key"))
     take = [l.where(F.col("_toxic") == y).orderBy("_order").limit(most).select("_key", "_toxic") for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = take[0].unionByName(take[1])
+    d = docs.select(own.alias("_key"), no_null(text).alias("text"))
     # at most MAX_TOXIC + MAX_CLEAN rows of two numbers, so the side has a proven bound
-    return docs.select(F.col(key).alias("_key"), no_null(text).alias("text")).join(F.broadcast(chosen), "_key").select("text", F.col("_toxic").alias("toxic"))
+    known = d.join(F.broadcast(chosen), "_key").select("_key", "text", F.col("_toxic").alias("toxic"))
+    grain = 1 << 30
+    below = min(grain, grain * UNLABELLED // max(1, docs.count()))
+    drawn = d.where(own_hash("_key", grain) < below).where(F.col("_key").isNotNull() & ~held_out(F.col("_key"))).select("_key", "text", F.lit(-1).alias("toxic"))
+    rows = known.unionByName(drawn).groupBy("_key").agg(F.max_by(F.struct("text", "toxic"), "toxic").alias("r"))
+    return rows.select("r.text", "r.toxic")
+
+
+def own_hash(key: str, grain: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(SEED + 1), key), F.lit(grain))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -188,13 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if not totals.get(1) or not totals.get(0):
             return default_model()
         n1, n0 = totals[1], totals[0]
-        counts = spread_rows.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+        gold_rows = spread_rows.where("toxic >= 0").select("toxic", F.explode("f").alias("f"))
+        counts = gold_rows.groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         ratio = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
         # the features that tell the classes apart best: a bounded list for the driver
         ranked = counts.where(F.col("a") + F.col("b") >= 3).withColumn("r", ratio).withColumn("s", F.abs("r") * F.sqrt(F.greatest(F.col("a") / n1, F.col("b") / n0)))
         best = ranked.orderBy(F.col("s").desc(), "f").limit(MAX_FEATURES).collect()
-        vocabulary = {r["f"]: i for i, r in enumerate(best)}
         fixed = {*LEXICON, *(f"~{w}" for w in LEXICON)}
+        vocabulary = {f: i for i, f in enumerate(dict.fromkeys([*(r["f"] for r in best), *sorted(fixed)]))}
         strong = [r["f"] for r in best if r["a"] >= 3 and r["r"] > 2.5][:MAX_VOTERS]
         voters = list(dict.fromkeys([*strong, *(f for f in vocabulary if f in fixed or f[0] in "~#")]))[: 2 * MAX_VOTERS]
 
@@ -205,9 +232,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         sample = spread_rows.mapInPandas(index, "f array<int>, toxic int").toPandas()
     finally:
         spread_rows.unpersist()
-    order = sorted(range(len(sample)), key=lambda i: (int(sample["toxic"][i]), tuple(sample["f"][i])))
-    gold = sample["toxic"].to_numpy()[order].astype(float)
-    lists = [np.asarray(sample["f"][i], dtype=np.int64) for i in order]
+    return learned([tuple(f) for f in sample["f"]], sample["toxic"].to_numpy(), vocabulary, voters)
+
+
+def learned(found: list[tuple], gold: np.ndarray, vocabulary: dict[str, int], voters: list[str]) -> Model:
+    """The classifier from the rows' feature numbers and labels (-1: none)."""
+    order = sorted(range(len(found)), key=lambda i: (int(gold[i]), found[i]))
+    gold = np.asarray(gold)[order].astype(int)
+    lists = [np.asarray(found[i], dtype=np.int64) for i in order]
     r = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     c = np.concatenate([*lists, np.zeros(0, np.int64)])
     n, k = len(lists), len(vocabulary)
@@ -219,8 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     fires[r[on], column[c[on]]] = True
     lexical = [j for j, f in enumerate(voters) if f[0] != "#"]
     fires[:, -1] = ~fires[:, lexical].any(axis=1)  # the voter for clean texts
-    post, _ = label_model(fires, gold)
-    w, b = logistic(r, c, n, k, post)
+    post, _, _ = label_model(fires, gold)
+    weight = np.where(gold >= 0, 1.0, min(1.0, UNLABELLED_SHARE * (gold >= 0).sum() / max(1, (gold < 0).sum())))
+    w, b = logistic(r, c, n, k, post, weight)
     weights = {f: round(float(w[i]), 6) for f, i in vocabulary.items() if abs(w[i]) > 1e-4}
     return Model(weights, round(b, 6), voters)
 
