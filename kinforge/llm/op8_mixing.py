@@ -11,6 +11,8 @@ run at most. Only the cut documents at the ends of that range are taken in part.
 
 Defined cases: null or blank texts have size 0 and nothing is taken; null sources form one source
 that comes last; repeated rows are documents of their own; an empty table gives an empty result.
+Columns other than key, text and source are not read, whatever their names. The targets are worked
+out in one task over one row a source, never over documents.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ MAX_SHARDS = 4096
 CAP = 2
 SHARE = 1.5
 SEED = 20240229
+#: most sources whose rows are broadcast; the salts that a source is dealt out over beyond it
+SIDE_LIMIT, SALTS = 100_000, 64
 
 
 def word_count(text: Column) -> Column:
@@ -106,9 +110,14 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", key: s
     goal = goal.withColumn("blocks", F.round(F.sum("target").over(every) / F.col("block")).cast("long"))
     goal = sainte_lague(goal, ["_g"], "target", "blocks", [F.col("source").asc_nulls_last()])
     goal = cut(goal.select("source", "source_size", "target", "n_shards", "block", F.col("quota").alias("source_quota"), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("_s")))
-    # one row a source; the join has a skewed side only if one source is large, which Spark splits
     d = d.withColumn("_s", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
-    d = d.join(goal.drop("source"), "_s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("n_shards")))
+    goal = goal.drop("source")
+    if goal.count() <= SIDE_LIMIT:  # one row of seven numbers a source
+        d = d.join(F.broadcast(goal), "_s")
+    else:  # a large source is dealt out by salt
+        salted = goal.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        d = d.withColumn("_salt", F.pmod("_h", F.lit(SALTS))).join(salted, ["_s", "_salt"]).drop("_salt")
+    d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("n_shards")))
     per_shard = d.groupBy("_s", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"), F.max("block").alias("_block"))
     quota = sainte_lague(per_shard, ["_s"], "shard_size", "source_quota", [F.col("shard")]).select("_s", "shard", "shard_size", "_block", "quota")
     # dealt out by shard: the join's partitioning by source would keep a large source in one task

@@ -131,12 +131,27 @@ def test_leaks_against_brute_force(spark):
         rows.append((100 + i, " ".join(long[:700] + t.split()[: len(t.split()) // 2] + long[700:]), "s"))
     rows += [(200, None, "s"), (201, "", "s"), (202, items[0][1], "s")]
 
-    def shingles(t):
+    def shingles(t, k):
         w = (t or "").lower().split()
-        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-    want = {(d, i) for d, t, _ in rows for i, x in items if shingles(x) and len(shingles(x) & shingles(t)) / len(shingles(x)) >= 0.8}
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want = set()
+    for i, x in items:
+        k = min(5, len((x or "").split()))
+        mine = shingles(x, k) if k else set()
+        want |= {(d, i) for d, t, _ in rows if mine and len(mine & shingles(t, k)) / len(mine) >= 0.8}
+    assert {0, 202} <= {d for d, i in want if i == 0}  # three words inside a long text and alone
     docs, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in op10.leaks(docs, bench).collect()} == want
     assert op10.leaks(docs, bench.limit(0)).count() == 0
     assert op10.clean(docs, bench).count() == len(rows) - len({d for d, _ in want})
+
+
+def test_mixing_with_many_sources_and_nothing(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (50 + i % 7)), f"s{i % 5}", "x", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOC + ", size string, taken int")
+    few = {(r["doc_id"], r["taken"]) for r in op8.plan_mix(docs).collect()}
+    monkeypatch.setattr(op8, "SIDE_LIMIT", 0)
+    plan = op8.plan_mix(docs)
+    assert {(r["doc_id"], r["taken"]) for r in plan.collect()} == few and op8.mix(docs, plan).columns == docs.columns
+    assert op8.plan_mix(docs.limit(0)).count() == 0
