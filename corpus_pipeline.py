@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinforge.llm.common import shared_dir, table
 from kinforge.llm.op1_toxicity import fit, score
@@ -21,7 +22,8 @@ from kinforge.llm.op10_decontam import clean
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs.select(*docs.columns), model).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))  # so that columns named score or predicted stay
+    return score(rows, model).where("predicted = 0").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
