@@ -115,7 +115,7 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", key: s
     if goal.count() <= SIDE_LIMIT:  # one row of seven numbers a source
         d = d.join(F.broadcast(goal), "_s")
     else:  # a large source is dealt out by salt
-        salted = goal.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = goal.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         d = d.withColumn("_salt", F.pmod("_h", F.lit(SALTS))).join(salted, ["_s", "_salt"]).drop("_salt")
     d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("n_shards")))
     per_shard = d.groupBy("_s", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota"), F.max("block").alias("_block"))
