@@ -9,13 +9,17 @@ number of tokens. The word pattern (letters, single digits, runs of other signs,
 a small automaton over character classes whose states carry that state. Transitions are compiled
 when they are first needed and kept, within a bound, for the life of the worker.
 
-A text is cut into chunks. A chunk's state map takes any state in which it may be entered to the
-state after it and the tokens between. Since white space leads every state to the start, the map
-is the piece before the first space, the count of what is complete, and the piece after the last
-space. Maps compose associatively, so a parallel prefix scan joins them.
+Every text is cut into chunks. A chunk's state map takes any state in which it may be entered to
+the state after it and the tokens between. White space leads every state to the start, so the map
+is three parts: the letters before the first space, which run from the entering state, the number
+of tokens that are complete behind them, and the number of the state that the letters after the
+last space reach. Two maps compose by running the second's first letters from the first's last
+state; a parallel prefix scan composes them all, from the start state on. The transitions of whole
+units between spaces are kept composed, as is the state that a unit reaches.
 
 Defined cases: null and empty texts have 0 tokens and 0 bytes; the strings of special tokens
-inside a text count one each, as the library has it; repeated rows are counted one by one.
+inside a text count one each, as the library has it; repeated rows are counted one by one; an
+empty table gives no rows; input columns named n_bytes, n_tokens or over_limit are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import no_null, small_batches, table
 
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 LIMIT = 2048
 KEEP_UNITS = 300_000
 KEEP_STEPS = 500_000
@@ -140,7 +144,7 @@ class Transducer:
         self.states: list[tuple] = [("none",)]
         self.steps: dict[tuple[int, str], tuple[int, int]] = {}
         self.closed: dict[int, int] = {0: 0}
-        self.units = Units(self)
+        self.units, self.reached = Units(self), Reached(self)
         self.words: list[tuple] = [("", ("",), (0,))]
         self.word_ids: dict[tuple, int] = {self.words[0]: 0}
         self.fed: dict[tuple[int, str], tuple[int, int]] = {}
@@ -243,33 +247,49 @@ class Transducer:
             self.states.append(state)
         return sid
 
-    def run(self, text: str) -> int:
-        """Tokens of a text without white space, from the start to the start."""
-        s, total, steps = 0, 0, self.steps
+    def advance(self, s: int, text: str) -> tuple[int, int]:
+        """The state after letters without white space, and the tokens that became complete."""
+        total, steps = 0, self.steps
         for c in text:
             move = steps.get((s, c))
             if move is None:
                 move = steps[s, c] = self.step(s, c)
             s = move[0]
             total += move[1]
-        if s not in self.closed:
-            self.closed[s] = self.close(s)
-        return total + self.closed[s]
-
-    # -- chunks
-    def chunk_map(self, chunk: str, split) -> tuple[str, int, str | None]:
-        """(head, count, tail); tail is None where the chunk has no white space and its head is all of it."""
-        units = split(chunk)
+        return s, total
+
+    def closing(self, s: int) -> int:
+        """Tokens that white space or the end completes."""
+        n = self.closed.get(s)
+        if n is None:
+            n = self.closed[s] = self.close(s)
+        return n
+
+    # -- chunks: a map is (letters before the first space in pieces, count, state at the end); the state is None without a space
+    def chunk_map(self, chunk: str) -> tuple[tuple[str, ...], int, int | None]:
+        if ODD_SPACE.search(chunk):
+            units = SPACES.split(chunk)
+        else:
+            units = chunk.split() or [""]
+            if chunk[:1].isspace():
+                units.insert(0, "")
+            if chunk[-1:].isspace():
+                units.append("")
         if len(units) == 1:
-            return units[0], 0, None
-        return units[0], sum(map(self.units.__getitem__, units[1:-1])), units[-1]
+            return (units[0],), 0, None
+        state, gain = self.reached[units[-1]]
+        return (units[0],), sum(map(self.units.__getitem__, units[1:-1])) + gain, state
 
     def compose(self, f: tuple, g: tuple) -> tuple:
-        if f[2] is None:
-            return f[0] + g[0], g[1], g[2]
-        if g[2] is None:
-            return f[0], f[1], f[2] + g[0]
-        return f[0], f[1] + self.units[f[2] + g[0]] + g[1], g[2]
+        head, count, state = f
+        if state is None:
+            return head + g[0], g[1], g[2]
+        if state == 0 and g[2] is not None and len(g[0]) == 1:
+            return head, count + self.units[g[0][0]] + g[1], g[2]
+        for letters in g[0]:
+            state, gain = self.advance(state, letters)
+            count += gain
+        return (head, count, state) if g[2] is None else (head, count + self.closing(state) + g[1], g[2])
 
     def scan(self, maps: list[tuple]) -> list[tuple]:
         """Prefix scan: pairs are composed, their scan taken, and the places between filled in."""
@@ -286,18 +306,14 @@ class Transducer:
 
     def plain(self, text: str, chunk: int) -> int:
         if len(self.units) > KEEP_UNITS:
-            self.units = Units(self)
+            self.units, self.reached = Units(self), Reached(self)
         if len(self.steps) > KEEP_STEPS:
             self.reset()
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        odd = ODD_SPACE.search(text)
-        if len(text) <= chunk and not odd:
-            return sum(map(self.units.__getitem__, text.split()))
-        maps = [self.chunk_map(text[i : i + chunk], SPACES.split) for i in range(0, len(text), chunk)]
-        if not maps:
-            return 0
-        head, total, tail = self.scan(maps)[-1]
-        return self.units[head] + total + (self.units[tail] if tail is not None else 0)
+        start = ((), 0, 0)
+        maps = [start, *(self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk))]
+        _, total, state = self.scan(maps)[-1]
+        return total + self.closing(state)
 
 
 class Units(dict):
@@ -308,10 +324,23 @@ class Units(dict):
         self.machine = machine
 
     def __missing__(self, unit: str) -> int:
-        n = self[unit] = self.machine.run(unit)
+        state, gain = self.machine.advance(0, unit)
+        n = self[unit] = gain + self.machine.closing(state)
         return n
 
 
+class Reached(dict):
+    """The state that a unit's letters reach from the start, and the tokens complete by then."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__({"": (0, 0)})
+        self.machine = machine
+
+    def __missing__(self, unit: str) -> tuple[int, int]:
+        found = self[unit] = self.machine.advance(0, unit)
+        return found
+
+
 @lru_cache(maxsize=2)
 def compiled(path: str) -> Transducer:
     return Transducer(path)
