@@ -155,3 +155,11 @@ def test_mixing_with_many_sources_and_nothing(spark, monkeypatch):
     plan = op8.plan_mix(docs)
     assert {(r["doc_id"], r["taken"]) for r in plan.collect()} == few and op8.mix(docs, plan).columns == docs.columns
     assert op8.plan_mix(docs.limit(0)).count() == 0
+
+
+def test_neighbours_of_any_finite_vector(spark):
+    rows = [(0, [1e300, 0.0], "x"), (20, [1.0, 0.0], "y"), (1, [1e-300, 1e-300], "z"), (40, [1.0, 2.0, 3.0], "w"), (2, [0.5, 0.5, 0.5], "w"), (60, [float("inf"), 1.0], "v"), (80, [], "v")]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in op5.nearest(v, F.col("vec_id") % 20 == 0).collect()}
+    assert got == {(0, 1): (20, 1e300), (0, 2): (1, 1.0), (20, 1): (0, 1e300), (20, 2): (1, 1e-300), (40, 1): (2, 3.0)}
+    assert op5.nearest(v.limit(0), F.col("vec_id") == 0).count() == 0
