@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kinforge.operators.checkpoints import cut
 
-CAP = 200
+#: rounds after which the rows found so far become one piece
+MERGE = 8
 
 
 def edges(nodes: DataFrame) -> DataFrame:
@@ -24,21 +25,29 @@ def parents(e: DataFrame) -> DataFrame:
     return up.join(spouses, ["file", "fam"]).select("file", "child", "parent").distinct()
 
 
-def closure(pairs: DataFrame, seeds: DataFrame, src: str, dst: str, cap: int = CAP) -> DataFrame:
+def closure(pairs: DataFrame, seeds: DataFrame, src: str, dst: str, forbidden: DataFrame | None = None) -> DataFrame:
     """``file, id, depth``: all that is reached from the seeds (file, id), themselves at depth 0.
 
     Only the last round's new nodes are joined with the edges, and nodes seen before are left out,
-    so cycles end.
+    so cycles end. Nobody among ``forbidden`` (file, id) is reached or gone through. Rounds are
+    merged every ``MERGE`` of them, so the plan of a deep tree does not grow with its depth.
     """
+    pairs = cut(pairs.select("file", src, dst))  # two ids a row, read again in every round
+    if forbidden is not None:
+        seeds = seeds.join(forbidden.select("file", "id"), ["file", "id"], "left_anti")
     seen = cut(seeds.select("file", "id").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, cap + 1):
+    frontier, depth = seen, 0
+    while True:
+        depth += 1
         step = frontier.select("file", F.col("id").alias(src)).join(pairs, ["file", src]).select("file", F.col(dst).alias("id")).distinct()
+        if forbidden is not None:
+            step = step.join(forbidden.select("file", "id"), ["file", "id"], "left_anti")
         frontier = cut(step.join(seen, ["file", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if depth % MERGE == 0:
+            seen = cut(seen)
 
 
 def ancestors(par: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def years(nodes: DataFrame) -> DataFrame:
     heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec")
     b = events(nodes, ("BIRT", "BAPM", "CHR"))
     rank = F.struct((F.col("tag") != "BIRT").alias("later"), F.col("ord"))
-    born = b.groupBy("file", "rec").agg(F.min_by(dates.birth_year(F.coalesce("date", F.lit(""))), rank).alias("birth_year"), F.min(F.when(F.col("tag") == "BIRT", dates.year_strict(F.coalesce("date", F.lit(""))))).alias("exact_birth"))
+    born = b.groupBy("file", "rec").agg(F.min_by(dates.birth_year(F.coalesce("date", F.lit(""))), rank).alias("birth_year"), F.min_by(dates.year_strict(F.coalesce("date", F.lit(""))), F.when((F.col("tag") == "BIRT") & F.col("date").isNotNull(), F.col("ord"))).alias("exact_birth"))
     d = events(nodes, DEATH).where(F.upper(F.coalesce("value", F.lit(""))) != "N")
     known = (F.upper(F.coalesce("value", F.lit(""))) == "Y") | F.coalesce("date", F.lit("")).rlike(r"\d") | (F.coalesce("place", F.lit("")) != "") | (F.col("date").isNull() & F.col("place").isNull())
     died = d.groupBy("file", "rec").agg(F.min(dates.year_strict(F.coalesce("date", F.lit("")))).alias("death_year"), F.bool_or(known).alias("dead"))

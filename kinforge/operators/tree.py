@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
+from kinforge.sources.ged import MAX_LEVEL
 
 NAME_TAGS = ("NAME", "SURN", "GIVN", "NICK", "MARNM", "_MARNM")
 TINY = "0.000001"
@@ -66,6 +67,30 @@ def clean(nodes: DataFrame, names: list[str]) -> DataFrame:
     return nodes
 
 
+# -- what stands above a node: by one window in its record, no join
+def _so_far():
+    return W.partitionBy("file", "rec").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+
+
+def _above(what: Column) -> Column:
+    """``what`` at the latest node of each level, from level 0 to the deepest."""
+    return F.array(*[F.last(F.when(F.col("level") == k, what), True).over(_so_far()) for k in range(MAX_LEVEL + 1)])
+
+
+def with_parents(nodes: DataFrame) -> DataFrame:
+    """Adds ``parent_tag, parent_value, grand_tag``; null where there is none."""
+    line = F.filter(F.slice("_line", F.lit(1), F.col("level")), lambda x: x.isNotNull())
+    d = nodes.withColumn("_line", _above(F.struct("tag", "value"))).withColumn("_line", line)
+    up, top = F.get("_line", F.size("_line") - 1), F.get("_line", F.size("_line") - 2)
+    return d.select(*nodes.columns, up["tag"].alias("parent_tag"), up["value"].alias("parent_value"), top["tag"].alias("grand_tag"))
+
+
+def delete_where(nodes: DataFrame, hit: Column) -> DataFrame:
+    """Without the nodes that ``hit`` and everything below them."""
+    d = nodes.withColumn("_hits", _above(F.coalesce(hit, F.lit(False))))
+    return d.where(~F.exists(F.slice("_hits", F.lit(1), F.col("level") + 1), lambda x: F.coalesce(x, F.lit(False)))).drop("_hits")
+
+
 # -- deletes
 def delete_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Without the nodes ``roots`` (file, ord) and everything below them."""
@@ -91,18 +116,17 @@ STRIPS = {
 
 
 def strip(nodes: DataFrame, spec: Strip) -> DataFrame:
-    hit = nodes.where(F.col("tag").isin(*spec.tags))
+    hit = F.col("tag").isin(*spec.tags)
     if spec.level is not None:
-        hit = hit.where(F.col("level") == spec.level)
+        hit = hit & (F.col("level") == spec.level)
     elif spec.parent is None:
-        hit = hit.where(F.col("level") == 0)
-    if spec.parent is not None:
-        up = nodes.select("file", F.col("ord").alias("parent"), F.col("tag").alias("_pt"), F.col("parent").alias("_gp"))
-        hit = hit.join(up, ["file", "parent"]).where(F.col("_pt") == spec.parent)
-        if spec.grandparent is not None:
-            top = nodes.select("file", F.col("ord").alias("_gp"), F.col("tag").alias("_gt"))
-            hit = hit.join(top, ["file", "_gp"]).where(F.col("_gt") == spec.grandparent)
-    return delete_subtrees(nodes, hit.select("file", "ord"))
+        hit = hit & (F.col("level") == 0)
+    if spec.parent is None:
+        return delete_where(nodes, hit)
+    hit = hit & (F.col("parent_tag") == spec.parent)
+    if spec.grandparent is not None:
+        hit = hit & (F.col("grand_tag") == spec.grandparent)
+    return delete_where(with_parents(nodes), hit).select(*nodes.columns)
 
 
 def strip_marked_records(nodes: DataFrame, tag: str = "PRIV") -> DataFrame:
@@ -111,17 +135,44 @@ def strip_marked_records(nodes: DataFrame, tag: str = "PRIV") -> DataFrame:
     return nodes.join(marked, ["file", "rec"], "left_anti")
 
 
+def strip_ste(nodes: DataFrame) -> DataFrame:
+    """Without _STE records and without _STE below any SOUR."""
+    return strip(strip(nodes, Strip(("_STE",))), Strip(("_STE",), parent="SOUR"))
+
+
+def strip_death_placeholders(nodes: DataFrame, as_of: int) -> DataFrame:
+    """Without death events that say nothing: no value, and below them only empty values, dates without digits and places without letters or digits.
+
+    People born a hundred years before ``as_of`` or earlier keep them: there they mean a death at an unknown time.
+    """
+    value = F.coalesce(text.strip(F.col("value")), F.lit(""))
+    top = (F.col("rec_tag") == "INDI") & (F.col("level") == 1)
+    event = top & F.col("tag").isin("DEAT", "BURI", "CREM")
+    says = (F.col("level") == 2) & (value != "") & ~((F.col("tag") == "DATE") & ~value.rlike(r"\d")) & ~((F.col("tag") == "PLAC") & ~value.rlike("[A-Za-z0-9]"))
+    record = W.partitionBy("file", "rec")
+    year = F.when((F.col("tag") == "DATE") & (F.col("level") == 2) & F.col("parent_tag").isin("BIRT", "BAPM", "CHR"), dates.birth_year(value))
+    born = F.coalesce(F.max_by(F.when(F.col("parent_tag") == "BIRT", year), F.when((F.col("parent_tag") == "BIRT") & year.isNotNull(), F.col("ord"))).over(record), F.min_by(year, F.when(year.isNotNull(), F.col("ord"))).over(record))
+    d = with_parents(nodes).withColumn("_event", F.last(F.when(F.col("level") == 1, F.col("ord")), True).over(_so_far()))
+    d = d.withColumn("_old", F.coalesce(F.lit(as_of) - born >= 100, F.lit(False))).withColumn("_says", F.max(says).over(W.partitionBy("file", "rec", "_event")))
+    return delete_where(d, event & (value == "") & ~F.col("_old") & ~F.col("_says")).select(*nodes.columns)
+
+
+def real_names(nodes: DataFrame) -> DataFrame:
+    """``file, rec`` of the persons with a name other than NN."""
+    real = ~F.upper(F.regexp_replace(F.coalesce("value", F.lit("")), r"[/\s.]", "")).isin("", "NN", "NNNN")
+    return nodes.where((F.col("rec_tag") == "INDI") & (F.col("level") == 1) & (F.col("tag") == "NAME") & real).select("file", "rec").distinct()
+
+
 def strip_nameless(nodes: DataFrame) -> DataFrame:
     """Without persons who have no name but NN."""
-    real = ~F.upper(F.regexp_replace(F.coalesce("value", F.lit("")), r"[/\s.]", "")).isin("", "NN", "NNNN")
-    named = nodes.where((F.col("rec_tag") == "INDI") & (F.col("level") == 1) & (F.col("tag") == "NAME") & real).select("file", "rec").distinct()
+    named = real_names(nodes)
     nameless = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec").join(named, ["file", "rec"], "left_anti")
     return nodes.join(nameless, ["file", "rec"], "left_anti")
 
 
 def strip_empty_families(nodes: DataFrame) -> DataFrame:
-    """Without families none of whose spouses is a person of the file."""
-    persons = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", F.col("pointer").alias("value"))
+    """Without families none of whose spouses is a person of the file with a real name."""
+    persons = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).join(real_names(nodes), ["file", "rec"], "left_semi").select("file", F.col("pointer").alias("value"))
     kept = nodes.where((F.col("rec_tag") == "FAM") & (F.col("level") == 1) & F.col("tag").isin("HUSB", "WIFE")).join(persons, ["file", "value"], "left_semi").select("file", "rec").distinct()
     empty = nodes.where((F.col("level") == 0) & (F.col("tag") == "FAM")).select("file", "rec").join(kept, ["file", "rec"], "left_anti")
     return nodes.join(empty, ["file", "rec"], "left_anti")
@@ -167,9 +218,24 @@ def source_date(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("tag", F.when(hit, "PUBL").otherwise(F.col("tag")))
 
 
+def second_given_name(nodes: DataFrame) -> DataFrame:
+    """SECG below a NAME goes behind its first GIVN, or becomes one; a name whose first SECG is blank stays as it is."""
+    value = F.coalesce(text.strip(F.col("value")), F.lit(""))
+    below = with_parents(nodes).where(F.col("parent_tag") == "NAME")
+    first = lambda tag, what: F.min_by(what, F.when(F.col("tag") == tag, F.col("ord")))
+    found = below.groupBy("file", "rec", "parent").agg(first("SECG", value).alias("_second"), F.min(F.when(F.col("tag") == "GIVN", F.col("ord"))).alias("_givn"), F.max("rec_tag").alias("_rec_tag"), F.min("level").alias("_level"), F.min_by("path", "ord").alias("_path"))
+    found = found.where(F.coalesce("_second", F.lit("")) != "")
+    d = nodes.join(found.select("file", "parent", "_second", "_givn"), ["file", "parent"], "left")
+    d = d.withColumn("value", F.when(F.col("ord") == F.col("_givn"), text.strip(F.concat(value, F.lit(" "), F.col("_second")))).otherwise(F.col("value")))
+    kept = delete_where(d, F.col("_second").isNotNull() & (F.col("tag") == "SECG")).select(*nodes.columns)
+    at = (F.col("parent") + F.lit(TINY).cast("decimal(20,6)")).cast("decimal(20,6)")
+    made = found.where(F.col("_givn").isNull()).select("file", "rec", at.alias("ord"), "parent", F.col("_level").alias("level"), F.lit(None).cast("string").alias("pointer"), F.lit("GIVN").alias("tag"), F.col("_second").alias("value"), F.col("_rec_tag").alias("rec_tag"), F.concat(F.slice("_path", F.lit(1), F.size("_path") - 1), F.array(at)).alias("path"))
+    return kept.unionByName(made.select(*nodes.columns))
+
+
 def transform(nodes: DataFrame, names: list[str]) -> DataFrame:
     """Tag renames in the order asked for, then the others in their fixed order."""
-    later = {"addr_to_plac": address_to_place, "sour_peri_titl": source_title, "sour_date_publ": source_date, "sour_plac_auth": lambda n: source_title(n, "PLAC", "AUTH")}
+    later = {"secg_givn": second_given_name, "addr_to_plac": address_to_place, "sour_peri_titl": source_title, "sour_date_publ": source_date, "sour_plac_auth": lambda n: source_title(n, "PLAC", "AUTH")}
     unknown = set(names) - set(RENAMES) - set(later)
     if unknown:
         raise ValueError(f"unknown transformers: {sorted(unknown)}")

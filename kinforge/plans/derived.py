@@ -12,11 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LATIN = "Januarii Februarii Martii aprilis maii iunii iulii Augusti Septembris Octobris Novembris Decembris".split()
+
+
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``o_orderkey, raw``: order dates written in ten ways by key."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("t"), (F.col("o_orderkey") % 10).alias("k"))
-    y = F.date_format("t", "yyyy")
-    forms = [F.date_format("t", "dd.MM.yyyy"), F.date_format("t", "yyyy-MM-dd"), F.date_format("t", "MMM yyyy"), F.concat(F.lit("~"), y), F.concat(y, F.lit("?")), F.concat(F.lit("__.__."), y), F.concat(F.lit("FROM "), y, F.lit(" TO "), (F.year("t") + 1).cast("string")), F.concat(F.lit("before "), y), F.concat(F.lit("  "), y, F.lit(". ")), F.lit("?")]
+    """``o_orderkey, raw``: order dates written in 26 ways by key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("t"), (F.col("o_orderkey") % 26).alias("k"))
+    y, next_year, day = F.date_format("t", "yyyy"), (F.year("t") + 1).cast("string"), F.date_format("t", "d")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    latin = F.element_at(F.array(*[F.lit(m) for m in LATIN]), F.month("t"))
+    forms = [
+        F.date_format("t", "dd.MM.yyyy"), F.date_format("t", "yyyy-MM-dd"), F.date_format("t", "MMM yyyy"), text("~", y), text(y, "?"), text("__.__.", y), text("FROM ", y, " TO ", next_year), text("before ", y), text("  ", y, ". "), text("?"),
+        text("OD ", y), text(y, "/7"), text(y, "-1"), text(day, " ", latin, " ", y), text(y, " DO ", next_year), text("MED ", y, " - ", next_year), text("between ", y, " and ", next_year), text(".", F.date_format("t", "MM.yyyy")), text("17.3.", F.substring(y, 1, 3), "x"),
+        text(day, ". Foo ", y), text("15 7bris ", y), text("Prred ", y), text("(", y, ")"), text(F.date_format("t", "dd.MM.yyyy"), "   7"), text("25.13.", y), text("nobody knows"),
+    ]
     raw = F.when(F.col("k") == 0, forms[0])
     for i, f in enumerate(forms[1:], 1):
         raw = raw.when(F.col("k") == i, f)
@@ -31,14 +40,12 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
     base = F.col("o_orderkey") * 1000
-    heads = o.select(base.alias("no"), F.concat(F.lit("0 @O"), F.col("o_orderkey").cast("string"), F.lit("@ INDI")).alias("line"))
-    status = o.select((base + 1).alias("no"), F.concat(F.lit("1 NAME "), F.col("o_orderstatus")).alias("line"))
-    i = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((base + F.col("l_linenumber") * 10).alias("at"), "l_returnflag", "l_linestatus", "l_linenumber")
-    items = i.select(F.col("at").alias("no"), F.concat(F.lit("1 EVEN "), F.col("l_linenumber").cast("string")).alias("line"))
-    flags = i.select((F.col("at") + 1).alias("no"), F.concat(F.lit("2 TYPE "), F.col("l_returnflag")).alias("line"))
-    states = i.select((F.col("at") + 2).alias("no"), F.concat(F.lit("2 CHAN "), F.col("l_linestatus")).alias("line"))
-    out = heads.unionByName(status).unionByName(items).unionByName(flags).unionByName(states)
-    return out.select(F.concat(F.lit("f"), F.floor(F.col("no") / 100000).cast("string")).alias("file"), "no", "line")
+    row = lambda no, *text: F.struct(no.cast("long").alias("no"), F.concat(*text).alias("line"))
+    key = F.col("o_orderkey").cast("string")
+    heads = o.select(F.explode(F.array(row(base, F.lit("0 @O"), key, F.lit("@ INDI")), row(base + 1, F.lit("1 NAME "), F.col("o_orderstatus")))).alias("r"))
+    at = base + F.col("l_linenumber") * 10
+    items = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.explode(F.array(row(at, F.lit("1 EVEN "), F.col("l_linenumber").cast("string")), row(at + 1, F.lit("2 TYPE "), F.col("l_returnflag")), row(at + 2, F.lit("2 CHAN "), F.col("l_linestatus")))).alias("r"))
+    return heads.unionByName(items).select(F.concat(F.lit("f"), F.floor(F.col("r.no") / 100000).cast("string")).alias("file"), "r.no", "r.line")
 
 
 def kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ def kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spouses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file, src, dst, kind``: family edges; an order joins its customer and the customer of key % 97 + 1."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    o = table(spark, sf_dir, "orders")
     fam = F.concat(F.lit("F"), F.col("o_orderkey").cast("string"))
     one = o.select(F.lit("f").alias("file"), fam.alias("src"), F.col("o_custkey").alias("dst"), F.lit("husb").alias("kind"))
     two = o.select(F.lit("f").alias("file"), fam.alias("src"), (F.col("o_orderkey") % 97 + 1).alias("dst"), F.lit("wife").alias("kind"))
@@ -64,3 +71,63 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     born = F.when(F.col("c_custkey") % 4 == 0, "").otherwise((F.lit(1850) + F.col("c_custkey") % 100).cast("string"))
     return d.select(F.lit("f").alias("file"), F.col("c_custkey").alias("rec"), F.concat(F.lit("@I"), F.col("c_custkey").cast("string"), F.lit("@")).alias("ptr"), F.concat(F.element_at(F.split("c_name", "#"), 1), F.lit(" /"), F.col("c_mktsegment"), F.lit("/")).alias("name"), F.element_at(F.split("c_name", "#"), 1).alias("given"), F.col("c_mktsegment").alias("surname"), born.alias("birth_date"), F.col("n_name").alias("place"))
+
+
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, child, parent``: ten trees that are not connected, customers of one last digit each."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), (F.col("c_custkey") % 10).alias("r"), F.floor(F.col("c_custkey") / 10).alias("q")).where("q > 0")
+    both = c.select("c", F.explode(F.array(F.floor(F.col("q") / 2) * 10 + F.col("r"), F.floor(F.col("q") / 3) * 10 + F.col("r"))).alias("p")).where("p > 0")
+    return both.select(F.lit("f").alias("file"), F.col("c").alias("child"), F.col("p").cast("long").alias("parent")).distinct()
+
+
+def _line(no, *text):
+    return F.struct(no.cast("long").alias("no"), F.concat(*[F.lit(t) if isinstance(t, str) else t.cast("string") for t in text]).alias("line"))
+
+
+def _lines(df: DataFrame, *rows) -> DataFrame:
+    """``file, no, line`` from arrays of lines; null lines are left out."""
+    return df.select(F.explode(F.filter(F.array(*rows), lambda x: x["line"].isNotNull())).alias("r")).select(F.lit("f").alias("file"), "r.no", "r.line")
+
+
+FAMILIES_FROM = 10**12
+
+
+def clan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as persons whose parents are the customers of key / 2 and key / 3; children of the same two are one family."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    c = c.withColumn("h", F.floor(F.col("c") / 2)).withColumn("w", F.floor(F.col("c") / 3))
+    fam = F.concat(F.lit("@F"), F.col("h").cast("string"), F.lit("_"), F.col("w").cast("string"), F.lit("@"))
+    at = F.col("c") * 1000
+    persons = _lines(c, _line(at, "0 @I", F.col("c"), "@ INDI"), _line(at + 1, "1 NAME ", F.element_at(F.split("name", "#"), 1), " /", F.col("segment"), "/"), _line(at + 2, "1 FAMC ", F.when(F.col("h") > 0, fam)))
+    pairs = c.where("h > 0").groupBy("h", "w").agg(F.min("c").alias("first"))
+    wife = F.when((F.col("w") > 0) & (F.col("w") != F.col("h")), F.col("w"))
+    top = F.lit(FAMILIES_FROM) + F.col("first") * 1000
+    heads = _lines(pairs, _line(top, "0 ", fam, " FAM"), _line(top + 1, "1 HUSB @I", F.col("h"), "@"), _line(top + 2, "1 WIFE @I", wife, "@"))
+    children = _lines(c.where("h > 0").join(pairs, ["h", "w"]), _line(top + 3 + F.col("c") - F.col("first"), "1 CHIL @I", F.col("c"), "@"))
+    own = pairs.select("h", "w", "first", F.explode(F.filter(F.array(F.col("h"), wife), lambda x: x.isNotNull())).alias("p"))
+    place = F.when(F.col("p") == F.col("h"), 3 + F.col("first") % 2).otherwise(5 + F.col("first") % 3)
+    homes = _lines(own, _line(F.col("p") * 1000 + place, "1 FAMS ", fam))
+    return persons.unionByName(heads).unionByName(children).unionByName(homes)
+
+
+def wedding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as persons, orders as families of the customer and the customer of key % 97 + 1, with a wedding date."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    at, top = F.col("c_custkey") * 10, F.lit(FAMILIES_FROM) + F.col("o_orderkey") * 10
+    persons = _lines(c, _line(at, "0 @I", F.col("c_custkey"), "@ INDI"), _line(at + 1, "1 NAME C", F.col("c_custkey"), " /", F.col("c_mktsegment"), "/"))
+    families = _lines(o, _line(top, "0 @F", F.col("o_orderkey"), "@ FAM"), _line(top + 1, "1 HUSB @I", F.col("o_custkey"), "@"), _line(top + 2, "1 WIFE @I", F.col("o_orderkey") % 97 + 1, "@"), _line(top + 3, "1 MARR"), _line(top + 4, "2 DATE ", F.upper(F.date_format("o_orderdate", "d MMM yyyy"))))
+    return persons.unionByName(families)
+
+
+def life_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as persons: born 60 to 149 years before the order, one in nine at an unknown time; one in four died in a known year, one in four at an unknown time."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    k, at = F.col("o_orderkey"), F.col("o_orderkey") * 10
+    return _lines(o, _line(at, "0 @O", k, "@ INDI"), _line(at + 1, "1 NAME P", k, " /X/"), _line(at + 2, "1 BIRT"), _line(at + 3, "2 DATE ", F.when(k % 9 != 0, F.col("y") - 60 - k % 90)), _line(at + 4, F.when(k % 4 == 0, F.lit("1 DEAT")).when(k % 4 == 1, F.lit("1 DEAT Y"))), _line(at + 5, "2 DATE ", F.when(k % 4 == 0, F.col("y") - k % 40)))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, url``: every link in a page's HTML, those to a path below the page's own host."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*", 0).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    return p.select("page_id", F.when(F.col("href").startswith("/"), F.concat("host", "href")).otherwise(F.col("href")).alias("url"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
-from kinforge.operators import graph, merge, privacy, relational, tree
+from kinforge.operators import expand, graph, increments, merge, privacy, relational, tree
+from kinforge.operators.checkpoints import cut
 from kinforge.plans import imports
-from kinforge.plans.derived import AS_OF, kinship, order_dates, order_lines, people, spouses, table
+from kinforge.plans.derived import AS_OF, clan_lines, kinship, life_lines, order_dates, order_lines, page_links, people, spouses, table, trees, wedding_lines
 from kinforge.sources import ged
 
 QUERIES: dict = {}
@@ -46,11 +47,8 @@ def person_pointer(spark, sf_dir):
 
 @query
 def family_rows(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    d = o.join(c, _c("o_custkey") == _c("c_custkey"), "left").withColumn("_s", _c("o_orderkey") % 150).join(s, _c("_s") == _c("s_suppkey"), "left")
-    return d.select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("husband"), F.coalesce("s_name", F.lit("")).alias("wife"), dates.from_iso(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("marriage"))
+    n = cut(ged.lines_to_nodes(wedding_lines(spark, sf_dir)))
+    return relational.families(n, relational.persons(n)).select("ptr", "husband", "wife", "marriage_date")
 
 
 @query
@@ -101,16 +99,17 @@ def date_slovenian(spark, sf_dir):
 @query
 def name_placeholder(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    given = F.when(_c("c_custkey") % 5 == 0, "???").when(_c("c_custkey") % 5 == 1, "Unknown").otherwise("Ana")
-    surname = F.when(_c("c_custkey") % 3 == 0, "xxx").otherwise(_c("c_mktsegment"))
+    given = F.element_at(F.array(*[F.lit(x) for x in ("???", "Unknown", "_XY_", "(neznan)", "Ana")]), (_c("c_custkey") % 5 + 1).cast("int"))
+    surname = F.when(_c("c_custkey") % 3 == 0, "-xxx-").when(_c("c_custkey") % 3 == 1, "").otherwise(_c("c_mktsegment"))
     return c.select("c_custkey", text.clean_name_placeholder(F.concat(given, F.lit("  /"), surname, F.lit(" /"))).alias("name"))
 
 
 @query
 def name_capitals(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("n"), "p_name")
-    raw = F.when(_c("p_partkey") % 2 == 0, F.replace("n", F.lit(" "), F.lit("-"))).otherwise(_c("p_name"))
-    return p.select("p_partkey", text.title_words(raw).alias("title"), text.lower_if_shouted(raw).alias("lowered"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ")[0].alias("a"), F.split("p_name", " ")[1].alias("b"), (_c("p_partkey") % 6).alias("k"))
+    forms = [F.upper(F.concat_ws("-", "a", "b")), F.concat_ws(" ", "a", "b"), F.upper(F.concat(_c("a"), F.lit(" von der "), _c("b"))), F.concat(F.lit("nn  /de "), F.upper("b"), F.lit("/")), F.concat(F.upper("a"), F.lit(" ("), _c("b"), F.lit(") /Mc"), F.initcap("b"), F.lit("/")), F.concat(F.lit("V. "), F.upper("a"), F.lit(" V. /NN/"))]
+    raw = F.element_at(F.array(*forms), (_c("k") + 1).cast("int"))
+    return p.select("p_partkey", text.capitalize_name(raw).alias("title"), text.lower_if_shouted(raw).alias("lowered"))
 
 
 @query
@@ -168,9 +167,8 @@ def _nodes(spark, sf_dir):
 
 @query
 def tree_parents(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
-    up = n.select("file", _c("ord").alias("parent"), _c("tag").alias("parent_tag"), _c("value").alias("parent_value"))
-    return n.where("level > 0").join(up, ["file", "parent"]).select(_c("ord").cast("long").alias("no"), "level", "tag", "value", "parent_tag", "parent_value", "rec_tag")
+    n = tree.with_parents(_nodes(spark, sf_dir))
+    return n.where("level > 0").select(_c("ord").cast("long").alias("no"), "level", "tag", "value", "parent_tag", "parent_value", "rec_tag")
 
 
 @query
@@ -236,7 +234,7 @@ def descendants(spark, sf_dir):
 
 @query
 def bloodline(spark, sf_dir):
-    return graph.bloodline(kinship(spark, sf_dir).where("child % 7 <> 0"), _seed(spark, 11)).select("id")
+    return graph.bloodline(trees(spark, sf_dir), _seed(spark, 111)).select("id")
 
 
 @query
@@ -251,33 +249,60 @@ def partners(spark, sf_dir):
 
 @query
 def filter_cleanup(spark, sf_dir):
-    """Parent links among the descendants of one person."""
-    par = kinship(spark, sf_dir)
-    kept = graph.descendants(par, _seed(spark, 3)).select("file", "id")
-    return par.join(kept.withColumnRenamed("id", "child"), ["file", "child"], "left_semi").join(kept.withColumnRenamed("id", "parent"), ["file", "parent"], "left_semi").select("child", "parent")
+    """The links left among the descendants of one person and their families."""
+    n = cut(ged.lines_to_nodes(clan_lines(spark, sf_dir)))
+    seed = spark.range(1).select(F.lit("f").alias("file"), F.lit("@I3@").alias("id"))
+    kept = graph.keep(n, graph.descendants(graph.parents(graph.edges(n)), seed))
+    owners = kept.where("level = 0").select("file", "rec", _c("pointer").alias("owner"))
+    return kept.where("tag in ('FAMC', 'FAMS', 'HUSB', 'WIFE', 'CHIL')").join(owners, ["file", "rec"]).select("owner", "tag", "value")
+
+
+@query
+def filter_expand(spark, sf_dir):
+    """Ancestors of two persons with siblings and partners, their descendants forbidden."""
+    n = cut(ged.lines_to_nodes(clan_lines(spark, sf_dir)))
+    roots = spark.createDataFrame([("f", "@I97@"), ("f", "@I64@")], "file string, id string")
+    people, _, _ = expand.filtered(n, roots, siblings=True, partners=True)
+    return people.select("id")
+
+
+@query
+def filter_related(spark, sf_dir):
+    """How many persons and families the descendants of one person with their relatives are, one round of them."""
+    n = cut(ged.lines_to_nodes(clan_lines(spark, sf_dir)))
+    roots = spark.createDataFrame([("f", "@I7@")], "file string, id string")
+    _, _, counts = expand.filtered(n, roots, ancestors=False, descendants=True, with_related=True, related_depth=1)
+    return spark.createDataFrame([(i, p) for _, i, p, _ in counts], "id string, persons long")
+
+
+@query
+def surname_origins(spark, sf_dir):
+    """Places by the nearest ancestor of the same surname; only persons of every seventh key have one of their own."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), _c("c_nationkey") == _c("n_nationkey"))
+    own = c.select(F.lit("f").alias("file"), _c("c_custkey").alias("id"), F.when(_c("c_mktsegment") < "C", "A").otherwise("B").alias("surname"), F.when(_c("c_custkey") % 7 == 0, _c("n_name")).alias("place"))
+    return expand.surname_origin(own, kinship(spark, sf_dir)).select("id", "place")
 
 
 # -- privacy
-def _people_years(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    y = F.year("o_orderdate")
-    return o.select("o_orderkey", (y - 60 - _c("o_orderkey") % 90).alias("birth_year"), F.when(_c("o_orderkey") % 4 == 0, y - _c("o_orderkey") % 40).alias("death_year"), ((_c("o_orderkey") % 4 == 0) | (_c("o_orderkey") % 4 == 1)).alias("dead")).withColumn("exact_birth", _c("birth_year"))
+def _lives(spark, sf_dir):
+    n = cut(ged.lines_to_nodes(life_lines(spark, sf_dir)))
+    return n.where("level = 0").select("file", "rec", _c("pointer").alias("ptr")).join(privacy.years(n), ["file", "rec"])
 
 
 @query
 def private_born(spark, sf_dir):
-    return _people_years(spark, sf_dir).where(privacy.born_within(AS_OF)).select("o_orderkey")
+    return _lives(spark, sf_dir).where(privacy.born_within(AS_OF)).select("ptr")
 
 
 @query
 def private_died(spark, sf_dir):
-    return _people_years(spark, sf_dir).where(privacy.died_within(AS_OF)).select("o_orderkey")
+    return _lives(spark, sf_dir).where(privacy.died_within(AS_OF)).select("ptr")
 
 
 @query
 def strip_living(spark, sf_dir):
-    d = _people_years(spark, sf_dir).withColumn("birth_year", F.when(_c("o_orderkey") % 9 != 0, _c("birth_year"))).withColumn("file", F.lit("f")).withColumn("rec", _c("o_orderkey"))
-    return privacy.strip_living(d, AS_OF).select(_c("rec").alias("o_orderkey"))
+    d = _lives(spark, sf_dir)
+    return d.join(privacy.strip_living(d, AS_OF), ["file", "rec"], "left_semi").select("ptr")
 
 
 @query
@@ -296,38 +321,46 @@ def private_families(spark, sf_dir):
 # -- links
 @query
 def link_domains(spark, sf_dir):
-    return relational.top_links(table(spark, sf_dir, "pages").select("page_id", "url"), text.domain(_c("url")), "page_id", 10)
+    return relational.top_links(page_links(spark, sf_dir), text.domain(_c("url")), "page_id", 10)
 
 
 @query
 def link_paths(spark, sf_dir):
-    return relational.top_links(table(spark, sf_dir, "pages").select("page_id", "url"), text.domain_path(_c("url"), 1), "page_id", 20)
+    return relational.top_links(page_links(spark, sf_dir), text.domain_path(_c("url"), 1), "url", 20)
 
 
 @query
 def url_search(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(text.find_urls(_c("url"))).alias("url"))
-    return p.where(F.contains(F.lower("url"), F.lit("/fr/")))
+    lines = page_links(spark, sf_dir).groupBy("page_id").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    at = _c("page_id") * 100_000
+    row = lambda no, line: F.struct(no.cast("long").alias("no"), line.alias("line"))
+    rows = F.concat(F.array(row(at, F.concat(F.lit("0 @P"), _c("page_id").cast("string"), F.lit("@ INDI")))), F.transform("urls", lambda u, i: row(at + i + 1, F.concat(F.lit("1 NOTE see "), u))))
+    n = ged.lines_to_nodes(lines.select(F.lit("f").alias("file"), F.explode(rows).alias("r")).select("file", "r.no", "r.line"))
+    heads = n.where("level = 0").select("file", "rec", "pointer")
+    return relational.url_search(n, "/de").join(heads, ["file", "rec"]).select("pointer", "url")
 
 
 @query
 def duplicate_urls(spark, sf_dir):
-    return relational.duplicate_urls(table(spark, sf_dir, "pages").select(text.url_host(_c("url")).alias("url"), _c("page_id").alias("owner")))
+    return relational.duplicate_urls(page_links(spark, sf_dir).withColumnRenamed("page_id", "owner"))
 
 
 @query
 def link_audit(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("url", F.concat(F.lit("p"), (_c("page_id") % 3).cast("string")).alias("label"), "page_id")
-    return relational.link_audit(p.select("url", "label"), p.where("page_id % 4 = 0").select("url"))
+    p = page_links(spark, sf_dir).withColumn("label", F.concat(F.lit("p"), (_c("page_id") % 3).cast("string")))
+    return relational.link_audit(p.select("url", "label"), table(spark, sf_dir, "pages").select("url").unionByName(p.where("label = 'p0'").select("url")))
 
 
 # -- merge, dedupe, totals, increments
 @query
 def merge_pointers(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.lit("nation").alias("file"), F.concat(F.lit("@N"), _c("n_nationkey").cast("string"), F.lit("@")).alias("pointer"), _c("n_name").alias("value"))
-    r = table(spark, sf_dir, "region").select(F.lit("region").alias("file"), F.concat(F.lit("@N"), _c("r_regionkey").cast("string"), F.lit("@")).alias("pointer"), F.lit("@").alias("value"))
-    both = n.unionByName(r).withColumn("i", F.when(_c("file") == "nation", 1).otherwise(2))
-    return both.select("file", merge.renamed(_c("pointer"), _c("i")).alias("pointer"), merge.renamed(_c("value"), _c("i")).alias("value"))
+    def lines(name, key, value):
+        at = _c(key) * 10
+        rows = F.array(F.struct(at.cast("long").alias("no"), F.concat(F.lit("0 @N"), _c(key).cast("string"), F.lit("@ INDI")).alias("line")), F.struct((at + 1).cast("long").alias("no"), F.concat(F.lit("1 NAME "), value).alias("line")))
+        return table(spark, sf_dir, name).select(F.lit(name).alias("file"), F.explode(rows).alias("r")).select("file", "r.no", "r.line")
+
+    both = lines("nation", "n_nationkey", _c("n_name")).unionByName(lines("region", "r_regionkey", F.concat(F.lit("@N"), _c("r_regionkey").cast("string"), F.lit("@"))))
+    return merge.merge(ged.lines_to_nodes(both), ["nation", "region"]).select("level", "tag", F.coalesce("pointer", F.lit("")).alias("pointer"), "value")
 
 
 @query
@@ -339,7 +372,7 @@ def dedupe_groups(spark, sf_dir):
 @query
 def metadata_upsert(spark, sf_dir):
     old = table(spark, sf_dir, "nation").select(_c("n_nationkey").cast("long").alias("contributor"), _c("n_name").alias("name"))
-    new = table(spark, sf_dir, "supplier").where("s_suppkey between 20 and 40").select(_c("s_suppkey").alias("contributor"), _c("s_name").alias("name"))
+    new = table(spark, sf_dir, "supplier").select(_c("s_suppkey").alias("contributor"), _c("s_name").alias("name"))
     return merge.upsert(old, new, "contributor")
 
 
@@ -347,9 +380,9 @@ def metadata_upsert(spark, sf_dir):
 def incremental_skip(spark, sf_dir):
     """Users with events behind their last finished run."""
     e = table(spark, sf_dir, "events")
-    last = e.groupBy("user_id").agg(F.max("ts").alias("newest"))
-    done = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("ts").alias("done"))
-    return last.join(done, "user_id", "left").where(_c("done").isNull() | (_c("newest") > _c("done"))).select("user_id")
+    newest = e.groupBy(_c("user_id").alias("file")).agg(F.max("ts").alias("modified"))
+    done = e.where("event_id % 2 = 0").select(_c("user_id").alias("file"), _c("ts").alias("finished"))
+    return increments.stale(newest, done).select(_c("file").alias("user_id"))
 
 
 @query

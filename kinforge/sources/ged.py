@@ -23,7 +23,10 @@ CHARSETS = {
 }
 CHAR_LINE = re.compile(rb"(?im)^\s*\d\s+CHAR\s+(.+?)\s*$")
 LINE = r"^\s*(\d{1,2})\s+(?:(@[^@]+@)\s+)?(\S+)(?: (.*))?$"
+RECORD = r"^\s*00?\s+\S"
 MAX_LEVEL = 9
+#: line numbers that one task counts records in
+RANGE = 1 << 16
 
 
 def looks_like_1250(raw: bytes) -> bool:
@@ -74,16 +77,19 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.[gG][eE][dD]")
 def lines_to_nodes(lines: DataFrame) -> DataFrame:
     """``file, no, line`` to nodes. Lines that do not fit the grammar continue the value of the line before them.
 
-    Record starts are counted per file; everything below a record is worked out within it.
+    Record starts are counted for ranges of line numbers, so that a file of any size is read by
+    many tasks; everything below a record is worked out within it.
     """
-    d = lines.where(F.trim("line") != "").withColumn("fits", F.col("line").rlike(LINE))
-    d = d.select("file", F.col("no").cast("decimal(20,6)").alias("ord"), "fits",
+    ranges = lines.select("file", F.floor(F.col("no") / RANGE).alias("_range"), F.col("line").rlike(RECORD).cast("long").alias("n")).groupBy("file", "_range").agg(F.sum("n").alias("n"))
+    earlier = W.partitionBy("file").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("file", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    d = lines.where(F.trim("line") != "").withColumn("fits", F.col("line").rlike(LINE)).withColumn("_range", F.floor(F.col("no") / RANGE)).join(ranges, ["file", "_range"])
+    d = d.select("file", "_range", "_before", F.col("no").cast("decimal(20,6)").alias("ord"), "fits",
                  F.when(F.col("fits"), F.regexp_extract("line", LINE, 1).try_cast("int")).alias("level"),
                  F.nullif(F.regexp_extract("line", LINE, 2), F.lit("")).alias("pointer"),
                  F.when(F.col("fits"), F.regexp_extract("line", LINE, 3)).otherwise("CONC").alias("tag"),
                  F.when(F.col("fits"), F.regexp_extract("line", LINE, 4)).otherwise(F.col("line")).alias("value"))
-    file = W.partitionBy("file").orderBy("ord")
-    d = d.withColumn("rec", F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(file.rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("rec", F.col("_before") + F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(W.partitionBy("file", "_range").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
     record = W.partitionBy("file", "rec").orderBy("ord")
     so_far = record.rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("level", F.coalesce("level", F.last("level", True).over(so_far) + 1))
@@ -100,16 +106,23 @@ def text_to_nodes(files: DataFrame) -> DataFrame:
 
 
 def serialize(nodes: DataFrame) -> DataFrame:
-    """``file, text``: the nodes in order as lines."""
+    """``file, text``: the nodes in order as lines, for files that fit a row; ``write`` is for any size."""
     line = F.concat_ws(" ", F.col("level").cast("string"), "pointer", "tag", F.nullif("value", F.lit("")))
     per = nodes.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
     return per.select("file", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
+def write(nodes: DataFrame, path: str) -> None:
+    """A folder for each file, with its lines in order over text files that sort by name; no task holds a whole file."""
+    line = F.concat_ws(" ", F.col("level").cast("string"), "pointer", "tag", F.nullif("value", F.lit("")))
+    lines = nodes.repartitionByRange("file", "ord").sortWithinPartitions("file", "ord")
+    lines.select("file", line.alias("value")).write.partitionBy("file").text(path)
+
+
 def utf8_header(nodes: DataFrame) -> DataFrame:
     """The first CHAR of each file says UTF-8."""
-    first = F.min(F.when(F.col("tag") == "CHAR", F.col("ord"))).over(W.partitionBy("file"))
-    return nodes.withColumn("_c", first).withColumn("value", F.when(F.col("ord") == F.col("_c"), "UTF-8").otherwise(F.col("value"))).drop("_c")
+    first = nodes.where(F.col("tag") == "CHAR").groupBy("file").agg(F.min("ord").alias("_c"))
+    return nodes.join(first, "file", "left").withColumn("value", F.when(F.col("ord") == F.col("_c"), "UTF-8").otherwise(F.col("value"))).select(*nodes.columns)
 
 
 def full_text(nodes: DataFrame) -> DataFrame:
