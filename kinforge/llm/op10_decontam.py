@@ -7,8 +7,8 @@ the document stands whole in a window at most four times its size. That keeps th
 similarity of item and window above 0.19 for a containment of 0.8 or more, in documents of any
 length, and one of ``HASHES`` minimum hashes that item and window share makes a candidate
 (missed with a chance below 0.0001). Only windows that hold the shingle behind one of an item's
-minima can share a minimum, so no other windows are hashed, and of a window's minima only those
-of such a shingle go on. Items of under five words are one shingle of all their words; documents
+minima can share a minimum, so only windows that hold a shingle of some item are hashed, and of a
+window's minima only those of such a shingle go on. Items of under five words are one shingle of all their words; documents
 are searched for runs of as many words. Candidates are verified by the exact containment of the
 item's shingles in the document: 0.8 or more. A document's own shingles are first reduced to those
 that some item may hold, so no whole document goes through a shuffle.
@@ -32,7 +32,7 @@ K = 5
 HASHES = 48
 CONTAINED = 0.8
 #: a bitmap has 2 ** BITS bits at least and 2 ** MOST_BITS at most, however many shingles there are
-BITS, MOST_BITS = 20, 23
+BITS, MOST_BITS = 19, 23
 #: most numbers in a side that is broadcast: signature rows of four numbers, or the shingles of all items
 SIDE_LIMIT = 2_000_000
 
@@ -55,15 +55,15 @@ def windows_of(places: str, w: int) -> Column:
 
 
 def probes(shingle: Column, bits: int) -> list[Column]:
-    """Two bit numbers of a shingle hash."""
-    return [F.shiftrightunsigned(shingle, k * 32).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(2)]
+    """Four bit numbers of a shingle hash."""
+    return [F.shiftrightunsigned(shingle, k * 15).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(4)]
 
 
 class Bitmap:
     """The bits of all shingles as one constant of 64-bit numbers; a full bitmap would only cost time."""
 
     def __init__(self, shingles: DataFrame, n: int):
-        self.bits = min(MOST_BITS, max(BITS, (16 * n).bit_length()))
+        self.bits = min(MOST_BITS, max(BITS, (32 * n).bit_length()))
         bit = shingles.select(F.explode(F.array(*probes(F.col("shingle"), self.bits))).alias("b"))
         rows = bit.groupBy(F.bitmap_bucket_number(F.col("b") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("bits")).collect()
         whole = bytearray((1 << self.bits) // 8)
@@ -74,8 +74,8 @@ class Bitmap:
         self.column = F.from_json(F.lit(str(words)), "array<bigint>")
 
     def holds(self, shingle: Column) -> Column:
-        one, two = [F.getbit(F.element_at(self.column, (F.shiftrightunsigned(b, 6) + 1).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in probes(shingle, self.bits)]
-        return one & two
+        tests = [F.getbit(F.element_at(self.column, (F.shiftrightunsigned(b, 6) + 1).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in probes(shingle, self.bits)]
+        return tests[0] & tests[1] & tests[2] & tests[3]
 
 
 def bounded(side: DataFrame, numbers: int) -> DataFrame:
@@ -114,14 +114,13 @@ def long_items(d: DataFrame, own: DataFrame, count: dict) -> DataFrame:
     signed = cut(signed.select("item_id", "w", F.col("s.i").alias("i"), F.col("s.m.value").alias("value"), F.col("s.m.shingle").alias("shingle")))
     sizes = sorted(r["w"] for r in own.select("w").distinct().collect())  # at most 31 powers of two
     any_item = Bitmap(own.select(F.explode("set").alias("shingle")).distinct(), n_shingles)
-    signature = Bitmap(signed.select("shingle").distinct(), min(n_shingles, HASHES * n_items))
     d = d.select("row", shingle_hashes(F.col("words")).alias("sh"))
-    d = d.withColumn("hits", F.filter(F.transform("sh", lambda s, p: F.when(signature.holds(s), p)), lambda p: p.isNotNull())).where(F.size("hits") > 0)
-    d = d.withColumn("held", F.array_distinct(F.filter("sh", any_item.holds)))
+    d = d.withColumn("hits", F.filter(F.transform("sh", lambda s, p: F.when(any_item.holds(s), p)), lambda p: p.isNotNull())).where(F.size("hits") > 0)
+    d = d.withColumn("held", F.array_distinct(F.transform("hits", lambda p: F.get("sh", p))))
     windows = F.array_distinct(F.flatten(F.array(*[windows_of("hits", w) for w in sizes])))
     part = F.transform(windows, lambda x: F.struct(x["w"].alias("w"), F.slice("sh", (x["k"] * x["w"] + 1).cast("int"), 2 * x["w"]).alias("part")))
     c = d.select("row", "held", F.explode(part).alias("x")).select("row", "held", F.col("x.w").alias("w"), F.col("x.part").alias("part"))
-    minima = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), minimum(F.col("part"), i).alias("m")) for i in range(HASHES)]), lambda x: signature.holds(x["m"]["shingle"]))
+    minima = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), minimum(F.col("part"), i).alias("m")) for i in range(HASHES)]), lambda x: F.array_contains(F.col("held"), x["m"]["shingle"]))
     c = c.select("row", "held", "w", F.explode(minima).alias("m")).select("row", "held", "w", F.col("m.i").alias("i"), F.col("m.m.value").alias("value"))
     found = c.join(bounded(signed.select("item_id", "w", "i", "value"), 4 * HASHES * n_items), ["w", "i", "value"])
     found = found.groupBy("row", "item_id").agg(F.first("held").alias("held"))
