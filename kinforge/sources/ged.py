@@ -16,10 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinforge.sources import charsets
+
 #: fixed values: header names of character sets and their codecs
 CHARSETS = {
     "UTF-8": "utf-8", "UTF8": "utf-8", "UNICODE": "utf-16", "UTF-16": "utf-16", "ASCII": "ascii", "ANSI_1250": "cp1250", "CP1250": "cp1250", "WINDOWS-1250": "cp1250",
-    "CP1252": "cp1252", "WINDOWS-1252": "cp1252", "ISO-8859-1": "latin-1", "ISO8859-1": "latin-1", "LATIN1": "latin-1", "ISO-8859-2": "iso8859-2", "IBMPC": "cp437", "MACINTOSH": "mac_roman",
+    "CP1251": "cp1251", "WINDOWS-1251": "cp1251", "CP1252": "cp1252", "WINDOWS-1252": "cp1252", "ISO-8859-1": "latin-1", "ISO8859-1": "latin-1", "LATIN1": "latin-1", "LATIN-1": "latin-1", "ISO-8859-2": "iso8859-2",
+    "IBM": "cp437", "IBMPC": "cp437", "IBM-PC": "cp437", "OEM": "cp437", "MAC": "mac_roman", "MACOS": "mac_roman", "MACINTOSH": "mac_roman", "ANSEL": "ansel",
 }
 CHAR_LINE = re.compile(rb"(?im)^\s*\d\s+CHAR\s+(.+?)\s*$")
 LINE = r"^\s*(\d{1,2})\s+(?:(@[^@]+@)\s+)?(\S+)(?: (.*))?$"
@@ -29,34 +32,55 @@ MAX_LEVEL = 9
 RANGE = 1 << 16
 
 
-def looks_like_1250(raw: bytes) -> bool:
-    """Bytes of š, ž, č where letters stand beside them."""
-    return bool(re.search(rb"[\x00-\x7f][\x9a\x9e\x8a\x8e]|[\xe8\xc8][\x00-\x7f]", raw))
+def header_codec(raw: bytes) -> tuple[str | None, str | None]:
+    """The header's character set by name, and its codec where the name is known and the bytes do not belie it.
+
+    A header that can be read byte by byte is not in UTF-16, and ANSEL has no bytes from 0x80 to 0x9F.
+    """
+    named = CHAR_LINE.search(raw[:4096])
+    name = named[1].decode("latin-1").upper() if named else None
+    codec = CHARSETS.get(name)
+    return name, None if codec == "utf-16" or codec == "ansel" and not charsets.is_ansel(raw) else codec
 
 
 def decode(raw: bytes) -> str:
-    """Text of a file: marks at its start, then the header's character set, then UTF-8, then windows-1250."""
+    """Text of a file: by the marks at its start, else by the header's character set, else by its bytes.
+
+    UTF-8 that does not fit is windows-1250 if it shows that set's letters, else it is read with
+    replacements if there are few, else by its bytes.
+    """
     raw = bytes(raw)
-    if raw.startswith(b"\xef\xbb\xbf"):
-        text = raw.decode("utf-8-sig", "replace")
-    elif raw.startswith((b"\xff\xfe", b"\xfe\xff")):
-        text = raw.decode("utf-16", "replace")
+    if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
+        text = raw.decode("utf-16", "replace").replace("\0", "")
     else:
         raw = raw.replace(b"\0", b"")
+        if b"\n" not in raw:
+            raw = raw.replace(b"\r", b"\n")
         before = None
         while raw != before:  # a sign of several bytes that a continuation line has cut in two
-            before, raw = raw, re.sub(rb"([\xc2-\xf4])\r?\n\d+ CONC ([\x80-\xbf])", rb"\1\2", raw)
-        named = CHAR_LINE.search(raw[:4096])
-        codec = CHARSETS.get(named[1].decode("latin-1").upper()) if named else None
-        try:
-            text = raw.decode(codec or "utf-8")
-        except (UnicodeDecodeError, LookupError):
-            lenient = raw.decode("utf-8", "replace")
-            few = lenient.count("�") < max(10, len(raw) // 1000)
-            text = raw.decode("cp1250", "replace") if looks_like_1250(raw) or not few else lenient
+            before, raw = raw, re.sub(rb"([\x80-\xff])\r?\n\d+ CONC ([\x80-\xbf])", rb"\1\2", raw)
+        text = _decoded(raw)
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
+def _decoded(raw: bytes) -> str:
+    name, codec = header_codec(raw)
+    if charsets.has_prefix_letters(raw, name):
+        return charsets.from_prefix_letters(raw)
+    codec = "utf-8-sig" if raw.startswith(b"\xef\xbb\xbf") else codec or charsets.guessed(raw)
+    if codec == "ansel":
+        return charsets.from_ansel(raw)
+    if codec.startswith("utf-8"):
+        try:
+            return raw.decode(codec)
+        except UnicodeDecodeError:
+            lenient = raw.decode(codec, "replace")
+            if not charsets.looks_like_1250(raw) and lenient.count("\ufffd") < max(10, len(raw) // 1000):
+                return lenient
+            codec = charsets.guessed(raw)
+    return (raw.translate(charsets.DOS_BYTES) if codec == "cp1250" else raw).decode(codec, "replace")
+
+
 @F.pandas_udf(T.StringType())
 def decode_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for raw in batches:
