@@ -36,22 +36,47 @@ def duplicate_persons(people: DataFrame) -> DataFrame:
 
 
 def dedupe(nodes: DataFrame, dup: DataFrame) -> DataFrame:
-    """Links to merged records go to their masters, which gain missing FAMC/FAMS; merged records go."""
+    """Links to merged records go to their masters; merged records go.
+
+    A master gains the FAMC/FAMS it lacks and, for each merged record, a NOTE with that record's other lines.
+    """
     gone = dup.where("ptr <> master").select("file", F.col("ptr").alias("value"), "master")
     d = nodes.join(gone, ["file", "value"], "left").withColumn("value", F.coalesce("master", "value")).select(*nodes.columns)
     heads = nodes.where("level = 0").select("file", "rec", F.col("pointer").alias("ptr"))
     merged = heads.join(dup.where("ptr <> master"), ["file", "ptr"])
-    links = nodes.where((F.col("level") == 1) & F.col("tag").isin("FAMC", "FAMS")).join(merged.select("file", "rec", "master"), ["file", "rec"]).select("file", "tag", "value", "master").distinct()
     target = heads.select("file", F.col("ptr").alias("master"), F.col("rec").alias("to"))
     last = nodes.groupBy("file", "rec").agg(F.max("ord").alias("end"), F.min("ord").alias("top")).withColumnRenamed("rec", "to")
-    have = nodes.where((F.col("level") == 1) & F.col("tag").isin("FAMC", "FAMS")).select("file", F.col("rec").alias("to"), "tag", "value")
-    new = links.join(target, ["file", "master"]).join(have, ["file", "to", "tag", "value"], "left_anti").join(last, ["file", "to"])
-    k = F.row_number().over(W.partitionBy("file", "to").orderBy("tag", "value"))
-    at = (F.col("end") + k * F.lit("0.000001").cast("decimal(20,6)")).cast("decimal(20,6)")
-    made = new.withColumn("at", at).select("file", F.col("to").alias("rec"), F.col("at").alias("ord"), F.col("top").alias("parent"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("pointer"), "tag", "value", F.lit("INDI").alias("rec_tag"), F.array("top", "at").alias("path"))
+    new = _missing_links(nodes, merged, target).unionByName(_notes(nodes, merged, target)).join(last, ["file", "to"])
+    order = W.partitionBy("file", "to").orderBy("source", "at", "line")
+    at = (F.col("end") + F.row_number().over(order) * F.lit("0.000001").cast("decimal(20,6)")).cast("decimal(20,6)")
+    made = new.withColumn("ord", at).withColumn("note", F.last(F.when(F.col("tag") == "NOTE", F.col("ord")), True).over(order))
+    below = F.col("level") == 2
+    path = F.when(below, F.array("top", "note", "ord")).otherwise(F.array("top", "ord"))
+    made = made.select("file", F.col("to").alias("rec"), "ord", F.when(below, F.col("note")).otherwise(F.col("top")).alias("parent"), "level", F.lit(None).cast("string").alias("pointer"), "tag", "value", F.lit("INDI").alias("rec_tag"), path.alias("path"))
     return d.join(merged.select("file", "rec"), ["file", "rec"], "left_anti").unionByName(made.select(*nodes.columns))
 
 
+def _missing_links(nodes: DataFrame, merged: DataFrame, target: DataFrame) -> DataFrame:
+    """New lines for the family links that masters lack, each once; they stand before the notes."""
+    links = nodes.where((F.col("level") == 1) & F.col("tag").isin("FAMC", "FAMS"))
+    have = links.select("file", F.col("rec").alias("to"), "tag", "value")
+    lost = links.join(merged.select("file", "rec", "master"), ["file", "rec"]).select("file", "tag", "value", "master").distinct().join(target, ["file", "master"])
+    order = F.concat_ws(" ", "tag", "value")
+    return lost.join(have, ["file", "to", "tag", "value"], "left_anti").select("file", "to", F.lit("").alias("source"), F.lit(0).cast("decimal(20,6)").alias("at"), order.alias("line"), F.lit(1).alias("level"), "tag", "value")
+
+
+def _notes(nodes: DataFrame, merged: DataFrame, target: DataFrame) -> DataFrame:
+    """New lines for the notes: which record was merged, and its lines but for the family links."""
+    source = merged.select("file", "rec", F.col("ptr").alias("source"), "master").join(target, ["file", "master"])
+    top = W.partitionBy("file", "rec").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    own = nodes.join(source, ["file", "rec"]).where("level > 0").withColumn("_top", F.last(F.when(F.col("level") == 1, F.col("tag")), True).over(top)).where(~F.col("_top").isin("FAMC", "FAMS"))
+    line = F.concat_ws(" ", F.col("level").cast("string"), "pointer", "tag", F.nullif("value", F.lit("")))
+    row = lambda at, text_, level, tag: ("file", "to", "source", F.lit(at).cast("decimal(20,6)").alias("at") if isinstance(at, int) else at, F.lit("").alias("line"), F.lit(level).alias("level"), F.lit(tag).alias("tag"), text_.alias("value"))
+    said = own.select(*row(F.col("ord").alias("at"), line, 2, "CONT"))
+    first = source.select(*row(-2, F.concat(F.lit("Merged from duplicate record "), "source", F.lit(".")), 1, "NOTE"))
+    return first.unionByName(own.select("file", "to", "source").distinct().select(*row(-1, F.lit("Original data:"), 2, "CONT"))).unionByName(said)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The new rows replace old ones of the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
@@ -21,12 +22,16 @@ def years(nodes: DataFrame) -> DataFrame:
     rank = F.struct((F.col("tag") != "BIRT").alias("later"), F.col("ord"))
     born = b.groupBy("file", "rec").agg(F.min_by(dates.birth_year(F.coalesce("date", F.lit(""))), rank).alias("birth_year"), F.min_by(dates.year_strict(F.coalesce("date", F.lit(""))), F.when((F.col("tag") == "BIRT") & F.col("date").isNotNull(), F.col("ord"))).alias("exact_birth"))
     d = events(nodes, DEATH).where(F.upper(F.coalesce("value", F.lit(""))) != "N")
-    known = (F.upper(F.coalesce("value", F.lit(""))) == "Y") | F.coalesce("date", F.lit("")).rlike(r"\d") | (F.coalesce("place", F.lit("")) != "") | (F.col("date").isNull() & F.col("place").isNull())
-    died = d.groupBy("file", "rec").agg(F.min(dates.year_strict(F.coalesce("date", F.lit("")))).alias("death_year"), F.bool_or(known).alias("dead"))
+    value = F.coalesce(text.strip(F.col("value")), F.lit(""))
+    says = (value != "") & ((F.col("tag") != "DATE") | value.rlike(r"\d"))
+    below = nodes.where("level = 2").groupBy("file", F.col("parent").alias("ord")).agg(F.bool_or(says).alias("says"), F.bool_or((F.col("tag") == "TYPE") & F.lower(value).contains("death")).alias("kind"))
+    known = (F.upper(value) == "Y") | F.coalesce("says", F.lit(True))  # an event with nothing below it counts
+    died = d.join(below, ["file", "ord"], "left").groupBy("file", "rec").agg(F.min(dates.year_strict(F.coalesce("date", F.lit("")))).alias("death_year"), F.bool_or(known).alias("dead"))
+    other = nodes.where((F.col("rec_tag") == "INDI") & (F.col("level") == 1) & (F.col("tag") == "EVEN")).select("file", "rec", "ord").join(below.where("kind"), ["file", "ord"], "left_semi").select("file", "rec").distinct().withColumn("other", F.lit(True))
     names = nodes.where(F.col("tag").isin("NAME", "GIVN", "SURN") & F.col("value").rlike(MARK) | (F.col("tag") == "NOTE") & F.col("value").rlike(r"(?i)^(?:living|private|privat)\b"))
     marked = names.select("file", "rec").distinct().withColumn("marked", F.lit(True))
-    out = heads.join(born, ["file", "rec"], "left").join(died, ["file", "rec"], "left").join(marked, ["file", "rec"], "left")
-    return out.select("file", "rec", "birth_year", "exact_birth", "death_year", F.coalesce("dead", F.lit(False)).alias("dead"), F.coalesce("marked", F.lit(False)).alias("marked"))
+    out = heads.join(born, ["file", "rec"], "left").join(died, ["file", "rec"], "left").join(other, ["file", "rec"], "left").join(marked, ["file", "rec"], "left")
+    return out.select("file", "rec", "birth_year", "exact_birth", "death_year", F.coalesce(F.col("dead") | F.col("other"), "dead", "other", F.lit(False)).alias("dead"), F.coalesce("marked", F.lit(False)).alias("marked"))
 
 
 def born_within(as_of: int, n: int = 75) -> Column:
@@ -61,13 +66,39 @@ def living(people: DataFrame, parents: DataFrame, as_of: int, n: int = 100, roun
 
 
 def redact(nodes: DataFrame, people: DataFrame, how: str = "private") -> DataFrame:
-    """The people's records keep name, sex and family links; the first name is ``<private>``, initials or a given initial."""
-    hit = nodes.join(people.select("file", "rec", F.lit(True).alias("_hit")), ["file", "rec"], "left")
-    first = hit.where(F.col("_hit") & (F.col("level") == 1) & (F.col("tag") == "NAME")).groupBy("file", "rec").agg(F.min("ord").alias("_first"))
-    d = hit.join(first, ["file", "rec"], "left")
-    stays = F.col("_hit").isNull() | (F.col("level") == 0) | (F.col("level") == 1) & F.col("tag").isin("SEX", "FAMC", "FAMS") | (F.col("ord") == F.col("_first"))
-    new = {"private": F.lit(PRIVATE), "initials": text.shorten_name(F.col("value")), "name": text.shorten_given(F.col("value"))}[how]
-    return d.where(stays).withColumn("value", F.when(F.col("ord") == F.col("_first"), new).otherwise(F.col("value"))).select(*nodes.columns)
+    """The people's records keep sex and family links with what is below them, and their first name.
+
+    It is ``<private>``, initials (``initials``) or a given initial with the surname (``name``); a
+    record without a name gains one. GIVN and SURN below it stay in the last two forms, shortened
+    likewise.
+    """
+    hit = nodes.join(people.select("file", "rec", F.lit(True).alias("_hit")).distinct(), ["file", "rec"], "left")
+    record = W.partitionBy("file", "rec")
+    is_name = F.col("_hit") & (F.col("level") == 1) & (F.col("tag") == "NAME")
+    d = hit.withColumn("_first", F.min(F.when(is_name, F.col("ord"))).over(record))
+    d = d.withColumn("_top", F.last(F.when(F.col("level") == 1, F.col("tag")), True).over(record.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
+    own, part = F.col("ord") == F.col("_first"), (F.col("level") == 2) & (F.col("parent") == F.col("_first"))
+    value = F.coalesce("value", F.lit(""))
+    short = {"private": F.lit(PRIVATE), "initials": text.shorten_name(value), "name": text.shorten_given(value)}[how]
+    kept = {"private": (), "initials": ("GIVN", "SURN"), "name": ("GIVN", "SURN")}[how]
+    cut_short = {"private": (), "initials": ("GIVN", "SURN"), "name": ("GIVN",)}[how]
+    stays = F.col("_hit").isNull() | (F.col("level") == 0) | F.col("_top").isin("SEX", "FAMC", "FAMS") | own | part & F.col("tag").isin(*kept)
+    new = F.when(own, short).when(F.col("_hit") & part & F.col("tag").isin(*cut_short), text.initials(value)).otherwise(F.col("value"))
+    out = d.where(F.coalesce(stays, F.lit(False))).withColumn("value", new).select(*nodes.columns)
+    at = (F.col("ord") + F.lit("0.000001").cast("decimal(20,6)")).cast("decimal(20,6)")
+    bare = d.where(F.col("_hit") & (F.col("level") == 0) & F.col("_first").isNull())
+    made = bare.select("file", "rec", at.alias("ord"), F.col("ord").alias("parent"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("pointer"), F.lit("NAME").alias("tag"), F.lit(PRIVATE if how == "private" else "").alias("value"), "rec_tag", F.array(F.col("ord"), at).alias("path"))
+    return out.unionByName(made.select(*nodes.columns))
+
+
+def without_marriages(nodes: DataFrame, people: DataFrame) -> DataFrame:
+    """The families in which these people are partners lose date and place of their marriages."""
+    fams = nodes.join(people.select("file", "rec").distinct(), ["file", "rec"], "left_semi").where((F.col("level") == 1) & (F.col("tag") == "FAMS")).select("file", text.strip(F.col("value")).alias("pointer")).distinct()
+    recs = nodes.where((F.col("level") == 0) & (F.col("tag") == "FAM")).join(fams, ["file", "pointer"], "left_semi").select("file", "rec", F.lit(True).alias("_fam"))
+    from kinforge.operators.tree import delete_where, with_parents
+
+    d = with_parents(nodes).join(recs, ["file", "rec"], "left")
+    return delete_where(d, F.col("_fam") & (F.col("level") == 2) & (F.col("parent_tag") == "MARR") & F.col("tag").isin("DATE", "PLAC")).select(*nodes.columns)
 
 
 def private_families(nodes: DataFrame) -> DataFrame:

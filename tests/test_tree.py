@@ -114,7 +114,8 @@ def test_merge_and_dedupe(spark):
     body = "0 @A@ INDI\n1 NAME X /Y/\n1 BIRT\n2 DATE 1900\n0 @B@ INDI\n1 NAME x /y/\n1 BIRT\n2 DATE 1900\n1 FAMS @F@\n0 @F@ FAM\n1 HUSB @B@\n"
     n = nodes(spark, body)
     out = written(merge.dedupe(n, merge.duplicate_persons(relational.persons(n))))
-    assert "@B@" not in out and "1 HUSB @A@" in out and "1 FAMS @F@" in out
+    assert "0 @B@" not in out and "1 HUSB @A@" in out and out.count("1 FAMS @F@") == 1
+    assert "1 FAMS @F@\n1 NOTE Merged from duplicate record @B@.\n2 CONT Original data:\n2 CONT 1 NAME x /y/\n2 CONT 1 BIRT\n2 CONT 2 DATE 1900\n0 @F@ FAM" in out
 
 
 def test_decode():
