@@ -238,16 +238,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         sample = spread_rows.mapInPandas(index, "f array<int>, toxic int").toPandas()
     finally:
         spread_rows.unpersist()
-    return learned([tuple(f) for f in sample["f"]], sample["toxic"].to_numpy(), vocabulary, voters)
+    return learned(list(sample["f"]), sample["toxic"].to_numpy(), vocabulary, voters)
 
 
-def learned(found: list[tuple], gold: np.ndarray, vocabulary: dict[str, int], voters: list[str]) -> Model:
+def learned(found: list[np.ndarray], gold: np.ndarray, vocabulary: dict[str, int], voters: list[str]) -> Model:
     """The classifier from the rows' feature numbers and labels (-1: none)."""
-    order = sorted(range(len(found)), key=lambda i: (int(gold[i]), found[i]))
+    order = sorted(range(len(found)), key=lambda i: (int(gold[i]), np.asarray(found[i], ">i4").tobytes()))
     gold = np.asarray(gold)[order].astype(int)
-    lists = [np.asarray(found[i], dtype=np.int64) for i in order]
-    r = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    c = np.concatenate([*lists, np.zeros(0, np.int64)])
+    lists = [np.asarray(found[i], np.int32) for i in order]
+    r = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    c = np.concatenate([*lists, np.zeros(0, np.int32)])
     n, k = len(lists), len(vocabulary)
     column = np.full(k, -1)
     for j, f in enumerate(voters):
