@@ -15,6 +15,7 @@ from .op7_lines import op7_line_dedup
 from .op8_mixing import op8_mixing
 from .op9_pii import op9_pii_surrogates
 from .op10_decontam import op10_decontamination
+from .op12_runs import op12_periodic_runs
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_decontamination": op10_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
