@@ -103,7 +103,7 @@ def grid(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def runs(words: np.ndarray) -> np.ndarray:
     """Rows (start, length, period) of all runs of a numbered text, by start, then period."""
     names, found = Names(words), [np.zeros((0, 3), np.int64)]
-    end, base = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)  # of the last run entered here
+    end, base = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)  # of a run entered here
     for i, q in grid(words):
         old = (i + q < end[i]) & (q % base[i] == 0)  # the stretch of a multiple is that of the period itself
         i, q = i[~old], q[~old]
@@ -113,8 +113,9 @@ def runs(words: np.ndarray) -> np.ndarray:
         rows = np.stack([i - before, before + after + q, q], axis=1)[fits]
         found.append(np.unique(rows, axis=0))
         if len(words) > LONG:
-            for s, length, p in found[-1].tolist():
-                end[s : s + length], base[s : s + length] = s + length, p
+            for s, length, p in found[-1][np.argsort(found[-1][:, 2], kind="stable")].tolist():
+                if s + length > end[s]:
+                    end[s : s + length], base[s : s + length] = s + length, p
     rows = np.concatenate(found)
     rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
     first = np.ones(len(rows), bool)
