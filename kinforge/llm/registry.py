@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op10_decontam
+from . import op10_decontam, op11_kd_search, op13_dual_tree
 from .op1_toxicity import op1_toxicity
 from .op2_tokens import op2_token_counts
 from .op3_quotes import op3_quotation_links
@@ -15,7 +15,9 @@ from .op7_lines import op7_line_dedup
 from .op8_mixing import op8_mixing
 from .op9_pii import op9_pii_surrogates
 from .op10_decontam import op10_decontamination
+from .op11_kd_search import op11_exact_search
 from .op12_runs import op12_periodic_runs
+from .op13_dual_tree import op13_dual_tree_clusters
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -28,8 +30,10 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_decontamination": op10_decontamination,
+    "op11_exact_search": op11_exact_search,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_dual_tree_clusters": op13_dual_tree_clusters,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op10_decontamination": op10_decontam.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL = {"op10_decontamination": op10_decontam.SQL, "op11_exact_search": op11_kd_search.SQL, "op13_dual_tree_clusters": op13_dual_tree.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
