@@ -176,7 +176,7 @@ def open_shards(queries: DataFrame, forest: DataFrame, n_queries: int) -> DataFr
     def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names = ["uid", "id", "vec", "worst", "tie"]
         if not len(q) or not len(b):
-            return pd.DataFrame({c: [] for c in ["shard", *names]})
+            return q.iloc[:0][["shard", *names]]
         size = int(q["size"].iloc[0])
         x, low, high, out = matrix(q["vec"], size), matrix(b["low"], size), matrix(b["high"], size), []
         for lo in range(0, len(q), TOGETHER):
@@ -210,7 +210,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
 
     def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
-            return pd.DataFrame({c: [] for c in ("query", "query_id", "vec_id", "score")})
+            return pd.DataFrame(columns=["query", "query_id", "vec_id", "score"], dtype=np.int64)
         tree = Tree.read(t.iloc[0])
         return walk_all(tree, q, matrix(q["vec"], tree.x.shape[1]), k)
 
