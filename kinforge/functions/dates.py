@@ -286,14 +286,13 @@ def sort_key(c: Column) -> Column:
 
 
 def birth_year(c: Column) -> Column:
-    """A whole year of 1000 to 2029, else a partial one with 9 for each missing digit."""
-    exact = F.regexp_extract(c, r"(?<!\d)(1\d{3}|20[0-2]\d)(?!\d)", 1)
-    partial = F.regexp_extract(c, r"(?<!\d)((?:1\d|20)\d?)(?=[_?x\-])", 1)
-    return F.coalesce(_int(exact), _int(F.when(partial != "", F.rpad(partial, 4, "9"))))
+    """A whole year of 1000 to 2029, else the first one to three digits before underscores, with 9 for each missing digit."""
+    partial = F.regexp_extract(c, r"(?U)\b([0-9]{1,3})_+\b", 1)
+    return F.coalesce(year_strict(c), _int(F.when(partial != "", F.rpad(partial, 4, "9"))))
 
 
 def year_strict(c: Column) -> Column:
-    return _int(F.regexp_extract(c, r"(?<!\d)(1\d{3}|20[0-2]\d)(?!\d)", 1))
+    return _int(F.regexp_extract(c, r"(?U)\b(1[0-9]{3}|20[0-2][0-9])\b", 1))
 
 
 def year_query(c: Column) -> Column:

@@ -12,15 +12,20 @@ from kinforge.operators.relational import DEATH, events
 
 PRIVATE = "<private>"
 MARK = r"(?i)\b(?:living|private|privat)\b"
+#: a pass that does not come
+NEVER = 1_000_000
 FAMILY_EVENTS = ("MARR", "MARB", "MARC", "MARL", "MARS", "EVEN", "ENGA")
 
 
 def years(nodes: DataFrame) -> DataFrame:
     """``file, rec, birth_year, exact_birth, death_year, dead, marked`` for each person."""
     heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec")
-    b = events(nodes, ("BIRT", "BAPM", "CHR"))
-    rank = F.struct((F.col("tag") != "BIRT").alias("later"), F.col("ord"))
-    born = b.groupBy("file", "rec").agg(F.min_by(dates.birth_year(F.coalesce("date", F.lit(""))), rank).alias("birth_year"), F.min_by(dates.year_strict(F.coalesce("date", F.lit(""))), F.when((F.col("tag") == "BIRT") & F.col("date").isNotNull(), F.col("ord"))).alias("exact_birth"))
+    dated = nodes.where((F.col("level") == 2) & (F.col("tag") == "DATE")).select("file", F.col("parent").alias("ord"), F.col("ord").alias("at"), F.coalesce("value", F.lit("")).alias("date"))
+    births = nodes.where((F.col("level") == 1) & F.col("tag").isin("BIRT", "BAPM", "CHR")).select("file", "rec", "tag", "ord").join(dated, ["file", "ord"])
+    is_birth, year = F.col("tag") == "BIRT", dates.birth_year(F.col("date"))
+    last, first = F.max_by(year, F.when(is_birth & year.isNotNull(), F.struct("ord", "at"))), F.min_by(year, F.when(~is_birth & year.isNotNull(), F.struct("ord", "at")))
+    exact = F.min_by(dates.year_strict(F.col("date")), F.when(is_birth, F.struct("ord", "at")))
+    born = births.groupBy("file", "rec").agg(F.coalesce(last, first).alias("birth_year"), exact.alias("exact_birth"))
     d = events(nodes, DEATH).where(F.upper(F.coalesce("value", F.lit(""))) != "N")
     value = F.coalesce(text.strip(F.col("value")), F.lit(""))
     says = (value != "") & ((F.col("tag") != "DATE") | value.rlike(r"\d"))
@@ -44,25 +49,67 @@ def died_within(as_of: int, n: int = 20) -> Column:
     return F.coalesce(by_death | by_birth, F.lit(False))
 
 
-def living(people: DataFrame, parents: DataFrame, as_of: int, n: int = 100, rounds: int = 20) -> DataFrame:
-    """``file, rec`` of the living: marked, or without a death and born after the cutoff, or so by relatives.
+def kin(nodes: DataFrame) -> DataFrame:
+    """``file, rec, slot, side, other``: each person's parents (p), partners (s) and children (c) by family reference.
 
-    A missing year is estimated from parents (+35) and children (-35), least first, over original
-    years and estimates of earlier rounds; rounds end when nothing is added.
+    ``slot`` is the node of the person's FAMC or FAMS, ``other`` the record of the relative; of records
+    that share a pointer the last counts, and references to no record are left out.
     """
-    y = cut(people.select("file", "rec", F.col("exact_birth").alias("y"), F.col("birth_year"), "dead", "marked"))
-    known = cut(y.where("y is not null").select("file", "rec", "y"))
-    links = parents.select("file", F.col("child_rec").alias("rec"), F.col("parent_rec").alias("other"), F.lit(35).alias("gap")).unionByName(parents.select("file", F.col("parent_rec").alias("rec"), F.col("child_rec").alias("other"), F.lit(-35).alias("gap")))
-    for _ in range(rounds):
-        near = links.join(known.select("file", F.col("rec").alias("other"), "y"), ["file", "other"])
-        new = near.groupBy("file", "rec").agg(F.min(F.col("y") + F.col("gap")).alias("y")).join(known, ["file", "rec"], "left_anti")
-        new = cut(new)
-        if new.isEmpty():
-            break
-        known = cut(known.unionByName(new))
-    d = y.drop("y").join(known, ["file", "rec"], "left")
-    year = F.coalesce("birth_year", "y")
-    return d.where(F.col("marked") | ~F.col("dead") & F.coalesce(year > as_of - n, F.lit(False))).select("file", "rec")
+    index = nodes.where((F.col("level") == 0) & (F.coalesce("pointer", F.lit("")) != "")).groupBy("file", "pointer").agg(F.max("rec").alias("rec"))
+    refs = nodes.where((F.col("level") == 1) & F.col("tag").isin("FAMC", "FAMS", "HUSB", "WIFE", "CHIL")).select("file", "rec", "rec_tag", "ord", "tag", text.strip(F.coalesce("value", F.lit(""))).alias("pointer"))
+    known = cut(refs.join(index.withColumnRenamed("rec", "target"), ["file", "pointer"]))
+    homes = known.where((F.col("rec_tag") == "INDI") & F.col("tag").isin("FAMC", "FAMS")).select("file", "rec", F.col("ord").alias("slot"), F.col("tag").alias("home"), F.col("target").alias("fam"))
+    members = known.where(F.col("tag").isin("HUSB", "WIFE", "CHIL")).select("file", F.col("rec").alias("fam"), F.when(F.col("tag") == "CHIL", "c").otherwise("s").alias("side"), F.col("target").alias("other"), F.col("pointer"))
+    own = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec", F.col("pointer").alias("self"))
+    met = homes.join(own, ["file", "rec"]).join(members, ["file", "fam"])
+    up, down = (F.col("home") == "FAMC") & (F.col("side") == "s"), (F.col("home") == "FAMS") & ((F.col("side") == "c") | ~F.col("pointer").eqNullSafe(F.col("self")))
+    return met.where(up | down).select("file", "rec", "slot", F.when(up, "p").otherwise(F.col("side")).alias("side"), "other")
+
+
+def living(nodes: DataFrame, as_of: int, n: int = 100, hides_names: bool = True, passes: int = 20) -> DataFrame:
+    """``file, rec`` of the living, as passes over each file from its first person to its last would find them.
+
+    Marked persons are living, and those without a death who were born within n years. One without a
+    death or a year of birth is living if in some family all parents, some partner or all children are
+    hidden at that moment, or if the least estimate by parents (+35) and children (-35), from exact years
+    of relatives not hidden yet, lies within n years. Who is hidden loses name and birth for all that
+    come later in the same pass, and for everybody from the next pass on.
+
+    The result depends on the order of the persons, yet nothing runs in that order: each person's pass
+    follows from the passes of its relatives (hidden for those behind it in the same pass, for those
+    before it in the next), so all are worked out together, again and again, until no pass changes.
+    That ends, as a pass depends on earlier moments only. Where names stay in part (``hides_names``
+    false), hidden relatives no longer count as such, but their births still go.
+    """
+    people = years(nodes)
+    top = nodes.where((F.col("level") == 1) & (F.col("rec_tag") == "INDI"))
+    first_name = F.min_by(F.coalesce("value", F.lit("")), F.when(F.col("tag") == "NAME", F.col("ord")))
+    names = top.groupBy("file", "rec").agg(F.coalesce(F.lower(text.strip(first_name)) == PRIVATE, F.lit(False)).alias("named"), F.coalesce(F.bool_or((F.col("tag") == "SURN") & (text.strip(F.coalesce("value", F.lit(""))) != "")), F.lit(False)).alias("surn"))
+    d = people.join(names, ["file", "rec"], "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    recent = ~F.col("dead") & F.coalesce(F.col("birth_year") > as_of - n, F.lit(False))
+    skipped = F.col("named") & ~F.coalesce("surn", F.lit(False))
+    d = cut(d.select("file", "rec", F.col("exact_birth").alias("y"), "named", (~skipped & (F.col("marked") | recent)).alias("at_once"), (~skipped & ~F.col("marked") & ~F.col("dead") & F.col("birth_year").isNull()).alias("asks")))
+    other = d.select("file", F.col("rec").alias("other"), "y", "named", F.col("at_once").alias("other_at_once"))
+    links = kin(nodes).join(d.where("asks").select("file", "rec"), ["file", "rec"], "left_semi").join(other, ["file", "other"], "left")
+    early = (F.col("other") >= F.col("rec")).cast("int")
+    est = F.when(F.col("side") == "p", F.col("y") + 35).when(F.col("side") == "c", F.col("y") - 35)
+    links = cut(links.select("file", "rec", "slot", "side", "other", F.coalesce("named", F.lit(False)).alias("named"), F.when(F.col("other_at_once"), 1 + early).alias("gone"), early.alias("early"), (est > as_of - n).alias("good")))
+    found = cut(d.where("false").select("file", "rec", F.lit(0).alias("pass")))
+    while True:
+        gone = F.coalesce("gone", F.col("pass") + F.col("early"))  # the first pass that finds the relative hidden
+        seen = links.join(found.withColumnRenamed("rec", "other"), ["file", "other"], "left").withColumn("gone", gone)
+        hidden = F.when(F.col("named"), 1).when(F.lit(hides_names), F.col("gone"))
+        by_side = seen.groupBy("file", "rec", "slot", "side").agg(
+            F.when(F.col("side") == "s", F.min(hidden)).when(F.count(hidden) == F.count(F.lit(1)), F.max(hidden)).alias("short"),
+            *[F.max(F.when(F.col("good") == kind, F.coalesce("gone", F.lit(NEVER)))).alias(name) for name, kind in (("old", F.lit(False)), ("young", F.lit(True)))],
+        )
+        one = by_side.groupBy("file", "rec").agg(F.min("short").alias("short"), F.greatest(F.lit(1), F.max("old")).alias("old"), F.max("young").alias("young"))
+        at = F.least("short", F.when(F.col("young") > F.col("old"), F.col("old")))
+        new = cut(one.select("file", "rec", at.alias("pass")).where(F.col("pass") <= passes))
+        apart = new.join(found.withColumnRenamed("pass", "was"), ["file", "rec"], "full").where(~F.col("pass").eqNullSafe(F.col("was")))
+        done, found = apart.isEmpty(), new
+        if done:
+            return d.where("at_once").select("file", "rec").unionByName(found.select("file", "rec"))
 
 
 def redact(nodes: DataFrame, people: DataFrame, how: str = "private") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.functions import text
-from kinforge.operators import graph, privacy, tree
+from kinforge.operators import privacy, tree
 from kinforge.operators.checkpoints import cut
 
 INDEX = ("dd_mmm_yyyy", "name_placeholder", "name_lower", "place_placeholder", "place_duplicate_rm")
@@ -27,24 +27,16 @@ LIVING = {"living100y_private": (100, "private"), "living75y_private": (75, "pri
 PRIVACY = ("born75y_private", "died20y_private", *LIVING, "fam_partner_private")
 
 
-def _parents(nodes: DataFrame) -> DataFrame:
-    """``file, child_rec, parent_rec``."""
-    heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec", "pointer")
-    ids = lambda side: heads.select("file", F.col("pointer").alias(side), F.col("rec").alias(f"{side}_rec"))
-    pairs = graph.parents(graph.edges(nodes))
-    return pairs.join(ids("child"), ["file", "child"]).join(ids("parent"), ["file", "parent"]).select("file", "child_rec", "parent_rec")
-
-
 def hide(nodes: DataFrame, name: str, as_of: int) -> DataFrame:
     """One transformer that hides people or their families."""
     if name == "fam_partner_private":
         return privacy.private_families(nodes)
-    people = privacy.years(nodes)
     if name in LIVING:
         n, how = LIVING[name]
-        hit = cut(privacy.living(people, _parents(nodes), as_of, n))
+        hit = cut(privacy.living(nodes, as_of, n, hides_names=how == "private"))
         out = privacy.redact(nodes, hit, how)
         return privacy.without_marriages(out, hit) if how == "initials" else out
+    people = privacy.years(nodes)
     return privacy.redact(nodes, people.where({"born75y_private": privacy.born_within, "died20y_private": privacy.died_within}[name](as_of)))
 
 
