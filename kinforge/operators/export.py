@@ -2,8 +2,8 @@
 
 A person's entry in a list of parents, partners or children is (id, name, surname, sex,
 date_of_birth); lists of partners and children are ordered by year of birth, those without one
-last, then by name. Links are those of known sites in an event's texts and in the media records it
-points to.
+last, then by name. Links are those of ``evidence``, sent to birth, death or marriage by what they are
+about; ``cache`` holds kinds of links that their paths do not tell.
 """
 
 from __future__ import annotations
@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.functions import dates, records, text
-from kinforge.operators import relational
+from kinforge.functions import dates, text
+from kinforge.operators import evidence, relational
 from kinforge.operators.checkpoints import cut
 
 #: fixed values: kinds of NAME that give other surnames, and elements below a NAME that do
 OTHER_NAMES = ("married", "maiden", "aka")
 INLINE_SURNAMES = ("_MARNM", "_FORMERNAME")
-#: event tags in the order in which their links stand
-LINKED = ("BIRT", "BAPM", "NOTE", "SOUR", "OBJE", "RESI", "OCCU", "DEAT", "BURI", "CREM")
+#: the order of records in a written file
+PERSON_ORDER = ("surname", "name", "birth.date", "death.date", "birth.place", "death.place")
+FAMILY_ORDER = ("husband.surname", "husband.name", "wife.surname", "wife.name", "marriage.date", "marriage.place")
 
 
 def names(nodes: DataFrame) -> DataFrame:
@@ -46,27 +47,6 @@ def names(nodes: DataFrame) -> DataFrame:
     return d.select("file", "rec", "name", "surname", F.array_join(F.array_remove("alts", F.col("surname")), ", ").alias("alt_surname"))
 
 
-def media(nodes: DataFrame) -> DataFrame:
-    """``file, value, url``: the first link of each media record, by its pointer."""
-    d = nodes.where(F.col("rec_tag") == "OBJE")
-    url = F.get(text.find_urls(F.coalesce("value", F.lit(""))), F.lit(0))
-    first = d.select("file", "rec", "ord", url.alias("url")).where("url is not null").groupBy("file", "rec").agg(F.min_by("url", "ord").alias("url"))
-    heads = d.where("level = 0").select("file", "rec", F.col("pointer").alias("value"))
-    return heads.join(first, ["file", "rec"]).select("file", "value", "url")
-
-
-def links(nodes: DataFrame, rec_tag: str, tags: tuple[str, ...]) -> DataFrame:
-    """``file, rec, links``: links below the level-1 elements of these tags, by the order of the tags, each once."""
-    rank = F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("top"))
-    tops = nodes.where((F.col("rec_tag") == rec_tag) & (F.col("level") == 1) & F.col("tag").isin(*tags)).select("file", F.col("ord").alias("at"), F.col("tag").alias("top"))
-    below = nodes.where((F.col("rec_tag") == rec_tag) & (F.col("level") >= 1)).select("file", "rec", "ord", "tag", "value", F.element_at("path", 2).alias("at"))
-    d = below.join(tops, ["file", "at"])
-    direct = d.select("file", "rec", rank.alias("r"), "ord", F.posexplode(records.known_links(F.coalesce("value", F.lit("")))).alias("i", "url"))
-    shown = d.where("tag = 'OBJE'").join(media(nodes), ["file", "value"]).select("file", "rec", rank.alias("r"), "ord", F.lit(0).alias("i"), "url")
-    every = direct.unionByName(shown).groupBy("file", "rec").agg(F.array_sort(F.collect_list(F.struct("r", "ord", "i", "url"))).alias("l"))
-    return every.select("file", "rec", records.merged_links(F.array_distinct(F.transform("l", lambda x: x["url"]))).alias("links"))
-
-
 def facts(nodes: DataFrame) -> DataFrame:
     """One row a person: file, rec, id, names, sex, dates and places of birth, baptism, death and burial."""
     heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec", "ord", F.col("pointer").alias("id"))
@@ -111,7 +91,7 @@ def _parents(children: DataFrame, families: DataFrame, known: DataFrame) -> Data
     return met.groupBy("file", "rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "e"))), lambda x: x["e"]).alias("parents"))
 
 
-def persons(nodes: DataFrame) -> DataFrame:
+def persons(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """``file, id, name, surname, sex, birth, death, alt_surname, baptism, burial, links, parents_list, partners_list``; absent parts are null.
 
     Persons without an event or link whose name is private or NN are left out of the list, though
@@ -124,14 +104,20 @@ def persons(nodes: DataFrame) -> DataFrame:
     other = F.when(F.col("husband") == F.col("me"), F.col("wife")).when(F.col("wife") == F.col("me"), F.col("husband"))
     met = homes.select("file", "rec", "k", other.alias("id")).join(known.select("file", "id", entry(F.coalesce(F.nullif("name", F.lit("")), F.lit("unknown"))).alias("e")), ["file", "id"])
     partners = met.groupBy("file", "rec").agg(by_birth(F.collect_list(F.struct("k", "e"))).alias("partners_list"))
-    d = known.join(links(nodes, "INDI", LINKED), ["file", "rec"], "left").join(parents, ["file", "rec"], "left").join(partners, ["file", "rec"], "left")
+    own = evidence.placed(evidence.cited(nodes), evidence.no_cache(nodes) if cache is None else cache)
+    d = known.join(own, ["file", "rec"], "left").join(parents, ["file", "rec"], "left").join(partners, ["file", "rec"], "left")
     says = (F.concat("birth.date", "birth.place", "death.date", "death.place") != "") | F.col("burial").isNotNull() | (F.coalesce(F.size("links"), F.lit(0)) > 0)
     bare = F.lower("name").isin("private", "<private>") | (F.col("name") == "NN") & (F.col("surname") == "")
     return d.where(says | ~bare).select("file", "id", "name", "surname", "sex", "birth", "death", F.nullif("alt_surname", F.lit("")).alias("alt_surname"), "baptism", "burial", "links", "parents_list", "partners_list", "ord")
 
 
-def families(nodes: DataFrame) -> DataFrame:
-    """``file, id, husband, wife, marriage, links, children_list, husband_parents, wife_parents``; a private spouse hides date and place."""
+def families(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """``file, id, husband, wife, marriage, links, children_list, husband_parents, wife_parents``; a private spouse hides date and place.
+
+    A family without links has those of marriages that stand at its husband, else at its wife.
+    """
+    cited = cut(evidence.cited(nodes))
+    wed = evidence.placed(cited, evidence.no_cache(nodes) if cache is None else cache).select("file", "rec", "marriage_links")
     known, fams = cut(facts(nodes)), cut(_families(nodes))
     spouse = F.struct("id", "name", "surname", "sex", F.col("birth.date").alias("date_of_birth"), F.nullif("alt_surname", F.lit("")).alias("alt_surname"))
     parents = _parents(_refs(nodes, "FAMC"), fams, known)
@@ -140,9 +126,11 @@ def families(nodes: DataFrame) -> DataFrame:
     children = born.groupBy("file", "rec").agg(by_birth(F.collect_list(F.struct("k", "e"))).alias("children_list"))
     d = fams
     for who in ("husband", "wife"):
-        one = known.join(parents, ["file", "rec"], "left").select("file", F.col("id").alias(who), spouse.alias(f"{who}_entry"), F.col("parents").alias(f"{who}_parents"))
+        one = known.join(parents, ["file", "rec"], "left").join(wed, ["file", "rec"], "left").select("file", F.col("id").alias(who), spouse.alias(f"{who}_entry"), F.col("parents").alias(f"{who}_parents"), F.col("marriage_links").alias(f"{who}_wed"))
         d = d.join(one, ["file", who], "left")
-    d = d.join(married, ["file", "rec"], "left").join(children, ["file", "rec"], "left").join(links(nodes, "FAM", ("MARR", "NOTE", "SOUR", "OBJE")), ["file", "rec"], "left")
+    d = d.join(married, ["file", "rec"], "left").join(children, ["file", "rec"], "left").join(evidence.of_families(cited), ["file", "rec"], "left")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    d = d.withColumn("links", F.coalesce(some("links"), some("husband_wed"), some("wife_wed")))
     hidden = F.lit(False)
     for who in ("husband", "wife"):
         for part in ("name", "surname"):
@@ -152,9 +140,27 @@ def families(nodes: DataFrame) -> DataFrame:
     return d.select("file", F.col("fam").alias("id"), F.col("husband_entry").alias("husband"), F.col("wife_entry").alias("wife"), marriage.alias("marriage"), "links", "children_list", "husband_parents", "wife_parents", "ord")
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    """A folder for each file with its records in order, one JSON object a line; absent parts are left out."""
-    rows.repartitionByRange("file", "ord").sortWithinPartitions("file", "ord").drop("ord").write.partitionBy("file").option("ignoreNullFields", "true").json(path)
+def estimated_years(nodes: DataFrame) -> DataFrame:
+    """``file, id, year`` for persons without a date of birth, a death or a burial.
+
+    It is the latest of 20 years before a marriage or a child's birth and 40 years after a parent's.
+    """
+    known, fams = cut(facts(nodes)), cut(_families(nodes))
+    born = known.select("file", "id", dates.year_four(F.col("birth.date")).alias("y"))
+    gone = nodes.where((F.col("level") == 1) & F.col("tag").isin("DEAT", "BURI")).select("file", "rec").distinct()
+    asks = known.where("birth.date = ''").join(gone, ["file", "rec"], "left_anti").select("file", "id", "rec")
+    pairs = fams.select("file", F.col("rec").alias("f"), "fam", F.explode(F.array("husband", "wife")).alias("id")).where("id is not null")
+    wed = relational.first_event(relational.events(nodes, ("MARR",)), "MARR", "marriage").select("file", F.col("rec").alias("f"), dates.year_four(F.col("marriage_date")).alias("y"))
+    children = _refs(nodes, "CHIL").select("file", F.col("rec").alias("f"), F.col("ref").alias("child")).join(born.select("file", F.col("id").alias("child"), "y"), ["file", "child"]).select("file", "f", "y")
+    down = pairs.join(wed.unionByName(children), ["file", "f"]).select("file", "id", (F.col("y") - 20).alias("y"))
+    up = _refs(nodes, "FAMC").join(asks, ["file", "rec"]).select("file", F.col("id").alias("me"), F.col("ref").alias("fam")).join(pairs, ["file", "fam"]).join(born, ["file", "id"]).select("file", F.col("me").alias("id"), (F.col("y") + 40).alias("y"))
+    return down.unionByName(up).join(asks, ["file", "id"], "left_semi").groupBy("file", "id").agg(F.max("y").alias("year")).where("year is not null")
+
+
+def write_json(rows: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """A folder for each file with its records in this order, then that of the file, one JSON object a line; absent parts are left out."""
+    keys = ["file", *[F.coalesce(F.col(c), F.lit("")) for c in order], "ord"]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("ord").write.partitionBy("file").option("ignoreNullFields", "true").json(path)
 
 
 def counts(people: DataFrame, families_: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def typed(links: DataFrame, cache: DataFrame, url: str = "url") -> DataFrame:
     signs = F
     for sign, kind in PATH_SIGNS:
         signs = signs.when(F.upper("_base").contains(sign), F.array(F.lit(kind)))
-    untyped = F.col(url).isNull() | F.col(url).rlike("|".join(records.SITES[s] for s in UNTYPED))
+    untyped = F.col(url).isNull() | records.is_site(F.col(url), *UNTYPED)
     known = cache.select(F.col("base").alias("_base"), F.col("kinds").alias("_kinds")).dropDuplicates(["_base"])
     d = links.withColumn("_base", base_url(F.col(url))).join(known, "_base", "left")
     empty = F.array().cast(NONE)

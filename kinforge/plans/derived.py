@@ -131,3 +131,41 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, url``: every link in a page's HTML, those to a path below the page's own host."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*", 0).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
     return p.select("page_id", F.when(F.col("href").startswith("/"), F.concat("host", "href")).otherwise(F.col("href")).alias("url"))
+
+
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clan_lines`` with sexes, married names, events and links by key, and every 37th person said to be living."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    k, at = F.col("k"), F.col("k") * 1000
+    every = lambda n, c=None: F.when(k % n == 0, k if c is None else c)
+    born = k % 4 != 3
+    more = _lines(
+        c, _line(at + 10, "1 SEX ", F.when(k % 3 == 0, "M").when(k % 3 == 1, "F")), _line(at + 12, "1 NAME X /M", every(8), "/"), _line(at + 13, "2 TYPE ", every(8, F.lit("married"))),
+        _line(at + 20, F.when(born, F.lit("1 BIRT"))), _line(at + 21, "2 DATE ", F.when(born, F.lit(1700) + k % 200)), _line(at + 22, "2 PLAC N", F.when(born & (k % 2 == 0), k % 10)),
+        _line(at + 23, "2 NOTE see https://data.matricula-online.eu/sl/a/b/c/MKU-", F.when(born, every(7)), "/?pg=1, there"),
+        _line(at + 30, every(5, F.lit("1 BAPM"))), _line(at + 31, "2 DATE ", every(5, F.lit(1701) + k % 200)),
+        _line(at + 40, every(6, F.lit("1 DEAT"))), _line(at + 41, "2 DATE ", every(6, F.lit(1800) + k % 150)), _line(at + 42, "2 SOUR https://www.findagrave.com/memorial/", every(6)),
+        _line(at + 45, every(12, F.lit("1 BURI"))), _line(at + 46, "2 PLAC ", every(12, F.lit("P"))), _line(at + 50, "1 NOTE https://data.matricula-online.eu/en/a/b/c/MKP-", every(9), "/?pg=2"),
+        _line(at + 51, "1 NOTE https://www.familysearch.org/ark:/61903/", every(10)), _line(at + 52, every(11, F.lit("1 RESI"))), _line(at + 53, "2 NOTE https://www.dlib.si/x/", every(11)), _line(at + 54, every(37, F.lit("1 NOTE living, no more is said"))),
+    )
+    return clan_lines(spark, sf_dir).unionByName(more)
+
+
+def register_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as sources: by key one with two pages in media records, one with a link in its title, one with neither, one without pages; each cited by a person's birth, and by a family.
+
+    The person cites the first page, one that no record shows, or none, by key.
+    """
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.xxhash64("url").alias("h"))
+    k, at = F.col("k"), F.col("k") * 100
+    book = F.concat(F.lit("https://data.matricula-online.eu/sl/a/b/c/"), F.col("k").cast("string"), F.lit("/?pg="))
+    paged = k % 4 == 0
+    link = lambda cond, page: F.when(cond, F.concat(book, page.cast("string")))
+    cites = F.when(k % 3 == 0, k % 7 + 1).when(k % 3 == 1, k % 7 + 2)
+    return _lines(
+        p, _line(at, "0 @M", k, "a@ OBJE"), _line(at + 1, "1 FILE ", link(F.lit(True), k % 7 + 1)), _line(at + 2, "0 @M", k, "b@ OBJE"), _line(at + 3, F.lit("1 _ORIG")), _line(at + 4, "2 _URL ", link(F.lit(True), k % 7 + 4)),
+        _line(at + 10, "0 @S", k, "@ SOUR"), _line(at + 11, "1 TITL Book, ", link(k % 4 == 1, F.lit(1))), _line(at + 12, F.when((k % 4 == 0) | (k % 4 == 3), F.lit("1 FILN 7"))), _line(at + 13, "1 OBJE @M", F.when(paged, k), "a@"), _line(at + 14, "1 OBJE @M", F.when(paged, k), "b@"),
+        _line(at + 20, "0 @I", k, "@ INDI"), _line(at + 21, "1 NAME P", k, " /X/"), _line(at + 22, F.lit("1 BIRT")), _line(at + 23, "2 SOUR @S", k, "@"), _line(at + 24, "3 PAGE p. ", cites),
+        _line(at + 25, F.lit("3 DATA")), _line(at + 26, "4 TEXT at https://www.dlib.si/doc/", k), _line(at + 27, F.lit("5 CONC 5 and more")),
+        _line(at + 30, "0 @F", k, "@ FAM"), _line(at + 31, "1 HUSB @I", k, "@"), _line(at + 32, "1 SOUR @S", k, "@"), _line(at + 33, "2 PAGE ", F.when(k % 2 == 0, k % 7 + 4)), _line(at + 34, "1 OBJE @M", F.when(k % 5 == 0, k), "b@"),
+    )

@@ -1,6 +1,6 @@
 """DuckDB SQL for the named queries, each by a route of its own."""
 
-from kinforge.plans import imports, rendered
+from kinforge.plans import chronicle, imports, rendered
 
 SQL = {
     "surnames": "SELECT DISTINCT c_mktsegment AS surname, lower(c_mktsegment) AS sort_key FROM customer JOIN nation ON c_nationkey = n_nationkey",
@@ -132,16 +132,6 @@ SQL = {
         walk(who, id, s, place, depth) AS (SELECT id, id, s, place, 0 FROM x UNION SELECT who, x.id, x.s, x.place, depth + 1 FROM walk JOIN e ON c = walk.id JOIN x ON x.id = p AND x.s = walk.s WHERE walk.place = ''),
         best AS (SELECT who, arg_min(place, (depth, id)) AS place FROM walk WHERE place <> '' GROUP BY who)
         SELECT x.id, coalesce(best.place, '') AS place FROM x LEFT JOIN best ON who = x.id""",
-    "tree_persons_json": """
-        WITH k AS (SELECT c_custkey AS c, c_custkey // 2 AS h, CASE WHEN c_custkey // 3 > 0 AND c_custkey // 3 <> c_custkey // 2 THEN c_custkey // 3 END AS w, (c_custkey // 2) || '_' || (c_custkey // 3) AS f FROM customer WHERE c_custkey > 1), g AS (SELECT f, h, w, min(c) AS a FROM k GROUP BY ALL),
-        o AS (SELECT h AS me, w AS other, 3 + a % 2 AS place FROM g WHERE w IS NOT NULL UNION ALL SELECT w, h, 5 + a % 3 FROM g WHERE w IS NOT NULL),
-        x AS (SELECT me, string_agg('@I' || other || '@', ',' ORDER BY place) AS partners FROM o GROUP BY me)
-        SELECT '@I' || c_custkey || '@' AS id, split_part(c_name, '#', 1) AS name, c_mktsegment AS surname, CASE WHEN h IS NULL THEN '' ELSE '@I' || h || '@' || coalesce(',@I' || w || '@', '') END AS parents, coalesce(partners, '') AS partners
-        FROM customer LEFT JOIN k ON c = c_custkey LEFT JOIN x ON me = c_custkey""",
-    "tree_families_json": """
-        WITH k AS (SELECT c_custkey AS c, c_custkey // 2 AS h, CASE WHEN c_custkey // 3 > 0 AND c_custkey // 3 <> c_custkey // 2 THEN c_custkey // 3 END AS w, (c_custkey // 2) || '_' || (c_custkey // 3) AS f FROM customer WHERE c_custkey > 1), g AS (SELECT f, h, w, string_agg('@I' || c || '@', ',' ORDER BY c) AS children FROM k GROUP BY ALL)
-        SELECT 'clan' AS file, '@F' || g.f || '@' AS id, '@I' || g.h || '@' AS husband, '@I' || g.w || '@' AS wife, '' AS marriage, children, CASE WHEN u.c IS NULL THEN '' ELSE '@I' || u.h || '@' || coalesce(',@I' || u.w || '@', '') END AS above FROM g LEFT JOIN k u ON u.c = g.h
-        UNION ALL SELECT 'f', '@F' || o_orderkey || '@', '@I' || a.c_custkey || '@', '@I' || b.c_custkey || '@', upper(strftime(o_orderdate, '%-d %b %Y')), '', '' FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN customer b ON b.c_custkey = o_orderkey % 97 + 1""",
     "private_born": """SELECT '@O' || o_orderkey || '@' AS ptr FROM orders WHERE o_orderkey % 9 <> 0 AND year(o_orderdate) - 60 - o_orderkey % 90 > 1925""",
     "private_died": """
         SELECT '@O' || o_orderkey || '@' AS ptr FROM orders WHERE (o_orderkey % 4 = 0 AND 2000 - (year(o_orderdate) - o_orderkey % 40) < 20) OR (o_orderkey % 4 = 1 AND o_orderkey % 9 <> 0 AND 2000 - (year(o_orderdate) - 60 - o_orderkey % 90) < 20)""",
@@ -174,4 +164,4 @@ SQL = {
         SELECT o_orderpriority AS file, o_orderstatus AS processor, count(*) AS n FROM orders GROUP BY 1, 2 UNION ALL SELECT o_orderpriority, 'TOTAL', count(*) FROM orders GROUP BY 1 UNION ALL SELECT 'TOTAL', 'TOTAL', count(*) FROM orders""",
 }
 
-SQL |= imports.SQL | rendered.SQL
+SQL |= imports.SQL | rendered.SQL | chronicle.SQL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinforge.functions import dates, text
 from kinforge.operators import expand, export, graph, increments, merge, privacy, relational, tree
 from kinforge.operators.checkpoints import cut
-from kinforge.plans import imports, rendered
+from kinforge.plans import chronicle, imports, rendered
 from kinforge.plans.derived import AS_OF, clan_lines, kinship, life_lines, order_dates, order_lines, page_links, people, spouses, table, trees, wedding_lines
 from kinforge.sources import ged
 
@@ -275,20 +275,6 @@ def filter_related(spark, sf_dir):
     return spark.createDataFrame([(i, p) for _, i, p, _ in counts], "id string, persons long")
 
 
-@query
-def tree_persons_json(spark, sf_dir):
-    p = export.persons(cut(ged.lines_to_nodes(clan_lines(spark, sf_dir))))
-    ids = lambda c: F.array_join(F.transform(F.col(c), lambda x: x["id"]), ",")
-    return p.select("id", "name", "surname", F.coalesce(ids("parents_list"), F.lit("")).alias("parents"), F.coalesce(ids("partners_list"), F.lit("")).alias("partners"))
-
-
-@query
-def tree_families_json(spark, sf_dir):
-    f = export.families(cut(ged.lines_to_nodes(wedding_lines(spark, sf_dir).unionByName(clan_lines(spark, sf_dir).withColumn("file", F.lit("clan"))))))
-    ids = lambda c: F.coalesce(F.array_join(F.transform(F.col(c), lambda x: x["id"]), ","), F.lit(""))
-    return f.select("file", "id", _c("husband.id").alias("husband"), _c("wife.id").alias("wife"), _c("marriage.date").alias("marriage"), ids("children_list").alias("children"), ids("husband_parents").alias("above"))
-
-
 @query
 def surname_origins(spark, sf_dir):
     """Places by the nearest ancestor of the same surname; only persons of every seventh key have one of their own."""
@@ -412,4 +398,4 @@ def rollup_total(spark, sf_dir):
     return relational.totals(d)
 
 
-QUERIES.update(imports.QUERIES | rendered.QUERIES)
+QUERIES.update(imports.QUERIES | rendered.QUERIES | chronicle.QUERIES)
