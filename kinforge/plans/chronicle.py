@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinforge.operators import export, privacy
+from kinforge.operators import export, media, privacy
 from kinforge.operators.checkpoints import cut
-from kinforge.plans.derived import record_lines, register_lines, wedding_lines
+from kinforge.plans.derived import media_lines, record_lines, register_lines, wedding_lines
 from kinforge.sources import ged
 
 QUERIES: dict = {}
@@ -68,6 +68,30 @@ def living_tree(spark, sf_dir):
     return privacy.living(n, LIVING_IN).join(heads, ["file", "rec"]).select("id")
 
 
+@query
+def media_urls(spark, sf_dir):
+    """Links that persons reach through media records in circles, with and without those at events."""
+    n = _nodes(media_lines(spark, sf_dir))
+    heads = n.where("level = 0").select("file", "rec", F.col("pointer").alias("id"))
+    both = media.search(n, "", True).withColumn("events", F.lit(True)).unionByName(media.search(n, ".org", False).withColumn("events", F.lit(False)))
+    return both.join(heads, ["file", "rec"]).select("id", "url", "events")
+
+
+@query
+def shared_files(spark, sf_dir):
+    n = _nodes(media_lines(spark, sf_dir))
+    heads = n.where("level = 0").select("file", "rec", F.col("pointer").alias("id"))
+    return media.shared_files(n).join(heads, ["file", "rec"], "left").select("url", "media", F.coalesce("id", F.lit("")).alias("id"))
+
+
+@query
+def record_audit(spark, sf_dir):
+    """Register links at persons and families that the exported persons do not list."""
+    n = _nodes(register_lines(spark, sf_dir))
+    listed = export.persons(n).select("file", F.explode("links").alias("url"))
+    return media.audit(n, listed).select("url", "label")
+
+
 #: persons k with parents h and w, years of birth b (of the birth alone) and whether they count as dead, and families (h, w)
 CLAN = """
     k AS MATERIALIZED (SELECT c_custkey AS c, split_part(c_name, '#', 1) AS name, c_mktsegment AS surname, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS h,
@@ -124,4 +148,16 @@ SQL = {
         e AS (SELECT me AS c, k.b - 20 AS y FROM m JOIN k ON k.f = m.f AND k.h IS NOT NULL UNION ALL SELECT c.c, p.b + 40 FROM k c JOIN k p ON p.c = c.h OR p.c = c.w)
         SELECT '@I' || c || '@' AS id, max(y)::INT AS year FROM e JOIN a USING (c) GROUP BY c HAVING max(y) IS NOT NULL""",
     "living_tree": _living_sql(),
+    "media_urls": """
+        WITH RECURSIVE p AS (SELECT page_id AS k, url, 'https://' || CASE WHEN page_id % 2 = 0 THEN 'F' ELSE 'f' END || 'iles.org/' || (page_id // 2) AS file, CASE WHEN page_id % 4 = 3 THEN page_id - 3 ELSE page_id + 1 END AS ahead FROM pages),
+        r(root, k) AS (SELECT k, k FROM p WHERE k % 3 < 2 UNION SELECT root, ahead FROM r JOIN p USING (k)),
+        v AS (SELECT root, unnest([url, file]) AS url FROM r JOIN p USING (k) UNION SELECT k, 'https://own.org/' || k FROM p)
+        SELECT '@I' || root || '@' AS id, url, true AS events FROM v UNION ALL SELECT '@I' || root || '@', url, false FROM v WHERE contains(lower(url), '.org') AND (root % 3 = 0 OR url = 'https://own.org/' || root)""",
+    "shared_files": """
+        WITH p AS (SELECT page_id AS k, page_id // 2 AS g FROM pages), n AS (SELECT g, min(k) AS a FROM p GROUP BY g HAVING count(*) > 1)
+        SELECT 'https://' || CASE WHEN a % 2 = 0 THEN 'F' ELSE 'f' END || 'iles.org/' || g AS url, '@M' || k || '@' AS media, CASE WHEN k % 3 < 2 THEN '@I' || k || '@' ELSE '' END AS id FROM n JOIN p USING (g)""",
+    "record_audit": """
+        WITH p AS (SELECT page_id AS k, 'https://data.matricula-online.eu/sl/a/b/c/' || page_id || '/?pg=' AS book, page_id % 7 AS r FROM pages)
+        SELECT book || 1 AS url, unnest(['INDI @I' || k || '@ — P' || k || ' X', 'FAM  @F' || k || '@ — P' || k || ' X']) AS label FROM p WHERE k % 4 = 1 AND NOT (k % 3 = 2 OR (k % 3 = 0 AND r = 0))
+        UNION ALL SELECT book || (r + 4), 'FAM  @F' || k || '@ — P' || k || ' X' FROM p WHERE k % 5 = 0""",
 }

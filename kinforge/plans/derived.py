@@ -169,3 +169,16 @@ def register_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _line(at + 25, F.lit("3 DATA")), _line(at + 26, "4 TEXT at https://www.dlib.si/doc/", k), _line(at + 27, F.lit("5 CONC 5 and more")),
         _line(at + 30, "0 @F", k, "@ FAM"), _line(at + 31, "1 HUSB @I", k, "@"), _line(at + 32, "1 SOUR @S", k, "@"), _line(at + 33, "2 PAGE ", F.when(k % 2 == 0, k % 7 + 4)), _line(at + 34, "1 OBJE @M", F.when(k % 5 == 0, k), "b@"),
     )
+
+
+def media_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as media records in circles of four, pairs of which show the same file; persons that show one, show one at their birth, or have a link below a source."""
+    k = F.col("page_id")
+    p, at = table(spark, sf_dir, "pages").select("page_id", "url"), k * 100
+    third = lambda n: F.when(k % 3 == n, k)
+    ahead = F.when(k % 4 == 3, k - 3).otherwise(k + 1)
+    return _lines(
+        p, _line(at, "0 @M", k, "@ OBJE"), _line(at + 1, "1 FILE ", F.when(k % 2 == 0, "https://Files.org/").otherwise("https://files.org/"), F.floor(k / 2)), _line(at + 3, "1 NOTE ", F.col("url")), _line(at + 4, "1 OBJE @M", ahead, "@"),
+        _line(at + 10, "0 @I", k, "@ INDI"), _line(at + 11, "1 OBJE @M", third(0), "@"), _line(at + 12, "1 BIRT", F.when(k % 3 == 1, "")), _line(at + 13, "2 OBJE @M", third(1), "@"), _line(at + 14, "1 SOUR @S", third(2), "@"), _line(at + 15, "2 NOTE https://hidden.org/", third(2)),
+        _line(at + 16, "1 NOTE https://own.org/", k),
+    )
