@@ -8,7 +8,8 @@ common to both in the same order within the band that a similarity of 0.8 allows
 is 0.8. A pair at 0.8 shares one of the 24 bands with a chance above 0.999.
 
 Texts with equal word sequences form one class representative first. In each bucket every member
-is compared with the bucket's head, its least member. What of a member no head compared with it
+is compared with the bucket's head, its shortest member (of equal ones that with the least id). So
+no head holds all that two longer members have in common, unless it is near them. What of a member no head compared with it
 holds, its rest, is sketched anew, and members whose rests share a key, but which are not linked
 yet, form the next buckets; so on until no bucket is left. Members that only share a passage with
 a head lose that passage, so they do not meet again, and a bucket of m texts costs m comparisons
@@ -201,8 +202,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """(id, doc, h1, h2, keys) for each word sequence; id is its least doc_id, or a negative hash where that id is the least of several."""
-    reps = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"))
+    """(id, doc, h1, h2, keys, n) for each word sequence; id is its least doc_id, or a negative hash where that id is the least of several, n the size."""
+    reps = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"), F.first(F.length("w")).alias("n"))
     reps = cut(reps.withColumn("id", F.col("doc")))
     twice = cut(reps.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"))
     if twice.isEmpty():
@@ -217,10 +218,11 @@ def salt(c: str) -> Column:
 
 
 def head_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): the head of each bucket with its members of other labels. ``members`` is (key, id, label); a bucket is dealt out by salt."""
+    """(a, b): the head of each bucket with its members of other labels. ``members`` is (key, id, n, label); a bucket is dealt out by salt."""
     m = members.withColumn("salt", salt("id"))
-    parts = m.groupBy("key", "salt").agg(F.min("id").alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", "id").alias("own"))
-    heads = parts.groupBy("key").agg(F.min("head").alias("a"), F.min_by("own", "head").alias("own"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "a", "own")
+    first = F.struct("n", "id")
+    parts = m.groupBy("key", "salt").agg(F.min(first).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", first).alias("own"))
+    heads = parts.groupBy("key").agg(F.min("head")["id"].alias("a"), F.min_by("own", "head").alias("own"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "a", "own")
     dealt = parts.select("key", "salt").join(heads, "key")
     return m.join(dealt, ["key", "salt"]).where("label <> own").select("a", F.col("id").alias("b")).distinct()
 
@@ -246,7 +248,7 @@ def texts_of(ids: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     return stored(found.groupBy("id").agg(F.first("w").alias("w")), "omh-texts")
 
 
-COMPARED = "id long, linked array<long>, rest binary, keys array<long>"
+COMPARED = "id long, linked array<long>, rest binary, keys array<long>, n int"
 
 
 def compared(pairs: DataFrame, state: DataFrame, texts: DataFrame) -> DataFrame:
@@ -258,34 +260,34 @@ def compared(pairs: DataFrame, state: DataFrame, texts: DataFrame) -> DataFrame:
     both = own.unionByName(against).repartition("b").sortWithinPartitions("b", F.desc("own"), "a")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, h, left, linked = None, None, None, []
+        now, h, left, linked, size = None, None, None, [], 0
         for d in batches:
             out = []
             for b, own_row, a, w, rest in zip(d["b"], d["own"], d["a"], d["w"], d["rest"]):
                 x = labelled(np.frombuffer(w, np.uint32).astype(np.uint64))
                 if own_row:
                     if now is not None:
-                        out.append((now, linked, left.astype(np.uint32).tobytes(), rest_keys(h[left])))
-                    now, h, linked = b, x, []
+                        out.append((now, linked, left.astype(np.uint32).tobytes(), rest_keys(h[left]), size))
+                    now, h, linked, size = b, x, [], len(w)
                     left = np.arange(len(x)) if rest is None else np.frombuffer(rest, np.uint32).astype(np.int64)
                 else:
                     if similarity(h, x) >= SIMILAR:
                         linked.append(a)
                     left = left[~np.isin(h[left], x)]
             if out:
-                yield pd.DataFrame(out, columns=["id", "linked", "rest", "keys"])
+                yield pd.DataFrame(out, columns=["id", "linked", "rest", "keys", "n"])
         if now is not None:
-            yield pd.DataFrame([(now, linked, left.astype(np.uint32).tobytes(), rest_keys(h[left]))], columns=["id", "linked", "rest", "keys"])
+            yield pd.DataFrame([(now, linked, left.astype(np.uint32).tobytes(), rest_keys(h[left]), size)], columns=["id", "linked", "rest", "keys", "n"])
 
     return both.mapInPandas(align, COMPARED)
 
 
 def near_labels(reps: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(id, label) of the representatives that have a link; None if no two share a key."""
-    state = reps.select("id", F.lit(None).cast("binary").alias("rest"), "keys")
+    state = reps.select("id", F.lit(None).cast("binary").alias("rest"), "keys", "n")
     texts = labels = None
     while True:
-        members = state.select("id", F.explode("keys").alias("key"))
+        members = state.select("id", "n", F.explode("keys").alias("key"))
         members = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         pairs = cut(head_pairs(members))
         if pairs.isEmpty():
@@ -297,7 +299,7 @@ def near_labels(reps: DataFrame, rows: DataFrame) -> DataFrame | None:
         links = new.select(F.explode("linked").alias("a"), F.col("id").alias("b"))
         if not links.isEmpty():
             labels = cut(components(links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))))
-        rests = new.where(F.size("keys") > 0).select("id", "rest", "keys")
+        rests = new.where(F.size("keys") > 0).select("id", "rest", "keys", "n")
         # who was only a head in the first round has met every member of its buckets; later, those linked to their head already wait
         state = cut(rests if first else rests.unionByName(state.join(new, "id", "left_anti")))
 

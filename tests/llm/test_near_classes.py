@@ -74,3 +74,13 @@ def test_one_id_on_unrelated_texts(spark):
 def test_nothing(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert op6.near_classes(d).count() == 0 and op6.keep_one(d).count() == 0
+
+
+def test_long_texts_around_a_common_one_hide_no_link(spark):
+    rng = random.Random(60)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common = [word() for _ in range(200)]
+    rows = [(i, " ".join(common[:100] + [word() for _ in range(75)] + common[100:])) for i in range(1, 31)] + [(i, " ".join([word() for _ in range(75)] + common)) for i in range(31, 61)]
+    rows += [(900, " ".join(common)), (901, " ".join([*common[:90], "other", *common[91:]]))]
+    got = {r["doc_id"]: r["class_id"] for r in op6.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows) and got[901] == got[900] == 900
