@@ -69,10 +69,11 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, t
     """
     g = W.partitionBy(*group)
     p = parties.withColumn("_all", F.sum(votes).over(g)).withColumn("_n", F.count(F.lit(1)).over(g))
-    share = F.when(F.col("_all") > 0, F.col(seats) * F.col(votes) / F.col("_all")).otherwise(F.lit(0.0))
+    part = F.col(votes).cast("double") / F.col("_all")  # votes times seats may be beyond a long
+    share = F.when(F.col("_all") > 0, F.col(seats) * part).otherwise(F.lit(0.0))
     p = p.withColumn("_base", F.floor(share + F.lit(0.5)).cast("long"))
     p = p.withColumn("_short", F.when(F.col("_all") > 0, F.col(seats)).otherwise(0) - F.sum("_base").over(g))
-    reach = (F.lit(2) + F.ceil(F.col("_n") * F.col(votes) / F.when(F.col("_all") > 0, F.col("_all")))).cast("int")
+    reach = (F.lit(2) + F.ceil(F.col("_n") * F.col(votes).cast("double") / F.when(F.col("_all") > 0, F.col("_all")))).cast("int")
     steps = F.when(F.col(votes) > 0, F.sequence(F.lit(0), F.coalesce(reach, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     k = F.explode_outer(F.when(F.col("_short") != 0, steps))
     c = p.withColumn("_k", k)
@@ -146,14 +147,14 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", key: s
 def mix(docs: DataFrame, plan: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a row for each time a text, or a range of its words, is taken.
 
-    Rows that share a key are told apart by their place in the order of ``draw``; rows that agree
-    in that too are equal.
+    Rows are met by key and ``draw``, so rows without a key are not one group; rows that agree in
+    both are equal and are only counted off.
     """
-    same = W.partitionBy("_key").orderBy("_draw")
+    same = W.partitionBy("_key", "_draw").orderBy("_draw")
     rounds = F.concat(F.transform(F.array_repeat(F.lit(0), F.col("whole").cast("int")), lambda _: F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))), F.col("parts"))
-    chosen = plan.select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("draw").alias("_draw"), "size", rounds.alias("_rounds")).withColumn("_n", F.row_number().over(same)).where(F.size("_rounds") > 0).drop("_draw")
+    chosen = plan.select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("draw").alias("_draw"), "size", rounds.alias("_rounds")).withColumn("_n", F.row_number().over(same)).where(F.size("_rounds") > 0)
     own = docs.select(F.struct(*docs.columns).alias("_d"), F.coalesce(F.col(key), F.lit(-1)).alias("_key"), draw(seed, key, text).alias("_draw")).withColumn("_n", F.row_number().over(same))
-    joined = own.join(chosen, ["_key", "_n"]).select("_d", "size", F.explode("_rounds").alias("_p"))
+    joined = own.join(chosen, ["_key", "_draw", "_n"]).select("_d", "size", F.explode("_rounds").alias("_p"))
     words = F.slice(F.regexp_extract_all(F.col("_d")[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), (F.col("_p.start") + 1).cast("int"), (F.col("_p.end") - F.col("_p.start")).cast("int"))
     whole = (F.col("_p.start") == 0) & (F.col("_p.end") == F.col("size"))
     return joined.select(*[(F.when(whole, F.col("_d")[c]).otherwise(F.array_join(words, "")) if c == text else F.col("_d")[c]).alias(c) for c in docs.columns])
