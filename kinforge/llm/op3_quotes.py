@@ -22,6 +22,7 @@ joins the turn once; rows with a null conv_id or turn are roots with an empty pa
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, no_null, table
@@ -74,8 +75,12 @@ def own_hashes(own: Column, paragraphs: Column) -> Column:
 
 def latest(pieces: DataFrame, originals: DataFrame) -> DataFrame:
     """The latest earlier original ``o`` of each passage (c, t, level, p), by the largest of its pieces (size, h) that has one."""
-    # a quotation needs the latest earlier original only: pairs are reduced as they are met
-    met = pieces.join(originals.join(pieces.select("c", "h").distinct(), ["c", "h"], "left_semi"), ["c", "h"]).where("o < t")
+    # both kinds stand in one list by turn, so a line owned m times and quoted n times makes m + n rows
+    asked = originals.join(pieces.select("c", "h").distinct(), ["c", "h"], "left_semi")
+    line = pieces.select("c", "h", "t", "level", "p", "size", F.lit(None).cast(originals.schema["o"].dataType).alias("own"))
+    both = line.unionByName(asked.select("c", "h", F.col("o").alias("t"), F.col("o").alias("own")), allowMissingColumns=True)
+    earlier = W.partitionBy("c", "h").orderBy("t").rangeBetween(W.unboundedPreceding, -1)
+    met = both.withColumn("o", F.max("own").over(earlier)).where("own is null and o is not null")
     return met.groupBy("c", "t", "level", "p").agg(F.max(F.struct("size", "o"))["o"].alias("o"))
 
 
