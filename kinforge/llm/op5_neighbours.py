@@ -8,7 +8,7 @@ pair of them of which one is new to the node offers itself to either end if it b
 worst neighbour, until hardly an edge changes. Queries start at their own node's neighbours and
 expand the best nodes of their beam until none is left unexpanded; the beam grows with the
 logarithm of the table. Vectors travel as 8-bit numbers with a scale relative to the largest
-component of all; what the search finds is ranked by the inner product of the original vectors in
+component of all (a double); what the search finds is ranked by the inner product of the original vectors in
 double precision.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no
@@ -51,11 +51,11 @@ def usable(vector: str) -> Column:
 
 def _unpack(packed: pd.Series) -> np.ndarray:
     raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+    return raw[:, 8:].view(np.int8).astype(np.float64) * raw[:, :8].copy().view(np.float64)
 
 
 def packed_nodes(nodes: DataFrame, largest: float) -> DataFrame:
-    """``id, vec``: a float32 scale and signed bytes, of the vector over ``largest``."""
+    """``id, vec``: a scale of 8 bytes, so that one far longer vector leaves the others theirs, and signed bytes, of the vector over ``largest``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -64,7 +64,7 @@ def packed_nodes(nodes: DataFrame, largest: float) -> DataFrame:
             x = np.stack([np.asarray(v, np.float64) for v in d["vector"]])
             own = np.abs(x).max(axis=1, keepdims=True)
             small = np.rint(x / own * 127).astype(np.int8)
-            raw = np.concatenate([(own / largest / 127).astype(np.float32).view(np.uint8).reshape(len(x), 4), small.view(np.uint8)], axis=1)
+            raw = np.concatenate([(own / largest / 127).view(np.uint8).reshape(len(x), 8), small.view(np.uint8)], axis=1)
             yield pd.DataFrame({"id": d["id"], "vec": [r.tobytes() for r in raw]})
 
     return nodes.mapInPandas(run, "id long, vec binary")
@@ -96,7 +96,7 @@ def block_edges(nodes: DataFrame, n: int, turn: int) -> DataFrame:
     coded = nodes.mapInPandas(code, "id long, vec binary, code long")
     parts = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     split = coded.join(parts, "code").withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("parts")))
-    return split.select("id", "vec", "code", "part").groupBy("code", "part").applyInPandas(best, "u long, v long, s float")
+    return split.select("id", "vec", "code", "part").groupBy("code", "part").applyInPandas(best, "u long, v long, s double")
 
 
 def merged(edges: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def met(members: DataFrame, search: bool) -> DataFrame:
             vs.append(ids[j2][keep])
             ss.append(s[i, j][keep])
         if not us:
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), "s": np.zeros(0, np.float32)})
+            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), "s": np.zeros(0, np.float64)})
         out = pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "s": np.concatenate(ss)})
         return out.drop_duplicates(["u", "v"])
 
@@ -161,7 +161,7 @@ def met(members: DataFrame, search: bool) -> DataFrame:
             yield offers(place(rest), rest)
 
     sorted_members = members.repartition("c", "part").sortWithinPartitions("c", "part")
-    return sorted_members.mapInPandas(run, "u long, v long, s float")
+    return sorted_members.mapInPandas(run, "u long, v long, s double")
 
 
 def reverse_of(graph: DataFrame, fresh_first: bool = True) -> DataFrame:
@@ -175,12 +175,12 @@ def build_graph(nodes: DataFrame) -> DataFrame:
     """NN-descent over ``id, vec``: rows (u, v, s, new)."""
     n = nodes.count()
     start = block_edges(nodes, n, 0)
-    for turn in range(1, BLOCKINGS):
+    for turn in range(1, BLOCKINGS if n > BLOCK else 1):  # a single block is the same in every turn
         start = start.unionByName(block_edges(nodes, n, turn))
     graph = stored(merged(start.withColumn("new", F.lit(True))), "graph")
     while True:
-        worst = graph.groupBy("u").agg(F.min("s").alias("low"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("id"), F.when(F.col("c") >= K, F.col("low")).otherwise(F.lit(float("-inf"))).cast("float").alias("tau"))
-        ends = nodes.join(worst, "id", "left").select(F.col("id").alias("a"), "vec", F.coalesce("tau", F.lit(float("-inf")).cast("float")).alias("tau"))
+        worst = graph.groupBy("u").agg(F.min("s").alias("low"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("id"), F.when(F.col("c") >= K, F.col("low")).otherwise(F.lit(float("-inf"))).cast("double").alias("tau"))
+        ends = nodes.join(worst, "id", "left").select(F.col("id").alias("a"), "vec", F.coalesce("tau", F.lit(float("-inf")).cast("double")).alias("tau"))
         both = graph.select(F.col("u").alias("c"), F.col("v").alias("a"), F.col("new").alias("f")).unionByName(reverse_of(graph))
         offers = met(both.join(ends, "a").select("c", F.lit(0).alias("part"), "a", "f", "vec", "tau"), search=False)
         old = graph.select("u", "v", "s", F.lit(False).alias("new"))
@@ -198,7 +198,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int) ->
     """Greedy search from each query node (column q): its beam (q, v, s)."""
     found = graph.join(queries.select(F.col("q").alias("u")), "u", "left_semi").select(F.col("u").alias("q"), "v", "s", F.lit(False).alias("done"))
     adjacent = stored(graph.select(F.col("u").alias("c"), F.col("v").alias("a")).unionByName(reverse_of(graph, False).select("c", "a")).distinct(), "adjacent")
-    low = F.lit(float("-inf")).cast("float")
+    low = F.lit(float("-inf")).cast("double")
     before = None
     while True:
         w = W.partitionBy("q").orderBy(F.col("s").desc(), "v")
@@ -208,7 +208,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int) ->
         open_nodes = ranked.where("not done").select("q", F.col("v").alias("c"))
         if open_nodes.isEmpty():
             return ranked.select("q", "v", "s")
-        tau = ranked.groupBy("q").agg(F.min("s").alias("low"), F.count(F.lit(1)).alias("n")).select("q", F.when(F.col("n") >= beam, F.col("low")).otherwise(low).cast("float").alias("tau"))
+        tau = ranked.groupBy("q").agg(F.min("s").alias("low"), F.count(F.lit(1)).alias("n")).select("q", F.when(F.col("n") >= beam, F.col("low")).otherwise(low).cast("double").alias("tau"))
         parts = open_nodes.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts"))  # a hub's queries are split
         ask = open_nodes.join(parts, "c").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
         ask = ask.join(tau, "q").join(nodes.select(F.col("id").alias("q"), "vec"), "q").select("c", "part", F.col("q").alias("a"), F.lit(True).alias("f"), "vec", "tau")
