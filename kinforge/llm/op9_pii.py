@@ -32,8 +32,8 @@ from .common import cut, no_null, stored, table
 
 #: used where spark.kinforge.surrogateKey is unset, as in tests
 KEY = "kinforge-surrogates"
-#: draws after which a format counts as full
-ATTEMPTS = 96
+#: draws after which a format counts as full, and surrogates get longer than their values
+ATTEMPTS = 24
 #: most distinct values that are broadcast; the salts that a value is dealt out over beyond it
 SIDE_LIMIT, SALTS = 200_000, 32
 
@@ -54,7 +54,7 @@ GIVEN_ANY = "|".join(n for names in GIVEN.values() for n in names)
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
-    "ipv6": r"(?<![\w:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\w:])",
+    "ipv6": r"(?<![\w:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*\d)(?:(?:[0-9a-fA-F]{1,4}:){2,6}(?::[0-9a-fA-F]{1,4}){1,6}|[0-9a-fA-F]{1,4}:(?::[0-9a-fA-F]{1,4}){2,6}|[0-9a-fA-F]{3,4}::[0-9a-fA-F]{1,4}))(?![\w:])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){3}(?!\w)",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16})(?!\w)",
@@ -204,11 +204,12 @@ def distinct_surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
         clash = cut(shared.unionByName(taken).groupBy("kind", "surrogate").agg(F.max("first").alias("first"), F.max(F.col("first").isNull()).alias("all")))
         if clash.isEmpty():
             return done.select("kind", "value", "surrogate")
-        if attempt == ATTEMPTS:
-            raise ValueError("a format has too few forms for all values found to get surrogates of their own")
         d = done.join(clash, ["kind", "surrogate"], "left")
         again = ~given & F.col("all").isNotNull() & (F.col("all") | (F.col("value") != F.col("first")))
-        done = cut(d.select("kind", "value", F.when(again, attempt).otherwise(F.col("attempt")).alias("attempt"), F.when(again, surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key)).otherwise(F.col("surrogate")).alias("surrogate")))
+        new = surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key)
+        if attempt >= ATTEMPTS:  # in place of a form that is left, one of the same kind and longer
+            new = F.concat(new, F.lit("x"), F.lower(F.hex(F.xxhash64(F.lit(key), F.lit(attempt), "value"))))
+        done = cut(d.select("kind", "value", F.when(again, attempt).otherwise(F.col("attempt")).alias("attempt"), F.when(again, new).otherwise(F.col("surrogate")).alias("surrogate")))
 
 
 def with_surrogates(each: DataFrame, names: DataFrame) -> DataFrame:

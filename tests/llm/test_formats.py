@@ -28,14 +28,20 @@ def test_no_value_is_left_and_formats_stay(spark):
     assert {r["text"] for r in op9.replace(docs, secret_key="other").collect()}.isdisjoint(r["text"] for r in out.values())
 
 
-def test_a_full_format_raises(spark):
+def test_a_full_format_gets_longer_surrogates(spark):
     ips = [("ssn", f"{i:03d}-00-0000") for i in range(3)]
     assert op9.distinct_surrogates(spark.createDataFrame(ips, "kind string, value string")).select("surrogate").distinct().count() == 3
     digits = spark.createDataFrame([("other", str(i)) for i in range(10)], "kind string, value string")
     with pytest.MonkeyPatch.context() as m:
         m.setattr(op9, "ATTEMPTS", 2)
-        with pytest.raises(ValueError, match="too few forms"):
-            op9.distinct_surrogates(digits)
+        got = op9.distinct_surrogates(digits).collect()
+    assert len({r["surrogate"] for r in got}) == 10 and {r["surrogate"] for r in got}.isdisjoint(r["value"] for r in got)
+
+
+def test_scopes_of_code_are_no_addresses(spark):
+    text = "use a::b and std::c or 1::2, at fe80::1 or 2001:db8::7 or ::1"
+    out = op9.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out["n_entities"] == 2 and all(x in out["text"] for x in ("a::b", "std::c", "1::2")) and "fe80" not in out["text"] and "2001" not in out["text"]
 
 
 def test_many_values_and_nothing(spark, monkeypatch):

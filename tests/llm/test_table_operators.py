@@ -26,6 +26,17 @@ def test_quotations_link_and_order(spark):
     assert out[1, 1]["text"] == "Fine." and out[2, 2]["parent_turn"] is None and out[2, 2]["text"] == ""
 
 
+def test_lines_owned_and_quoted_many_times(spark):
+    """The latest earlier owner of each quoted line, by trying all."""
+    rng = random.Random(4)
+    rows = [(t % 3, t, "user", ("> ok\n" if rng.random() < 0.4 else "> line\n" if rng.random() < 0.3 else "") + rng.choice(["ok", "line", f"own {t}"])) for t in range(120)]
+    got = {r["turn"]: r["parent_turn"] for r in op3.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c, t, _, text in rows:
+        quoted = [x[2:] for x in text.split("\n") if x.startswith("> ")]
+        own = [o for c2, o, _, other in rows if c2 == c and o < t and other.split("\n")[-1] in quoted]
+        assert got[t] == (max(own) if own else None)
+
+
 # -- neighbours
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(7)
@@ -43,6 +54,32 @@ def test_neighbours_recall(spark):
     assert got["query_id"].nunique() == 30 and hit / 600 >= 0.9
 
 
+def test_one_far_longer_vector_leaves_the_others_theirs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(401, 16)).astype(np.float32)
+    x[400] = [1e30] + [0] * 15
+    got = op5.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).toPandas()
+    s, hit = x.astype(np.float64) @ x.astype(np.float64).T, 0
+    np.fill_diagonal(s, -np.inf)
+    for q, g in got.groupby("query_id"):
+        hit += len({*g["vec_id"]} & {*np.lexsort((np.arange(401), -s[q]))[:20].tolist()})
+    assert hit / (21 * 20) >= 0.9
+
+
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op5, "BLOCK", 700)
+    rng = np.random.default_rng(17)
+    mid = rng.normal(size=(60, 24))
+    x = (mid[rng.integers(0, 60, 12_000)] + 0.7 * rng.normal(size=(12_000, 24))).astype(np.float32)
+    got = op5.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).toPandas()
+    d, hit = x.astype(np.float64), 0
+    for q, g in got.groupby("query_id"):
+        s = d @ d[q]
+        s[q] = -np.inf
+        hit += len({*g["vec_id"]} & {*np.argsort(-s, kind="stable")[:20].tolist()})
+    assert got["query_id"].nunique() == 240 and hit / (240 * 20) >= 0.9
+
+
 def test_few_neighbours(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in op5.nearest(v, F.col("vec_id") == 0).orderBy("rank").collect()]
@@ -97,6 +134,17 @@ def test_sainte_lague_against_quotients(spark):
         assert [r["quota"] for r in op8.sainte_lague(d, ["g"], "v", "s", [F.col("i")]).orderBy("i").collect()] == won
 
 
+def test_seats_times_votes_beyond_a_long(spark):
+    d = spark.createDataFrame([(0, 0, 4_000_000_000, 8_000_000_000), (0, 1, 4_000_000_000, 8_000_000_000)], "g int, i int, v long, s long")
+    assert [r["quota"] for r in op8.sainte_lague(d, ["g"], "v", "s", [F.col("i")]).orderBy("i").collect()] == [4_000_000_000] * 2
+
+
+def test_mixing_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None if i % 2 else -1, f"a b c d{i % 7}", "s") for i in range(200)], DOC)
+    plan = op8.plan_mix(docs)
+    assert op8.mix(docs, plan).agg(F.sum(op8.word_count(F.col("text")))).first()[0] == plan.agg(F.sum("taken")).first()[0]
+
+
 # -- personal data
 def test_surrogates(spark):
     text = "Mail ana.b@mail.example.com or ana.b@mail.example.com, 10.0.0.1, card 4539 1488 0343 6467. Mr. Peter Novak and Dr. Novak."
