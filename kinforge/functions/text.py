@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,6 @@ PARTICLES = "de da di du des del della dei dos das do von van vom vor der den te
 PREFIXES = "Mac Mc M' De Di Da Du Van Von Der Den Ten La Le L' St St. O' D'".split()
 #: fixed values: collation offsets of Slavic letters behind their base letter
 SLAVIC = {"č": ("c", 0x7D), "ć": ("c", 0x7E), "đ": ("d", 0x7F), "š": ("s", 0x7F), "ž": ("z", 0x7F)}
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūýÿñ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuyyn"
 
 
 def strip(c: Column) -> Column:
@@ -136,8 +136,18 @@ def sex_code(c: Column) -> Column:
     return F.when(v.startswith("M"), "m").when(v.startswith("F"), "f").otherwise("")
 
 
+def _plain(letter: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", letter.lower()) if unicodedata.category(x) != "Mn")
+
+
+#: letters without their marks, in lower case; marks on their own, which go, stand last
+PLAIN = {c: f for c, f in ((c, _plain(c)) for c in map(chr, range(0x41, 0x10000)) if not 0xD800 <= ord(c) < 0xE000) if c != f and len(f) < 2}
+
+
 def fold(c: Column) -> Column:
-    return F.translate(F.lower(c), ACCENTED + "čćđšž", PLAIN + "ccdsz")
+    """Lower case without accents."""
+    marked = sorted(PLAIN, key=lambda x: PLAIN[x] == "")
+    return F.translate(c, "".join(marked), "".join(PLAIN[x] for x in marked))
 
 
 # -- places
@@ -199,16 +209,22 @@ def url_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"/+\z", "")
 
 
-def link_kind(c: Column) -> Column:
-    """Register type by the book's mark in the path."""
-    u = F.upper(c)
-    return F.when(u.contains("MKK"), "birth").when(u.contains("MKP"), "marriage").when(u.contains("MKU") | u.contains("MKR"), "death")
+# -- collation
+def _first(letter: str) -> str:
+    """What a letter of a case-folded text is sorted as: the base of its canonical decomposition."""
+    return unicodedata.normalize("NFD", letter)[0]
+
+
+#: sort forms by letter, for the letters whose form is another: those of one letter and those of several, as for a sharp s
+FORMS = {c: "".join(x if x in SLAVIC else _first(x) for x in c.casefold()) for c in map(chr, range(0x41, 0x10000)) if not 0xD800 <= ord(c) < 0xE000}
+SINGLE = {c: f for c, f in FORMS.items() if len(f) == 1 and c != f}
+SEVERAL = {c: f for c, f in FORMS.items() if len(f) > 1}
 
 
-# -- collation
 def collation_key(c: Column) -> Column:
-    """Lower case with č, ć behind c, đ behind d, š behind s, ž behind z, other accents dropped."""
-    out = F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Case-folded base letters, with č, ć behind c, đ behind d, š behind s, ž behind z."""
+    out = F.translate(c, "".join(SINGLE), "".join(SINGLE.values()))
     for letter, (base, offset) in SLAVIC.items():
         out = F.replace(out, F.lit(letter), F.lit(base + chr(offset)))
-    return out
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in SEVERAL.items()])
+    return F.when(out.rlike(f"[{''.join(SEVERAL)}]"), F.aggregate(pairs, out, lambda t, p: F.replace(t, p["k"], p["v"]))).otherwise(out)

@@ -74,8 +74,8 @@ def citations(nodes: DataFrame, texts: DataFrame, shown: DataFrame) -> DataFrame
     number = page.where("page <> ''").groupBy("file", F.col("of").alias("ord")).agg(F.min_by("page", "ord").alias("page"))
     known, pages = sources(nodes, shown)
     d = c.join(number, ["file", "ord"], "left").join(inline, ["file", "ord"], "left").join(known, ["file", "value"], "left").join(pages, ["file", "value", "page"], "left")
-    own, none = records.known_links(F.col("value")), F.array().cast("array<string>")
-    listed = records.known_links(F.col("template"))
+    d = d.withColumn("own", records.known_links(F.col("value"))).withColumn("listed", records.known_links(F.col("template")))
+    own, listed, none = F.col("own"), F.col("listed"), F.array().cast("array<string>")
     turned = F.array(records.with_page(F.col("template"), F.col("page")))
     by_page = F.when(F.col("page_url").isNotNull(), F.array("page_url")).when(F.col("page").isNotNull() & (F.col("paged") | F.col("template").rlike(PAGE)), turned)
     whole = F.when(F.size(listed) > 0, listed).otherwise(F.array("template"))
@@ -112,7 +112,7 @@ def with_kinds(found: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def _in_order(rows: Column) -> Column:
-    return records.merged_links(F.array_distinct(F.transform(F.array_sort(rows), lambda x: x["url"])))
+    return F.array_distinct(F.transform(F.array_sort(rows), lambda x: x["url"]))
 
 
 def placed(found: DataFrame, cache: DataFrame) -> DataFrame:
@@ -128,11 +128,12 @@ def placed(found: DataFrame, cache: DataFrame) -> DataFrame:
     d = d.withColumn("to", F.explode(to)).withColumn("stage", stages[F.concat_ws(" ", "where", "to")])
     row = F.struct("stage", "turn", "at", "ord", "i", "url")
     for_life, wed = F.collect_list(F.when(F.col("stage") < 10, row)), F.collect_list(F.when(F.col("stage") >= 10, row))
-    return d.groupBy("file", "rec").agg(_in_order(for_life).alias("links"), _in_order(wed).alias("marriage_links")).select("file", "rec", F.when(F.size("links") > 0, F.col("links")).alias("links"), "marriage_links")
+    lists = d.groupBy("file", "rec").agg(_in_order(for_life).alias("l"), _in_order(wed).alias("w"))
+    return lists.select("file", "rec", F.when(F.size("l") > 0, records.merged_links(F.col("l"))).alias("links"), records.merged_links(F.col("w")).alias("marriage_links"))
 
 
 def of_families(found: DataFrame) -> DataFrame:
     """``file, rec, links`` of families: of the marriage, then of the family's own elements."""
     d = found.where((F.col("rec_tag") == "FAM") & F.col("top").isin("MARR", *CITED))
     row = F.struct((F.col("top") != "MARR").alias("own"), "at", "ord", "i", "url")
-    return d.groupBy("file", "rec").agg(_in_order(F.collect_list(row)).alias("links"))
+    return d.groupBy("file", "rec").agg(_in_order(F.collect_list(row)).alias("l")).select("file", "rec", records.merged_links(F.col("l")).alias("links"))

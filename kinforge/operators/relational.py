@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
@@ -126,6 +125,3 @@ def totals(changes: DataFrame) -> DataFrame:
     """Counts by file and processor with a TOTAL for each and both."""
     return changes.rollup("file", "processor").agg(F.sum("n").alias("n")).select(F.coalesce("file", F.lit("TOTAL")).alias("file"), F.coalesce("processor", F.lit("TOTAL")).alias("processor"), "n")
 
-
-def newest(df: DataFrame, key: str, at: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.col(at).desc()))).where("_r = 1").drop("_r")

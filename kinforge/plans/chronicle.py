@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinforge.operators import export, media, privacy
+from kinforge.operators import export, media, privacy, relational
 from kinforge.operators.checkpoints import cut
-from kinforge.plans.derived import media_lines, record_lines, register_lines, wedding_lines
+from kinforge.plans.derived import media_lines, record_lines, register_lines, table, wedding_lines
 from kinforge.sources import ged
 
 QUERIES: dict = {}
@@ -92,6 +92,14 @@ def record_audit(spark, sf_dir):
     return media.audit(n, listed).select("url", "label")
 
 
+@query
+def surname_order(spark, sf_dir):
+    """Segments and nations with accented letters as surnames, and their collation keys."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    d = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return relational.surnames(d.select(F.translate(F.concat_ws(" ", "c_mktsegment", "n_name"), "ACDEGIOSUYZ", "ÀČĐÉĜÍÔŠÜÝŽ").alias("surname")))
+
+
 #: persons k with parents h and w, years of birth b (of the birth alone) and whether they count as dead, and families (h, w)
 CLAN = """
     k AS MATERIALIZED (SELECT c_custkey AS c, split_part(c_name, '#', 1) AS name, c_mktsegment AS surname, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS h,
@@ -148,6 +156,9 @@ SQL = {
         e AS (SELECT me AS c, k.b - 20 AS y FROM m JOIN k ON k.f = m.f AND k.h IS NOT NULL UNION ALL SELECT c.c, p.b + 40 FROM k c JOIN k p ON p.c = c.h OR p.c = c.w)
         SELECT '@I' || c || '@' AS id, max(y)::INT AS year FROM e JOIN a USING (c) GROUP BY c HAVING max(y) IS NOT NULL""",
     "living_tree": _living_sql(),
+    "surname_order": """
+        WITH s AS (SELECT DISTINCT translate(c_mktsegment || ' ' || n_name, 'ACDEGIOSUYZ', 'ÀČĐÉĜÍÔŠÜÝŽ') AS surname FROM customer JOIN nation ON c_nationkey = n_nationkey)
+        SELECT surname, strip_accents(replace(replace(replace(replace(lower(surname), 'č', 'c' || chr(125)), 'đ', 'd' || chr(127)), 'š', 's' || chr(127)), 'ž', 'z' || chr(127))) AS sort_key FROM s""",
     "media_urls": """
         WITH RECURSIVE p AS (SELECT page_id AS k, url, 'https://' || CASE WHEN page_id % 2 = 0 THEN 'F' ELSE 'f' END || 'iles.org/' || (page_id // 2) AS file, CASE WHEN page_id % 4 = 3 THEN page_id - 3 ELSE page_id + 1 END AS ahead FROM pages),
         r(root, k) AS (SELECT k, k FROM p WHERE k % 3 < 2 UNION SELECT root, ahead FROM r JOIN p USING (k)),
