@@ -1,7 +1,8 @@
 """Which persons and families a filter keeps: bloodlines, relatives, siblings and partners of root persons.
 
-Sets are DataFrames of (file, id). Every closure ends when nothing new is reached; nobody among the
-forbidden is added or gone through.
+Sets are DataFrames of (file, root, id): what is kept for each root, all roots in the same joins and
+closures. Every closure ends when nothing new is reached; nobody among the forbidden (file, id) is added
+or gone through.
 """
 
 from __future__ import annotations
@@ -57,33 +58,36 @@ def _union(*sets: DataFrame) -> DataFrame:
 
 
 def _of(links: DataFrame, people: DataFrame) -> DataFrame:
-    """The families (file, id) that the people are linked to."""
-    return links.join(people, ["file", "id"], "left_semi").select("file", F.col("fam").alias("id")).distinct()
+    """The families (file, root, id) that the people are linked to."""
+    return people.join(links, ["file", "id"]).select("file", "root", F.col("fam").alias("id")).distinct()
 
 
 def _in(links: DataFrame, families: DataFrame, forbidden: DataFrame) -> DataFrame:
     """The people linked to the families."""
-    members = links.join(families.withColumnRenamed("id", "fam"), ["file", "fam"], "left_semi").select("file", "id").distinct()
-    return members.join(forbidden, ["file", "id"], "left_anti")
+    members = families.withColumnRenamed("id", "fam").join(links, ["file", "fam"]).select("file", "root", "id").distinct()
+    return members.join(forbidden, ["file", "id"], "left_anti").select("file", "root", "id")
 
 
-def _reached(pairs: DataFrame, people: DataFrame, src: str, dst: str, forbidden: DataFrame) -> DataFrame:
-    return graph.closure(pairs, people, src, dst, forbidden).select("file", "id")
+def _reached(pairs: DataFrame, people: DataFrame, src: str, dst: str, forbidden: DataFrame, barred: DataFrame | None = None) -> DataFrame:
+    return graph.closure(pairs, people, src, dst, forbidden, ("root",), barred).select("file", "root", "id")
+
+
+def _but(people: DataFrame, others: DataFrame) -> DataFrame:
+    return people.join(others, ["file", "root", "id"], "left_anti").select("file", "root", "id")
 
 
 def related(k: Kin, people: DataFrame, families: DataFrame, stop: DataFrame, forbidden: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Descendants of the people (not through ``stop``), their partners, and the partners' birth families, one level of them."""
-    blocked = _union(stop, forbidden)
-    line = cut(_reached(k.down, people.join(stop, ["file", "id"], "left_anti"), "parent", "child", blocked))
+    line = _reached(k.down, _but(people, stop), "parent", "child", forbidden, stop)
     homes = _of(k.spouse_in, line)
-    partners = cut(_in(k.spouses, homes, forbidden).join(_union(people, line), ["file", "id"], "left_anti"))
+    partners = cut(_but(_in(k.spouses, homes, forbidden), _union(people, line)))
     births = _of(k.child_in, partners)
     births_members = _union(_in(k.children, births, forbidden), _in(k.spouses, births, forbidden))
     return cut(_union(people, line, partners, births_members)), cut(_union(families, homes, births))
 
 
-def expanded(k: Kin, root: DataFrame, forbidden: DataFrame, ancestors: bool = True, descendants: bool = False, with_related: bool = False, related_depth: int = 0, siblings: bool = False, partners: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The persons and families kept for one root; ``related_depth`` 0 repeats until nothing is added.
+def expanded(k: Kin, roots: DataFrame, forbidden: DataFrame, ancestors: bool = True, descendants: bool = False, with_related: bool = False, related_depth: int = 0, siblings: bool = False, partners: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The persons and families (file, root, id) kept for each of the roots (file, id); ``related_depth`` 0 repeats until nothing is added.
 
     A person found both as a child and as a partner counts as a child, so the result does not
     depend on the order of the search.
@@ -91,29 +95,31 @@ def expanded(k: Kin, root: DataFrame, forbidden: DataFrame, ancestors: bool = Tr
 
     def bloodline(people: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame]:
         if ancestors:
-            people = cut(_reached(k.up, people, "child", "parent", forbidden))
+            people = _reached(k.up, people, "child", "parent", forbidden)
             families = _union(families, _of(k.child_in, people))
         if descendants:
-            people = cut(_reached(k.down, people, "parent", "child", forbidden))
+            people = _reached(k.down, people, "parent", "child", forbidden)
             families = _union(families, _of(k.spouse_in, people))
         if siblings:
             origin = _of(k.child_in, people)
             people, families = cut(_union(people, _in(k.children, origin, forbidden))), _union(families, origin)
         return people, cut(families)
 
-    people, families = bloodline(root.select("file", "id"), root.select("file", "id").limit(0))
-    turn = 0
+    own = cut(roots.select("file", F.col("id").alias("root"), "id").distinct())
+    people, families = bloodline(own, own.limit(0))
+    turn, size = 0, None
     while with_related:
         turn += 1
-        size = (people.count(), families.count())
-        stop = root.select("file", "id").where(F.lit(not descendants))
+        size = (people.count(), families.count()) if size is None else size
+        stop = own.where(F.lit(not descendants))
         before = people
         people, families = related(k, people, families, stop, forbidden)
         if siblings:
-            origin = _of(k.child_in, people.join(before, ["file", "id"], "left_anti"))
-            people, families = _union(people, _in(k.children, origin, forbidden)), _union(families, origin)
+            origin = _of(k.child_in, _but(people, before))
+            people, families = cut(_union(people, _in(k.children, origin, forbidden))), _union(families, origin)
         people, families = bloodline(people, families)
-        if turn == related_depth or (people.count(), families.count()) == size:
+        last, size = size, (people.count(), families.count())  # of pieces that are written already
+        if turn == related_depth or size == last:
             break
     if partners:
         homes = _of(k.spouse_in, people)
@@ -121,28 +127,27 @@ def expanded(k: Kin, root: DataFrame, forbidden: DataFrame, ancestors: bool = Tr
     return cut(_union(people, _in(k.spouses, families, forbidden))), families
 
 
-def filtered(nodes: DataFrame, roots: DataFrame, ancestors: bool = True, descendants: bool = False, **how) -> tuple[DataFrame, DataFrame, list[tuple]]:
-    """Persons and families kept for all roots (file, id), and (file, id, persons, families) of each root with a total.
+def filtered(nodes: DataFrame, roots: DataFrame, ancestors: bool = True, descendants: bool = False, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Persons and families (file, id) kept for all roots (file, id), and ``file, id, persons, families`` of each root, with a row TOTAL without a file.
 
     Only ancestors asked for: the roots' descendants are forbidden; only descendants: their ancestors.
-    The roots, named by the user, are a short list.
     """
     k = kin(nodes)
     zones = [(not descendants, k.down, "parent", "child"), (not ancestors, k.up, "child", "parent")]
-    wanted = roots.select("file", "id").distinct()
+    wanted = cut(roots.select("file", "id").distinct())
     forbidden = wanted.limit(0)
     for closed, pairs, src, dst in zones:
         if closed:
             forbidden = _union(forbidden, graph.closure(pairs, wanted, src, dst).select("file", "id"))
     forbidden = cut(forbidden.join(wanted, ["file", "id"], "left_anti"))
-    people = families = None
-    counts = []
-    for r in wanted.orderBy("file", "id").collect():
-        p, f = expanded(k, wanted.where((F.col("file") == r["file"]) & (F.col("id") == r["id"])), forbidden, ancestors, descendants, **how)
-        counts.append((r["file"], r["id"], p.count(), f.count()))
-        people, families = (p, f) if people is None else (_union(people, p), _union(families, f))
-    people, families = (wanted, wanted.limit(0)) if people is None else (cut(people), cut(families))
-    return people, families, [*counts, (None, "TOTAL", people.count(), families.count())]
+    by_root, homes = expanded(k, wanted, forbidden, ancestors, descendants, **how)
+    people, families = by_root.select("file", "id").distinct(), homes.select("file", "id").distinct()
+    one = F.lit(1)
+    each = by_root.select("file", F.col("root").alias("id"), one.alias("p"), F.lit(0).alias("f")).unionByName(homes.select("file", F.col("root").alias("id"), F.lit(0).alias("p"), one.alias("f")))
+    each = each.unionByName(wanted.select("file", "id", F.lit(0).alias("p"), F.lit(0).alias("f")))
+    total = people.select(one.alias("p"), F.lit(0).alias("f")).unionByName(families.select(F.lit(0).alias("p"), one.alias("f"))).select(F.lit(None).cast("string").alias("file"), F.lit("TOTAL").alias("id"), "p", "f")
+    sums = lambda d: d.groupBy("file", "id").agg(F.sum("p").alias("persons"), F.sum("f").alias("families"))
+    return people, families, sums(each).unionByName(sums(total))
 
 
 def surname_origin(people: DataFrame, up: DataFrame) -> DataFrame:

@@ -25,24 +25,28 @@ def parents(e: DataFrame) -> DataFrame:
     return up.join(spouses, ["file", "fam"]).select("file", "child", "parent").distinct()
 
 
-def closure(pairs: DataFrame, seeds: DataFrame, src: str, dst: str, forbidden: DataFrame | None = None) -> DataFrame:
+def closure(pairs: DataFrame, seeds: DataFrame, src: str, dst: str, forbidden: DataFrame | None = None, carry: tuple[str, ...] = (), barred: DataFrame | None = None) -> DataFrame:
     """``file, id, depth``: all that is reached from the seeds (file, id), themselves at depth 0.
 
     Only the last round's new nodes are joined with the edges, and nodes seen before are left out,
     so cycles end. Nobody among ``forbidden`` (file, id) is reached or gone through. Rounds are
     merged every ``MERGE`` of them, so the plan of a deep tree does not grow with its depth.
+    Columns of the seeds named by ``carry`` go along: closures of many seeds, kept apart, run as one;
+    ``barred`` (file, carried columns, id) is forbidden to some of them.
     """
+    key = ["file", *carry, "id"]
+
+    def allowed(d: DataFrame) -> DataFrame:
+        d = d if forbidden is None else d.join(forbidden.select("file", "id"), ["file", "id"], "left_anti")
+        return d if barred is None else d.join(barred.select(*key), key, "left_anti")
+
     pairs = cut(pairs.select("file", src, dst))  # two ids a row, read again in every round
-    if forbidden is not None:
-        seeds = seeds.join(forbidden.select("file", "id"), ["file", "id"], "left_anti")
-    seen = cut(seeds.select("file", "id").distinct().withColumn("depth", F.lit(0)))
+    seen = cut(allowed(seeds.select(*key).distinct()).select(*key).withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while True:
         depth += 1
-        step = frontier.select("file", F.col("id").alias(src)).join(pairs, ["file", src]).select("file", F.col(dst).alias("id")).distinct()
-        if forbidden is not None:
-            step = step.join(forbidden.select("file", "id"), ["file", "id"], "left_anti")
-        frontier = cut(step.join(seen, ["file", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = frontier.select("file", *carry, F.col("id").alias(src)).join(pairs, ["file", src]).select("file", *carry, F.col(dst).alias("id")).distinct()
+        frontier = cut(allowed(step).join(seen, key, "left_anti").select(*key).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)

@@ -272,7 +272,7 @@ def filter_related(spark, sf_dir):
     n = cut(ged.lines_to_nodes(clan_lines(spark, sf_dir)))
     roots = spark.createDataFrame([("f", "@I7@")], "file string, id string")
     _, _, counts = expand.filtered(n, roots, ancestors=False, descendants=True, with_related=True, related_depth=1)
-    return spark.createDataFrame([(i, p) for _, i, p, _ in counts], "id string, persons long")
+    return counts.select("id", "persons")
 
 
 @query
