@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def strip_living(nodes: DataFrame, as_of: int) -> DataFrame:
     return rest.join(refs.join(alive, ["file", "_ref"], "left_anti").select("file", "rec").distinct(), ["file", "rec"], "left_anti")
 
 
-def run(nodes: DataFrame, as_of: int, preset: str | None = None, clean: tuple[str, ...] = (), transform: tuple[str, ...] = (), strip: tuple[str, ...] = ()) -> DataFrame:
-    """The preset's steps and those named besides; unknown names raise an error before anything runs."""
+def steps(as_of: int, preset: str | None = None, clean: tuple[str, ...] = (), transform: tuple[str, ...] = (), strip: tuple[str, ...] = ()) -> list[tuple[str, str, Callable[[DataFrame], DataFrame]]]:
+    """(kind, name, step) of the preset's steps and those named besides, in the order in which they run; unknown names raise an error."""
     if preset is not None and preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; there are {sorted(PRESETS)}")
     own = PRESETS.get(preset, {})
@@ -58,19 +60,62 @@ def run(nodes: DataFrame, as_of: int, preset: str | None = None, clean: tuple[st
     unknown = set(strip) - set(tree.STRIPS) - set(records) - {"deat_placeholder"}
     if unknown:
         raise ValueError(f"unknown deletes: {sorted(unknown)}")
-    nodes = tree.clean(nodes, list(clean))
-    nodes = tree.transform(nodes, [t for t in transform if t not in PRIVACY])
+    tags = [t for t in transform if t not in PRIVACY]
+    out = [("clean", name, lambda n, x=name: tree.clean(n, [x])) for name in tree.in_order(list(clean))]
+    out += [("transform", name, lambda n, x=name: tree.transform(n, [x])) for name in tree.transforms(tags)]
     if "deat_placeholder" in strip:
-        nodes = tree.strip_death_placeholders(nodes, as_of)
-    for name in PRIVACY:  # each reads what the one before it has hidden
-        nodes = cut(hide(nodes, name, as_of)) if name in transform else nodes
-    for name in strip:
-        nodes = tree.strip(nodes, tree.STRIPS[name]) if name in tree.STRIPS else nodes
-    for name, step in records.items():
-        nodes = step(nodes) if name in strip else nodes
+        out.append(("strip", "deat_placeholder", lambda n: tree.strip_death_placeholders(n, as_of)))
+    # each reads what the one before it has hidden
+    out += [("privacy", name, lambda n, x=name: cut(hide(n, x, as_of))) for name in PRIVACY if name in transform]
+    out += [("strip", name, lambda n, x=name: tree.strip(n, tree.STRIPS[x])) for name in strip if name in tree.STRIPS]
+    return out + [("strip", name, step) for name, step in records.items() if name in strip]
+
+
+def run(nodes: DataFrame, as_of: int, preset: str | None = None, clean: tuple[str, ...] = (), transform: tuple[str, ...] = (), strip: tuple[str, ...] = ()) -> DataFrame:
+    """The nodes behind all ``steps``."""
+    for _, _, step in steps(as_of, preset, clean, transform, strip):
+        nodes = step(nodes)
     return nodes
 
 
+def counted(nodes: DataFrame, as_of: int, **how) -> tuple[DataFrame, DataFrame]:
+    """The nodes behind all ``steps``, and ``file, place, processor, n``: what each has changed in a file, those that change nothing left out.
+
+    Cleaners and tag transformers count the values they change, deletes the elements they take away with all
+    below them, and those that hide people the records they touch.
+    """
+    found = None
+    nodes = cut(nodes)
+    for place, (kind, name, step) in enumerate(steps(as_of, **how)):
+        after = cut(step(nodes))
+        new = after.select("file", "ord", F.col("tag").alias("_t"), F.col("value").alias("_v"), F.lit(True).alias("_there"))
+        d = nodes.select("file", "rec", "ord", "parent", "tag", "value").join(new, ["file", "ord"], "left")
+        gone, other = F.col("_there").isNull(), ~F.col("tag").eqNullSafe(F.col("_t")) | ~F.col("value").eqNullSafe(F.col("_v"))
+        if kind == "strip":
+            lost = d.where(gone)
+            n = lost.join(lost.select("file", F.col("ord").alias("parent")), ["file", "parent"], "left_anti").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+        elif kind == "privacy":
+            n = d.where(gone | other).groupBy("file").agg(F.countDistinct("rec").alias("n"))
+        else:
+            n = d.where(gone | other).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+        n = n.select("file", F.lit(place).alias("place"), F.lit(name).alias("processor"), "n")
+        found = n if found is None else found.unionByName(n)
+        nodes = after
+    if found is None:
+        found = nodes.limit(0).select("file", F.lit(0).alias("place"), F.lit("").alias("processor"), F.lit(0).cast("long").alias("n"))
+    return nodes, found
+
+
+def summary(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each file of the nodes and a row TOTAL, a column for each processor that has changed something, in the order they ran."""
+    names = [r["processor"] for r in found.groupBy("processor").agg(F.min("place").alias("place")).orderBy("place").collect()]  # at most as many as there are processors
+    every = nodes.select("file").distinct()
+    sums = [F.coalesce(F.sum(F.when(F.col("processor") == p, F.col("n"))), F.lit(0)).alias(p) for p in names]
+    each = every.join(found, "file", "left").groupBy("file").agg(*(sums or [F.count(F.lit(1)).alias("_")])).select(F.regexp_replace("file", r"(?i)\.ged\z", "").alias("file"), *names)
+    total = found.agg(*(sums or [F.count(F.lit(1)).alias("_")])).select(F.lit("TOTAL").alias("file"), *names)
+    return each.unionByName(total)
+
+
 def stem(c: Column) -> Column:
     """File names without their ending, in lower case, as they are compared with a list of wanted ones."""
     return F.lower(F.regexp_replace(c, r"(?i)\.ged\z", ""))

@@ -58,12 +58,17 @@ CLEANERS = {
 }
 
 
-def clean(nodes: DataFrame, names: list[str]) -> DataFrame:
+def in_order(names: list[str]) -> list[str]:
+    """The cleaners of these names as they run."""
     unknown = set(names) - set(CLEANERS)
     if unknown:
         raise ValueError(f"unknown cleaners: {sorted(unknown)}")
-    for name, run in CLEANERS.items():
-        nodes = run(nodes) if name in names else nodes
+    return [name for name in CLEANERS if name in names]
+
+
+def clean(nodes: DataFrame, names: list[str]) -> DataFrame:
+    for name in in_order(names):
+        nodes = CLEANERS[name](nodes)
     return nodes
 
 
@@ -233,16 +238,21 @@ def second_given_name(nodes: DataFrame) -> DataFrame:
     return kept.unionByName(made.select(*nodes.columns))
 
 
-def transform(nodes: DataFrame, names: list[str]) -> DataFrame:
+#: transformers that do more than rename a tag; they run behind those that do, in this order
+LATER = {"secg_givn": second_given_name, "addr_to_plac": address_to_place, "sour_peri_titl": source_title, "sour_date_publ": source_date, "sour_plac_auth": lambda n: source_title(n, "PLAC", "AUTH")}
+
+
+def transforms(names: list[str]) -> list[str]:
     """Tag renames in the order asked for, then the others in their fixed order."""
-    later = {"secg_givn": second_given_name, "addr_to_plac": address_to_place, "sour_peri_titl": source_title, "sour_date_publ": source_date, "sour_plac_auth": lambda n: source_title(n, "PLAC", "AUTH")}
-    unknown = set(names) - set(RENAMES) - set(later)
+    unknown = set(names) - set(RENAMES) - set(LATER)
     if unknown:
         raise ValueError(f"unknown transformers: {sorted(unknown)}")
-    for name in names:
-        nodes = rename(nodes, *RENAMES[name]) if name in RENAMES else nodes
-    for name, run in later.items():
-        nodes = run(nodes) if name in names else nodes
+    return [name for name in names if name in RENAMES] + [name for name in LATER if name in names]
+
+
+def transform(nodes: DataFrame, names: list[str]) -> DataFrame:
+    for name in transforms(names):
+        nodes = rename(nodes, *RENAMES[name]) if name in RENAMES else LATER[name](nodes)
     return nodes
 
 

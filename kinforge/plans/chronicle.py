@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinforge.operators import export, media, privacy, relational
+from kinforge.operators import export, media, privacy, process, relational
 from kinforge.operators.checkpoints import cut
-from kinforge.plans.derived import media_lines, record_lines, register_lines, table, wedding_lines
+from kinforge.plans.derived import media_lines, order_lines, record_lines, register_lines, table, wedding_lines
 from kinforge.sources import ged
 
 QUERIES: dict = {}
@@ -92,6 +92,15 @@ def record_audit(spark, sf_dir):
     return media.audit(n, listed).select("url", "label")
 
 
+@query
+def change_summary(spark, sf_dir):
+    """What two deletes and two more without anything to delete have taken from each file of orders."""
+    lines = order_lines(spark, sf_dir).withColumn("line", F.when(F.col("line").startswith("2 CHAN O"), "2 CREA O").otherwise(F.col("line")))
+    n = _nodes(lines)
+    _, found = process.counted(n, LIVING_IN, strip=("change_date", "indi_race", "create_date", "ste"))
+    return process.summary(n, found)
+
+
 @query
 def surname_order(spark, sf_dir):
     """Segments and nations with accented letters as surnames, and their collation keys."""
@@ -156,6 +165,10 @@ SQL = {
         e AS (SELECT me AS c, k.b - 20 AS y FROM m JOIN k ON k.f = m.f AND k.h IS NOT NULL UNION ALL SELECT c.c, p.b + 40 FROM k c JOIN k p ON p.c = c.h OR p.c = c.w)
         SELECT '@I' || c || '@' AS id, max(y)::INT AS year FROM e JOIN a USING (c) GROUP BY c HAVING max(y) IS NOT NULL""",
     "living_tree": _living_sql(),
+    "change_summary": """
+        WITH l AS (SELECT l_orderkey AS o, l_linenumber, max(l_linestatus) AS s FROM lineitem GROUP BY ALL),
+        f AS (SELECT 'f' || (o_orderkey * 1000 // 100000) AS file, count(*) FILTER (s = 'F') AS c, count(*) FILTER (s = 'O') AS m FROM orders LEFT JOIN l ON o = o_orderkey GROUP BY 1)
+        SELECT file, c AS change_date, m AS create_date FROM f UNION ALL SELECT 'TOTAL', sum(c)::BIGINT, sum(m)::BIGINT FROM f""",
     "surname_order": """
         WITH s AS (SELECT DISTINCT translate(c_mktsegment || ' ' || n_name, 'ACDEGIOSUYZ', 'ÀČĐÉĜÍÔŠÜÝŽ') AS surname FROM customer JOIN nation ON c_nationkey = n_nationkey)
         SELECT surname, strip_accents(replace(replace(replace(replace(lower(surname), 'č', 'c' || chr(125)), 'đ', 'd' || chr(127)), 'š', 's' || chr(127)), 'ž', 'z' || chr(127))) AS sort_key FROM s""",

@@ -97,3 +97,14 @@ def test_scalars(spark):
         labels.person_line(F.lit("Ana"), F.lit(""), F.lit("1850"), F.lit(None).cast("string"), F.lit("Ptuj"), F.lit("@I1@")).alias("c"), labels.person_line(*[F.lit("")] * 5).alias("d"),
     ).first()
     assert tuple(one) == ("https://x/?pg=7", "https://www.findagrave.com/memorial/5/x", "@I1@ Ana *1850 Ptuj", "?")
+
+
+def test_counts_of_a_run_and_their_summary(nodes):
+    out, found = process.counted(nodes, 2020, clean=("dd_mmm_yyyy", "name_lower"), transform=("living100y_private",), strip=("change_date", "create_date", "priv"))
+    assert ged.serialize(out).first()["text"] == ged.serialize(process.run(nodes, 2020, clean=("dd_mmm_yyyy", "name_lower"), transform=("living100y_private",), strip=("change_date", "create_date", "priv"))).first()["text"]
+    by = {r["processor"]: r["n"] for r in found.collect()}
+    assert by["living100y_private"] == 2 and "create_date" not in by
+    table = process.summary(nodes, found)
+    assert table.columns == ["file", *[r["processor"] for r in found.orderBy("place").collect()]]
+    assert {r["file"]: r["living100y_private"] for r in table.collect()} == {"a": 2, "TOTAL": 2}
+    assert process.summary(nodes, found.where("false")).collect()[0].asDict() == {"file": "a"}
