@@ -78,13 +78,14 @@ def partners(e: DataFrame, seeds: DataFrame) -> DataFrame:
     return own.select("file", "fam", F.col("id").alias("me")).join(s, ["file", "fam"]).where("id <> me").select("file", "id").distinct()
 
 
-def keep(nodes: DataFrame, persons: DataFrame) -> DataFrame:
-    """Persons of the set, families with a member in it, and all other records; dangling references go."""
+def keep(nodes: DataFrame, persons: DataFrame, kept_families: DataFrame | None = None) -> DataFrame:
+    """Persons of the set (file, id), families of theirs (those with a member in it, where none is given), and all other records; dangling references go."""
     members = nodes.where((F.col("level") == 1) & (F.col("rec_tag") == "FAM") & F.col("tag").isin("HUSB", "WIFE", "CHIL"))
     fams = members.join(persons.select("file", F.col("id").alias("value")), ["file", "value"], "left_semi").select("file", "rec").distinct()
     heads = nodes.where("level = 0").select("file", "rec", "tag", "pointer")
     people = heads.where("tag = 'INDI'").join(persons.select("file", F.col("id").alias("pointer")), ["file", "pointer"], "left_semi")
-    families = heads.where("tag = 'FAM'").join(fams, ["file", "rec"], "left_semi")
+    every = heads.where("tag = 'FAM'")
+    families = every.join(fams, ["file", "rec"], "left_semi") if kept_families is None else every.join(kept_families.select("file", F.col("id").alias("pointer")), ["file", "pointer"], "left_semi")
     other = heads.where(~F.col("tag").isin("INDI", "FAM"))
     kept = people.unionByName(families.select(*people.columns)).unionByName(other.select(*people.columns))
     out = nodes.join(kept.select("file", "rec"), ["file", "rec"], "left_semi")

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from kinforge.operators import expand, export, increments, tree
+from kinforge.operators import expand, export, graph, increments, tree
 from kinforge.sources import ged
 
 SAMPLE = """0 HEAD
@@ -109,6 +109,15 @@ def test_expansion(spark):
     assert {r["id"] for r in only.collect()} == {"@I1@", "@I2@", "@I3@"}
 
 
+def test_kept_records(spark):
+    n = nodes(spark)
+    some = lambda *ids: spark.createDataFrame([("a.ged", i) for i in ids], "file string, id string")
+    left = lambda d: [r["pointer"] for r in d.where("level = 0 and tag in ('INDI', 'FAM')").orderBy("rec").collect()]
+    assert left(graph.keep(n, some("@I1@"))) == ["@I1@", "@F1@", "@F2@"]
+    only = graph.keep(n, some("@I1@"), some("@F2@"))
+    assert left(only) == ["@I1@", "@F2@"] and {r["value"] for r in only.where("tag in ('FAMC', 'FAMS', 'HUSB', 'WIFE')").collect()} == {"@F2@", "@I1@"}
+
+
 def test_many_roots_at_once_as_one_by_one(spark):
     import random
 
