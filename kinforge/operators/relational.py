@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,43 @@ def find_persons(people: DataFrame, words: str | None = None, pointer: str | Non
     return out if year is None else out.where(dates.year_query(F.col("birth_date")) == year)
 
 
+def _asked(spec: str) -> tuple:
+    """(spec, pointer, given, surname, year) of ``@I1@`` or of ``[Given names] Surname [1850]``."""
+    spec = spec.strip()
+    if spec.startswith("@") and spec.endswith("@"):
+        return spec, spec, None, None, None
+    words = spec.split()
+    year = int(words.pop()) if words and re.fullmatch(r"\d{4}", words[-1]) else None
+    if not words:
+        raise ValueError(f"{spec!r} names nobody")
+    return spec, None, " ".join(words[:-1]).lower() or None, words[-1].lower(), year
+
+
+def named_persons(people: DataFrame, specs: list[str]) -> DataFrame:
+    """The persons whom any of the specs names, with ``spec``: by pointer, or by whole surname, given names and year of birth where they are named, without regard to case."""
+    asked = people.sparkSession.createDataFrame([_asked(x) for x in dict.fromkeys(specs)], "spec string, _ptr string, _given string, _surname string, _year int")
+    by_pointer = people.join(asked.where("_ptr is not null").select("spec", F.col("_ptr").alias("ptr")), "ptr")
+    by_name = people.withColumn("_surname", F.lower("surname")).join(asked.where("_ptr is null"), "_surname")
+    fits = (F.col("_given").isNull() | (F.lower("given") == F.col("_given"))) & (F.col("_year").isNull() | F.coalesce(dates.year_query(F.col("birth_date")) == F.col("_year"), F.lit(False)))
+    return by_pointer.select(*people.columns, "spec").unionByName(by_name.where(fits).select(*people.columns, "spec"))
+
+
+def one_person(people: DataFrame, spec: str, shown: int = 10) -> DataFrame:
+    """The one person (file, id) whom the spec names; an error tells if it is nobody, or several."""
+    found = named_persons(people, [spec]).select("file", F.col("ptr").alias("id"))
+    some = found.orderBy("file", "id").limit(shown + 1).collect()
+    if len(some) != 1:
+        more = "" if len(some) <= shown else " and more"
+        raise ValueError(f"{spec!r} names nobody" if not some else f"{spec!r} names several persons: {', '.join(r['id'] for r in some[:shown])}{more}")
+    return found
+
+
+def home_persons(nodes: DataFrame) -> DataFrame:
+    """``file, id`` of the persons marked as where a tree starts."""
+    marked = nodes.where((F.col("rec_tag") == "INDI") & (F.col("level") == 1) & (F.col("tag") == "_STP")).select("file", "rec").distinct()
+    return nodes.where("level = 0").join(marked, ["file", "rec"]).select("file", F.col("pointer").alias("id"))
+
+
 def surnames(people: DataFrame) -> DataFrame:
     """Distinct surnames with their collation key."""
     return people.where("surname <> ''").select("surname").distinct().withColumn("sort_key", text.collation_key(F.col("surname")))

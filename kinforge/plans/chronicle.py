@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinforge.operators import export, media, privacy, process, relational
 from kinforge.operators.checkpoints import cut
-from kinforge.plans.derived import media_lines, order_lines, record_lines, register_lines, table, wedding_lines
+from kinforge.plans.derived import media_lines, order_lines, people, record_lines, register_lines, table, wedding_lines
 from kinforge.sources import ged
 
 QUERIES: dict = {}
@@ -101,6 +101,12 @@ def change_summary(spark, sf_dir):
     return process.summary(n, found)
 
 
+@query
+def person_exact(spark, sf_dir):
+    """Persons by surname and year, by the whole name, and by pointer."""
+    return relational.named_persons(people(spark, sf_dir), ["building 1873", "Customer MACHINERY 1901", "Other MACHINERY", "@I42@"]).select("ptr", "spec")
+
+
 @query
 def surname_order(spark, sf_dir):
     """Segments and nations with accented letters as surnames, and their collation keys."""
@@ -169,6 +175,10 @@ SQL = {
         WITH l AS (SELECT l_orderkey AS o, l_linenumber, max(l_linestatus) AS s FROM lineitem GROUP BY ALL),
         f AS (SELECT 'f' || (o_orderkey * 1000 // 100000) AS file, count(*) FILTER (s = 'F') AS c, count(*) FILTER (s = 'O') AS m FROM orders LEFT JOIN l ON o = o_orderkey GROUP BY 1)
         SELECT file, c AS change_date, m AS create_date FROM f UNION ALL SELECT 'TOTAL', sum(c)::BIGINT, sum(m)::BIGINT FROM f""",
+    "person_exact": """
+        SELECT '@I' || c_custkey || '@' AS ptr, 'building 1873' AS spec FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 100 = 23 AND c_custkey % 4 <> 0
+        UNION ALL SELECT '@I' || c_custkey || '@', 'Customer MACHINERY 1901' FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey % 100 = 51 AND c_custkey % 4 <> 0
+        UNION ALL SELECT '@I42@', '@I42@' FROM customer WHERE c_custkey = 42""",
     "surname_order": """
         WITH s AS (SELECT DISTINCT translate(c_mktsegment || ' ' || n_name, 'ACDEGIOSUYZ', 'ÀČĐÉĜÍÔŠÜÝŽ') AS surname FROM customer JOIN nation ON c_nationkey = n_nationkey)
         SELECT surname, strip_accents(replace(replace(replace(replace(lower(surname), 'č', 'c' || chr(125)), 'đ', 'd' || chr(127)), 'š', 's' || chr(127)), 'ž', 'z' || chr(127))) AS sort_key FROM s""",

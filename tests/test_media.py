@@ -2,7 +2,7 @@
 
 import pytest
 
-from kinforge.operators import media
+from kinforge.operators import media, relational
 from kinforge.sources import ged
 
 BOOK = "https://data.matricula-online.eu/sl/a/b/c/d/?pg="
@@ -109,3 +109,16 @@ def test_labels_of_families(spark):
 def test_nothing_to_reach(spark):
     n = ged.text_to_nodes(spark.createDataFrame([("a.ged", "0 HEAD\n0 @I1@ INDI\n1 OBJE @I1@\n")], "file string, text string"))
     assert media.search(n).count() == 0 and media.shared_files(n).count() == 0
+
+
+def test_persons_by_whole_names(spark):
+    body = "0 @I1@ INDI\n1 NAME Ana Maria /Kovač/\n1 BIRT\n2 DATE 3 FEB 1850\n0 @I2@ INDI\n1 NAME Ana /KOVAČ/\n1 _STP\n0 @I3@ INDI\n1 NAME Jan /Kovačič/\n"
+    n = ged.text_to_nodes(spark.createDataFrame([("a.ged", body)], "file string, text string"))
+    p = relational.persons(n).cache()
+    got = {(r["ptr"], r["spec"]) for r in relational.named_persons(p, ["kovač", "ANA Kovač", "Kovač 1850", "@I3@", "Jan Kovač", "Kovač 1851"]).collect()}
+    assert got == {("@I1@", "kovač"), ("@I2@", "kovač"), ("@I2@", "ANA Kovač"), ("@I1@", "Kovač 1850"), ("@I3@", "@I3@")}
+    assert [r["id"] for r in relational.one_person(p, "Kovačič").collect()] == ["@I3@"]
+    for spec in ("kovač", "nobody", "1850"):
+        with pytest.raises(ValueError, match="several|nobody"):
+            relational.one_person(p, spec)
+    assert [tuple(r) for r in relational.home_persons(n).collect()] == [("a.ged", "@I2@")]
