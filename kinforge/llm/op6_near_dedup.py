@@ -8,11 +8,12 @@ common to both in the same order within the band that a similarity of 0.8 allows
 is 0.8. A pair at 0.8 shares one of the 24 bands with a chance above 0.999.
 
 Texts with equal word sequences form one class representative first. In each bucket every member
-is compared with the bucket's head, its shortest member (of equal ones that with the least id). So
-no head holds all that two longer members have in common, unless it is near them. What of a member no head compared with it
-holds, its rest, is sketched anew, and members whose rests share a key, but which are not linked
+is compared with the bucket's head, its shortest member (of equal ones that with the least id), so
+that no head holds all that two longer members have in common unless it is near them, and with its
+member of the least id, which finds groups that many short heads would hide. What of a member no
+shortest head compared with it holds, its rest, is sketched anew, and members whose rests share a key, but which are not linked
 yet, form the next buckets; so on until no bucket is left. Members that only share a passage with
-a head lose that passage, so they do not meet again, and a bucket of m texts costs m comparisons
+a head lose that passage, so they do not meet again, and a bucket of m texts costs at most 2m comparisons
 in a round however many groups it holds. A rest loses at least the shingles behind the shared key,
 so the rounds end by themselves. The result is each document's class, named by the least doc_id
 of its component.
@@ -217,14 +218,21 @@ def salt(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(SALTS))
 
 
-def head_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): the head of each bucket with its members of other labels. ``members`` is (key, id, n, label); a bucket is dealt out by salt."""
+def head_pairs(members: DataFrame, second: bool) -> DataFrame:
+    """(a, b, strikes): the head of each bucket with its members of other labels. ``members`` is (key, id, n, label); a bucket is dealt out by salt.
+
+    With ``second`` members also meet the one of the least id, which strikes nothing from their rests.
+    """
     m = members.withColumn("salt", salt("id"))
     first = F.struct("n", "id")
-    parts = m.groupBy("key", "salt").agg(F.min(first).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", first).alias("own"))
-    heads = parts.groupBy("key").agg(F.min("head")["id"].alias("a"), F.min_by("own", "head").alias("own"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "a", "own")
+    parts = m.groupBy("key", "salt").agg(F.min(first).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", first).alias("own"), F.min("id").alias("least"))
+    heads = parts.groupBy("key").agg(F.min("head")["id"].alias("a"), F.min_by("own", "head").alias("own"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least")).where("lo < hi").select("key", "a", "own", "least")
     dealt = parts.select("key", "salt").join(heads, "key")
-    return m.join(dealt, ["key", "salt"]).where("label <> own").select("a", F.col("id").alias("b")).distinct()
+    met = m.join(dealt, ["key", "salt"])
+    if not second:
+        return met.where("label <> own").select("a", F.col("id").alias("b"), F.lit(True).alias("strikes")).distinct()
+    both = F.array(F.when(F.col("label") != F.col("own"), F.struct("a", F.lit(True).alias("strikes"))), F.when((F.col("id") != F.col("a")) & (F.col("id") != F.col("least")) & (F.col("least") != F.col("a")), F.struct(F.col("least").alias("a"), F.lit(False).alias("strikes"))))
+    return met.select(F.col("id").alias("b"), F.explode(F.array_compact(both)).alias("h")).groupBy("h.a", "b").agg(F.max("h.strikes").alias("strikes"))
 
 
 def texts_of(ids: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -255,15 +263,15 @@ def compared(pairs: DataFrame, state: DataFrame, texts: DataFrame) -> DataFrame:
     """Each b with the heads that the alignment links it to, and what is left of its rest beside all its heads."""
     p = pairs.withColumn("salt", salt("b"))
     heads = p.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a")  # a head's text goes to at most SALTS places
-    against = p.join(heads, ["a", "salt"]).select("b", F.lit(False).alias("own"), "a", "w", F.lit(None).cast("binary").alias("rest"))
-    own = pairs.select(F.col("b").alias("id")).distinct().join(texts, "id").join(state.select("id", "rest"), "id").select(F.col("id").alias("b"), F.lit(True).alias("own"), F.lit(0).cast("long").alias("a"), "w", "rest")
+    against = p.join(heads, ["a", "salt"]).select("b", F.lit(False).alias("own"), "a", "w", F.lit(None).cast("binary").alias("rest"), "strikes")
+    own = pairs.where("strikes").select(F.col("b").alias("id")).distinct().join(texts, "id").join(state.select("id", "rest"), "id").select(F.col("id").alias("b"), F.lit(True).alias("own"), F.lit(0).cast("long").alias("a"), "w", "rest", F.lit(False).alias("strikes"))
     both = own.unionByName(against).repartition("b").sortWithinPartitions("b", F.desc("own"), "a")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, h, left, linked, size = None, None, None, [], 0
         for d in batches:
             out = []
-            for b, own_row, a, w, rest in zip(d["b"], d["own"], d["a"], d["w"], d["rest"]):
+            for b, own_row, a, w, rest, strikes in zip(d["b"], d["own"], d["a"], d["w"], d["rest"], d["strikes"]):
                 x = labelled(np.frombuffer(w, np.uint32).astype(np.uint64))
                 if own_row:
                     if now is not None:
@@ -273,7 +281,8 @@ def compared(pairs: DataFrame, state: DataFrame, texts: DataFrame) -> DataFrame:
                 else:
                     if similarity(h, x) >= SIMILAR:
                         linked.append(a)
-                    left = left[~np.isin(h[left], x)]
+                    if strikes:
+                        left = left[~np.isin(h[left], x)]
             if out:
                 yield pd.DataFrame(out, columns=["id", "linked", "rest", "keys", "n"])
         if now is not None:
@@ -289,10 +298,10 @@ def near_labels(reps: DataFrame, rows: DataFrame) -> DataFrame | None:
     while True:
         members = state.select("id", "n", F.explode("keys").alias("key"))
         members = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        pairs = cut(head_pairs(members))
+        first = texts is None
+        pairs = cut(head_pairs(members, first))
         if pairs.isEmpty():
             return labels
-        first = texts is None
         if first:
             texts = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), reps, rows)
         new = cut(compared(pairs, state, texts))

@@ -84,3 +84,12 @@ def test_long_texts_around_a_common_one_hide_no_link(spark):
     rows += [(900, " ".join(common)), (901, " ".join([*common[:90], "other", *common[91:]]))]
     got = {r["doc_id"]: r["class_id"] for r in op6.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_classes(rows) and got[901] == got[900] == 900
+
+
+def test_many_short_heads_hide_no_link(spark):
+    rng = random.Random(61)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+    rows = [(100 + o, " ".join(base[:o] + base[o + 30 :])) for o in range(0, 91, 2)]  # each near some others, none near the whole
+    rows += [(i, " ".join([*base[: 58 + i], f"own{i}", *base[59 + i :]])) for i in range(1, 5)]
+    got = {r["doc_id"]: r["class_id"] for r in op6.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows) and {got[i] for i in range(1, 5)} == {1} and got[100] != 1
