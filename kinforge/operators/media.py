@@ -100,6 +100,16 @@ def registers(value: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(r"""(?iU)https?://[^\s'"<>\]]+"""), F.lit(0))
 
 
+def listed_registers(records: DataFrame) -> DataFrame:
+    """Distinct ``url``: register links in the text columns of records, and in those of lists of texts; what is nested deeper is not read."""
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+    texts = [F.array(f"`{c}`") for c, k in kinds.items() if k == "string"] + [F.coalesce(F.col(f"`{c}`"), F.array().cast("array<string>")) for c, k in kinds.items() if k == "array<string>"]
+    if not texts:
+        return records.sparkSession.createDataFrame([], "url string")
+    found = F.flatten(F.transform(F.concat(*texts), registers))
+    return records.select(F.explode(found).alias("url")).where(_is_register(F.col("url"))).distinct()
+
+
 def _is_register(url: Column) -> Column:
     host, path = (F.regexp_extract(url, r"(?is)^https?://([^/]*)(.*)", i) for i in (1, 2))
     folders = F.slice(F.split(path, "/"), 2, 5)

@@ -35,6 +35,18 @@ def duplicate_persons(people: DataFrame) -> DataFrame:
     return p.join(groups, ["file", "s", "g", "birth_date"]).select("file", "ptr", "master")
 
 
+def first_names(nodes: DataFrame) -> DataFrame:
+    """``file, rec, ptr, given, surname, birth_date`` as duplicates are told by: the first name of whatever type, the raw date of the first birth."""
+    heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec", F.col("pointer").alias("ptr"))
+    named = nodes.where((F.col("level") == 1) & (F.col("rec_tag") == "INDI") & (F.col("tag") == "NAME")).groupBy("file", "rec").agg(F.min_by(F.coalesce("value", F.lit("")), "ord").alias("name"))
+    births = nodes.where((F.col("level") == 1) & (F.col("rec_tag") == "INDI") & (F.col("tag") == "BIRT")).groupBy("file", "rec").agg(F.min("ord").alias("ord"))
+    dates = nodes.where((F.col("level") == 2) & (F.col("tag") == "DATE")).groupBy("file", F.col("parent").alias("ord")).agg(F.min_by("value", "ord").alias("birth_date"))
+    born = births.join(dates, ["file", "ord"]).select("file", "rec", "birth_date")
+    d = heads.join(named, ["file", "rec"], "left").join(born, ["file", "rec"], "left")
+    parts = text.name_parts(F.coalesce("name", F.lit("")))
+    return d.select("file", "rec", "ptr", parts["given"].alias("given"), parts["surname"].alias("surname"), text.strip(F.coalesce("birth_date", F.lit(""))).alias("birth_date"))
+
+
 def dedupe(nodes: DataFrame, dup: DataFrame) -> DataFrame:
     """Links to merged records go to their masters; merged records go.
 

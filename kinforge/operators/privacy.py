@@ -117,7 +117,7 @@ def redact(nodes: DataFrame, people: DataFrame, how: str = "private") -> DataFra
 
     It is ``<private>``, initials (``initials``) or a given initial with the surname (``name``); a
     record without a name gains one. GIVN and SURN below it stay in the last two forms, shortened
-    likewise.
+    likewise. With ``whole`` the name stays as it is with all below it, and none is made.
     """
     hit = nodes.join(people.select("file", "rec", F.lit(True).alias("_hit")).distinct(), ["file", "rec"], "left")
     record = W.partitionBy("file", "rec")
@@ -125,19 +125,40 @@ def redact(nodes: DataFrame, people: DataFrame, how: str = "private") -> DataFra
     d = hit.withColumn("_first", F.min(F.when(is_name, F.col("ord"))).over(record))
     d = d.withColumn("_top", F.last(F.when(F.col("level") == 1, F.col("tag")), True).over(record.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
     own, part = F.col("ord") == F.col("_first"), (F.col("level") == 2) & (F.col("parent") == F.col("_first"))
+    inside = F.array_contains("path", F.col("_first")) if how == "whole" else F.lit(False)
     value = F.coalesce("value", F.lit(""))
-    short = {"private": F.lit(PRIVATE), "initials": text.shorten_name(value), "name": text.shorten_given(value)}[how]
-    kept = {"private": (), "initials": ("GIVN", "SURN"), "name": ("GIVN", "SURN")}[how]
-    cut_short = {"private": (), "initials": ("GIVN", "SURN"), "name": ("GIVN",)}[how]
-    stays = F.col("_hit").isNull() | (F.col("level") == 0) | F.col("_top").isin("SEX", "FAMC", "FAMS") | own | part & F.col("tag").isin(*kept)
+    short = {"private": F.lit(PRIVATE), "initials": text.shorten_name(value), "name": text.shorten_given(value), "whole": F.col("value")}[how]
+    kept = {"private": (), "initials": ("GIVN", "SURN"), "name": ("GIVN", "SURN"), "whole": ()}[how]
+    cut_short = {"private": (), "initials": ("GIVN", "SURN"), "name": ("GIVN",), "whole": ()}[how]
+    stays = F.col("_hit").isNull() | (F.col("level") == 0) | F.col("_top").isin("SEX", "FAMC", "FAMS") | own | inside | part & F.col("tag").isin(*kept)
     new = F.when(own, short).when(F.col("_hit") & part & F.col("tag").isin(*cut_short), text.initials(value)).otherwise(F.col("value"))
     out = d.where(F.coalesce(stays, F.lit(False))).withColumn("value", new).select(*nodes.columns)
+    if how == "whole":
+        return out
     at = (F.col("ord") + F.lit("0.000001").cast("decimal(20,6)")).cast("decimal(20,6)")
     bare = d.where(F.col("_hit") & (F.col("level") == 0) & F.col("_first").isNull())
     made = bare.select("file", "rec", at.alias("ord"), F.col("ord").alias("parent"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("pointer"), F.lit("NAME").alias("tag"), F.lit(PRIVATE if how == "private" else "").alias("value"), "rec_tag", F.array(F.col("ord"), at).alias("path"))
     return out.unionByName(made.select(*nodes.columns))
 
 
+def without_death(nodes: DataFrame) -> DataFrame:
+    """``file, rec`` of the persons without any death or burial, whatever it says: whom a filtered tree hides."""
+    people = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec")
+    ended = nodes.where((F.col("level") == 1) & F.col("tag").isin(*DEATH)).select("file", "rec")
+    return people.join(ended, ["file", "rec"], "left_anti")
+
+
+def hide_in_filtered(nodes: DataFrame, how: str) -> DataFrame:
+    """A filtered tree with its persons without a death redacted: ``private``, ``initials`` (of given names and surname, none made where there is no name) or ``name`` (the name stays)."""
+    if how not in ("private", "initials", "name"):
+        raise ValueError(f"unknown way to hide: {how}")
+    out = redact(nodes, without_death(nodes), {"name": "whole"}.get(how, how))
+    if how == "initials":  # the names that redact makes for those without one have no lines in the input
+        made = (F.col("tag") == "NAME") & (F.col("level") == 1) & (F.coalesce("value", F.lit("")) == "")
+        out = out.where(~made).unionByName(out.where(made).join(nodes.select("file", "ord"), ["file", "ord"], "left_semi"))
+    return out
+
+
 def without_marriages(nodes: DataFrame, people: DataFrame) -> DataFrame:
     """The families in which these people are partners lose date and place of their marriages."""
     fams = nodes.join(people.select("file", "rec").distinct(), ["file", "rec"], "left_semi").where((F.col("level") == 1) & (F.col("tag") == "FAMS")).select("file", text.strip(F.col("value")).alias("pointer")).distinct()

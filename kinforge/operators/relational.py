@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
@@ -113,6 +114,18 @@ def surname_places(people: DataFrame) -> DataFrame:
     return people.where("surname <> ''").groupBy("surname").agg(F.count(F.lit(1)).alias("members"), F.min_by("place", with_place).alias("place"))
 
 
+def surname_origins(people: DataFrame, origins: DataFrame) -> DataFrame:
+    """``file, surname, members, place``: the first place known of any member, those with a date of birth first and in the order of its text.
+
+    ``origins`` (file, id, place) says where each person's name comes from (``expand.surname_origin``).
+    """
+    rank = F.struct((F.col("birth_date") == "").alias("undated"), "birth_date", "rec")
+    d = people.where("surname <> ''").select("file", "ptr", "rec", "surname", F.coalesce("birth_date", F.lit("")).alias("birth_date"))
+    d = d.join(origins.select("file", F.col("id").alias("ptr"), F.col("place")), ["file", "ptr"], "left")
+    found = F.min_by("place", F.when(F.coalesce("place", F.lit("")) != "", rank))
+    return d.groupBy("file", "surname").agg(F.count(F.lit(1)).alias("members"), F.coalesce(found, F.lit("")).alias("place"))
+
+
 def stats(nodes: DataFrame) -> DataFrame:
     """``file, label, n``: level-0 records by tag, always with the known labels, and distinct places."""
     spark = nodes.sparkSession
@@ -132,9 +145,18 @@ def url_search(nodes: DataFrame, pattern: str = "") -> DataFrame:
     return own.unionByName(via).distinct().where(F.contains(F.lower("url"), F.lit(pattern.lower())))
 
 
-def address_search(nodes: DataFrame, pattern: str = "") -> DataFrame:
-    hit = (F.col("tag") == "ADDR") & F.contains(F.lower("value"), F.lit(pattern.lower()))
-    return nodes.where(hit & F.col("rec_tag").isin("INDI", "FAM")).select("file", "rec", F.col("value").alias("address")).distinct()
+def address_search(nodes: DataFrame, pattern: str = "", only: DataFrame | None = None) -> DataFrame:
+    """``file, rec, place, address``: each address that a person or family has at any level, once, in their order, if it holds the pattern.
+
+    ``only`` (file, rec) restricts the persons, not the families.
+    """
+    address = text.strip(F.coalesce("value", F.lit("")))
+    d = nodes.where((F.col("tag") == "ADDR") & (F.col("level") > 0) & F.col("rec_tag").isin("INDI", "FAM")).select("file", "rec", "rec_tag", "ord", address.alias("address"))
+    d = d.where((F.col("address") != "") & F.contains(F.lower("address"), F.lit(pattern.lower())))
+    if only is not None:
+        d = d.join(only.select("file", "rec", F.lit(True).alias("_in")).distinct(), ["file", "rec"], "left").where(F.col("_in") | (F.col("rec_tag") == "FAM"))
+    d = d.groupBy("file", "rec", "address").agg(F.min("ord").alias("ord"))
+    return d.select("file", "rec", F.row_number().over(W.partitionBy("file", "rec").orderBy("ord")).alias("place"), "address")
 
 
 def duplicate_urls(urls: DataFrame, key: str = "url", owner: str = "owner") -> DataFrame:
@@ -149,6 +171,11 @@ def top_links(urls: DataFrame, key: Column, place: str, n: int) -> DataFrame:
     return urls.groupBy(key.alias("link_key")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).orderBy(F.col("n").desc(), "first").limit(n)
 
 
+def link_counts(links: DataFrame, place: str = "file") -> DataFrame:
+    """``place, links``: how many links each place has, and all of them as TOTAL."""
+    return links.groupBy(F.col(place).cast("string").alias("place")).agg(F.count(F.lit(1)).alias("links")).unionByName(links.agg(F.count(F.lit(1)).alias("links")).select(F.lit("TOTAL").alias("place"), "links"))
+
+
 def link_audit(found: DataFrame, listed: DataFrame) -> DataFrame:
     """Links (url, label) that are not among the listed ones, with their labels in order."""
     k = text.url_key(F.col("url"))
@@ -163,4 +190,3 @@ def ordered(df: DataFrame, *cols: str, tie: str | None = None) -> DataFrame:
 def totals(changes: DataFrame) -> DataFrame:
     """Counts by file and processor with a TOTAL for each and both."""
     return changes.rollup("file", "processor").agg(F.sum("n").alias("n")).select(F.coalesce("file", F.lit("TOTAL")).alias("file"), F.coalesce("processor", F.lit("TOTAL")).alias("processor"), "n")
-

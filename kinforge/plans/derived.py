@@ -182,3 +182,35 @@ def media_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _line(at + 10, "0 @I", k, "@ INDI"), _line(at + 11, "1 OBJE @M", third(0), "@"), _line(at + 12, "1 BIRT", F.when(k % 3 == 1, "")), _line(at + 13, "2 OBJE @M", third(1), "@"), _line(at + 14, "1 SOUR @S", third(2), "@"), _line(at + 15, "2 NOTE https://hidden.org/", third(2)),
         _line(at + 16, "1 NOTE https://own.org/", k),
     )
+
+
+def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as persons and families with addresses below residences, in other addresses, and twice."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("s"))
+    k, at = F.col("k"), F.col("k") * 100
+    third, fifth = F.when(k % 3 == 0, k), F.when(k % 5 == 0, k)
+    return _lines(
+        c, _line(at, "0 @I", k, "@ INDI"), _line(at + 1, "1 RESI"), _line(at + 2, "2 ADDR ", F.col("s")), _line(at + 3, "1 EVEN"), _line(at + 4, "2 PLAC"), _line(at + 5, "3 ADDR"), _line(at + 6, "4 ADDR Old building ", third), _line(at + 7, "1 ADDR  ", F.col("s"), " "),
+        _line(at + 10, "0 @F", k, "@ FAM"), _line(at + 11, "1 MARR"), _line(at + 12, "2 ADDR Rebuilt ", fifth), _line(at + 20, "0 @S", k, "@ SUBM"), _line(at + 21, "1 ADDR building"),
+    )
+
+
+def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, sheet, row, cells``: parts as rows of twenty workbooks with a sheet of names, one of records, whose columns begin later in every other file, and one more."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("b"), (k % 20).cast("string")).alias("file"), (2 + F.floor(k / 20)).cast("int").alias("row"), (k % 2 * 3).cast("int").alias("shift"), "p_partkey", "p_brand", "p_name", "p_type")
+    word = lambda c, n: F.element_at(F.split(c, " "), n)
+    row = [k.cast("string"), F.concat(F.lit(" "), "p_brand"), F.when(k % 3 == 0, F.concat(F.lit("A"), k.cast("string"))), word("p_type", 1), word("p_name", 1), F.when(k % 5 == 0, word("p_name", 2))]
+    titles = [F.lit(x) for x in (" ZP.  ŠT. ", "Ime otroka", None, "Ime Očeta", "Priimek očeta", "še kaj")]
+
+    def cells(values):
+        pairs = F.array(*[F.struct((F.lit(i) + F.col("shift")).alias("c"), v.cast("string").alias("v")) for i, v in enumerate(values, 1)])
+        return F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull()))
+
+    blank = [F.when(k % 11 == 0, F.lit(" ")).otherwise(v) for v in row]
+    sheet = lambda d, n, values, at=None: d.select("file", F.lit(n).alias("sheet"), (F.lit(at) if at else F.col("row")).alias("row"), cells(values).alias("cells"))
+    files = p.select("file", "shift").distinct()
+    out = sheet(files, 1, titles[:1], 1).unionByName(sheet(p, 1, row))
+    for n in (2, 3):
+        out = out.unionByName(sheet(files, n, titles, 1)).unionByName(sheet(p, n, blank))
+    return out

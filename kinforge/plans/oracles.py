@@ -1,6 +1,6 @@
 """DuckDB SQL for the named queries, each by a route of its own."""
 
-from kinforge.plans import chronicle, imports, rendered
+from kinforge.plans import chronicle, imports, listings, rendered
 
 SQL = {
     "surnames": "SELECT DISTINCT c_mktsegment AS surname, lower(c_mktsegment) AS sort_key FROM customer JOIN nation ON c_nationkey = n_nationkey",
@@ -164,4 +164,4 @@ SQL = {
         SELECT o_orderpriority AS file, o_orderstatus AS processor, count(*) AS n FROM orders GROUP BY 1, 2 UNION ALL SELECT o_orderpriority, 'TOTAL', count(*) FROM orders GROUP BY 1 UNION ALL SELECT 'TOTAL', 'TOTAL', count(*) FROM orders""",
 }
 
-SQL |= imports.SQL | rendered.SQL | chronicle.SQL
+SQL |= imports.SQL | rendered.SQL | chronicle.SQL | listings.SQL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinforge.functions import dates, text
 from kinforge.operators import expand, export, graph, increments, merge, privacy, relational, tree
 from kinforge.operators.checkpoints import cut
-from kinforge.plans import chronicle, imports, rendered
+from kinforge.plans import chronicle, imports, listings, rendered
 from kinforge.plans.derived import AS_OF, clan_lines, kinship, life_lines, order_dates, order_lines, page_links, people, spouses, table, trees, wedding_lines
 from kinforge.sources import ged
 
@@ -398,4 +398,4 @@ def rollup_total(spark, sf_dir):
     return relational.totals(d)
 
 
-QUERIES.update(imports.QUERIES | rendered.QUERIES | chronicle.QUERIES)
+QUERIES.update(imports.QUERIES | rendered.QUERIES | chronicle.QUERIES | listings.QUERIES)
