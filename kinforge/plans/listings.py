@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinforge.operators import expand, media, merge, privacy, relational
+from kinforge.operators import expand, media, merge, outputs, privacy, relational
 from kinforge.operators.checkpoints import cut
 from kinforge.plans.chronicle import CLAN
 from kinforge.plans.derived import address_lines, kinship, page_links, record_lines, sheet_cells, table
@@ -81,6 +81,23 @@ def listed_registers(spark, sf_dir):
     return media.listed_registers(d)
 
 
+@query
+def composed_texts(spark, sf_dir):
+    """Accents written as marks of their own, in a text and in a list of records."""
+    c = table(spark, sf_dir, "customer")
+    marked = F.concat("c_mktsegment", F.lit("e\u0301 "), "c_name")
+    d = outputs.nfc(c.select("c_custkey", marked.alias("name"), F.array(F.struct(F.concat(F.lit("s\u030c"), "c_name").alias("of"), F.col("c_nationkey").alias("n"))).alias("more")))
+    return d.select("c_custkey", "name", F.col("more")[0]["of"].alias("of"), F.col("more")[0]["n"].cast("long").alias("n"))
+
+
+@query
+def array_lines(spark, sf_dir):
+    """Suppliers of each nation as a JSON array, nations without any as an empty one."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    rows = s.select(F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("alias"))
+    return outputs.array_lines(rows, ("ord",), n.select(F.col("n_nationkey").alias("file"))).select("file", "last", F.coalesce("ord", F.lit(-1)).alias("ord"), "line")
+
+
 SQL = {
     "filtered_private": f"""
         WITH {CLAN}, v AS (SELECT * FROM k WHERE c % 6 <> 0),
@@ -111,4 +128,8 @@ SQL = {
     "listed_registers": """
         WITH b AS (SELECT page_id AS k, 'https://data.matricula-online.eu/sl/a/b/c/' || page_id || '/?pg=' AS book FROM pages)
         SELECT book || unnest([1, 4]) AS url FROM b WHERE k % 2 = 0 UNION ALL SELECT book || 2 FROM b WHERE k % 3 = 0""",
+    "composed_texts": """SELECT c_custkey, c_mktsegment || 'é ' || c_name AS name, 'š' || c_name AS of, c_nationkey::BIGINT AS n FROM customer""",
+    "array_lines": """
+        SELECT s_nationkey AS file, false AS last, s_suppkey AS ord, CASE WHEN s_suppkey = min(s_suppkey) OVER (PARTITION BY s_nationkey) THEN '[' ELSE ',' END || '{"id":' || s_suppkey || ',"name":"' || s_name || '"' || CASE WHEN s_suppkey % 3 = 0 THEN ',"alias":"' || s_name || '"' ELSE '' END || '}' AS line FROM supplier
+        UNION ALL SELECT n_nationkey, true, -1, CASE WHEN count(s_suppkey) > 0 THEN ']' ELSE '[]' END FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey""",
 }
