@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
 from kinforge.operators.checkpoints import cut
-from kinforge.operators.relational import DEATH, events
+from kinforge.operators.relational import DEATH
 
 PRIVATE = "<private>"
 MARK = r"(?i)\b(?:living|private|privat)\b"
@@ -17,26 +17,35 @@ NEVER = 1_000_000
 FAMILY_EVENTS = ("MARR", "MARB", "MARC", "MARL", "MARS", "EVEN", "ENGA")
 
 
+def lives(nodes: DataFrame) -> DataFrame:
+    """``years`` with the person's pointer ``ptr``: all from the person's own record, first by its level-1 elements, so nothing is joined."""
+    level, tag = F.col("level"), F.col("tag")
+    value, word = F.coalesce(text.strip(F.col("value")), F.lit("")), F.coalesce("value", F.lit(""))
+    below, is_date = level == 2, (level == 2) & (tag == "DATE")
+    year, strict = F.when(is_date, dates.birth_year(word)), F.when(is_date, dates.year_strict(word))
+    says = (value != "") & ((tag != "DATE") | value.rlike(r"\d"))
+    marked = tag.isin("NAME", "GIVN", "SURN") & F.col("value").rlike(MARK) | (tag == "NOTE") & F.col("value").rlike(r"(?i)^(?:living|private|privat)\b")
+    own = lambda c: F.max(F.when(level == 1, F.col(c)))
+    d = nodes.select("file", "rec", "ord", "level", "tag", "pointer", "value", "rec_tag", F.when(level == 1, F.col("ord")).when(below, F.col("parent")).alias("at"))
+    d = d.groupBy("file", "rec", "at").agg(
+        F.bool_or((level == 0) & (tag == "INDI")).alias("person"), F.max(F.when(level == 0, F.col("pointer"))).alias("ptr"), own("tag").alias("tag"), own("value").alias("value"), own("rec_tag").alias("rec_tag"),
+        F.max_by(F.col("value"), F.when(is_date, F.col("ord"))).alias("date"), F.bool_or(is_date).alias("dated"), F.min_by(strict, F.when(is_date, F.col("ord"))).alias("exact"),
+        F.max_by(year, F.when(year.isNotNull(), F.col("ord"))).alias("last"), F.min_by(year, F.when(year.isNotNull(), F.col("ord"))).alias("first"),
+        F.bool_or(F.when(below, says)).alias("says"), F.bool_or(F.when(below, (tag == "TYPE") & F.lower(value).contains("death"))).alias("kind"), F.bool_or(marked).alias("marked"),
+    )
+    birth, died = tag == "BIRT", tag.isin(*DEATH) & (F.upper(word) != "N")
+    known = (F.upper(value) == "Y") | F.coalesce("says", F.lit(True))  # an event with nothing below it counts
+    last, first = F.max_by("last", F.when(birth & F.col("last").isNotNull(), F.col("at"))), F.min_by("first", F.when(tag.isin("BAPM", "CHR") & F.col("first").isNotNull(), F.col("at")))
+    d = d.groupBy("file", "rec").agg(
+        F.bool_or("person").alias("person"), F.max("ptr").alias("ptr"), F.coalesce(last, first).alias("birth_year"), F.min_by("exact", F.when(birth & F.col("dated"), F.col("at"))).alias("exact_birth"),
+        F.min(F.when(died, dates.year_strict(F.coalesce("date", F.lit(""))))).alias("death_year"), F.bool_or(died & known | (tag == "EVEN") & (F.col("rec_tag") == "INDI") & F.col("kind")).alias("dead"), F.bool_or("marked").alias("marked"),
+    )
+    return d.where("person").select("file", "rec", "ptr", "birth_year", "exact_birth", "death_year", F.coalesce("dead", F.lit(False)).alias("dead"), F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
 def years(nodes: DataFrame) -> DataFrame:
     """``file, rec, birth_year, exact_birth, death_year, dead, marked`` for each person."""
-    heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec")
-    dated = nodes.where((F.col("level") == 2) & (F.col("tag") == "DATE")).select("file", F.col("parent").alias("ord"), F.col("ord").alias("at"), F.coalesce("value", F.lit("")).alias("date"))
-    births = nodes.where((F.col("level") == 1) & F.col("tag").isin("BIRT", "BAPM", "CHR")).select("file", "rec", "tag", "ord").join(dated, ["file", "ord"])
-    is_birth, year = F.col("tag") == "BIRT", dates.birth_year(F.col("date"))
-    last, first = F.max_by(year, F.when(is_birth & year.isNotNull(), F.struct("ord", "at"))), F.min_by(year, F.when(~is_birth & year.isNotNull(), F.struct("ord", "at")))
-    exact = F.min_by(dates.year_strict(F.col("date")), F.when(is_birth, F.struct("ord", "at")))
-    born = births.groupBy("file", "rec").agg(F.coalesce(last, first).alias("birth_year"), exact.alias("exact_birth"))
-    d = events(nodes, DEATH).where(F.upper(F.coalesce("value", F.lit(""))) != "N")
-    value = F.coalesce(text.strip(F.col("value")), F.lit(""))
-    says = (value != "") & ((F.col("tag") != "DATE") | value.rlike(r"\d"))
-    below = nodes.where("level = 2").groupBy("file", F.col("parent").alias("ord")).agg(F.bool_or(says).alias("says"), F.bool_or((F.col("tag") == "TYPE") & F.lower(value).contains("death")).alias("kind"))
-    known = (F.upper(value) == "Y") | F.coalesce("says", F.lit(True))  # an event with nothing below it counts
-    died = d.join(below, ["file", "ord"], "left").groupBy("file", "rec").agg(F.min(dates.year_strict(F.coalesce("date", F.lit("")))).alias("death_year"), F.bool_or(known).alias("dead"))
-    other = nodes.where((F.col("rec_tag") == "INDI") & (F.col("level") == 1) & (F.col("tag") == "EVEN")).select("file", "rec", "ord").join(below.where("kind"), ["file", "ord"], "left_semi").select("file", "rec").distinct().withColumn("other", F.lit(True))
-    names = nodes.where(F.col("tag").isin("NAME", "GIVN", "SURN") & F.col("value").rlike(MARK) | (F.col("tag") == "NOTE") & F.col("value").rlike(r"(?i)^(?:living|private|privat)\b"))
-    marked = names.select("file", "rec").distinct().withColumn("marked", F.lit(True))
-    out = heads.join(born, ["file", "rec"], "left").join(died, ["file", "rec"], "left").join(other, ["file", "rec"], "left").join(marked, ["file", "rec"], "left")
-    return out.select("file", "rec", "birth_year", "exact_birth", "death_year", F.coalesce(F.col("dead") | F.col("other"), "dead", "other", F.lit(False)).alias("dead"), F.coalesce("marked", F.lit(False)).alias("marked"))
+    return lives(nodes).drop("ptr")
 
 
 def born_within(as_of: int, n: int = 75) -> Column:
@@ -184,6 +193,11 @@ def private_families(nodes: DataFrame) -> DataFrame:
     return delete_subtrees(hidden.drop("_e"), hidden.join(below, ["file", "parent"], "left_semi").select("file", "ord"))
 
 
+def may_live(as_of: int, n: int = 110) -> Column:
+    """No death, and born within n years or at an unknown time."""
+    return ~F.col("dead") & (F.col("birth_year").isNull() | (F.col("birth_year") > as_of - n))
+
+
 def strip_living(people: DataFrame, as_of: int, n: int = 110) -> DataFrame:
     """``file, rec`` of people without a death who were born within n years or at an unknown time."""
-    return people.where(~F.col("dead") & (F.col("birth_year").isNull() | (F.col("birth_year") > as_of - n))).select("file", "rec")
+    return people.where(may_live(as_of, n)).select("file", "rec")

@@ -285,8 +285,7 @@ def surname_origins(spark, sf_dir):
 
 # -- privacy
 def _lives(spark, sf_dir):
-    n = cut(ged.lines_to_nodes(life_lines(spark, sf_dir)))
-    return n.where("level = 0").select("file", "rec", _c("pointer").alias("ptr")).join(privacy.years(n), ["file", "rec"])
+    return privacy.lives(ged.lines_to_nodes(life_lines(spark, sf_dir)))
 
 
 @query
@@ -301,8 +300,7 @@ def private_died(spark, sf_dir):
 
 @query
 def strip_living(spark, sf_dir):
-    d = _lives(spark, sf_dir)
-    return d.join(privacy.strip_living(d, AS_OF), ["file", "rec"], "left_semi").select("ptr")
+    return _lives(spark, sf_dir).where(privacy.may_live(AS_OF)).select("ptr")
 
 
 @query

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -107,20 +109,21 @@ def lines_to_nodes(lines: DataFrame) -> DataFrame:
     ranges = lines.select("file", F.floor(F.col("no") / RANGE).alias("_range"), F.col("line").rlike(RECORD).cast("long").alias("n")).groupBy("file", "_range").agg(F.sum("n").alias("n"))
     earlier = W.partitionBy("file").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select("file", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    d = lines.where(F.trim("line") != "").withColumn("fits", F.col("line").rlike(LINE)).withColumn("_range", F.floor(F.col("no") / RANGE)).join(ranges, ["file", "_range"])
-    d = d.select("file", "_range", "_before", F.col("no").cast("decimal(20,6)").alias("ord"), "fits",
-                 F.when(F.col("fits"), F.regexp_extract("line", LINE, 1).try_cast("int")).alias("level"),
-                 F.nullif(F.regexp_extract("line", LINE, 2), F.lit("")).alias("pointer"),
-                 F.when(F.col("fits"), F.regexp_extract("line", LINE, 3)).otherwise("CONC").alias("tag"),
-                 F.when(F.col("fits"), F.regexp_extract("line", LINE, 4)).otherwise(F.col("line")).alias("value"))
-    d = d.withColumn("rec", F.col("_before") + F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(W.partitionBy("file", "_range").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
-    record = W.partitionBy("file", "rec").orderBy("ord")
-    so_far = record.rowsBetween(W.unboundedPreceding, 0)
+    d = lines.where(F.trim("line") != "").withColumn("_range", F.floor(F.col("no") / RANGE)).join(ranges, ["file", "_range"])
+    d = d.select("file", "_range", "_before", "no", "line", F.regexp_extract("line", LINE, 1).try_cast("int").alias("level"))
+    d = d.withColumn("rec", F.col("_before") + F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(W.partitionBy("file", "_range").orderBy("no").rowsBetween(W.unboundedPreceding, 0)))
+    fits, part = F.col("level").isNotNull(), lambda i: F.regexp_extract("line", LINE, i)
+    d = d.select("file", "rec", "no", "level", F.when(fits & F.contains("line", F.lit("@")), F.nullif(part(2), F.lit(""))).alias("pointer"), F.when(fits, part(3)).otherwise("CONC").alias("tag"), F.when(fits, part(4)).otherwise(F.col("line")).alias("value"))
+    # places are compared as they come and become decimals at the end
+    so_far = W.partitionBy("file", "rec").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("level", F.coalesce("level", F.last("level", True).over(so_far) + 1))
-    for k in range(MAX_LEVEL + 1):
-        d = d.withColumn(f"a{k}", F.when(F.col("level") >= k, F.last(F.when(F.col("level") == k, F.col("ord")), True).over(so_far)))
-    d = d.withColumn("path", F.filter(F.array(*[f"a{k}" for k in range(MAX_LEVEL + 1)]), lambda x: x.isNotNull()))
-    d = d.withColumn("rec_tag", F.first("tag").over(so_far))
+    d = d.select("*", F.first("tag").over(so_far).alias("rec_tag"), *[F.last(F.when(F.col("level") == k, F.col("no")), True).over(so_far).alias(f"a{k}") for k in range(MAX_LEVEL + 1)])
+    above = [F.when(F.col("level") >= k, F.col(f"a{k}")) for k in range(MAX_LEVEL + 1)]
+    path = F.filter(F.array(*above), lambda x: x.isNotNull())
+    for k in (3, 2, 1, 0):  # no level is missing as a rule
+        path = F.when((F.col("level") == k) & reduce(and_, [F.col(f"a{i}").isNotNull() for i in range(k + 1)]), F.array(*[F.col(f"a{i}") for i in range(k + 1)])).otherwise(path)
+    place = "decimal(20,6)"
+    d = d.withColumn("path", path.cast(f"array<{place}>")).withColumn("ord", F.col("no").cast(place))
     return d.select("file", "rec", "ord", F.when(F.col("level") > 0, F.element_at("path", F.size("path") - 1)).alias("parent"), "level", "pointer", "tag", "value", "rec_tag", "path")
 
 
