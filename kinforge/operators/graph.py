@@ -32,21 +32,22 @@ def closure(pairs: DataFrame, seeds: DataFrame, src: str, dst: str, forbidden: D
     so cycles end. Nobody among ``forbidden`` (file, id) is reached or gone through. Rounds are
     merged every ``MERGE`` of them, so the plan of a deep tree does not grow with its depth.
     Columns of the seeds named by ``carry`` go along: closures of many seeds, kept apart, run as one;
-    ``barred`` (file, carried columns, id) is forbidden to some of them.
+    ``barred`` (file, carried columns, id) is forbidden to some of them. No join is broadcast: what is
+    sent to the driver would grow with the reach in every round.
     """
     key = ["file", *carry, "id"]
 
     def allowed(d: DataFrame) -> DataFrame:
-        d = d if forbidden is None else d.join(forbidden.select("file", "id"), ["file", "id"], "left_anti")
-        return d if barred is None else d.join(barred.select(*key), key, "left_anti")
+        d = d if forbidden is None else d.join(forbidden.select("file", "id").hint("merge"), ["file", "id"], "left_anti")
+        return d if barred is None else d.join(barred.select(*key).hint("merge"), key, "left_anti")
 
     pairs = cut(pairs.select("file", src, dst))  # two ids a row, read again in every round
     seen = cut(allowed(seeds.select(*key).distinct()).select(*key).withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while True:
         depth += 1
-        step = frontier.select("file", *carry, F.col("id").alias(src)).join(pairs, ["file", src]).select("file", *carry, F.col(dst).alias("id")).distinct()
-        frontier = cut(allowed(step).join(seen, key, "left_anti").select(*key).withColumn("depth", F.lit(depth)))
+        step = frontier.select("file", *carry, F.col("id").alias(src)).join(pairs.hint("merge"), ["file", src]).select("file", *carry, F.col(dst).alias("id")).distinct()
+        frontier = cut(allowed(step).join(seen.hint("merge"), key, "left_anti").select(*key).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)

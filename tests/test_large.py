@@ -3,7 +3,8 @@
 import contextlib
 import io
 
-from kinforge.operators import privacy
+from kinforge.operators import expand, graph, privacy
+from kinforge.operators.checkpoints import cut
 from kinforge.sources import ged
 
 
@@ -23,3 +24,15 @@ def test_years_are_worked_out_within_the_record(spark):
     d = privacy.years(n)
     assert "Join" not in plan(d) and plan(d).count("Exchange") <= 2
     assert {tuple(r)[1:] for r in d.collect()} == {(1, 1902, 1901, None, True, False), (2, 1850, None, None, True, True)}
+
+
+def test_closures_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    for module in (graph, expand):
+        monkeypatch.setattr(module, "cut", lambda df: (plans.append(plan(df)), cut(df))[1])
+    up = spark.createDataFrame([("f", 2, 1), ("f", 3, 2), ("f", 1, 3), ("f", 4, 3)], "file string, child long, parent long")
+    people = spark.createDataFrame([("f", i, "X", "P" if i == 1 else None) for i in range(1, 5)], "file string, id long, surname string, place string")
+    seeds = spark.createDataFrame([("f", 1)], "file string, id long")
+    assert {tuple(r)[1:] for r in graph.closure(up, seeds, "parent", "child", people.where("id = 4").select("file", "id")).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert {tuple(r)[1:] for r in expand.surname_origin(people, up).collect()} == {(1, "P"), (2, "P"), (3, "P"), (4, "P")}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
