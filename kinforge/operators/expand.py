@@ -154,19 +154,21 @@ def surname_origin(people: DataFrame, up: DataFrame) -> DataFrame:
     """``file, id, place``: a person's own place, else that of the nearest ancestors of the same surname, the least id first.
 
     ``people`` is (file, id, surname, place), ``up`` (file, child, parent). Level by level, only
-    persons without an answer go on, and only through parents with the person's own surname.
+    persons without an answer go on, and only through parents with the person's own surname. No
+    join is broadcast, as nearly all persons are on both sides.
     """
-    known = people.select("file", "id", "surname", F.coalesce("place", F.lit("")).alias("place"))
+    known = cut(people.select("file", "id", "surname", F.coalesce("place", F.lit("")).alias("place")))
     found = cut(known.where("place <> ''").select("file", "id", "place"))
     open_ = cut(known.where("place = ''").select("file", F.col("id").alias("who"), "id", "surname"))
     seen = open_.select("file", "who", "id")
+    up = cut(up.select("file", F.col("child").alias("id"), "parent"))
     while not open_.isEmpty():
-        step = open_.join(up.select("file", F.col("child").alias("id"), "parent"), ["file", "id"]).select("file", "who", "surname", F.col("parent").alias("id"))
-        step = step.join(known, ["file", "id", "surname"]).select("file", "who", "id", "surname", "place").distinct().join(seen, ["file", "who", "id"], "left_anti")
+        step = open_.join(up.hint("merge"), ["file", "id"]).select("file", "who", "surname", F.col("parent").alias("id"))
+        step = step.join(known.hint("merge"), ["file", "id", "surname"]).select("file", "who", "id", "surname", "place").distinct().join(seen.hint("merge"), ["file", "who", "id"], "left_anti")
         step = cut(step)
         answer = step.where("place <> ''").groupBy("file", F.col("who").alias("id")).agg(F.min_by("place", "id").alias("place"))
         answer = cut(answer.select(*found.columns))
         found = cut(found.unionByName(answer))
-        open_ = cut(step.select("file", "who", "id", "surname").join(answer.select("file", F.col("id").alias("who")), ["file", "who"], "left_anti"))
+        open_ = cut(step.select("file", "who", "id", "surname").join(answer.select("file", F.col("id").alias("who")).hint("merge"), ["file", "who"], "left_anti"))
         seen = cut(seen.unionByName(open_.select(*seen.columns)))
-    return known.select("file", "id").join(found, ["file", "id"], "left").select("file", "id", F.coalesce("place", F.lit("")).alias("place"))
+    return known.select("file", "id").join(found.hint("merge"), ["file", "id"], "left").select("file", "id", F.coalesce("place", F.lit("")).alias("place"))
