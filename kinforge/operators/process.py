@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,32 +83,50 @@ def counted(nodes: DataFrame, as_of: int, **how) -> tuple[DataFrame, DataFrame]:
     """The nodes behind all ``steps``, and ``file, place, processor, n``: what each has changed in a file, those that change nothing left out.
 
     Cleaners and tag transformers count the values they change, deletes the elements they take away with all
-    below them, and those that hide people the records they touch.
+    below them, and those that hide people the records they touch. Deletes of elements one after another
+    are marked in one pass, of which only what they take away is written.
     """
-    found = None
-    nodes = cut(nodes)
-    for place, (kind, name, step) in enumerate(steps(as_of, **how)):
-        after = cut(step(nodes))
-        new = after.select("file", "ord", F.col("tag").alias("_t"), F.col("value").alias("_v"), F.lit(True).alias("_there"))
-        d = nodes.select("file", "rec", "ord", "parent", "tag", "value").join(new, ["file", "ord"], "left")
-        gone, other = F.col("_there").isNull(), ~F.col("tag").eqNullSafe(F.col("_t")) | ~F.col("value").eqNullSafe(F.col("_v"))
-        if kind == "strip":
-            lost = d.where(gone)
-            n = lost.join(lost.select("file", F.col("ord").alias("parent")), ["file", "parent"], "left_anti").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-        elif kind == "privacy":
-            n = d.where(gone | other).groupBy("file").agg(F.countDistinct("rec").alias("n"))
-        else:
-            n = d.where(gone | other).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-        n = n.select("file", F.lit(place).alias("place"), F.lit(name).alias("processor"), "n")
+    found, stored = None, False
+    for marks, run_ in groupby(enumerate(steps(as_of, **how)), lambda x: x[1][0] == "strip" and x[1][1] in tree.MARKS):
+        if not marks:
+            for place, (kind, name, step) in run_:
+                nodes = nodes if stored else cut(nodes)
+                nodes, n, stored = *_step(nodes, place, kind, name, step), True
+                found = n if found is None else found.unionByName(n)
+            continue
+        names = {place: name for place, (_, name, _) in run_}
+        marked = nodes.withColumn("_gone", F.lit(None).cast("int"))
+        for place, name in names.items():
+            marked = tree.mark(marked, name, place)
+        lost = cut(marked.where("_gone is not null").select("file", "ord", "parent", F.col("_gone").alias("place")))
+        n = lost.join(lost.select("file", F.col("ord").alias("parent"), "place"), ["file", "parent", "place"], "left_anti").groupBy("file", "place").agg(F.count(F.lit(1)).alias("n"))
+        named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        n = n.select("file", "place", named[F.col("place")].alias("processor"), "n")
         found = n if found is None else found.unionByName(n)
-        nodes = after
+        nodes, stored = marked.where("_gone is null").drop("_gone"), False
     if found is None:
         found = nodes.limit(0).select("file", F.lit(0).alias("place"), F.lit("").alias("processor"), F.lit(0).cast("long").alias("n"))
     return nodes, found
 
 
+def _step(nodes: DataFrame, place: int, kind: str, name: str, step: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The nodes behind a step, written, and what it has changed."""
+    after = cut(step(nodes))
+    new = after.select("file", "ord", F.col("tag").alias("_t"), F.col("value").alias("_v"), F.lit(True).alias("_there"))
+    d = nodes.select("file", "rec", "ord", "parent", "tag", "value").join(new, ["file", "ord"], "left")
+    gone, other = F.col("_there").isNull(), ~F.col("tag").eqNullSafe(F.col("_t")) | ~F.col("value").eqNullSafe(F.col("_v"))
+    if kind == "strip":
+        lost = d.where(gone)
+        n = lost.join(lost.select("file", F.col("ord").alias("parent")), ["file", "parent"], "left_anti").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    elif kind == "privacy":
+        n = d.where(gone | other).groupBy("file").agg(F.countDistinct("rec").alias("n"))
+    else:
+        n = d.where(gone | other).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return after, n.select("file", F.lit(place).alias("place"), F.lit(name).alias("processor"), "n")
+
+
 def summary(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """A row for each file of the nodes and a row TOTAL, a column for each processor that has changed something, in the order they ran."""
+    """A row for each file of the nodes (of which only ``file`` is read) and a row TOTAL, a column for each processor that has changed something, in the order they ran."""
     names = [r["processor"] for r in found.groupBy("processor").agg(F.min("place").alias("place")).orderBy("place").collect()]  # at most as many as there are processors
     every = nodes.select("file").distinct()
     sums = [F.coalesce(F.sum(F.when(F.col("processor") == p, F.col("n"))), F.lit(0)).alias(p) for p in names]

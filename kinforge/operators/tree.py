@@ -77,9 +77,9 @@ def _so_far():
     return W.partitionBy("file", "rec").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
 
 
-def _above(what: Column) -> Column:
-    """``what`` at the latest node of each level, from level 0 to the deepest."""
-    return F.array(*[F.last(F.when(F.col("level") == k, what), True).over(_so_far()) for k in range(MAX_LEVEL + 1)])
+def _above(what: Column, among: Column | None = None) -> Column:
+    """``what`` at the latest node of each level, from level 0 to the deepest; ``among`` tells which nodes count."""
+    return F.array(*[F.last(F.when(F.col("level") == k if among is None else (F.col("level") == k) & among, what), True).over(_so_far()) for k in range(MAX_LEVEL + 1)])
 
 
 def with_parents(nodes: DataFrame) -> DataFrame:
@@ -134,6 +134,31 @@ def strip(nodes: DataFrame, spec: Strip) -> DataFrame:
     return delete_where(with_parents(nodes), hit).select(*nodes.columns)
 
 
+#: deletes that ``mark`` can tell without taking anything away
+MARKS = {name: (spec,) for name, spec in STRIPS.items()} | {"ste": (Strip(("_STE",)), Strip(("_STE",), parent="SOUR"))}
+
+
+def mark(nodes: DataFrame, name: str, place: int) -> DataFrame:
+    """``_gone`` becomes ``place`` at what this delete takes of the nodes where it is null; only windows over the record."""
+    for spec in MARKS[name]:
+        there = F.col("_gone").isNull()
+        hit = there & F.col("tag").isin(*spec.tags)
+        d = nodes
+        if spec.level is not None:
+            hit = hit & (F.col("level") == spec.level)
+        elif spec.parent is None:
+            hit = hit & (F.col("level") == 0)
+        if spec.parent is not None:
+            d = d.withColumn("_line", _above(F.col("tag"), there)).withColumn("_line", F.filter(F.slice("_line", F.lit(1), F.col("level")), lambda x: x.isNotNull()))
+            hit = hit & (F.get("_line", F.size("_line") - 1) == spec.parent)
+            if spec.grandparent is not None:
+                hit = hit & (F.get("_line", F.size("_line") - 2) == spec.grandparent)
+        d = d.withColumn("_hits", _above(F.coalesce(hit, F.lit(False)), there))
+        lost = there & F.exists(F.slice("_hits", F.lit(1), F.col("level") + 1), lambda x: F.coalesce(x, F.lit(False)))
+        nodes = d.withColumn("_gone", F.when(lost, place).otherwise(F.col("_gone"))).select(*nodes.columns)
+    return nodes
+
+
 def strip_marked_records(nodes: DataFrame, tag: str = "PRIV") -> DataFrame:
     """Without the records that have a child of that tag."""
     marked = nodes.where((F.col("level") == 1) & (F.col("tag") == tag)).select("file", "rec").distinct()

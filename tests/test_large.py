@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from kinforge.operators import expand, graph, privacy
+from kinforge.operators import expand, graph, privacy, process
 from kinforge.operators.checkpoints import cut
 from kinforge.sources import ged
 
@@ -36,3 +36,15 @@ def test_closures_broadcast_nothing(spark, monkeypatch):
     assert {tuple(r)[1:] for r in graph.closure(up, seeds, "parent", "child", people.where("id = 4").select("file", "id")).collect()} == {(1, 0), (2, 1), (3, 2)}
     assert {tuple(r)[1:] for r in expand.surname_origin(people, up).collect()} == {(1, "P"), (2, "P"), (3, "P"), (4, "P")}
     assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_counted_deletes_write_only_what_they_take(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(process, "cut", lambda df: (written.append(df.columns), cut(df))[1])
+    text = "0 @I1@ INDI\n1 RACE x\n2 CHAN y\n1 CHAN z\n2 CHAN a\n3 CREA b\n2 CREA c\n1 SOUR @S1@\n2 _STE q\n3 NOTE r\n0 _STE\n1 NOTE s\n2 CREA t\n0 @I2@ INDI\n3 CHAN u\n2 CHAN v"
+    names = ("change_date", "indi_race", "create_date", "ste")
+    n = nodes(spark, text)
+    rest, found = process.counted(n, 1950, strip=names)
+    assert {(r["processor"], r["n"]) for r in found.collect()} == {("change_date", 3), ("indi_race", 1), ("create_date", 2), ("ste", 2)}
+    assert written and all("path" not in columns for columns in written)
+    assert sorted(map(str, rest.collect())) == sorted(map(str, process.run(n, 1950, strip=names).collect()))
