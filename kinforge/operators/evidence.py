@@ -90,7 +90,7 @@ def cited(nodes: DataFrame) -> DataFrame:
     texts, shown = cut(ged.full_text(spoken)), cut(media(nodes))
     tops = owned.where(F.col("level") == 1).select("file", "rec", "rec_tag", F.col("ord").alias("at"), F.col("tag").alias("top"))
     own = tops.where(~F.col("top").isin(*CITED)).join(texts.withColumnRenamed("ord", "at"), ["file", "at"]).select(*tops.columns, F.col("at").alias("ord"), records.known_links(F.col("text")).alias("urls"))
-    elements = owned.where(F.col("level").isin(1, 2) & F.col("tag").isin(*CITED)).select("file", F.element_at("path", 2).alias("at"), "ord", "level", "tag", "value").join(tops, ["file", "at"])
+    elements = owned.where(F.col("level").isin(1, 2) & F.col("tag").isin(*CITED)).select("file", F.when(F.col("level") == 1, F.col("ord")).otherwise(F.col("parent")).alias("at"), "ord", "level", "tag", "value").join(tops, ["file", "at"])
     elements = elements.where((F.col("level") == 1) | ~F.col("top").isin(*CITED))
     notes = elements.where("tag = 'NOTE'").join(texts, ["file", "ord"]).select(*own.columns[:-1], records.known_links(F.col("text")).alias("urls"))
     pictures = elements.where("tag = 'OBJE'").join(shown, ["file", "value"]).select(*own.columns[:-1], F.array("url").alias("urls"))

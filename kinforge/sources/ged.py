@@ -13,7 +13,7 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,30 +101,47 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.[gG][eE][dD]")
 
 
 def lines_to_nodes(lines: DataFrame) -> DataFrame:
-    """``file, no, line`` to nodes. Lines that do not fit the grammar continue the value of the line before them.
+    """``file, no, line`` to nodes. Lines that do not fit the grammar continue the value of the line before them."""
+    place = "decimal(20,6)"
+    above = [F.when(F.col("level") >= k, F.col(f"a{k}")) for k in range(MAX_LEVEL + 1)]
+    path = F.filter(F.array(*above), lambda x: x.isNotNull())
+    for k in (3, 2, 1, 0):  # no level is missing as a rule
+        path = F.when((F.col("level") == k) & reduce(and_, [F.col(f"a{i}").isNotNull() for i in range(k + 1)]), F.array(*[F.col(f"a{i}") for i in range(k + 1)])).otherwise(path)
+    return _placed(lines).select("file", "rec", F.col("no").cast(place).alias("ord"), _parent().cast(place).alias("parent"), "level", "pointer", "tag", "value", "rec_tag", path.cast(f"array<{place}>").alias("path"))
+
+
+def lines_to_read(lines: DataFrame) -> DataFrame:
+    """Nodes that are only read: places are the line numbers themselves, as nothing is put between them, and there is no path."""
+    return _placed(lines).select("file", "rec", F.col("no").cast("long").alias("ord"), _parent().cast("long").alias("parent"), "level", "pointer", "tag", "value", "rec_tag")
+
+
+def _parent() -> Column:
+    """The latest line of a higher level in the record; levels beyond the deepest count as that one."""
+    up = F.coalesce(*[F.when(F.col("level") > k, F.col(f"a{k}")) for k in reversed(range(MAX_LEVEL))])
+    deepest = F.filter(F.array(*[F.col(f"a{k}") for k in range(MAX_LEVEL + 1)]), lambda x: x.isNotNull())
+    return F.when(F.col("level").between(1, MAX_LEVEL), up).when(F.col("level") > MAX_LEVEL, F.try_element_at(deepest, F.greatest(F.size(deepest) - 1, F.lit(1))))
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """``file, rec, no, level, pointer, tag, value, rec_tag`` and ``a0`` to ``a9``, the latest line of each level so far in the record.
 
     Record starts are counted for ranges of line numbers, so that a file of any size is read by
-    many tasks; everything below a record is worked out within it.
+    many tasks; everything below a record is worked out within it. The counts and the lines come from
+    one shuffle, so the lines are made once.
     """
-    ranges = lines.select("file", F.floor(F.col("no") / RANGE).alias("_range"), F.col("line").rlike(RECORD).cast("long").alias("n")).groupBy("file", "_range").agg(F.sum("n").alias("n"))
-    earlier = W.partitionBy("file").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    d = lines.where(F.trim("line") != "").select("file", F.floor(F.col("no") / RANGE).alias("_range"), "no", "line").where("file is not null and _range is not null").repartition("file", "_range")
+    # the last number says where a range ends; it keeps the columns those of the lines, which lets both read the same shuffle
+    ranges = d.groupBy("file", "_range").agg(F.sum(F.col("line").rlike(RECORD).cast("long")).alias("n"), F.max("no").alias("_last"))
+    earlier = W.partitionBy("file").orderBy("_last").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select("file", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    d = lines.where(F.trim("line") != "").withColumn("_range", F.floor(F.col("no") / RANGE)).join(ranges, ["file", "_range"])
+    d = d.join(ranges, ["file", "_range"])
     d = d.select("file", "_range", "_before", "no", "line", F.regexp_extract("line", LINE, 1).try_cast("int").alias("level"))
     d = d.withColumn("rec", F.col("_before") + F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(W.partitionBy("file", "_range").orderBy("no").rowsBetween(W.unboundedPreceding, 0)))
     fits, part = F.col("level").isNotNull(), lambda i: F.regexp_extract("line", LINE, i)
     d = d.select("file", "rec", "no", "level", F.when(fits & F.contains("line", F.lit("@")), F.nullif(part(2), F.lit(""))).alias("pointer"), F.when(fits, part(3)).otherwise("CONC").alias("tag"), F.when(fits, part(4)).otherwise(F.col("line")).alias("value"))
-    # places are compared as they come and become decimals at the end
     so_far = W.partitionBy("file", "rec").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("level", F.coalesce("level", F.last("level", True).over(so_far) + 1))
-    d = d.select("*", F.first("tag").over(so_far).alias("rec_tag"), *[F.last(F.when(F.col("level") == k, F.col("no")), True).over(so_far).alias(f"a{k}") for k in range(MAX_LEVEL + 1)])
-    above = [F.when(F.col("level") >= k, F.col(f"a{k}")) for k in range(MAX_LEVEL + 1)]
-    path = F.filter(F.array(*above), lambda x: x.isNotNull())
-    for k in (3, 2, 1, 0):  # no level is missing as a rule
-        path = F.when((F.col("level") == k) & reduce(and_, [F.col(f"a{i}").isNotNull() for i in range(k + 1)]), F.array(*[F.col(f"a{i}") for i in range(k + 1)])).otherwise(path)
-    place = "decimal(20,6)"
-    d = d.withColumn("path", path.cast(f"array<{place}>")).withColumn("ord", F.col("no").cast(place))
-    return d.select("file", "rec", "ord", F.when(F.col("level") > 0, F.element_at("path", F.size("path") - 1)).alias("parent"), "level", "pointer", "tag", "value", "rec_tag", "path")
+    return d.select("*", F.first("tag").over(so_far).alias("rec_tag"), *[F.last(F.when(F.col("level") == k, F.col("no")), True).over(so_far).alias(f"a{k}") for k in range(MAX_LEVEL + 1)])
 
 
 def text_to_nodes(files: DataFrame) -> DataFrame:
