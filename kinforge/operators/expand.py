@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.operators import graph
-from kinforge.operators.checkpoints import cut
+from kinforge.operators.checkpoints import cut, stored
 
 
 @dataclass
@@ -36,18 +36,14 @@ class Kin:
 
 
 def kin(nodes: DataFrame) -> Kin:
-    linked = F.col("tag").isin("FAMC", "FAMS", "HUSB", "WIFE", "CHIL") & (F.col("level") == 1)
-    nodes = cut(nodes.where(linked | (F.col("level") == 0)).select("file", "rec", "level", "pointer", "tag", "value"))
     heads = nodes.where("level = 0")
     persons = heads.where("tag = 'INDI'").select("file", F.col("pointer").alias("id")).distinct()
     families = heads.where("tag = 'FAM'").select("file", F.col("pointer").alias("fam")).distinct()
-    e = graph.edges(nodes)
-
-    def links(kinds: tuple[str, ...], person: str, family: str) -> DataFrame:
-        d = e.where(F.col("kind").isin(*kinds)).select("file", F.trim(F.col(person)).alias("id"), F.trim(F.col(family)).alias("fam")).distinct()
-        return cut(d.join(persons, ["file", "id"], "left_semi").join(families, ["file", "fam"], "left_semi"))
-
-    return Kin(links(("famc",), "src", "dst"), links(("fams",), "src", "dst"), links(("chil",), "dst", "src"), links(("husb", "wife"), "dst", "src"))
+    own = F.col("kind").isin("famc", "fams")
+    role = F.when(F.col("kind").isin("husb", "wife"), F.lit("spouse")).otherwise(F.col("kind"))
+    e = graph.edges(nodes).select("file", role.alias("role"), F.trim(F.when(own, F.col("src")).otherwise(F.col("dst"))).alias("id"), F.trim(F.when(own, F.col("dst")).otherwise(F.col("src"))).alias("fam")).distinct()
+    e = stored(e.join(persons, ["file", "id"], "left_semi").join(families, ["file", "fam"], "left_semi"))
+    return Kin(*[e.where(F.col("role") == r).select("file", "id", "fam") for r in ("famc", "fams", "chil", "spouse")])
 
 
 def _union(*sets: DataFrame) -> DataFrame:

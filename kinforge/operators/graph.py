@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.operators.checkpoints import cut
@@ -25,6 +26,10 @@ def parents(e: DataFrame) -> DataFrame:
     return up.join(spouses, ["file", "fam"]).select("file", "child", "parent").distinct()
 
 
+def _spread(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def closure(pairs: DataFrame, seeds: DataFrame, src: str, dst: str, forbidden: DataFrame | None = None, carry: tuple[str, ...] = (), barred: DataFrame | None = None) -> DataFrame:
     """``file, id, depth``: all that is reached from the seeds (file, id), themselves at depth 0.
 
@@ -41,7 +46,8 @@ def closure(pairs: DataFrame, seeds: DataFrame, src: str, dst: str, forbidden: D
         d = d if forbidden is None else d.join(forbidden.select("file", "id").hint("merge"), ["file", "id"], "left_anti")
         return d if barred is None else d.join(barred.select(*key).hint("merge"), key, "left_anti")
 
-    pairs = cut(pairs.select("file", src, dst))  # two ids a row, read again in every round
+    # read in every round: kept spread by what it is joined by, so that no round shuffles or sorts all edges again
+    pairs = pairs.select("file", src, dst).repartition(_spread(seeds.sparkSession), "file", src).sortWithinPartitions("file", src).persist(StorageLevel.MEMORY_AND_DISK)
     seen = cut(allowed(seeds.select(*key).distinct()).select(*key).withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while True:
@@ -49,6 +55,7 @@ def closure(pairs: DataFrame, seeds: DataFrame, src: str, dst: str, forbidden: D
         step = frontier.select("file", *carry, F.col("id").alias(src)).join(pairs.hint("merge"), ["file", src]).select("file", *carry, F.col(dst).alias("id")).distinct()
         frontier = cut(allowed(step).join(seen.hint("merge"), key, "left_anti").select(*key).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
+            pairs.unpersist()
             return seen
         seen = seen.unionByName(frontier)
         if depth % MERGE == 0:

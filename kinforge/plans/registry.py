@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
 from kinforge.operators import expand, export, graph, increments, merge, privacy, relational, tree
-from kinforge.operators.checkpoints import cut
+from kinforge.operators.checkpoints import cut, stored
 from kinforge.plans import chronicle, imports, listings, rendered
 from kinforge.plans.derived import AS_OF, clan_lines, kinship, life_lines, order_dates, order_lines, page_links, people, spouses, table, trees, wedding_lines
 from kinforge.sources import ged
@@ -250,7 +250,7 @@ def partners(spark, sf_dir):
 @query
 def filter_cleanup(spark, sf_dir):
     """The links left among the descendants of one person and their families."""
-    n = cut(ged.lines_to_nodes(clan_lines(spark, sf_dir)))
+    n = stored(ged.lines_to_read(clan_lines(spark, sf_dir)))
     seed = spark.range(1).select(F.lit("f").alias("file"), F.lit("@I3@").alias("id"))
     kept = graph.keep(n, graph.descendants(graph.parents(graph.edges(n)), seed))
     owners = kept.where("level = 0").select("file", "rec", _c("pointer").alias("owner"))
@@ -260,7 +260,7 @@ def filter_cleanup(spark, sf_dir):
 @query
 def filter_expand(spark, sf_dir):
     """Ancestors of two persons with siblings and partners, their descendants forbidden."""
-    n = cut(ged.lines_to_nodes(clan_lines(spark, sf_dir)))
+    n = stored(ged.lines_to_read(clan_lines(spark, sf_dir)))
     roots = spark.createDataFrame([("f", "@I97@"), ("f", "@I64@")], "file string, id string")
     people, _, _ = expand.filtered(n, roots, siblings=True, partners=True)
     return people.select("id")
@@ -269,7 +269,7 @@ def filter_expand(spark, sf_dir):
 @query
 def filter_related(spark, sf_dir):
     """How many persons and families the descendants of one person with their relatives are, one round of them."""
-    n = cut(ged.lines_to_nodes(clan_lines(spark, sf_dir)))
+    n = stored(ged.lines_to_read(clan_lines(spark, sf_dir)))
     roots = spark.createDataFrame([("f", "@I7@")], "file string, id string")
     _, _, counts = expand.filtered(n, roots, ancestors=False, descendants=True, with_related=True, related_depth=1)
     return counts.select("id", "persons")
