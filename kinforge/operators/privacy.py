@@ -128,26 +128,45 @@ def redact(nodes: DataFrame, people: DataFrame, how: str = "private") -> DataFra
     record without a name gains one. GIVN and SURN below it stay in the last two forms, shortened
     likewise. With ``whole`` the name stays as it is with all below it, and none is made.
     """
-    hit = nodes.join(people.select("file", "rec", F.lit(True).alias("_hit")).distinct(), ["file", "rec"], "left")
+    return redacted(marked(nodes, people), how)
+
+
+#: what ``marked`` adds to nodes
+MARKED = ("_hit", "_top", "_at", "_first")
+
+
+def marked(nodes: DataFrame, people: DataFrame) -> DataFrame:
+    """The nodes with what ``redacted`` asks: whether the record is one of the people's, tag and place of the level-1 element that a node belongs to, and the place of the first name.
+
+    It is the same for every way to hide, so several ways can share it.
+    """
     record = W.partitionBy("file", "rec")
+    so_far = record.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    d = nodes.join(people.select("file", "rec", F.lit(True).alias("_hit")).distinct(), ["file", "rec"], "left")
+    top = lambda c: F.last(F.when(F.col("level") == 1, F.col(c)), True).over(so_far)
+    d = d.withColumn("_top", top("tag")).withColumn("_at", top("ord"))
     is_name = F.col("_hit") & (F.col("level") == 1) & (F.col("tag") == "NAME")
-    d = hit.withColumn("_first", F.min(F.when(is_name, F.col("ord"))).over(record))
-    d = d.withColumn("_top", F.last(F.when(F.col("level") == 1, F.col("tag")), True).over(record.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
+    return d.withColumn("_first", F.min(F.when(is_name, F.col("ord"))).over(record)).select(*nodes.columns, *MARKED)
+
+
+def redacted(d: DataFrame, how: str, make_names: bool = True) -> DataFrame:
+    """``redact`` of nodes that are ``marked``; names are made for records without one only if asked for."""
+    columns = [c for c in d.columns if c not in MARKED]
     own, part = F.col("ord") == F.col("_first"), (F.col("level") == 2) & (F.col("parent") == F.col("_first"))
-    inside = F.array_contains("path", F.col("_first")) if how == "whole" else F.lit(False)
+    inside = F.col("_at") == F.col("_first") if how == "whole" else F.lit(False)
     value = F.coalesce("value", F.lit(""))
     short = {"private": F.lit(PRIVATE), "initials": text.shorten_name(value), "name": text.shorten_given(value), "whole": F.col("value")}[how]
     kept = {"private": (), "initials": ("GIVN", "SURN"), "name": ("GIVN", "SURN"), "whole": ()}[how]
     cut_short = {"private": (), "initials": ("GIVN", "SURN"), "name": ("GIVN",), "whole": ()}[how]
     stays = F.col("_hit").isNull() | (F.col("level") == 0) | F.col("_top").isin("SEX", "FAMC", "FAMS") | own | inside | part & F.col("tag").isin(*kept)
     new = F.when(own, short).when(F.col("_hit") & part & F.col("tag").isin(*cut_short), text.initials(value)).otherwise(F.col("value"))
-    out = d.where(F.coalesce(stays, F.lit(False))).withColumn("value", new).select(*nodes.columns)
-    if how == "whole":
+    out = d.where(F.coalesce(stays, F.lit(False))).withColumn("value", new).select(*columns)
+    if how == "whole" or not make_names:
         return out
     at = (F.col("ord") + F.lit("0.000001").cast("decimal(20,6)")).cast("decimal(20,6)")
     bare = d.where(F.col("_hit") & (F.col("level") == 0) & F.col("_first").isNull())
-    made = bare.select("file", "rec", at.alias("ord"), F.col("ord").alias("parent"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("pointer"), F.lit("NAME").alias("tag"), F.lit(PRIVATE if how == "private" else "").alias("value"), "rec_tag", F.array(F.col("ord"), at).alias("path"))
-    return out.unionByName(made.select(*nodes.columns))
+    made = {"ord": at, "parent": F.col("ord"), "level": F.lit(1), "pointer": F.lit(None).cast("string"), "tag": F.lit("NAME"), "value": F.lit(PRIVATE if how == "private" else ""), "path": F.array(F.col("ord"), at)}
+    return out.unionByName(bare.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns]))
 
 
 def without_death(nodes: DataFrame) -> DataFrame:
@@ -159,13 +178,14 @@ def without_death(nodes: DataFrame) -> DataFrame:
 
 def hide_in_filtered(nodes: DataFrame, how: str) -> DataFrame:
     """A filtered tree with its persons without a death redacted: ``private``, ``initials`` (of given names and surname, none made where there is no name) or ``name`` (the name stays)."""
+    return hidden_in_filtered(marked(nodes, without_death(nodes)), how)
+
+
+def hidden_in_filtered(d: DataFrame, how: str) -> DataFrame:
+    """``hide_in_filtered`` of nodes that are ``marked``."""
     if how not in ("private", "initials", "name"):
         raise ValueError(f"unknown way to hide: {how}")
-    out = redact(nodes, without_death(nodes), {"name": "whole"}.get(how, how))
-    if how == "initials":  # the names that redact makes for those without one have no lines in the input
-        made = (F.col("tag") == "NAME") & (F.col("level") == 1) & (F.coalesce("value", F.lit("")) == "")
-        out = out.where(~made).unionByName(out.where(made).join(nodes.select("file", "ord"), ["file", "ord"], "left_semi"))
-    return out
+    return redacted(d, {"name": "whole"}.get(how, how), make_names=how == "private")
 
 
 def without_marriages(nodes: DataFrame, people: DataFrame) -> DataFrame:

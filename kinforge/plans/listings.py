@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinforge.operators import expand, media, merge, outputs, privacy, relational
-from kinforge.operators.checkpoints import cut
+from kinforge.operators.checkpoints import cut, stored
 from kinforge.plans.chronicle import CLAN
 from kinforge.plans.derived import address_lines, kinship, page_links, record_lines, sheet_cells, table
 from kinforge.sources import ged, sheets
@@ -27,9 +27,10 @@ def _tree(lines):
 @query
 def filtered_private(spark, sf_dir):
     """What is left of persons without a death in a filtered tree, in each of three ways."""
-    n, heads = _tree(record_lines(spark, sf_dir))
-    hidden = privacy.without_death(n)
-    left = [privacy.hide_in_filtered(n, how).where("level > 0").join(hidden, ["file", "rec"], "left_semi").withColumn("how", F.lit(how)) for how in WAYS]
+    n = stored(ged.lines_to_nodes(record_lines(spark, sf_dir)).drop("path"))
+    heads = n.where("level = 0").select("file", "rec", F.col("pointer").alias("id"))
+    hidden = stored(privacy.marked(n, privacy.without_death(n))).where("_hit")  # one pass over the records for all ways
+    left = [privacy.hidden_in_filtered(hidden, how).where("level > 0").select("file", "rec", "tag", "value", F.lit(how).alias("how")) for how in WAYS]
     return left[0].unionByName(left[1]).unionByName(left[2]).join(heads, ["file", "rec"]).select("id", "how", "tag", "value")
 
 
