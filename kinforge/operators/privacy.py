@@ -21,24 +21,26 @@ def lives(nodes: DataFrame) -> DataFrame:
     """``years`` with the person's pointer ``ptr``: all from the person's own record, first by its level-1 elements, so nothing is joined."""
     level, tag = F.col("level"), F.col("tag")
     value, word = F.coalesce(text.strip(F.col("value")), F.lit("")), F.coalesce("value", F.lit(""))
-    below, is_date = level == 2, (level == 2) & (tag == "DATE")
-    year, strict = F.when(is_date, dates.birth_year(word)), F.when(is_date, dates.year_strict(word))
-    says = (value != "") & ((tag != "DATE") | value.rlike(r"\d"))
-    marked = tag.isin("NAME", "GIVN", "SURN") & F.col("value").rlike(MARK) | (tag == "NOTE") & F.col("value").rlike(r"(?i)^(?:living|private|privat)\b")
-    own = lambda c: F.max(F.when(level == 1, F.col(c)))
-    d = nodes.select("file", "rec", "ord", "level", "tag", "pointer", "value", "rec_tag", F.when(level == 1, F.col("ord")).when(below, F.col("parent")).alias("at"))
-    d = d.groupBy("file", "rec", "at").agg(
-        F.bool_or((level == 0) & (tag == "INDI")).alias("person"), F.max(F.when(level == 0, F.col("pointer"))).alias("ptr"), own("tag").alias("tag"), own("value").alias("value"), own("rec_tag").alias("rec_tag"),
-        F.max_by(F.col("value"), F.when(is_date, F.col("ord"))).alias("date"), F.bool_or(is_date).alias("dated"), F.min_by(strict, F.when(is_date, F.col("ord"))).alias("exact"),
-        F.max_by(year, F.when(year.isNotNull(), F.col("ord"))).alias("last"), F.min_by(year, F.when(year.isNotNull(), F.col("ord"))).alias("first"),
-        F.bool_or(F.when(below, says)).alias("says"), F.bool_or(F.when(below, (tag == "TYPE") & F.lower(value).contains("death"))).alias("kind"), F.bool_or(marked).alias("marked"),
+    top, below, is_date = level == 1, level == 2, (level == 2) & (tag == "DATE")
+    marked = tag.isin("NAME", "GIVN", "SURN") & word.rlike(MARK) | (tag == "NOTE") & word.rlike(r"(?i)^(?:living|private|privat)\b")
+    # numbers and flags only, and none of what tells nothing: texts would have every record sorted
+    d = nodes.where((level == 0) | below | top & tag.isin("BIRT", "BAPM", "CHR", "EVEN", *DEATH) | marked).select(
+        "file", "rec", "ord", F.when(top, F.col("ord")).when(below, F.col("parent")).alias("at"), F.when(level == 0, F.col("pointer")).alias("ptr"), ((level == 0) & (tag == "INDI")).alias("person"), marked.alias("marked"),
+        (top & (tag == "BIRT")).alias("birth"), (top & tag.isin("BAPM", "CHR")).alias("christened"), (top & tag.isin(*DEATH) & (F.upper(word) != "N")).alias("died"), (top & (F.upper(value) == "Y")).alias("yes"), (top & (tag == "EVEN") & (F.col("rec_tag") == "INDI")).alias("event"),
+        is_date.alias("is_date"), F.when(is_date, dates.birth_year(word)).alias("year"), F.when(is_date, dates.year_strict(word)).alias("strict"),
+        F.when(below, (value != "") & ((tag != "DATE") | value.rlike(r"\d"))).alias("says"), F.when(below, (tag == "TYPE") & F.lower(value).contains("death")).alias("kind"),
     )
-    birth, died = tag == "BIRT", tag.isin(*DEATH) & (F.upper(word) != "N")
-    known = (F.upper(value) == "Y") | F.coalesce("says", F.lit(True))  # an event with nothing below it counts
-    last, first = F.max_by("last", F.when(birth & F.col("last").isNotNull(), F.col("at"))), F.min_by("first", F.when(tag.isin("BAPM", "CHR") & F.col("first").isNotNull(), F.col("at")))
-    d = d.groupBy("file", "rec").agg(
-        F.bool_or("person").alias("person"), F.max("ptr").alias("ptr"), F.coalesce(last, first).alias("birth_year"), F.min_by("exact", F.when(birth & F.col("dated"), F.col("at"))).alias("exact_birth"),
-        F.min(F.when(died, dates.year_strict(F.coalesce("date", F.lit(""))))).alias("death_year"), F.bool_or(died & known | (tag == "EVEN") & (F.col("rec_tag") == "INDI") & F.col("kind")).alias("dead"), F.bool_or("marked").alias("marked"),
+    dated, told = F.when(F.col("is_date"), F.col("ord")), F.when(F.col("year").isNotNull(), F.col("ord"))
+    flags = ("person", "marked", "birth", "christened", "died", "yes", "event", "says", "kind")
+    d = d.groupBy("rec", "at", "file").agg(
+        F.max("ptr").alias("ptr"), *[F.bool_or(c).alias(c) for c in flags], F.bool_or("is_date").alias("dated"),
+        F.min_by("strict", dated).alias("exact"), F.max_by("strict", dated).alias("latest"), F.max_by("year", told).alias("last"), F.min_by("year", told).alias("first"),
+    )
+    known = F.col("yes") | F.coalesce("says", F.lit(True))  # an event with nothing below it counts
+    last, first = F.max_by("last", F.when(F.col("birth") & F.col("last").isNotNull(), F.col("at"))), F.min_by("first", F.when(F.col("christened") & F.col("first").isNotNull(), F.col("at")))
+    d = d.groupBy("rec", "file").agg(
+        F.bool_or("person").alias("person"), F.max("ptr").alias("ptr"), F.coalesce(last, first).alias("birth_year"), F.min_by("exact", F.when(F.col("birth") & F.col("dated"), F.col("at"))).alias("exact_birth"),
+        F.min(F.when(F.col("died"), F.col("latest"))).alias("death_year"), F.bool_or(F.col("died") & known | F.col("event") & F.col("kind")).alias("dead"), F.bool_or("marked").alias("marked"),
     )
     return d.where("person").select("file", "rec", "ptr", "birth_year", "exact_birth", "death_year", F.coalesce("dead", F.lit(False)).alias("dead"), F.coalesce("marked", F.lit(False)).alias("marked"))
 
@@ -91,31 +93,33 @@ def living(nodes: DataFrame, as_of: int, n: int = 100, hides_names: bool = True,
     false), hidden relatives no longer count as such, but their births still go.
     """
     people = years(nodes)
-    top = nodes.where((F.col("level") == 1) & (F.col("rec_tag") == "INDI"))
-    first_name = F.min_by(F.coalesce("value", F.lit("")), F.when(F.col("tag") == "NAME", F.col("ord")))
-    names = top.groupBy("file", "rec").agg(F.coalesce(F.lower(text.strip(first_name)) == PRIVATE, F.lit(False)).alias("named"), F.coalesce(F.bool_or((F.col("tag") == "SURN") & (text.strip(F.coalesce("value", F.lit(""))) != "")), F.lit(False)).alias("surn"))
-    d = people.join(names, ["file", "rec"], "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    top = nodes.where((F.col("level") == 1) & (F.col("rec_tag") == "INDI") & F.col("tag").isin("NAME", "SURN"))
+    said = text.strip(F.coalesce("value", F.lit("")))
+    top = top.select("file", "rec", F.when(F.col("tag") == "NAME", F.col("ord")).alias("at"), (F.lower(said) == PRIVATE).alias("private"), ((F.col("tag") == "SURN") & (said != "")).alias("surn"))
+    names = top.groupBy("rec", "file").agg(F.coalesce(F.min_by("private", "at"), F.lit(False)).alias("named"), F.bool_or("surn").alias("surn"))
+    # numbers before the file's name in what is joined and grouped: sorts tell rows apart by their first key
+    d = people.join(names, ["rec", "file"], "left").withColumn("named", F.coalesce("named", F.lit(False)))
     recent = ~F.col("dead") & F.coalesce(F.col("birth_year") > as_of - n, F.lit(False))
     skipped = F.col("named") & ~F.coalesce("surn", F.lit(False))
     d = cut(d.select("file", "rec", F.col("exact_birth").alias("y"), "named", (~skipped & (F.col("marked") | recent)).alias("at_once"), (~skipped & ~F.col("marked") & ~F.col("dead") & F.col("birth_year").isNull()).alias("asks")))
     other = d.select("file", F.col("rec").alias("other"), "y", "named", F.col("at_once").alias("other_at_once"))
-    links = kin(nodes).join(d.where("asks").select("file", "rec"), ["file", "rec"], "left_semi").join(other, ["file", "other"], "left")
+    links = kin(nodes).join(d.where("asks").select("file", "rec"), ["rec", "file"], "left_semi").join(other, ["other", "file"], "left")
     early = (F.col("other") >= F.col("rec")).cast("int")
     est = F.when(F.col("side") == "p", F.col("y") + 35).when(F.col("side") == "c", F.col("y") - 35)
     links = cut(links.select("file", "rec", "slot", "side", "other", F.coalesce("named", F.lit(False)).alias("named"), F.when(F.col("other_at_once"), 1 + early).alias("gone"), early.alias("early"), (est > as_of - n).alias("good")))
     found = cut(d.where("false").select("file", "rec", F.lit(0).alias("pass")))
     while True:
         gone = F.coalesce("gone", F.col("pass") + F.col("early"))  # the first pass that finds the relative hidden
-        seen = links.join(found.withColumnRenamed("rec", "other"), ["file", "other"], "left").withColumn("gone", gone)
+        seen = links.join(found.withColumnRenamed("rec", "other"), ["other", "file"], "left").withColumn("gone", gone)
         hidden = F.when(F.col("named"), 1).when(F.lit(hides_names), F.col("gone"))
-        by_side = seen.groupBy("file", "rec", "slot", "side").agg(
+        by_side = seen.groupBy("rec", "slot", "side", "file").agg(
             F.when(F.col("side") == "s", F.min(hidden)).when(F.count(hidden) == F.count(F.lit(1)), F.max(hidden)).alias("short"),
             *[F.max(F.when(F.col("good") == kind, F.coalesce("gone", F.lit(NEVER)))).alias(name) for name, kind in (("old", F.lit(False)), ("young", F.lit(True)))],
         )
-        one = by_side.groupBy("file", "rec").agg(F.min("short").alias("short"), F.greatest(F.lit(1), F.max("old")).alias("old"), F.max("young").alias("young"))
+        one = by_side.groupBy("rec", "file").agg(F.min("short").alias("short"), F.greatest(F.lit(1), F.max("old")).alias("old"), F.max("young").alias("young"))
         at = F.least("short", F.when(F.col("young") > F.col("old"), F.col("old")))
         new = cut(one.select("file", "rec", at.alias("pass")).where(F.col("pass") <= passes))
-        apart = new.join(found.withColumnRenamed("pass", "was"), ["file", "rec"], "full").where(~F.col("pass").eqNullSafe(F.col("was")))
+        apart = new.join(found.withColumnRenamed("pass", "was"), ["rec", "file"], "full").where(~F.col("pass").eqNullSafe(F.col("was")))
         done, found = apart.isEmpty(), new
         if done:
             return d.where("at_once").select("file", "rec").unionByName(found.select("file", "rec"))

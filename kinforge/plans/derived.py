@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,9 +86,14 @@ def _line(no, *text):
     return F.struct(no.cast("long").alias("no"), F.concat(*[F.lit(t) if isinstance(t, str) else t.cast("string") for t in text]).alias("line"))
 
 
+#: lines of a row that are made together: more of them make code too large to be compiled
+TOGETHER = 5
+
+
 def _lines(df: DataFrame, *rows) -> DataFrame:
-    """``file, no, line`` from arrays of lines; null lines are left out."""
-    return df.select(F.explode(F.filter(F.array(*rows), lambda x: x["line"].isNotNull())).alias("r")).select(F.lit("f").alias("file"), "r.no", "r.line")
+    """``file, no, line`` from lines of each row; null lines are left out. Some lines are made at a time, so that tasks share them even where one file holds all rows."""
+    some = [df.select(F.explode(F.array(*rows[i : i + TOGETHER])).alias("r")).where("r.line is not null") for i in range(0, len(rows), TOGETHER)]
+    return reduce(DataFrame.unionAll, some).select(F.lit("f").alias("file"), "r.no", "r.line")
 
 
 FAMILIES_FROM = 10**12

@@ -112,7 +112,7 @@ def lines_to_nodes(lines: DataFrame) -> DataFrame:
 
 def lines_to_read(lines: DataFrame) -> DataFrame:
     """Nodes that are only read: places are the line numbers themselves, as nothing is put between them, and there is no path."""
-    return _placed(lines).select("file", "rec", F.col("no").cast("long").alias("ord"), _parent().cast("long").alias("parent"), "level", "pointer", "tag", "value", "rec_tag")
+    return _placed(lines, ("rec", "file")).select("file", "rec", F.col("no").cast("long").alias("ord"), _parent().cast("long").alias("parent"), "level", "pointer", "tag", "value", "rec_tag")
 
 
 def _parent() -> Column:
@@ -122,24 +122,25 @@ def _parent() -> Column:
     return F.when(F.col("level").between(1, MAX_LEVEL), up).when(F.col("level") > MAX_LEVEL, F.try_element_at(deepest, F.greatest(F.size(deepest) - 1, F.lit(1))))
 
 
-def _placed(lines: DataFrame) -> DataFrame:
+def _placed(lines: DataFrame, record: tuple[str, str] = ("file", "rec")) -> DataFrame:
     """``file, rec, no, level, pointer, tag, value, rec_tag`` and ``a0`` to ``a9``, the latest line of each level so far in the record.
 
     Record starts are counted for ranges of line numbers, so that a file of any size is read by
     many tasks; everything below a record is worked out within it. The counts and the lines come from
-    one shuffle, so the lines are made once.
+    one shuffle, so the lines are made once. Sorts tell rows apart by their first key: numbers stand before
+    the file's name, save where what follows needs records in the order of ``record``.
     """
-    d = lines.where(F.trim("line") != "").select("file", F.floor(F.col("no") / RANGE).alias("_range"), "no", "line").where("file is not null and _range is not null").repartition("file", "_range")
+    d = lines.where(F.trim("line") != "").select("file", F.floor(F.col("no") / RANGE).alias("_range"), "no", "line").where("file is not null and _range is not null").repartition("_range", "file")
     # the last number says where a range ends; it keeps the columns those of the lines, which lets both read the same shuffle
     ranges = d.groupBy("file", "_range").agg(F.sum(F.col("line").rlike(RECORD).cast("long")).alias("n"), F.max("no").alias("_last"))
     earlier = W.partitionBy("file").orderBy("_last").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select("file", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    d = d.join(ranges, ["file", "_range"])
+    d = d.join(ranges, ["_range", "file"])
     d = d.select("file", "_range", "_before", "no", "line", F.regexp_extract("line", LINE, 1).try_cast("int").alias("level"))
-    d = d.withColumn("rec", F.col("_before") + F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(W.partitionBy("file", "_range").orderBy("no").rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("rec", F.col("_before") + F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(W.partitionBy("_range", "file").orderBy("no").rowsBetween(W.unboundedPreceding, 0)))
     fits, part = F.col("level").isNotNull(), lambda i: F.regexp_extract("line", LINE, i)
     d = d.select("file", "rec", "no", "level", F.when(fits & F.contains("line", F.lit("@")), F.nullif(part(2), F.lit(""))).alias("pointer"), F.when(fits, part(3)).otherwise("CONC").alias("tag"), F.when(fits, part(4)).otherwise(F.col("line")).alias("value"))
-    so_far = W.partitionBy("file", "rec").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
+    so_far = W.partitionBy(*record).orderBy("no").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("level", F.coalesce("level", F.last("level", True).over(so_far) + 1))
     return d.select("*", F.first("tag").over(so_far).alias("rec_tag"), *[F.last(F.when(F.col("level") == k, F.col("no")), True).over(so_far).alias(f"a{k}") for k in range(MAX_LEVEL + 1)])
 
