@@ -91,6 +91,35 @@ def _parents(children: DataFrame, families: DataFrame, known: DataFrame) -> Data
     return met.groupBy("file", "rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "e"))), lambda x: x["e"]).alias("parents"))
 
 
+def _listed(known: DataFrame, own: DataFrame) -> DataFrame:
+    """``facts`` with the links of ``evidence.placed``, without those who have no event or link and a name that is private or NN."""
+    d = known.join(own, ["file", "rec"], "left")
+    says = (F.concat("birth.date", "birth.place", "death.date", "death.place") != "") | F.col("burial").isNotNull() | (F.coalesce(F.size("links"), F.lit(0)) > 0)
+    bare = F.lower("name").isin("private", "<private>") | (F.col("name") == "NN") & (F.col("surname") == "")
+    return d.where(says | ~bare)
+
+
+def person_links(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """``file, id, links`` as ``persons`` gives them, without looking up relatives."""
+    return _listed(facts(nodes), evidence.placed(evidence.cited(nodes), evidence.no_cache(nodes) if cache is None else cache)).select("file", "id", "links")
+
+
+def all_links(nodes: DataFrame, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``file, id, links`` as ``persons`` and as ``families`` give them; what both cite is worked out once, and no relatives are looked up."""
+    cited, known = cut(evidence.cited(nodes)), cut(facts(nodes))
+    own = evidence.placed(cited, evidence.no_cache(nodes) if cache is None else cache)
+    d = _families(nodes).join(evidence.of_families(cited), ["file", "rec"], "left")
+    wed = known.select("file", "rec", "id").join(own.select("file", "rec", "marriage_links"), ["file", "rec"], "left")
+    for who in ("husband", "wife"):
+        d = d.join(wed.select("file", F.col("id").alias(who), F.col("marriage_links").alias(f"{who}_wed")), ["file", who], "left")
+    return _listed(known, own).select("file", "id", "links"), d.select("file", F.col("fam").alias("id"), _first_links().alias("links"))
+
+
+def _first_links() -> Column:
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return F.coalesce(some("links"), some("husband_wed"), some("wife_wed"))
+
+
 def persons(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """``file, id, name, surname, sex, birth, death, alt_surname, baptism, burial, links, parents_list, partners_list``; absent parts are null.
 
@@ -105,10 +134,8 @@ def persons(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     met = homes.select("file", "rec", "k", other.alias("id")).join(known.select("file", "id", entry(F.coalesce(F.nullif("name", F.lit("")), F.lit("unknown"))).alias("e")), ["file", "id"])
     partners = met.groupBy("file", "rec").agg(by_birth(F.collect_list(F.struct("k", "e"))).alias("partners_list"))
     own = evidence.placed(evidence.cited(nodes), evidence.no_cache(nodes) if cache is None else cache)
-    d = known.join(own, ["file", "rec"], "left").join(parents, ["file", "rec"], "left").join(partners, ["file", "rec"], "left")
-    says = (F.concat("birth.date", "birth.place", "death.date", "death.place") != "") | F.col("burial").isNotNull() | (F.coalesce(F.size("links"), F.lit(0)) > 0)
-    bare = F.lower("name").isin("private", "<private>") | (F.col("name") == "NN") & (F.col("surname") == "")
-    return d.where(says | ~bare).select("file", "id", "name", "surname", "sex", "birth", "death", F.nullif("alt_surname", F.lit("")).alias("alt_surname"), "baptism", "burial", "links", "parents_list", "partners_list", "ord")
+    d = _listed(known, own).join(parents, ["file", "rec"], "left").join(partners, ["file", "rec"], "left")
+    return d.select("file", "id", "name", "surname", "sex", "birth", "death", F.nullif("alt_surname", F.lit("")).alias("alt_surname"), "baptism", "burial", "links", "parents_list", "partners_list", "ord")
 
 
 def families(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -129,8 +156,7 @@ def families(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
         one = known.join(parents, ["file", "rec"], "left").join(wed, ["file", "rec"], "left").select("file", F.col("id").alias(who), spouse.alias(f"{who}_entry"), F.col("parents").alias(f"{who}_parents"), F.col("marriage_links").alias(f"{who}_wed"))
         d = d.join(one, ["file", who], "left")
     d = d.join(married, ["file", "rec"], "left").join(children, ["file", "rec"], "left").join(evidence.of_families(cited), ["file", "rec"], "left")
-    some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    d = d.withColumn("links", F.coalesce(some("links"), some("husband_wed"), some("wife_wed")))
+    d = d.withColumn("links", _first_links())
     hidden = F.lit(False)
     for who in ("husband", "wife"):
         for part in ("name", "surname"):
@@ -145,10 +171,12 @@ def estimated_years(nodes: DataFrame) -> DataFrame:
 
     It is the latest of 20 years before a marriage or a child's birth and 40 years after a parent's.
     """
-    known, fams = cut(facts(nodes)), cut(_families(nodes))
-    born = known.select("file", "id", dates.year_four(F.col("birth.date")).alias("y"))
+    heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec", F.col("pointer").alias("id"))
+    births = relational.first_event(relational.events(nodes, ("BIRT",)), "BIRT", "birth").select("rec", "file", "birth_date")
+    known, fams = cut(heads.join(births, ["rec", "file"], "left").select("file", "rec", "id", F.coalesce("birth_date", F.lit("")).alias("birth_date"))), cut(_families(nodes))
+    born = known.select("file", "id", dates.year_four(F.col("birth_date")).alias("y"))
     gone = nodes.where((F.col("level") == 1) & F.col("tag").isin("DEAT", "BURI")).select("file", "rec").distinct()
-    asks = known.where("birth.date = ''").join(gone, ["file", "rec"], "left_anti").select("file", "id", "rec")
+    asks = known.where("birth_date = ''").join(gone, ["file", "rec"], "left_anti").select("file", "id", "rec")
     pairs = fams.select("file", F.col("rec").alias("f"), "fam", F.explode(F.array("husband", "wife")).alias("id")).where("id is not null")
     wed = relational.first_event(relational.events(nodes, ("MARR",)), "MARR", "marriage").select("file", F.col("rec").alias("f"), dates.year_four(F.col("marriage_date")).alias("y"))
     children = _refs(nodes, "CHIL").select("file", F.col("rec").alias("f"), F.col("ref").alias("child")).join(born.select("file", F.col("id").alias("child"), "y"), ["file", "child"]).select("file", "f", "y")
