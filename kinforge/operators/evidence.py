@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kinforge.functions import records, text
 from kinforge.operators import links as kinds_of
-from kinforge.operators.checkpoints import cut
+from kinforge.operators.checkpoints import cut, stored
 from kinforge.sources import ged
 
 PAGE = r"\?pg=([0-9]+)"
@@ -83,8 +83,20 @@ def citations(nodes: DataFrame, texts: DataFrame, shown: DataFrame) -> DataFrame
     return d.select("file", "ord", urls.alias("urls"))
 
 
+def linked() -> dict[str, Column]:
+    """An aggregate over a record's nodes: whether any of them can give a link."""
+    gives = F.col("tag").isin("SOUR", "OBJE", "CONC", "CONT") | F.contains("value", F.lit("://"))
+    return {"linked": F.max(F.coalesce(gives, F.lit(False)))}
+
+
 def cited(nodes: DataFrame) -> DataFrame:
-    """``file, rec, rec_tag, top, at, ord, i, url``: every link of an event or a record's own element, in order; ``at`` is the level-1 element ``top``."""
+    """``file, rec, rec_tag, top, at, ord, i, url``: every link of an event or a record's own element, in order; ``at`` is the level-1 element ``top``.
+
+    Of nodes marked as ``linked`` those are kept aside that can give links.
+    """
+    if "linked" in nodes.columns:
+        useful = F.col("rec_tag").isin("OBJE", "SOUR") | (F.col("level") == 1) | F.col("tag").isin(*CITED, "PAGE", "DATA", "TEXT", "WWW", "CONC", "CONT")
+        nodes = stored(nodes.where(F.col("linked") & useful).drop("linked"))
     owned = nodes.where(F.col("rec_tag").isin("INDI", "FAM"))
     spoken = owned.where((F.col("level") == 1) | F.col("tag").isin("NOTE", "PAGE", "TEXT", "WWW", "CONC", "CONT"))
     texts, shown = cut(ged.full_text(spoken)), cut(media(nodes))

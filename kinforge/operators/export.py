@@ -13,52 +13,58 @@ from pyspark.sql import functions as F
 
 from kinforge.functions import dates, text
 from kinforge.operators import evidence, relational
-from kinforge.operators.checkpoints import cut
+from kinforge.operators.checkpoints import cut, stored
+from kinforge.sources import ged
 
 #: fixed values: kinds of NAME that give other surnames, and elements below a NAME that do
 OTHER_NAMES = ("married", "maiden", "aka")
 INLINE_SURNAMES = ("_MARNM", "_FORMERNAME")
+#: events of a person that are told
+LIFE = ("BIRT", "BAPM", "CHR", "DEAT", "BURI")
 #: the order of records in a written file
 PERSON_ORDER = ("surname", "name", "birth.date", "death.date", "birth.place", "death.place")
 FAMILY_ORDER = ("husband.surname", "husband.name", "wife.surname", "wife.name", "marriage.date", "marriage.place")
 
 
-def names(nodes: DataFrame) -> DataFrame:
-    """``file, rec, name, surname, alt_surname``: the first NAME that is not of another kind, the other surnames after it.
+def _names(n: Column) -> Column:
+    """``name, surname, alt_surname`` from the NAMEs of a person in order: the first that is not of another kind, the other surnames after it.
 
     If there are only names of other kinds, the first of them is the person's name.
     """
-    top = nodes.where((F.col("rec_tag") == "INDI") & (F.col("level") == 1) & (F.col("tag") == "NAME")).select("file", "rec", "ord", F.coalesce("value", F.lit("")).alias("value"))
-    low = nodes.where((F.col("level") == 2) & F.col("tag").isin("TYPE", "SURN", *INLINE_SURNAMES) & (F.col("rec_tag") == "INDI"))
-    value = F.coalesce(text.strip(F.col("value")), F.lit(""))
-    pick = lambda tag: F.min_by(value, F.when(F.col("tag") == tag, F.col("ord")))
-    inline = F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isin(*INLINE_SURNAMES) & (value != ""), F.struct("ord", value.alias("v"))))), lambda x: x["v"])
-    below = low.groupBy("file", F.col("parent").alias("ord")).agg(F.lower(pick("TYPE")).alias("type"), pick("SURN").alias("surn"), inline.alias("inline"))
-    part = lambda i: text.strip(F.coalesce(F.get(F.split("value", "/"), F.lit(i)), F.lit("")))
-    each = top.join(below, ["file", "ord"], "left").select("file", "rec", "ord", part(0).alias("first"), part(1).alias("last"), F.coalesce(F.col("type").isin(*OTHER_NAMES), F.lit(False)).alias("other"), "surn", F.coalesce("inline", F.array().cast("array<string>")).alias("inline"))
-    all_ = each.groupBy("file", "rec").agg(F.array_sort(F.collect_list(F.struct("ord", "first", "last", "other", "surn", "inline"))).alias("n"))
-    main = F.filter("n", lambda x: ~x["other"])
-    other = F.filter(F.transform(F.filter("n", lambda x: x["other"]), lambda x: F.struct(x["first"].alias("first"), F.coalesce(F.nullif(x["surn"], F.lit("")), x["last"]).alias("last"))), lambda x: x["last"] != "")
-    d = all_.select("file", "rec", F.get(main, F.lit(0)).alias("m"), other.alias("o"), F.flatten(F.transform("n", lambda x: x["inline"])).alias("inline"))
-    own = F.when(F.col("m").isNotNull(), F.struct(F.col("m.first").alias("first"), F.col("m.last").alias("last"))).otherwise(F.get("o", F.lit(0)))
-    rest = F.when(F.col("m").isNotNull(), F.col("o")).otherwise(F.slice("o", F.lit(2), F.size("o")))
-    surnames = F.array_distinct(F.concat(F.transform(rest, lambda x: x["last"]), F.col("inline")))
-    d = d.select("file", "rec", F.coalesce(own["first"], F.lit("")).alias("name"), F.coalesce(own["last"], F.lit("")).alias("surname"), surnames.alias("alts"))
-    return d.select("file", "rec", "name", "surname", F.array_join(F.array_remove("alts", F.col("surname")), ", ").alias("alt_surname"))
+    main = F.get(F.filter(n, lambda x: ~x["other"]), F.lit(0))
+    others = F.filter(F.transform(F.filter(n, lambda x: x["other"]), lambda x: F.struct(x["first"].alias("first"), F.coalesce(F.nullif(x["surn"], F.lit("")), x["last"]).alias("last"))), lambda x: x["last"] != "")
+    own = F.when(main.isNotNull(), F.struct(main["first"].alias("first"), main["last"].alias("last"))).otherwise(F.get(others, F.lit(0)))
+    rest = F.when(main.isNotNull(), others).otherwise(F.slice(others, F.lit(2), F.size(others)))
+    surnames = F.array_distinct(F.concat(F.transform(rest, lambda x: x["last"]), F.flatten(F.transform(n, lambda x: x["inline"]))))
+    surname = F.coalesce(own["last"], F.lit(""))
+    return F.struct(F.coalesce(own["first"], F.lit("")).alias("name"), surname.alias("surname"), F.array_join(F.array_remove(surnames, surname), ", ").alias("alt_surname"))
 
 
 def facts(nodes: DataFrame) -> DataFrame:
-    """One row a person: file, rec, id, names, sex, dates and places of birth, baptism, death and burial."""
-    heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec", "ord", F.col("pointer").alias("id"))
-    sex = nodes.where((F.col("level") == 1) & (F.col("tag") == "SEX")).groupBy("file", "rec").agg(F.min_by("value", "ord").alias("sex"))
-    d = heads.join(names(nodes), ["file", "rec"], "left").join(sex, ["file", "rec"], "left")
-    e = relational.events(nodes, ("BIRT", "BAPM", "CHR", "DEAT", "BURI"))
-    at = lambda tag, what: F.coalesce(F.min_by(what, F.when(F.col("tag") == tag, F.col("ord"))), F.lit(""))
-    per = e.groupBy("file", "rec").agg(*[at(tag, what).alias(f"{tag}_{what}") for tag in ("BIRT", "BAPM", "CHR", "DEAT", "BURI") for what in ("date", "place")])
-    d = d.join(per, ["file", "rec"], "left").na.fill("")
-    event = lambda tag: F.struct(F.col(f"{tag}_date").alias("date"), F.col(f"{tag}_place").alias("place"))
-    said = lambda tag: (F.col(f"{tag}_date") != "") | (F.col(f"{tag}_place") != "")
-    return d.select("file", "rec", "ord", "id", "name", "surname", "alt_surname", text.sex_code(F.col("sex")).alias("sex"), event("BIRT").alias("birth"), F.when(said("BAPM"), event("BAPM")).when(said("CHR"), event("CHR")).alias("baptism"), event("DEAT").alias("death"), F.when(said("BURI"), event("BURI")).alias("burial"))
+    """One row a person: file, rec, id, names, sex, dates and places of birth, baptism, death and burial.
+
+    The records are read and dealt out once, with those of their lines that tell any of it.
+    """
+    level, tag = F.col("level"), F.col("tag")
+    some = (level == 0) & (tag == "INDI") | (level == 1) & tag.isin("NAME", "SEX", *LIFE) | (level == 2) & tag.isin("TYPE", "SURN", "DATE", "PLAC", *INLINE_SURNAMES)
+    head = lambda c: F.max(F.when(level == 0, F.col(c))).alias(c)
+    rows = nodes.where((F.col("rec_tag") == "INDI") & some).groupBy("rec", "file").agg(head("ord"), head("pointer"), F.array_sort(F.collect_list(F.when(level > 0, F.struct("ord", "parent", "level", "tag", "value")))).alias("l"))
+    own = lambda t: F.filter("l", lambda x: (x["level"] == 1) & (x["tag"] == t))
+    low = lambda at, *tags: F.filter("l", lambda x: (x["level"] == 2) & (x["parent"] == at) & x["tag"].isin(*tags))
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    first = lambda some: F.get(some, F.lit(0))
+    part = lambda x, i: text.strip(filled(F.get(F.split(filled(x["value"]), "/"), F.lit(i))))
+    said = lambda x: filled(text.strip(x["value"]))
+    below = lambda x, t: F.get(F.transform(low(x["ord"], t), said), F.lit(0))
+    other = lambda x: F.coalesce(F.lower(below(x, "TYPE")).isin(*OTHER_NAMES), F.lit(False))
+    inline = lambda x: F.filter(F.transform(low(x["ord"], *INLINE_SURNAMES), said), lambda v: v != "")
+    name = lambda x: F.struct(part(x, 0).alias("first"), part(x, 1).alias("last"), other(x).alias("other"), below(x, "SURN").alias("surn"), inline(x).alias("inline"))
+    last = lambda t, what: filled(F.try_element_at(low(first(own(t))["ord"], what), F.lit(-1))["value"])
+    event = [F.struct(last(t, "DATE").alias("date"), last(t, "PLAC").alias("place")).alias(t) for t in LIFE]
+    d = rows.where("ord is not null").select("file", "rec", "ord", filled(F.col("pointer")).alias("id"), F.transform(own("NAME"), name).alias("n"), text.sex_code(filled(first(own("SEX"))["value"])).alias("sex"), *event)
+    d = d.withColumn("n", _names(F.col("n")))
+    some = lambda t: F.when((F.col(t)["date"] != "") | (F.col(t)["place"] != ""), F.col(t))
+    return d.select("file", "rec", "ord", "id", "n.name", "n.surname", "n.alt_surname", "sex", F.col("BIRT").alias("birth"), F.coalesce(some("BAPM"), some("CHR")).alias("baptism"), F.col("DEAT").alias("death"), some("BURI").alias("burial"))
 
 
 def entry(name: Column | None = None) -> Column:
@@ -72,12 +78,26 @@ def by_birth(people: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["e"])
 
 
+def told_of_families(place: str = "no") -> dict[str, Column]:
+    """Aggregates over a family's nodes: the last HUSB and WIFE, the place of the first marriage, date and place of the first that has any."""
+    level, tag, ord_ = F.col("level"), F.col("tag"), F.col(place)
+    own = lambda t: F.when((level == 1) & (tag == t), ord_)
+    low = lambda t: F.max_by(F.struct("at", "value"), F.when((level == 2) & (F.col("top") == "MARR") & (tag == t), F.struct(-F.col("at"), ord_)))
+    return {"husband": F.max_by("value", own("HUSB")), "wife": F.max_by("value", own("WIFE")), "wed": F.min(own("MARR")), "wed_date": low("DATE"), "wed_place": low("PLAC")}
+
+
 def _families(nodes: DataFrame) -> DataFrame:
-    """``file, rec, ord, fam, husband, wife``: the last HUSB and WIFE of each family."""
-    heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "FAM")).select("file", "rec", "ord", F.col("pointer").alias("fam"))
-    last = lambda tag: F.max_by("value", F.when(F.col("tag") == tag, F.col("ord")))
-    spouses = nodes.where((F.col("rec_tag") == "FAM") & (F.col("level") == 1) & F.col("tag").isin("HUSB", "WIFE")).groupBy("file", "rec").agg(last("HUSB").alias("husband"), last("WIFE").alias("wife"))
-    return heads.join(spouses, ["file", "rec"], "left")
+    """``file, rec, ord, fam, husband, wife, marriage_date, marriage_place``: the last HUSB and WIFE of each family, its first marriage.
+
+    Heads that tell it themselves (``told_of_families``) are only read; else the records are read and dealt out once.
+    """
+    told = told_of_families("ord")
+    heads = nodes.where("level = 0 and tag = 'FAM'").select("file", "rec", "ord", F.col("pointer").alias("fam"), *[c for c in told if c in nodes.columns])
+    if "husband" not in nodes.columns:
+        some = ged.with_top(nodes.where("rec_tag = 'FAM' and level < 3")).where(F.col("tag").isin("HUSB", "WIFE", "MARR") | F.col("tag").isin("DATE", "PLAC") & (F.col("top") == "MARR"))
+        heads = heads.join(some.groupBy("rec", "file").agg(*[c.alias(name) for name, c in told.items()]), ["rec", "file"], "left")
+    married = [F.when(F.col(f"wed_{c}")["at"] == F.col("wed"), F.col(f"wed_{c}")["value"]).alias(f"marriage_{c}") for c in ("date", "place")]
+    return heads.select("file", "rec", "ord", "fam", "husband", "wife", *married)
 
 
 def _refs(nodes: DataFrame, tag: str) -> DataFrame:
@@ -126,7 +146,7 @@ def persons(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     Persons without an event or link whose name is private or NN are left out of the list, though
     others may name them as relatives.
     """
-    known, families = cut(facts(nodes)), cut(_families(nodes))
+    known, families = cut(facts(nodes)), cut(_families(nodes).drop("marriage_date", "marriage_place"))
     first = _refs(nodes, "FAMC").groupBy("file", "rec").agg(F.min(F.struct("k", "ref")).alias("f")).select("file", "rec", "f.k", "f.ref")
     parents = _parents(first, families, known).withColumnRenamed("parents", "parents_list")
     homes = _refs(nodes, "FAMS").join(known.select("file", "rec", F.col("id").alias("me")), ["file", "rec"]).join(families.select("file", F.col("fam").alias("ref"), "husband", "wife"), ["file", "ref"])
@@ -143,19 +163,17 @@ def families(nodes: DataFrame, cache: DataFrame | None = None) -> DataFrame:
 
     A family without links has those of marriages that stand at its husband, else at its wife.
     """
-    cited = cut(evidence.cited(nodes))
+    cited, known = cut(evidence.cited(nodes)), stored(facts(nodes).select("file", "rec", "id", "name", "surname", "alt_surname", "sex", "birth"))
     wed = evidence.placed(cited, evidence.no_cache(nodes) if cache is None else cache).select("file", "rec", "marriage_links")
-    known, fams = cut(facts(nodes)), cut(_families(nodes))
-    spouse = F.struct("id", "name", "surname", "sex", F.col("birth.date").alias("date_of_birth"), F.nullif("alt_surname", F.lit("")).alias("alt_surname"))
-    parents = _parents(_refs(nodes, "FAMC"), fams, known)
-    married = relational.first_event(relational.events(nodes, ("MARR",)), "MARR", "marriage")
     born = _refs(nodes, "CHIL").withColumnRenamed("ref", "id").join(known.select("file", "id", entry(F.coalesce(F.nullif("name", F.lit("")), F.lit("unknown"))).alias("e")), ["file", "id"])
-    children = born.groupBy("file", "rec").agg(by_birth(F.collect_list(F.struct("k", "e"))).alias("children_list"))
-    d = fams
+    children = born.groupBy("rec", "file").agg(by_birth(F.collect_list(F.struct("k", "e"))).alias("children_list"))
+    fams = _families(nodes) if "husband" in nodes.columns else stored(_families(nodes))
+    parents = _parents(_refs(nodes, "FAMC"), fams, known)
+    spouse = F.struct("id", "name", "surname", "sex", F.col("birth.date").alias("date_of_birth"), F.nullif("alt_surname", F.lit("")).alias("alt_surname"))
+    each = stored(known.join(parents, ["file", "rec"], "left").join(wed, ["file", "rec"], "left").select("file", "id", spouse.alias("entry"), "parents", "marriage_links"))
+    d = fams.join(children, ["rec", "file"], "left").join(evidence.of_families(cited), ["rec", "file"], "left")
     for who in ("husband", "wife"):
-        one = known.join(parents, ["file", "rec"], "left").join(wed, ["file", "rec"], "left").select("file", F.col("id").alias(who), spouse.alias(f"{who}_entry"), F.col("parents").alias(f"{who}_parents"), F.col("marriage_links").alias(f"{who}_wed"))
-        d = d.join(one, ["file", who], "left")
-    d = d.join(married, ["file", "rec"], "left").join(children, ["file", "rec"], "left").join(evidence.of_families(cited), ["file", "rec"], "left")
+        d = d.join(each.select("file", F.col("id").alias(who), F.col("entry").alias(f"{who}_entry"), F.col("parents").alias(f"{who}_parents"), F.col("marriage_links").alias(f"{who}_wed")), ["file", who], "left")
     d = d.withColumn("links", _first_links())
     hidden = F.lit(False)
     for who in ("husband", "wife"):
@@ -173,7 +191,7 @@ def estimated_years(nodes: DataFrame) -> DataFrame:
     """
     heads = nodes.where((F.col("level") == 0) & (F.col("tag") == "INDI")).select("file", "rec", F.col("pointer").alias("id"))
     births = relational.first_event(relational.events(nodes, ("BIRT",)), "BIRT", "birth").select("rec", "file", "birth_date")
-    known, fams = cut(heads.join(births, ["rec", "file"], "left").select("file", "rec", "id", F.coalesce("birth_date", F.lit("")).alias("birth_date"))), cut(_families(nodes))
+    known, fams = cut(heads.join(births, ["rec", "file"], "left").select("file", "rec", "id", F.coalesce("birth_date", F.lit("")).alias("birth_date"))), cut(_families(nodes).drop("marriage_date", "marriage_place"))
     born = known.select("file", "id", dates.year_four(F.col("birth_date")).alias("y"))
     gone = nodes.where((F.col("level") == 1) & F.col("tag").isin("DEAT", "BURI")).select("file", "rec").distinct()
     asks = known.where("birth_date = ''").join(gone, ["file", "rec"], "left_anti").select("file", "id", "rec")

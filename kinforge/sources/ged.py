@@ -15,6 +15,7 @@ from operator import and_
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,9 +111,25 @@ def lines_to_nodes(lines: DataFrame) -> DataFrame:
     return _placed(lines).select("file", "rec", F.col("no").cast(place).alias("ord"), _parent().cast(place).alias("parent"), "level", "pointer", "tag", "value", "rec_tag", path.cast(f"array<{place}>").alias("path"))
 
 
-def lines_to_read(lines: DataFrame) -> DataFrame:
-    """Nodes that are only read: places are the line numbers themselves, as nothing is put between them, and there is no path."""
-    return _placed(lines, ("rec", "file")).select("file", "rec", F.col("no").cast("long").alias("ord"), _parent().cast("long").alias("parent"), "level", "pointer", "tag", "value", "rec_tag")
+def lines_to_read(lines: DataFrame, marks: dict[str, Column] | None = None, heads: dict[str, Column] | None = None) -> DataFrame:
+    """Nodes that are only read: places are the line numbers themselves, as nothing is put between them, and there is no path.
+
+    ``marks`` and ``heads`` are aggregates over the nodes of each record, which lie together here and need no
+    shuffle for them: by ``no``, ``level``, ``tag``, ``value`` and the columns of ``with_top``. The first stand at every node, the others at the record's own line.
+    """
+    marks, heads = marks or {}, heads or {}
+    d = _placed(lines, ("rec", "file"), marks | heads)
+    told = [*marks, *[F.when(F.col("level") == 0, F.col(c)).alias(c) for c in heads]]
+    return d.select("file", "rec", F.col("no").cast("long").alias("ord"), _parent().cast("long").alias("parent"), "level", "pointer", "tag", "value", "rec_tag", *told)
+
+
+def _tops(so_far: WindowSpec, place: str) -> list[Column]:
+    return [F.last(F.when(F.col("level") == 1, F.col(c)), True).over(so_far).alias(name) for c, name in (("tag", "top"), (place, "at"))]
+
+
+def with_top(nodes: DataFrame) -> DataFrame:
+    """The nodes with ``top`` and ``at``: tag and place of the element of level 1 that they are or stand below."""
+    return nodes.select("*", *_tops(W.partitionBy("rec", "file").orderBy("ord").rowsBetween(W.unboundedPreceding, 0), "ord"))
 
 
 def _parent() -> Column:
@@ -122,13 +139,13 @@ def _parent() -> Column:
     return F.when(F.col("level").between(1, MAX_LEVEL), up).when(F.col("level") > MAX_LEVEL, F.try_element_at(deepest, F.greatest(F.size(deepest) - 1, F.lit(1))))
 
 
-def _placed(lines: DataFrame, record: tuple[str, str] = ("file", "rec")) -> DataFrame:
+def _placed(lines: DataFrame, record: tuple[str, str] = ("file", "rec"), told: dict[str, Column] | None = None) -> DataFrame:
     """``file, rec, no, level, pointer, tag, value, rec_tag`` and ``a0`` to ``a9``, the latest line of each level so far in the record.
 
     Record starts are counted for ranges of line numbers, so that a file of any size is read by
     many tasks; everything below a record is worked out within it. The counts and the lines come from
     one shuffle, so the lines are made once. Sorts tell rows apart by their first key: numbers stand before
-    the file's name, save where what follows needs records in the order of ``record``.
+    the file's name, save where what follows needs records in the order of ``record``. ``told`` are aggregates over each record.
     """
     d = lines.where(F.trim("line") != "").select("file", F.floor(F.col("no") / RANGE).alias("_range"), "no", "line").where("file is not null and _range is not null").repartition("_range", "file")
     # the last number says where a range ends; it keeps the columns those of the lines, which lets both read the same shuffle
@@ -136,13 +153,24 @@ def _placed(lines: DataFrame, record: tuple[str, str] = ("file", "rec")) -> Data
     earlier = W.partitionBy("file").orderBy("_last").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select("file", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     d = d.join(ranges, ["_range", "file"])
-    d = d.select("file", "_range", "_before", "no", "line", F.regexp_extract("line", LINE, 1).try_cast("int").alias("level"))
-    d = d.withColumn("rec", F.col("_before") + F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(W.partitionBy("_range", "file").orderBy("no").rowsBetween(W.unboundedPreceding, 0)))
-    fits, part = F.col("level").isNotNull(), lambda i: F.regexp_extract("line", LINE, i)
-    d = d.select("file", "rec", "no", "level", F.when(fits & F.contains("line", F.lit("@")), F.nullif(part(2), F.lit(""))).alias("pointer"), F.when(fits, part(3)).otherwise("CONC").alias("tag"), F.when(fits, part(4)).otherwise(F.col("line")).alias("value"))
+    d = d.select("file", "_range", "_before", "no", "line", _parts().alias("_parts"))
+    d = d.select("file", "_range", "_before", "no", "line", "_parts", F.when(F.size("_parts") == 4, F.col("_parts")[0].try_cast("int")).alias("level"))
+    fits, part = F.col("level").isNotNull(), lambda i: F.col("_parts")[i]
+    d = d.select("file", "_range", "_before", "no", "level", F.when(fits, F.nullif(part(1), F.lit(""))).alias("pointer"), F.when(fits, part(2)).otherwise("CONC").alias("tag"), F.when(fits, part(3)).otherwise(F.col("line")).alias("value"))
+    rec = F.col("_before") + F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(W.partitionBy("_range", "file").orderBy("no").rowsBetween(W.unboundedPreceding, 0))
+    d = d.select("file", rec.alias("rec"), "no", "level", "pointer", "tag", "value")
     so_far = W.partitionBy(*record).orderBy("no").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("level", F.coalesce("level", F.last("level", True).over(so_far) + 1))
-    return d.select("*", F.first("tag").over(so_far).alias("rec_tag"), *[F.last(F.when(F.col("level") == k, F.col("no")), True).over(so_far).alias(f"a{k}") for k in range(MAX_LEVEL + 1)])
+    # lines that do not fit are of level 1 only before any that does, so these say what stands above
+    d = d.select("file", "rec", "no", F.coalesce("level", F.last("level", True).over(so_far) + 1).alias("level"), "pointer", "tag", "value", *_tops(so_far, "no"))
+    whole = so_far.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    above = [F.last(F.when(F.col("level") == k, F.col("no")), True).over(so_far).alias(f"a{k}") for k in range(MAX_LEVEL + 1)]
+    return d.select("*", F.first("tag").over(so_far).alias("rec_tag"), *above, *[c.over(whole).alias(name) for name, c in (told or {}).items()])
+
+
+def _parts() -> Column:
+    """Level, pointer, tag and value of a line in one reading of it; something else than four parts where it does not fit."""
+    apart = F.split(F.regexp_replace("line", LINE + "(?s:.*)", "$1\n$2\n$3\n$4"), "\n", 4)
+    return F.when(F.contains("line", F.lit("\n")), F.array(*[F.regexp_extract("line", LINE, i) for i in range(1, 5)])).otherwise(apart)
 
 
 def text_to_nodes(files: DataFrame) -> DataFrame:
