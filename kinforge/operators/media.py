@@ -9,11 +9,13 @@ pairs whose rounds join only what the last one found.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinforge.functions import text
 from kinforge.operators import labels
-from kinforge.operators.checkpoints import cut
+from kinforge.operators.checkpoints import cut, stored
+from kinforge.sources.ged import MAX_LEVEL
 
 #: fixed values: references below which nothing is read
 FOLLOWED_BY_NOTHING = ("OBJE", "FAMC", "FAMS", "HUSB", "WIFE", "CHIL", "SOUR", "REPO")
@@ -39,20 +41,26 @@ def heads(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("level") == 0) & (F.coalesce("pointer", F.lit("")) != "")).groupBy("file", F.col("pointer").alias("value")).agg(F.max("rec").alias("target"))
 
 
-def _readable(nodes: DataFrame) -> DataFrame:
-    """``file, rec, rec_tag, ord, tag, value, top``: links and media references that stand below no other reference; ``top`` is the level-1 element."""
-    d = nodes.where(F.col("level") > 0).withColumn("value", F.coalesce(text.strip(F.col("value")), F.lit("")))
-    d = d.where(_web(F.col("value")) | (F.col("tag") == "OBJE") & _pointer(F.col("value")))
-    shut = nodes.where((F.col("level") > 0) & F.col("tag").isin(*FOLLOWED_BY_NOTHING) & _pointer(F.coalesce(text.strip(F.col("value")), F.lit("")))).select("file", F.col("ord").alias("above"))
-    under = d.select("file", "ord", F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("above")).join(shut, ["file", "above"], "left_semi").select("file", "ord").distinct()
-    tops = nodes.where("level = 1").select("file", F.col("ord").alias("at"), F.col("tag").alias("top"))
-    open_ = d.join(under, ["file", "ord"], "left_anti").withColumn("at", F.element_at("path", 2))
-    return open_.join(tops, ["file", "at"]).select("file", "rec", "rec_tag", "ord", "tag", "value", "top")
+def readable(nodes: DataFrame) -> DataFrame:
+    """``file, rec, rec_tag, tag, value, top``: links and media references that stand below no other reference; ``top`` is the tag of the record's own element that they are or stand below.
 
-
-def reach(readable: DataFrame, index: DataFrame, include_events: bool = True) -> DataFrame:
+    What stands above a node is the latest node of each level in its record, which one window tells without a join; so nodes need no path.
+    """
+    value = text.strip(F.coalesce("value", F.lit("")))
+    d = nodes.select("file", "rec", "ord", "level", "tag", "rec_tag", value.alias("value")).withColumn("points", _pointer(F.col("value")))
+    gives = _web(F.col("value")) | (F.col("tag") == "OBJE") & F.col("points")
+    shut = F.col("tag").isin(*FOLLOWED_BY_NOTHING) & F.col("points")
+    d = d.select("file", "rec", "ord", "level", "rec_tag", F.when(gives, F.col("value")).alias("value"), F.struct("tag", shut.alias("shut")).alias("own"))
+    so_far = W.partitionBy("rec", "file").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("line", F.array(*[F.last(F.when(F.col("level") == k, F.col("own")), True).over(so_far) for k in range(MAX_LEVEL + 1)]))
+    below = lambda n: F.filter(F.slice("line", F.lit(2), F.greatest(n, F.lit(0))), lambda x: x.isNotNull())
+    d = d.where((F.col("level") > 0) & F.col("value").isNotNull() & F.get("line", F.lit(0)).isNotNull() & ~F.exists(below(F.col("level") - 1), lambda x: x["shut"]))
+    return d.select("file", "rec", "rec_tag", F.col("own.tag").alias("tag"), "value", F.get(below(F.col("level")), F.lit(0))["tag"].alias("top"))
+
+
+def reach(read: DataFrame, index: DataFrame, include_events: bool = True) -> DataFrame:
     """``file, root, rec``: records that each person or family reaches through media references, itself left out unless it refers to itself."""
-    refs = readable.where(F.col("tag") == "OBJE").join(index, ["file", "value"]).select("file", "rec", "rec_tag", "top", "target")
+    refs = read.where(F.col("tag") == "OBJE").join(index, ["file", "value"]).select("file", "rec", "rec_tag", "top", "target")
     own = F.col("rec_tag").isin("INDI", "FAM") & (F.lit(include_events) | ~F.col("top").isin(*EVENTS))
     steps = cut(refs.select("file", "rec", "target").distinct())
     seen = cut(refs.where(own).select("file", F.col("rec").alias("root"), F.col("target").alias("rec")).distinct())
@@ -67,16 +75,16 @@ def reach(readable: DataFrame, index: DataFrame, include_events: bool = True) ->
             seen = cut(seen)
 
 
-def search(nodes: DataFrame, pattern: str = "", include_events: bool = True, only: DataFrame | None = None) -> DataFrame:
+def search(nodes: DataFrame, pattern: str = "", include_events: bool = True, only: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
     """``file, rec, url``: values that are links and hold the pattern, of persons and families and of what they reach.
 
-    ``only`` (file, rec) restricts the persons, not the families.
+    ``only`` (file, rec) restricts the persons, not the families. ``read`` is what is ``readable``, where several searches share it.
     """
-    readable, index = cut(_readable(nodes)), heads(nodes)
-    found = readable.where(_web(F.col("value")) & F.contains(F.lower("value"), F.lit(pattern.lower())))
+    read, index = stored(readable(nodes)) if read is None else read, heads(nodes)
+    found = read.where(_web(F.col("value")) & F.contains(F.lower("value"), F.lit(pattern.lower())))
     own = found.where(F.col("rec_tag").isin("INDI", "FAM") & (F.lit(include_events) | ~F.col("top").isin(*EVENTS))).select("file", "rec", F.col("value").alias("url"))
     there = found.select("file", "rec", F.col("value").alias("url")).distinct()
-    via = reach(readable, index, include_events).join(there, ["file", "rec"]).select("file", F.col("root").alias("rec"), "url")
+    via = reach(read, index, include_events).join(there, ["file", "rec"]).select("file", F.col("root").alias("rec"), "url")
     every = own.unionByName(via).distinct()
     if only is None:
         return every

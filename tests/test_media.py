@@ -1,7 +1,9 @@
 """Reach through media records, shared files, and the audit of register links."""
 
+import duckdb
 import pytest
 
+import __spark_entry__
 from kinforge.operators import media, relational
 from kinforge.sources import ged
 
@@ -122,3 +124,30 @@ def test_persons_by_whole_names(spark):
         with pytest.raises(ValueError, match="several|nobody"):
             relational.one_person(p, spec)
     assert [tuple(r) for r in relational.home_persons(n).collect()] == [("a.ged", "@I2@")]
+
+
+LINES = BODY.splitlines() + ["0 @I4@ INDI", "1 SOUR @S1@", "2 DATA", "3 NOTE https://deep.org/hidden", "1 SOUR text", "2 DATA", "3 NOTE https://deep.org/open", "0 @I5@ INDI", "2 NOTE https://no.org/first-level"]
+
+
+def test_nodes_without_paths(spark):
+    lines = spark.createDataFrame([("a.ged", i, x) for i, x in enumerate(LINES)], "file string, no long, line string")
+    read, whole = ged.lines_to_read(lines).cache(), ged.lines_to_nodes(lines).cache()
+    assert "path" not in read.columns
+    for how in ({}, {"include_events": False}, {"pattern": "INLINE.org/X"}):
+        assert by_id(read, media.search(read, **how)) == by_id(whole, media.search(whole, **how))
+    got = by_id(read, media.search(read, include_events=False))
+    assert got == {"@I1@": CIRCLE | {"https://below.org/note"}, "@I2@": {"https://inline.org/x", "HTTPS://Inline.org/X"}, "@I4@": {"https://deep.org/open"}, "@I5@": {"https://no.org/first-level"}}
+
+
+def test_links_before_any_record_belong_to_nobody(spark):
+    lines = spark.createDataFrame([("a.ged", i, x) for i, x in enumerate(["1 INDI https://before.org/x", "1 OBJE @M1@", "0 @M1@ OBJE", "1 FILE https://one.org/1"])], "file string, no long, line string")
+    for nodes in (ged.lines_to_read(lines), ged.lines_to_nodes(lines)):
+        assert media.search(nodes).count() == 0
+
+
+def test_media_urls_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, __spark_entry__.queries()["media_urls"](spark, sf).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["media_urls"]).fetchall()) and got
