@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinforge.functions import text
-from kinforge.operators import labels
+from kinforge.operators import graph, labels
 from kinforge.operators.checkpoints import cut, stored
 from kinforge.sources.ged import MAX_LEVEL
 
@@ -24,8 +24,6 @@ EVENTS = (
     "BIRT", "CHR", "DEAT", "BURI", "CREM", "ADOP", "BAPM", "BARM", "BASM", "BLES", "CHRA", "CONF", "FCOM", "ORDN", "NATU", "EMIG", "IMMI", "CENS", "PROB", "WILL", "GRAD", "RETI", "EVEN",
     "CAST", "DSCR", "EDUC", "IDNO", "NATI", "NCHI", "NMR", "OCCU", "PROP", "RELI", "RESI", "SSN", "TITL", "FACT", "MARS", "DIV", "DIVF", "ENGA", "MARR", "MARB", "MARC", "MARL",
 )
-#: rounds after which the pairs found so far become one piece
-MERGE = 8
 
 
 def _pointer(c: Column) -> Column:
@@ -59,33 +57,35 @@ def readable(nodes: DataFrame) -> DataFrame:
 
 
 def reach(read: DataFrame, index: DataFrame, include_events: bool = True) -> DataFrame:
-    """``file, root, rec``: records that each person or family reaches through media references, itself left out unless it refers to itself."""
-    refs = read.where(F.col("tag") == "OBJE").join(index, ["file", "value"]).select("file", "rec", "rec_tag", "top", "target")
-    own = F.col("rec_tag").isin("INDI", "FAM") & (F.lit(include_events) | ~F.col("top").isin(*EVENTS))
-    steps = cut(refs.select("file", "rec", "target").distinct())
-    seen = cut(refs.where(own).select("file", F.col("rec").alias("root"), F.col("target").alias("rec")).distinct())
-    frontier, rounds = seen, 0
-    while True:
-        rounds += 1
-        frontier = cut(frontier.join(steps, ["file", "rec"]).select("file", "root", F.col("target").alias("rec")).distinct().join(seen, ["file", "root", "rec"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if rounds % MERGE == 0:
-            seen = cut(seen)
-
-
-def search(nodes: DataFrame, pattern: str = "", include_events: bool = True, only: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
+    """``file, root, rec, event``: records that each person or family reaches through media references, itself left out unless it refers to itself, and whether the way begins at an event; where ways of both kinds lead to one there are two rows."""
+    refs = stored(read.where(F.col("tag") == "OBJE").join(index.hint("merge"), ["file", "value"]).select("file", "rec", "rec_tag", "top", "target"))
+    seeds = refs.where(_own(include_events)).select("file", F.col("rec").alias("root"), F.col("top").isin(*EVENTS).alias("event"), F.col("target").alias("id"))
+    found = graph.closure(refs.select("file", "rec", "target").distinct(), seeds, "rec", "target", carry=("root", "event"))
+    return found.select("file", "root", F.col("id").alias("rec"), "event")
+
+
+def _own(include_events: bool) -> Column:
+    return F.col("rec_tag").isin("INDI", "FAM") & (F.lit(include_events) | ~F.col("top").isin(*EVENTS))
+
+
+def found(nodes: DataFrame, include_events: bool = True) -> DataFrame:
+    """``file, rec, url, event``: values that are links, of persons and families and of what they reach, and whether they are reached from an event; several searches can share them."""
+    read = stored(readable(nodes))
+    links = read.where(_web(F.col("value"))).withColumnRenamed("value", "url")
+    own = links.where(_own(include_events)).select("file", "rec", "url", F.col("top").isin(*EVENTS).alias("event"))
+    there = links.select("file", "rec", "url").distinct()
+    via = reach(read, heads(nodes), include_events).join(there.hint("merge"), ["file", "rec"]).select("file", F.col("root").alias("rec"), "url", "event")
+    return own.unionByName(via).distinct()
+
+
+def search(nodes: DataFrame, pattern: str = "", include_events: bool = True, only: DataFrame | None = None, every: DataFrame | None = None) -> DataFrame:
     """``file, rec, url``: values that are links and hold the pattern, of persons and families and of what they reach.
 
-    ``only`` (file, rec) restricts the persons, not the families. ``read`` is what is ``readable``, where several searches share it.
+    ``only`` (file, rec) restricts the persons, not the families. ``every`` is what is ``found`` with events, where several searches share it.
     """
-    read, index = stored(readable(nodes)) if read is None else read, heads(nodes)
-    found = read.where(_web(F.col("value")) & F.contains(F.lower("value"), F.lit(pattern.lower())))
-    own = found.where(F.col("rec_tag").isin("INDI", "FAM") & (F.lit(include_events) | ~F.col("top").isin(*EVENTS))).select("file", "rec", F.col("value").alias("url"))
-    there = found.select("file", "rec", F.col("value").alias("url")).distinct()
-    via = reach(read, index, include_events).join(there, ["file", "rec"]).select("file", F.col("root").alias("rec"), "url")
-    every = own.unionByName(via).distinct()
+    every = found(nodes, include_events) if every is None else every
+    holds = F.contains(F.lower("url"), F.lit(pattern.lower())) & (F.lit(include_events) | ~F.col("event"))
+    every = every.where(holds).select("file", "rec", "url").distinct()
     if only is None:
         return every
     families = nodes.where((F.col("level") == 0) & (F.col("tag") == "FAM")).select("file", "rec")
